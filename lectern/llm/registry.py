@@ -1,10 +1,14 @@
 """The queries of this subpackage, by name."""
 
-from lectern.llm import suffix_dedup, superkmer_dedup
+from lectern.llm import bpe, minhash_dedup, pii, secrets, suffix_dedup, superkmer_dedup
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
+    "op4_minhash_dedup": minhash_dedup.op4_minhash_dedup,
     "op5_superkmer_dedup": superkmer_dedup.op5_superkmer_dedup,
+    "op8_secrets": secrets.op8_secrets,
+    "op10_bpe": bpe.op10_bpe,
 }
 
 ORACLE: dict[str, str] = {}
