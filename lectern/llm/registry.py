@@ -1,14 +1,21 @@
 """The queries of this subpackage, by name."""
 
-from lectern.llm import bpe, minhash_dedup, pii, secrets, suffix_dedup, superkmer_dedup
+from lectern.llm import bpe, chat_format, minhash_dedup, pii, quality_rules, secrets, suffix_dedup, superkmer_dedup, url_filter
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
+    "op3_url_filter": url_filter.op3_url_filter,
     "op4_minhash_dedup": minhash_dedup.op4_minhash_dedup,
     "op5_superkmer_dedup": superkmer_dedup.op5_superkmer_dedup,
+    "op6_chat_format": chat_format.op6_chat_format,
     "op8_secrets": secrets.op8_secrets,
+    "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_bpe": bpe.op10_bpe,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op3_url_filter": url_filter.OP3_SQL,
+    "op6_chat_format": chat_format.OP6_SQL,
+    "op9_quality_rules": quality_rules.OP9_SQL,
+}
