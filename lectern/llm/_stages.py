@@ -51,6 +51,19 @@ def _remove_root(app: str) -> None:
         _remove(spark, path)
 
 
+def arrow_map(source: DataFrame, run, results: dict[str, str], hidden: tuple[str, ...]) -> DataFrame:
+    """source.mapInArrow(run) with the columns of `source` but the hidden ones, then those in `results` (name: type).
+
+    Columns that pass through travel under plain names: mapInArrow resolves
+    names and would take a dot in one for a field.
+    """
+    names = [c for c in source.columns if c not in hidden]
+    plain = [c if c in hidden else f"__c{k}" for k, c in enumerate(source.columns)]
+    renamed = source.toDF(*plain)
+    schema = ", ".join([f"{n} {t}" for n, t in renamed.dtypes if n not in hidden] + [f"{n} {t}" for n, t in results.items()])
+    return renamed.mapInArrow(run, schema).toDF(*names, *results)
+
+
 class Stages:
     """Writes intermediate results of one operator call and drops those no longer read."""
 

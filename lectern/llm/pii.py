@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import _kernels as K
-from lectern.llm import _stages  # noqa: F401  (sends functions by value)
+from lectern.llm import _stages
 from lectern.llm._boost import BoostedTrees, least_threshold, platt
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -280,11 +280,10 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", keep: list[str]
     names = [n for n in _RESULT if redacted or n != "redacted"]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in names and c != "__text"]
     source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).cast("string").alias("__text"))
-    schema = ", ".join([f"`{n}` {t}" for n, t in source.drop("__text").dtypes] + [f"{n} {_RESULT[n][0]}" for n in names])
     cache = K.process_cache()
     if ("pii", precision) not in cache:
         cache["pii", precision] = train(precision)
-    return source.mapInArrow(_finder(cache["pii", precision], names), schema)
+    return _stages.arrow_map(source, _finder(cache["pii", precision], names), {n: _RESULT[n][0] for n in names}, ("__text",))
 
 
 def op1_pii(spark, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """The queries of this subpackage, by name."""
 
-from lectern.llm import bpe, chat_format, minhash_dedup, pii, quality_rules, secrets, suffix_dedup, superkmer_dedup, url_filter
+from lectern.llm import bpe, chat_format, decontaminate, minhash_dedup, pii, quality_rules, secrets, suffix_dedup, superkmer_dedup, url_filter
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_minhash_dedup": minhash_dedup.op4_minhash_dedup,
     "op5_superkmer_dedup": superkmer_dedup.op5_superkmer_dedup,
     "op6_chat_format": chat_format.op6_chat_format,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_secrets": secrets.op8_secrets,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_bpe": bpe.op10_bpe,

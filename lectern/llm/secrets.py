@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import _kernels as K
-from lectern.llm import _stages  # noqa: F401  (sends functions by value)
+from lectern.llm import _stages
 
 BASE_KINDS = ("assign", "access", "hex")
 ORDER = {"assign": 0, "access": 1, "hex": 2, "random": 3}
@@ -295,8 +295,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text", keep: list[str] | None
     source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).cast("string").alias("__text"))
     levels_seen = source.select("__text").mapInArrow(_counter(nulls), "cls long, level long, n long").groupBy("cls", "level").agg(F.sum("n").alias("n"))
     limits = thresholds([tuple(r) for r in levels_seen.collect()], fdr)  # at most len(LENGTHS) * LEVELS rows
-    schema = ", ".join([f"`{n}` {t}" for n, t in source.drop("__text").dtypes] + [f"{n} {t}" for n, (t, _) in _RESULT.items()])
-    return source.mapInArrow(_finder(nulls, limits, list(_RESULT)), schema)
+    return _stages.arrow_map(source, _finder(nulls, limits, list(_RESULT)), {n: t for n, (t, _) in _RESULT.items()}, ("__text",))
 
 
 def op8_secrets(spark, sf_dir: str) -> DataFrame:

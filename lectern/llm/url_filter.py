@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm import _stages  # noqa: F401  (sends functions by value)
+from lectern.llm import _stages
 
 MAX_RULES = 1_000_000
 ASCII_LOWER = str.maketrans({c: c + 32 for c in range(65, 91)})
@@ -135,8 +135,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule], url_col: str = "url", keep:
             rest = [batch.column(n) for n in batch.schema.names if n != "__url"]
             yield pa.RecordBatch.from_arrays([*rest, *own], names=[*(n for n in batch.schema.names if n != "__url"), *_RESULT])
 
-    schema = ", ".join([f"`{n}` {t}" for n, t in source.drop("__url").dtypes] + [f"{n} string" for n in _RESULT])
-    return source.mapInArrow(run, schema)
+    return _stages.arrow_map(source, run, {n: "string" for n in _RESULT}, ("__url",))
 
 
 def _joined(source: DataFrame, rules: list[Rule], default: str) -> DataFrame:

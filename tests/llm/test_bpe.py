@@ -29,7 +29,7 @@ def test_same_as_library(spark, library):
     rng = random.Random(5)
     noise = ["".join(rng.choice("abcdefghiklmnoprstuyéß .,'\n") for _ in range(200)) for _ in range(150)]
     rows = corpus() + list(enumerate(EXTRA + noise, 1000))
-    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as n_tokens", "1 as `odd name`")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as n_tokens", "1 as `odd.name`")
     got = sorted(bpe.encode(docs, bpe.word_bpe(), decoded=True).collect(), key=str)
     want = []
     for d, t in rows:

@@ -45,7 +45,7 @@ def plain(text):
 
 def test_base_spans_and_digests(spark):
     rows = corpus() + list(enumerate(TEXTS, 1000))
-    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "0 as n_ip", "1 as `a b`")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "0 as n_ip", "1 as `a.b`")
     got = {(r.doc_id, r.base_sha256): r for r in pii.find_personal_data(docs).collect()}
     assert len(got) >= len({*rows}) - 2
     for d, t in rows:

@@ -33,7 +33,7 @@ def plain(text):
 
 def test_base_spans_and_digests(spark):
     rows = corpus() + list(enumerate(TEXTS, 1000))
-    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "0 as n_hex", "1 as cls")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "0 as n_hex", "1 as `cls.x`")
     got = {(r.doc_id, r.base_sha256): r for r in S.find_secrets(docs).collect()}
     for d, t in rows:
         want = plain(t or "")

@@ -24,7 +24,7 @@ def brute(url, rules):
 @pytest.mark.parametrize("limit", [U.MAX_RULES, 0])
 def test_same_as_brute_force(spark, limit):
     rules = [*U.RULES, U.Rule("", "/es/", "allow"), U.Rule("b.com", "", "block"), U.Rule("org", "/es/ü", "allow"), U.Rule("example.com", "/en/7/8", "block"), U.Rule("com", "//", "block"), U.Rule("org", "/es/", "allow")]
-    pages = spark.createDataFrame([*enumerate(URLS), (0, None), (5, URLS[5])], "page_id long, url string").selectExpr("*", "'x' as host", "1 as rest")
+    pages = spark.createDataFrame([*enumerate(URLS), (0, None), (5, URLS[5])], "page_id long, url string").selectExpr("*", "'x' as host", "1 as `re.st`")
     got = U.judge_urls(pages, rules, max_rules=limit).collect()
     assert len(got) == len(URLS) + 2
     for r in got:
