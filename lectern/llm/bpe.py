@@ -20,6 +20,7 @@ import hashlib
 import heapq
 import json
 import os
+import re
 import unicodedata
 
 import numpy as np
@@ -29,17 +30,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import _kernels as K
-from lectern.llm import _stages  # noqa: F401  (sends functions by value)
+from lectern.llm import _stages
 
 MAX_FILE = 64 << 20
-CACHE_WORDS = 150_000
+CACHE_WORDS = 300_000
 END = "\x00"
 SUFFIX = "</w>"
 NO_MERGE = 1 << 40
 
 # The pre-tokenisation pattern of the vocabulary file, with its white space spelled out.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
+SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
+# Letters first: no other branch starts with one.
+PIECES = rf"\p{{L}}+|\p{{N}}|{SHORT}|[^{SPACE}\p{{L}}\p{{N}}]+"
+ASCII_PIECES = rf"[a-z]+|[0-9]|{SHORT}|[^\t-\r a-z0-9]+"
 
 
 def byte_letters() -> list[str]:
@@ -74,9 +78,9 @@ class Codec:
         self.codes, self.code_rank = codes[order], order
         self.letters = byte_letters()
         self.pattern = regex.compile(PIECES)
-        self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.id_text: dict[str, str] = {}
-        self.name_text: dict[str, str] = {}
+        self.ascii_pattern = re.compile(ASCII_PIECES)
+        self.split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        self.known: dict[str, tuple[str, str, int]] = {}
 
     # --- words ---
 
@@ -93,10 +97,10 @@ class Codec:
         return out
 
     def _plain(self, text: str) -> list[str]:
-        if not text.isascii():
-            # letter by letter: a final sigma has no form of its own
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return self.pattern.findall(text.lower())
+        if text.isascii():
+            return self.ascii_pattern.findall(text.lower())
+        # letter by letter: a final sigma has no form of its own
+        return self.pattern.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
     def _spelled(self, word: str) -> str:
         if not word.isascii() or not word.isprintable():
@@ -187,16 +191,16 @@ class Codec:
                 out[k] = self.exact(spelled[k])
         return out
 
-    def learn(self, words: set[str]) -> None:
-        """Put the words' ids and names, as text, into the cache."""
-        new = [w for w in words if w not in self.id_text]
-        if len(self.id_text) + len(new) > CACHE_WORDS:
-            self.id_text.clear()
-            self.name_text.clear()
-            new = list(words)
+    def learn(self, words: list[str]) -> list[tuple[str, str, int]]:
+        """For distinct words their ids and names, as text with a space after each, and the number of tokens."""
+        known = self.known
+        new = [w for w in words if w not in known]
+        if len(known) + len(new) > CACHE_WORDS:
+            known.clear()
+            new = words
         for w, ids in zip(new, self.encode_words(new), strict=True):
-            self.id_text[w] = " ".join(map(str, ids))
-            self.name_text[w] = " ".join([self.names[i] for i in ids])
+            known[w] = " ".join(map(str, ids)) + " ", " ".join([self.names[i] for i in ids]) + " ", len(ids)
+        return [known[w] for w in words]
 
     def decode(self, ids) -> str:
         """Token names joined by one space: the vocabulary file names no decoder."""
@@ -230,6 +234,35 @@ def _groups(texts: list[str], limit: int = 1 << 20):
         yield lo, len(texts)
 
 
+def _group(c: Codec, texts: list[str], want_ids: bool, want_text: bool, cols: dict[str, list]) -> None:
+    """Results of some texts: each distinct word is encoded once, and the texts' strings are gathered by Arrow."""
+    flat: list[str] = []
+    ends = []
+    for t in texts:
+        flat += c.words(t)
+        ends.append(len(flat))
+    coded = pa.array(flat, pa.large_string()).dictionary_encode()
+    index = coded.indices
+    ids, names, counts = zip(*c.learn(coded.dictionary.to_pylist()), strict=True) if flat else ((), (), ())
+    total = np.concatenate([[0], np.cumsum(np.array(counts, np.int64)[index.to_numpy()])]) if flat else np.zeros(1, np.int64)
+    for field, parts in (("ids", ids), ("decoded", names)):
+        joined = pa.array(parts, pa.large_string()).take(index)
+        _, offsets, data = joined.buffers()
+        offsets = np.frombuffer(offsets, np.int64) if len(flat) else np.zeros(1, np.int64)
+        view, lo = memoryview(data or b""), 0
+        for hi in ends:
+            # the last space is no part of the text
+            own = view[offsets[lo] : max(offsets[lo], offsets[hi] - 1)]
+            cols[field + "_sha256"].append(hashlib.sha256(own).hexdigest())
+            if field == "ids":
+                cols["n_tokens"].append(int(total[hi] - total[lo]))
+                if want_ids:
+                    cols["token_ids"].append(np.fromstring(bytes(own), np.int32, sep=" "))
+            elif want_text:
+                cols["decoded"].append(bytes(own).decode())
+            lo = hi
+
+
 def _encoder(raw, want_ids: bool, want_text: bool, names: list[str], kinds: list[pa.DataType]):
     def run(batches):
         c = codec(raw.value)
@@ -237,18 +270,7 @@ def _encoder(raw, want_ids: bool, want_text: bool, names: list[str], kinds: list
             texts = ["" if t is None else t for t in batch.column("__text").to_pylist()]
             cols: dict[str, list] = {n: [] for n in names}
             for lo, hi in _groups(texts):
-                split = [c.words(t) for t in texts[lo:hi]]
-                c.learn(set().union(*split))
-                for words in split:
-                    ids = " ".join([c.id_text[w] for w in words])
-                    text = " ".join([c.name_text[w] for w in words])
-                    cols["n_tokens"].append(ids.count(" ") + 1 if ids else 0)
-                    cols["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
-                    cols["decoded_sha256"].append(hashlib.sha256(text.encode()).hexdigest())
-                    if want_ids:
-                        cols["token_ids"].append(np.array(ids.split(), np.int32) if ids else np.zeros(0, np.int32))
-                    if want_text:
-                        cols["decoded"].append(text)
+                _group(c, texts[lo:hi], want_ids, want_text, cols)
             rest = [batch.column(n) for n in batch.schema.names if n != "__text"]
             own = [pa.array(cols[n], k) for n, k in zip(names, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*rest, *own], names=[*(n for n in batch.schema.names if n != "__text"), *names])
@@ -265,9 +287,9 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", keep: list[str] |
         results["decoded"] = ("string", pa.string())
     kept = [c for c in (docs.columns if keep is None else keep) if c not in results and c != "__text"]
     source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).cast("string").alias("__text"))
-    schema = ", ".join([f"`{n}` {t}" for n, t in source.drop("__text").dtypes] + [f"{n} {t}" for n, (t, _) in results.items()])
     raw = load(docs.sparkSession, path)
-    return source.mapInArrow(_encoder(raw, token_ids, decoded, list(results), [k for _, k in results.values()]), schema)
+    run = _encoder(raw, token_ids, decoded, list(results), [k for _, k in results.values()])
+    return _stages.arrow_map(source, run, {n: t for n, (t, _) in results.items()}, ("__text",))
 
 
 def decode(tokens: DataFrame, path: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
