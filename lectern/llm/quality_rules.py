@@ -13,7 +13,6 @@ columns are kept unless a result column has their name.
 
 from __future__ import annotations
 
-import math
 import time
 from dataclasses import dataclass
 
@@ -77,49 +76,61 @@ def repeat_words(df: DataFrame, windows_col: str, out: str) -> DataFrame:
     return df.withColumn(out, F.coalesce(covered(F.col("__starts")), F.lit(0)).cast("long")).drop("__sorted", "__joined", "__starts")
 
 
-def measured(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """Base measures beside the columns in `keep`."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    df = docs.select(*[F.col(f"`{c}`") for c in keep], text.alias("__text")).withColumn("__words", words(F.col("__text")))
-    df = repeat_words(with_windows(df, "__words", "__windows"), "__windows", "n_repeat_words").drop("__windows")
-    return df.select(
-        *[F.col(f"`{c}`") for c in keep],
-        "__text",
-        F.size("__words").cast("long").alias("n_words"),
-        F.char_length(F.array_join("__words", "")).cast("long").alias("word_chars"),
-        count_of(F.col("__text"), SYMBOLS).alias("n_symbols"),
-        dup_lines(F.col("__text")).alias("n_dup_lines"),
-        "n_repeat_words",
-    )
-
-
 # --- rules -------------------------------------------------------------------
 
 @dataclass(frozen=True)
 class Rule:
-    """True for a text to reject; in integers, so that SQL engines agree."""
+    """`reject` is true for a text to reject, in integers; `needs` names the measures it reads."""
 
     name: str
     reject: Column
-    sql: str
+    needs: tuple[str, ...]
+
+
+def _count_words(df: DataFrame) -> DataFrame:
+    return df.withColumn("__words", words(F.col("__text"))).withColumn("n_words", F.size("__words").cast("long")).withColumn("word_chars", F.char_length(F.array_join("__words", "")).cast("long"))
+
+
+def _count_repeats(df: DataFrame) -> DataFrame:
+    return repeat_words(with_windows(df, "__words", "__windows"), "__windows", "n_repeat_words").drop("__windows")
+
+
+#: What adds each measure to a frame with `__text`, and the measures that must be there before.
+MEASURES = {
+    "words": ((), _count_words),
+    "symbols": ((), lambda df: df.withColumn("n_symbols", count_of(F.col("__text"), SYMBOLS))),
+    "bangs": ((), lambda df: df.withColumn("__bangs", count_of(F.col("__text"), "!"))),
+    "lines": ((), lambda df: df.withColumn("n_dup_lines", dup_lines(F.col("__text"))).withColumn("__lines", F.size(F.split("__text", "\n")).cast("long"))),
+    "repeats": (("words",), _count_repeats),
+}
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def rules(text: str = "__text") -> list[Rule]:
-    """Rules on a text and the base measures beside it."""
-    bangs = count_of(F.col(text), "!")
+def rules() -> list[Rule]:
     c = F.col
     return [
-        Rule("base", (c("n_words") < 20) | (100 * c("n_repeat_words") > 30 * c("n_words")), "n_words < 20 OR 100 * n_repeat_words > 30 * n_words"),
-        Rule("symbols", 100 * c("n_symbols") > 30 * c("n_words"), "100 * n_symbols > 30 * n_words"),
-        Rule("exclamations", 100 * bangs > 50 * c("n_words"), "100 * n_bangs > 50 * n_words"),
-        Rule("short_words", c("word_chars") < 2 * c("n_words"), "word_chars < 2 * n_words"),
-        Rule("long_words", c("word_chars") > 15 * c("n_words"), "word_chars > 15 * n_words"),
-        Rule("dup_lines", 100 * c("n_dup_lines") > 40 * F.size(F.split(text, "\n")), "100 * n_dup_lines > 40 * n_lines"),
+        Rule("base", (c("n_words") < 20) | (100 * c("n_repeat_words") > 30 * c("n_words")), ("words", "repeats")),
+        Rule("symbols", 100 * c("n_symbols") > 30 * c("n_words"), ("words", "symbols")),
+        Rule("exclamations", 100 * c("__bangs") > 50 * c("n_words"), ("words", "bangs")),
+        Rule("short_words", c("word_chars") < 2 * c("n_words"), ("words",)),
+        Rule("long_words", c("word_chars") > 15 * c("n_words"), ("words",)),
+        Rule("dup_lines", 100 * c("n_dup_lines") > 40 * c("__lines"), ("lines",)),
     ]
 
 
+def with_measures(df: DataFrame, names, have: set[str] | None = None) -> DataFrame:
+    """Adds the measures that are not there yet; `have` is kept up to date."""
+    have = set() if have is None else have
+    for name in names:
+        if name not in have:
+            before, add = MEASURES[name]
+            df = add(with_measures(df, before, have))
+            have.add(name)
+    return df
+
+
 def estimate(sample: DataFrame, cascade: list[Rule]) -> dict[str, tuple[float, float]]:
-    """For each rule: seconds to judge the sample, and the share rejected.
+    """For each rule: seconds to measure and judge the sample alone, and the share rejected.
 
     The sample is cached, and a run that only counts it is taken off.
     """
@@ -132,7 +143,7 @@ def estimate(sample: DataFrame, cascade: list[Rule]) -> dict[str, tuple[float, f
         out = {}
         for rule in cascade:
             began = time.perf_counter()
-            hit = sample.agg(F.sum(rule.reject.cast("long"))).first()[0] or 0
+            hit = with_measures(sample, rule.needs).agg(F.sum(rule.reject.cast("long"))).first()[0] or 0
             out[rule.name] = max(time.perf_counter() - began - idle, 1e-4), hit / max(total, 1)
         return out
     finally:
@@ -144,27 +155,40 @@ def ordered(cascade: list[Rule], estimates: dict[str, tuple[float, float]]) -> l
     return sorted(cascade, key=lambda r: (-estimates[r.name][1] / estimates[r.name][0], r.name))
 
 
-def verdict(cascade: list[Rule]) -> Column:
-    """The name of the first rule that rejects, null if none does; later rules aren't evaluated."""
-    out = None
-    for rule in cascade:
-        out = F.when(rule.reject, F.lit(rule.name)) if out is None else out.when(rule.reject, F.lit(rule.name))
-    return out.otherwise(F.lit(None).cast("string"))
+def planned(docs: DataFrame, text_col: str, sample_rows: int) -> list[Rule]:
+    """The rules in the order that a sample of the documents suggests."""
+    total = docs.count()
+    share = min(1.0, 1.2 * sample_rows / max(total, 1))
+    sample = docs.select(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("__text")).sample(share, SEED).limit(sample_rows)
+    return ordered(rules(), estimate(sample, rules()))
 
 
 def judged(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Base measures, base_failed, kept and the rejecting rule beside the columns in `keep`."""
-    results = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule", "__text")
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in results]
-    cascade = rules()
-    total = docs.count()
-    share = min(1.0, 1.2 * sample_rows / max(total, 1))
-    sample = measured(docs.select(F.col(text_col)).sample(share, SEED).limit(sample_rows), text_col, [])
-    cascade = ordered(cascade, estimate(sample, cascade))
-    df = measured(docs, text_col, kept)
-    base = next(r for r in rules() if r.name == "base")
-    df = df.withColumn("base_failed", base.reject).withColumn("rule", verdict(cascade))
-    return df.withColumn("kept", F.col("rule").isNull()).drop("__text")
+    """All base measures, base_failed, kept and the rejecting rule beside the columns in `keep`."""
+    results = (*BASE, "base_failed", "kept", "rule", "__text", "__words", "__bangs", "__lines")
+    cols = [F.col(f"`{c}`") for c in (docs.columns if keep is None else keep) if c not in results]
+    cascade = planned(docs, text_col, sample_rows)
+    df = docs.select(*cols, F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("__text"))
+    df = with_measures(df, MEASURES)
+    base = next(r for r in cascade if r.name == "base")
+    rule = F.lit(None).cast("string")
+    for r in reversed(cascade):
+        rule = F.when(r.reject, F.lit(r.name)).otherwise(rule)
+    return df.select(*cols, *BASE, base.reject.alias("base_failed"), rule.isNull().alias("kept"), rule.alias("rule"))
+
+
+def filtered(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The documents that no rule rejects, with their own columns.
+
+    One filter follows the other, and a measure is taken only of documents
+    that are still there when a rule first asks for it.
+    """
+    own = [f"__own{k}" for k in range(len(docs.columns))]
+    df = docs.toDF(*own).withColumn("__text", F.coalesce(F.col(own[docs.columns.index(text_col)]).cast("string"), F.lit("")))
+    have: set[str] = set()
+    for rule in planned(docs, text_col, sample_rows):
+        df = with_measures(df, rule.needs, have).where(~rule.reject)
+    return df.select(*own).toDF(*docs.columns)
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -37,10 +37,17 @@ def test_same_as_brute_force(spark):
 
 
 def test_cascade_order_is_rejection_per_cost():
-    fake = [Q.Rule(n, None, "") for n in "abc"]
+    fake = [Q.Rule(n, None, ()) for n in "abc"]
     assert [r.name for r in Q.ordered(fake, {"a": (2.0, 0.5), "b": (1.0, 0.5), "c": (1.0, 0.0)})] == ["b", "a", "c"]
 
 
+def test_filter_agrees_with_verdict(spark):
+    docs = spark.createDataFrame(corpus(2), "doc_id long, text string").selectExpr("*", "1 as kept", "2 as `n_words`", "3 as `odd.name`")
+    kept = sorted(str(r.doc_id) + str(r.text) for r in Q.filtered(docs).collect())
+    assert kept == sorted(str(d) + str(t) for d, t in corpus(2) if brute(t)[-1])
+    assert Q.filtered(docs).columns == docs.columns
+
+
 def test_clean_documents_stay(spark):
     d = "/root/testdata/sf0.01"
     out = Q.judged(spark.read.parquet(f"{d}/documents.parquet"), keep=["doc_id"]).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id")
