@@ -1,17 +1,8 @@
 """Queries and their SQL, by name."""
 
-from __future__ import annotations
+from lectern.plans import text_queries  # noqa: F401  (registers)
+from lectern.plans._query import ORACLE, QUERIES
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+FLAGSHIP = "g01_comparison_tokens"
 
-FLAGSHIP = "source_profile"
-
-
-def source_profile(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy("source", "lang").agg(F.count("*").alias("n_docs"), F.sum("n_chars").alias("n_chars"))
-
-
-QUERIES = {"source_profile": source_profile}
-ORACLE = {"source_profile": "SELECT source, lang, count(*) AS n_docs, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM documents GROUP BY source, lang"}
+__all__ = ["FLAGSHIP", "ORACLE", "QUERIES"]
