@@ -9,9 +9,10 @@ sets decide. The number of bands is taken from the threshold so that a pair at
 the threshold is missed with a probability under MISS.
 
 Documents with one set form a class, and only classes are compared. In a bucket
-all members are held against a hub, the member that most buckets share; what
-the hub doesn't join is held against members of other components, until no
-bucket has candidates left that were neither compared nor joined.
+all members are held against a hub, the member that most buckets share. Where
+members other than the hub stay in different components, their signatures of
+LONG coordinates are compared inside the bucket, in blocks of BLOCK members, and
+the pairs that may reach the threshold are confirmed on full sets as well.
 
 Documents without words or text are linked with nothing. Rows with a null id
 count in no component (component_id null) and are kept. Rows that share an id
@@ -28,11 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import _kernels as K
-from lectern.llm._stages import Stages
+from lectern.llm._stages import Stages, grouped_batches
 from lectern.llm.components import components
 
 UNIVERSE = 1 << 20
 ROWS = 5
+LONG = 4096
+BLOCK = 4096
 MISS = 1e-6
 SEED = 20240229
 U64 = np.uint64
@@ -107,6 +110,56 @@ def set_builder(n: int):
     return run
 
 
+def long_signatures(batches):
+    """One bit of each of LONG coordinates."""
+    for batch in batches:
+        sets = batch.column("shingles")
+        values, off = _unsigned(sets)
+        out = [np.packbits(signature(values[off[i] : off[i + 1]], LONG) & 1).tobytes() for i in range(len(sets))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "print"])
+
+
+def _unsigned(lists) -> tuple[np.ndarray, np.ndarray]:
+    return lists.values.to_numpy().view(U64), lists.offsets.to_numpy()
+
+
+def similar_pairs(num: int, den: int):
+    """Pairs of one bucket in different components whose long signatures don't rule out the threshold.
+
+    A pair at the threshold agrees in fewer bits than asked for with a
+    probability under MISS (five standard deviations). A pair that shares
+    several buckets is named by the one with the least key.
+    """
+    p = (1 + num / den) / 2
+    most = LONG - int(LONG * p - 5 * math.sqrt(LONG * p * (1 - p)))
+
+    def run(batches):
+        for t in grouped_batches(batches, ["key", "i", "j"], rows=4 * BLOCK, size=64 << 20):
+            key, i, j, rep, n, comp, own = (t[c].to_numpy() for c in ("key", "i", "j", "rep", "n", "comp", "own"))
+            prints = np.frombuffer(b"".join(t["print"].to_pylist()), "<u8").reshape(-1, LONG // 64)
+            keys = t["keys"].combine_chunks()
+            keys = keys.chunk(0) if isinstance(keys, pa.ChunkedArray) else keys
+            off, flat = keys.offsets.to_numpy(), keys.values.to_numpy()
+            border = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), True])
+            a, b = [], []
+            for lo, hi in zip(border[:-1], border[1:], strict=True):
+                for x in range(lo, hi):
+                    y = np.arange(x + 1, hi)
+                    ok = (comp[y] != comp[x]) & (den * np.minimum(n[y], n[x]) >= num * np.maximum(n[y], n[x]))
+                    if i[x] != j[x]:
+                        ok &= own[y] != own[x]
+                    y = y[ok]
+                    y = y[np.bitwise_count(prints[y] ^ prints[x]).sum(axis=1) <= most]
+                    mine = flat[off[x] : off[x + 1]]
+                    y = [k for k in y.tolist() if np.intersect1d(mine, flat[off[k] : off[k + 1]], assume_unique=True)[0] == key[x]]
+                    a.append(np.minimum(rep[y], rep[x]))
+                    b.append(np.maximum(rep[y], rep[x]))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    return run
+
+
 def _confirm(edges: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Edges with `linked`: den * intersection >= num * union, on full sets."""
     a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
@@ -157,13 +210,20 @@ def _linked(stages: Stages, buckets: DataFrame, sets: DataFrame, num: int, den:
     star = ranked.join(hubs, "key").where((F.col("rep") != F.col("hub")) & fits).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
     seen = stages.save(_confirm(star, sets, num, den), "star")
     comps = components(seen.where("linked"), stages, "star-comp")
-    placed = ranked.join(comps, ranked.rep == comps.id, "left").select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
-    open_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    left = stages.save(placed.join(open_keys, "key"), "open")
-    x = left.select("key", F.col("rep").alias("a"), F.col("n").alias("n"), F.col("comp").alias("ca"))
-    y = left.select("key", F.col("rep").alias("b"), F.col("n").alias("hub_n"), F.col("comp").alias("cb"))
-    rest = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits).select("a", "b").distinct()
-    more = stages.save(_confirm(rest.join(seen.select("a", "b"), ["a", "b"], "left_anti"), sets, num, den), "rest")
+    # a bucket is open while members other than its hub, which was compared with all, lie in several components
+    placed = ranked.join(hubs.select("key", "hub"), "key").where(F.col("rep") != F.col("hub")).join(comps, F.col("rep") == F.col("id"), "left").select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
+    placed = stages.save(placed, "placed")
+    unsettled = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
+    blocks = stages.save(unsettled.select("key", F.ceil(F.col("size") / F.lit(BLOCK)).cast("int").alias("blocks")), "unsettled")
+    left = placed.join(blocks, "key")
+    prints = sets.join(left.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(long_signatures, "doc_id long, print binary")
+    shared = left.groupBy("rep").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    prints = prints.join(shared, F.col("doc_id") == F.col("rep")).select("doc_id", "print", "keys")
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j")))
+    dealt = left.join(prints, F.col("rep") == F.col("doc_id")).select("key", "rep", "n", "comp", "print", "keys", own.alias("own"), F.explode(pairs).alias("p")).select("key", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "rep", "n", "comp", "print", "keys", "own")
+    likely = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(similar_pairs(num, den), "a long, b long").distinct()
+    more = stages.save(_confirm(likely.join(seen.select("a", "b"), ["a", "b"], "left_anti"), sets, num, den), "rest")
     return components(seen.where("linked").union(more.where("linked")), stages, "comp")
 
 
