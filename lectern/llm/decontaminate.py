@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import uuid
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -65,32 +66,41 @@ def simhash(grams: np.ndarray, weights: np.ndarray, starts: np.ndarray, size: in
 
 
 class HammingIndex:
-    """All fingerprints within a radius, by blocks whose values may differ in a few bits."""
+    """All fingerprints within a radius, by blocks whose values may differ in a few bits.
+
+    A block's near values are either enumerated from the query's or, where
+    fewer values occur at all, picked among those.
+    """
 
     def __init__(self, prints: np.ndarray, radius: int = RADIUS, blocks: int = BLOCKS):
-        self.prints, self.radius = prints, radius
+        self.prints, self.radius, self.reach = prints, radius, radius // blocks
         self.width = BITS // blocks
         self.shifts = np.arange(blocks, dtype=U64) * U64(self.width)
-        flips = [0]
-        for r in range(1, radius // blocks + 1):
-            flips += [sum(1 << b for b in c) for c in combinations(range(self.width), r)]
-        self.flips = np.array(flips, np.int64)
         self.tables = []
         for s in self.shifts:
-            v = self._block(prints, s)
-            order = np.argsort(v, kind="stable")
-            self.tables.append((order, np.searchsorted(v[order], np.arange((1 << self.width) + 1))))
+            values = self._block(prints, s)
+            order = np.argsort(values, kind="stable")
+            distinct, start = np.unique(values[order], return_index=True)
+            self.tables.append((distinct, order, np.append(start, len(order))))
+        flips = sum(comb(self.width, r) for r in range(self.reach + 1))
+        self.flips = None
+        if max(len(t[0]) for t in self.tables) > flips:
+            self.flips = np.array([sum(1 << b for b in c) for r in range(self.reach + 1) for c in combinations(range(self.width), r)], np.int64)
 
     def _block(self, prints: np.ndarray, shift) -> np.ndarray:
         return ((prints >> shift) & U64((1 << self.width) - 1)).astype(np.int64)
 
     def search(self, fingerprint: np.uint64) -> np.ndarray:
         found = []
-        for s, (order, start) in zip(self.shifts, self.tables, strict=True):
-            near = self._block(np.array([fingerprint]), s)[0] ^ self.flips
-            lo, hi = start[near], start[near + 1]
-            for k in np.flatnonzero(hi > lo):
-                found.append(order[lo[k] : hi[k]])
+        for s, (distinct, order, start) in zip(self.shifts, self.tables, strict=True):
+            value = self._block(np.array([fingerprint]), s)[0]
+            if self.flips is None:
+                at = np.flatnonzero(np.bitwise_count(distinct ^ value) <= self.reach)
+            else:
+                near = value ^ self.flips
+                at = np.minimum(np.searchsorted(distinct, near), len(distinct) - 1)
+                at = at[distinct[at] == near]
+            found += [order[start[k] : start[k + 1]] for k in at.tolist()]
         if not found:
             return np.zeros(0, np.int64)
         ids = np.unique(np.concatenate(found))

@@ -63,9 +63,10 @@ def test_same_as_brute_force(spark, block):
     assert {(r.doc_id, m.item_id): round(m.similarity, 9) for r in got for m in r.matches} == brute(docs, items)
 
 
-def test_index_finds_all_within_radius():
+@pytest.mark.parametrize("count", [300, 3000])
+def test_index_finds_all_within_radius(count):
     rng = np.random.default_rng(2)
-    prints = rng.integers(0, 2**64, 300, dtype=np.uint64)
+    prints = rng.integers(0, 2**64, count, dtype=np.uint64)
     index = D.HammingIndex(prints, 14, 4)
     for k in range(100):
         q = prints[k] ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 18), replace=False)))
