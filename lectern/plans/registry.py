@@ -1,6 +1,6 @@
 """Queries and their SQL, by name."""
 
-from lectern.plans import text_queries  # noqa: F401  (registers)
+from lectern.plans import extract_queries, text_queries  # noqa: F401  (they register)
 from lectern.plans._query import ORACLE, QUERIES
 
 FLAGSHIP = "g01_comparison_tokens"
