@@ -187,7 +187,10 @@ def filtered(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_
     df = docs.toDF(*own).withColumn("__text", F.coalesce(F.col(own[docs.columns.index(text_col)]).cast("string"), F.lit("")))
     have: set[str] = set()
     for rule in planned(docs, text_col, sample_rows):
-        df = with_measures(df, rule.needs, have).where(~rule.reject)
+        df = with_measures(df, rule.needs, have)
+        # The partition's number isn't deterministic, so the optimiser leaves the filter above the
+        # measures; pushed below them, it would repeat their expressions inside one another.
+        df = df.withColumn("__at", F.spark_partition_id()).where(~rule.reject & (F.col("__at") >= 0)).drop("__at")
     return df.select(*own).toDF(*docs.columns)
 
 
