@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.functions import text as T
+from lectern.functions.arrays import spread
 from lectern.functions.tokens import TOPIC_STOPWORDS
 
 # Words whose full stop ends no sentence, for news, legal and claim texts.
@@ -104,7 +105,7 @@ def quotation_array(text: Column, least_words: int = 6) -> Column:
 
 
 def quotations(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(id_col, F.explode(quotation_array(F.col(text_col))).alias("quote"))
+    return spread(docs, [id_col], quotation_array(F.col(text_col)), "quote")
 
 
 def phrases(frame: DataFrame, group: str, words_col: str, top: int = 30, least: int = 2) -> DataFrame:
@@ -118,7 +119,7 @@ def phrases(frame: DataFrame, group: str, words_col: str, top: int = 30, least:
     def runs(n: int) -> Column:
         return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))).otherwise(none)
 
-    g = frame.select(group, F.explode(F.concat(*map(runs, (2, 3, 4)))).alias("phrase"))
+    g = spread(frame, [group], F.concat(*map(runs, (2, 3, 4))), "phrase")
     edges = ~F.split_part("phrase", F.lit(" "), F.lit(1)).isin(*TOPIC_STOPWORDS) & ~F.split_part("phrase", F.lit(" "), F.lit(-1)).isin(*TOPIC_STOPWORDS)
     counted = g.where(edges).groupBy(group, "phrase").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("n"), "phrase"))

@@ -1,8 +1,8 @@
 """Queries and their SQL, by name."""
 
-from lectern.plans import extract_queries, text_queries  # noqa: F401  (they register)
+from lectern.plans import extract_queries, relation_queries, text_queries  # noqa: F401  (they register)
 from lectern.plans._query import ORACLE, QUERIES
 
-FLAGSHIP = "g01_comparison_tokens"
+FLAGSHIP = "a09_distinct_origins"
 
 __all__ = ["FLAGSHIP", "ORACLE", "QUERIES"]

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from lectern.functions import text as T
 from lectern.functions import tokens as G
+from lectern.functions.arrays import spread
 from lectern.operators import segment
 from lectern.plans._query import query, table
 
@@ -179,7 +180,7 @@ WITH t AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '\\p{{L}}+|[0-9
 SELECT conv_id, turn, lower(w) AS term, count(*) AS n FROM t WHERE NOT list_contains({G.sql_list(G.EXPLANATION_STOPWORDS)}, lower(w)) GROUP BY ALL
 """)
 def g04_explanation_bag(spark, d):
-    c = table(spark, d, "conversations").select("conv_id", "turn", F.explode(G.explanation_tokens(F.col("text"))).alias("term"))
+    c = spread(table(spark, d, "conversations"), ["conv_id", "turn"], G.explanation_tokens(F.col("text")), "term")
     return c.groupBy("conv_id", "turn", "term").agg(F.count("*").alias("n"))
 
 
