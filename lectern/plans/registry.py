@@ -1,6 +1,6 @@
 """Queries and their SQL, by name."""
 
-from lectern.plans import extract_queries, relation_queries, text_queries  # noqa: F401  (they register)
+from lectern.plans import extract_queries, relation_queries, scoring_queries, store_queries, text_queries  # noqa: F401  (they register)
 from lectern.plans._query import ORACLE, QUERIES
 
 FLAGSHIP = "a09_distinct_origins"
