@@ -114,10 +114,10 @@ def v04_v05_statement_type(spark, d):
     return s.select("conv_id", "turn", best.kind.alias("kind"))
 
 
-@query(f"""SELECT ev, round(CASE strength WHEN 'high' THEN 1.0 WHEN 'low' THEN 0.35 ELSE 0.65 END * (0.35 + 0.4 * (ev % 10) / 10.0 + 0.25 * (ev % 4) / 4.0) * CASE WHEN derived THEN 0.6 WHEN restating THEN 0.7 ELSE 1 END + 1e-9, 4) AS weight FROM {EVI}""")
+@query(f"""SELECT ev, round(CASE strength WHEN 'high' THEN 1.0 WHEN 'low' THEN 0.35 ELSE 0.65 END * (0.35 + 0.4 * (ev % 7 + 1) / 8.3 + 0.25 * (ev % 3 + 1) / 3.7) * CASE WHEN derived THEN 0.6 WHEN restating THEN 0.7 ELSE 1 END, 4) AS weight FROM {EVI}""")
 def v11_evidential_weight(spark, d):
     ev = F.col("ev")
-    return view(spark, d, "evidence").select("ev", S.evidential_weight(F.col("strength"), (ev % 10) / 10, (ev % 4) / 4, F.col("derived"), F.col("restating")).alias("weight"))
+    return view(spark, d, "evidence").select("ev", S.evidential_weight(F.col("strength"), (ev % 7 + 1) / 8.3, (ev % 3 + 1) / 3.7, F.col("derived"), F.col("restating")).alias("weight"))
 
 
 @query(f"""SELECT claim_id, count(*) AS n, count(*) FILTER (WHERE tier <= 2) AS documentary, count(DISTINCT source) FILTER (WHERE NOT derived) AS independent, max((ev % 10) / 10.0) AS coverage,
