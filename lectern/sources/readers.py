@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Elements whose text isn't shown, and those that hold an article's text.
 HIDDEN = frozenset({"script", "style", "noscript", "svg", "template", "nav", "footer", "header", "form", "aside"})
@@ -60,7 +61,7 @@ def visible_text(markup: str | None, max_chars: int = 200_000) -> str:
     return (inner if len(inner) >= FOCUS_LEAST else shown)[:max_chars]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def visible_text_udf(markup: pd.Series) -> pd.Series:
     return markup.map(visible_text)
 
@@ -83,9 +84,9 @@ def parse_feed(feeds: DataFrame, url_col: str, xml_col: str) -> DataFrame:
 
 def read_evidence(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """Rows of a JSON evidence file, and the lines that aren't any."""
-    raw = spark.read.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
-    good = raw.where("_bad is null").drop("_bad")
-    return good, raw.where("_bad is not null").select(F.col("_bad").alias("line"))
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    rows = lines.select("value", F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    return rows.where("r._bad is null").select("r.*").drop("_bad"), rows.where("r._bad is not null").select(F.col("value").alias("line"))
 
 
 def write_changed(rows: DataFrame, path: str, id_col: str) -> int:
