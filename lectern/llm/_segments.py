@@ -120,9 +120,10 @@ def keyed_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def repeated_segments(stages, keyed: DataFrame, find) -> DataFrame:
     """Segments whose minimiser occurs more than once, as a table."""
     found = stages.save(keyed.select("doc_id", "th", "text").mapInArrow(find, SEGMENT_SCHEMA), "segments")
-    often = found.groupBy("key").count().where("count > 1").select("key")
+    # as a table of its own, so that the join deals both sides and can split a hot key
+    often = stages.save(found.groupBy("key").count().where("count > 1").select("key"), "often")
     out = stages.save(found.join(often, "key").select("doc_id", "th", "s0", "nw", "a0", "key", "seg"), "repeated")
-    stages.drop("segments")
+    stages.drop("segments", "often")
     return out
 
 

@@ -304,8 +304,8 @@ def repeated_byte_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str
     distinct = S.distinct_segments(stages, repeated)
     # a group whose segments all have copies is known; one without a second segment too
     groups = distinct.groupBy("key").agg(F.count("*").alias("n"), F.sum((F.col("copies") == 1).cast("long")).alias("singles")).where("n > 1 and singles > 0")
-    shards = F.ceil(F.col("n") / F.lit(hot)).cast("int").alias("shards")
-    parts = distinct.join(groups.select("key", shards), "key").select(
+    groups = stages.save(groups.select("key", F.ceil(F.col("n") / F.lit(hot)).cast("int").alias("shards")), "groups")
+    parts = distinct.join(groups, "key").select(
         "src.doc_id", "src.th", "src.s0", "key", F.pmod("seg", "shards").cast("int").alias("shard"), "shards", "seg", "nw", "a0", "copies"
     )
     bodies = S.with_text(parts, keyed, cut_bytes(window), _PART)

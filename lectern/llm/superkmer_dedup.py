@@ -167,7 +167,8 @@ def repeated_word_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str
     repeated = S.repeated_segments(stages, keyed, S.word_segments(window, unit))
     distinct = S.distinct_segments(stages, repeated)
     groups = distinct.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    parts = distinct.join(groups.select("key", F.ceil(F.col("n") / F.lit(hot)).cast("int").alias("shards")), "key").select(
+    groups = stages.save(groups.select("key", F.ceil(F.col("n") / F.lit(hot)).cast("int").alias("shards")), "groups")
+    parts = distinct.join(groups, "key").select(
         "src.no_id", "src.doc_id", "src.th", "src.s0", "key", F.pmod("seg", "shards").cast("int").alias("shard"), "shards", "seg", "nw"
     )
     bodies = S.with_text(parts, keyed, cut_words(window), _PART)
