@@ -70,14 +70,28 @@ def sentences(docs: DataFrame, id_col: str, text_col: str, abbreviations: tuple[
 
 
 def clauses(docs: DataFrame, id_col: str, text_col: str, least: int = 4) -> DataFrame:
-    """Sentences cut at ; : and coordinators where both sides have four words or more."""
-    s = sentences(docs, id_col, text_col, LEGAL)
+    """Sentences cut at ; : and at coordinators where both sides have four words or more.
+
+    Every coordinator is a possible cut; a fold over the pieces joins those
+    that are too short to the clause before.
+    """
     words = "|".join(COORDINATORS)
-    side = r"(?:\S+\s+){%d,}" % (least - 1)
-    cut = F.regexp_replace("sentence", r"[;:]\s+", BREAK)
-    cut = F.regexp_replace(cut, rf"(?i)((?:^|{BREAK}){side}\S+)[,]?\s+({words})\s+(?={side}\S+)", f"$1{BREAK}$2 ")
-    out = s.select(id_col, "sentence_no", F.posexplode(F.split(cut, BREAK)).alias("clause_no", "clause"))
-    return out.select(id_col, "sentence_no", F.col("clause_no").cast("long").alias("clause_no"), F.trim("clause").alias("clause")).where("clause <> ''")
+    size = lambda c: F.size(F.filter(F.split(c, " "), lambda w: w != ""))
+
+    def joined(pieces: Column) -> Column:
+        def step(acc: Column, piece: Column) -> Column:
+            short = (size(piece) < least) | (size(F.element_at(acc, -1)) < least)
+            grown = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.concat_ws(" ", F.element_at(acc, -1), piece)))
+            return F.when(F.size(acc) == 0, F.array(piece)).when(short, grown).otherwise(F.concat(acc, F.array(piece)))
+
+        return F.aggregate(pieces, F.array().cast("array<string>"), step)
+
+    s = sentences(docs, id_col, text_col, LEGAL)
+    hard = spread(s, [id_col, "sentence_no"], F.transform(F.split("sentence", r"[;:]\s+"), lambda p, i: F.struct(i.alias("i"), T.collapse(p).alias("p"))), "x")
+    soft = F.split(F.regexp_replace("x.p", rf"(?i),? (?=(?:{words}) )", BREAK), BREAK)
+    out = hard.select(id_col, "sentence_no", F.col("x.i").alias("part"), F.posexplode(joined(soft)).alias("k", "clause")).where("clause <> ''")
+    no = F.row_number().over(Window.partitionBy(id_col, "sentence_no").orderBy("part", "k")) - 1
+    return out.select(id_col, "sentence_no", no.cast("long").alias("clause_no"), "clause")
 
 
 def paragraphs(docs: DataFrame, id_col: str, text_col: str, separator: str = r"\n\s*\n", least: int = 20) -> DataFrame:
