@@ -7,13 +7,14 @@ bytes a position) stay small whatever an Arrow batch holds.
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 U64 = np.uint64
 _C1, _C2, _C3 = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 _MASK = np.array([0] + [(1 << (8 * k)) - 1 for k in range(1, 9)], dtype=U64)
@@ -25,6 +26,21 @@ def process_cache() -> dict:
     return home.__dict__.setdefault("entries", {})
 
 
+def trim() -> None:
+    """Gives freed memory back to the system, so that idle Python workers stay small."""
+    pa.default_memory_pool().release_unused()
+    if (libc := process_cache().setdefault("libc", _libc())) is not None:
+        libc.malloc_trim(0)
+
+
+def _libc():
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+    return libc if hasattr(libc, "malloc_trim") else None
+
+
 def text_chunks(column, limit: int = CHUNK_BYTES):
     """Yield (first row, bytes, offsets) of runs of rows; a null is an empty text.
 

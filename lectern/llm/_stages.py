@@ -16,7 +16,10 @@ import lectern.llm
 # Functions sent to Python workers carry their code, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(lectern.llm)
 
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_CLEAN, _BATCH = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch"
+_DEFAULTS = {_CLEAN: "false", _BATCH: "10000"}
+#: Small Arrow batches keep long texts and shingle sets from filling a Python worker.
+_WHILE_WRITING = {_CLEAN: "true", _BATCH: "2000"}
 _roots: dict[str, tuple[SparkSession, str]] = {}
 
 
@@ -74,12 +77,14 @@ class Stages:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Parquet survives lost executors; the shuffle files of the run that wrote it may go."""
         path = f"{self.root}/{name}"
-        before = self.spark.conf.get(_CLEAN, "false")
-        self.spark.conf.set(_CLEAN, "true")
+        before = {k: self.spark.conf.get(k, v) for k, v in _DEFAULTS.items()}
+        for k, v in _WHILE_WRITING.items():
+            self.spark.conf.set(k, v)
         try:
-            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+            df.write.mode("overwrite").parquet(path)
         finally:
-            self.spark.conf.set(_CLEAN, before)
+            for k, v in before.items():
+                self.spark.conf.set(k, v)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

@@ -62,8 +62,9 @@ def signature(shingles: np.ndarray, width: int) -> np.ndarray:
     sigma, shifts = permutations(width)
     cells = sigma[(shingles >> U64(11)).astype(np.int64) & (UNIVERSE - 1)]
     out = np.full(width, UNIVERSE, np.uint32)
-    for lo in range(0, len(cells), 1024):
-        np.minimum(out, shifts[cells[lo : lo + 1024]].min(axis=0), out=out)
+    step = max(1, (1 << 19) // width)
+    for lo in range(0, len(cells), step):
+        np.minimum(out, shifts[cells[lo : lo + step]].min(axis=0), out=out)
     return out
 
 
@@ -94,6 +95,7 @@ def sketcher(n: int, rows: int, bands: int):
                     [ids.slice(lo, len(sizes)), pa.array(sizes, pa.int64()), pa.array(hi, pa.int64()), pa.array(low, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
                     names=["doc_id", "n_shingles", "hi", "lo", "bands"],
                 )
+        K.trim()
 
     return run
 
@@ -106,6 +108,7 @@ def set_builder(n: int):
                 sets = [K.signed(s) for s in K.text_shingle_sets(K.fold_ascii(data), off, n)]
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, len(sets)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], names=["doc_id", "shingles"])
+        K.trim()
 
     return run
 
@@ -117,6 +120,7 @@ def long_signatures(batches):
         values, off = _unsigned(sets)
         out = [np.packbits(signature(values[off[i] : off[i + 1]], LONG) & 1).tobytes() for i in range(len(sets))]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "print"])
+    K.trim()
 
 
 def _unsigned(lists) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +138,7 @@ def similar_pairs(num: int, den: int):
     most = LONG - int(LONG * p - 5 * math.sqrt(LONG * p * (1 - p)))
 
     def run(batches):
-        for t in grouped_batches(batches, ["key", "i", "j"], rows=4 * BLOCK, size=64 << 20):
+        for t in grouped_batches(batches, ["key", "i", "j"], rows=BLOCK, size=16 << 20):
             key, i, j, rep, n, comp, own = (t[c].to_numpy() for c in ("key", "i", "j", "rep", "n", "comp", "own"))
             prints = np.frombuffer(b"".join(t["print"].to_pylist()), "<u8").reshape(-1, LONG // 64)
             keys = t["keys"].combine_chunks()
@@ -156,6 +160,7 @@ def similar_pairs(num: int, den: int):
                     b.append(np.maximum(rep[y], rep[x]))
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+        K.trim()
 
     return run
 
@@ -176,8 +181,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     sketch = stages.save(plain.mapInArrow(sketcher(shingle, rows, bands), _SKETCH), "sketch")
     classes = sketch.where("n_shingles > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"))
+    classes = stages.save(classes, "classes")  # a table of its own: the join can then split a hot class
     members = stages.save(sketch.join(classes, ["hi", "lo"], "left").select("doc_id", "n_shingles", "rep", "bands"), "members")
-    stages.drop("sketch")
+    stages.drop("sketch", "classes")
     reps = members.where("doc_id = rep")
     buckets = _buckets(stages, reps)
     sets = stages.save(plain.join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(set_builder(shingle), "doc_id long, shingles array<long>").distinct(), "sets")
@@ -197,16 +203,17 @@ def _buckets(stages: Stages, reps: DataFrame) -> DataFrame:
     """(key, rep, n): the buckets with more than one class."""
     flat = reps.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     several = flat.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("key")
-    return stages.save(flat.join(several, "key"), "buckets")
+    return stages.save(flat.join(stages.save(several, "several"), "key"), "buckets")
 
 
 def _linked(stages: Stages, buckets: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame | None:
     """Components (id, comp) of the confirmed links; None without any."""
     fits = F.lit(den) * F.least("n", "hub_n") >= F.lit(num) * F.greatest("n", "hub_n")
     sizes = buckets.groupBy("key").agg(F.count("*").alias("size"))
-    popular = buckets.join(sizes, "key").groupBy("rep").agg(F.sum("size").alias("pop"))
+    popular = buckets.join(stages.save(sizes, "sizes"), "key").groupBy("rep").agg(F.sum("size").alias("pop"))
     ranked = stages.save(buckets.join(popular, "rep"), "ranked")
     hubs = ranked.groupBy("key").agg(F.max(F.struct("pop", (-F.col("rep")).alias("minus"), "n")).alias("hub")).select("key", (-F.col("hub.minus")).alias("hub"), F.col("hub.n").alias("hub_n"))
+    hubs = stages.save(hubs, "hubs")
     star = ranked.join(hubs, "key").where((F.col("rep") != F.col("hub")) & fits).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
     seen = stages.save(_confirm(star, sets, num, den), "star")
     comps = components(seen.where("linked"), stages, "star-comp")
