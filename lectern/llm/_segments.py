@@ -78,6 +78,7 @@ def byte_segments(window: int, unit: int):
                 key = K.span_hashes(data, p, np.full(len(p), unit))
                 seg = K.span_hashes(data, s, nw + (window - 1), seed=1)
                 yield _emit(ids, hashes, lo + doc, s - off[doc], nw, p - s, key, seg)
+            K.trim()
 
     return run
 
@@ -101,6 +102,7 @@ def word_segments(window: int, unit: int):
                 flat = wh.view(np.uint8)
                 seg = K.span_hashes(flat, s * 8, (nw + (window - 1)) * 8, seed=1)
                 yield _emit(ids, hashes, lo + doc, s - first[doc], nw, p - s, grams[p], seg)
+            K.trim()
 
     return run
 

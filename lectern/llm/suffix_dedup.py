@@ -30,7 +30,7 @@ from lectern.llm._stages import Stages, grouped_batches
 
 WINDOW = 400
 UNIT = 128
-HOT_SEGMENTS = 20_000
+HOT_SEGMENTS = 2_000
 U64 = np.uint64
 
 _PART = "key long, shard int, shards int, seg long, nw int, a0 int, copies long, body binary"
@@ -201,7 +201,7 @@ def _run_lists(count: int, row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> p
 
 def shard_scanner(window: int, unit: int):
     def run(batches):
-        for t in grouped_batches(batches, ["key", "shard"]):
+        for t in grouped_batches(batches, ["key", "shard"], rows=8_000, size=4 << 20):
             bodies = t["body"].to_pylist()
             nw, a0 = (t[c].to_numpy().astype(np.int64) for c in ("nw", "a0"))
             key, seg, copies = (t[c].to_numpy() for c in ("key", "seg", "copies"))
@@ -217,6 +217,7 @@ def shard_scanner(window: int, unit: int):
             shards, shard = t["shards"].to_numpy(), t["shard"].to_numpy()
             for k in np.unique(key[shards > 1]):
                 yield from _print_blocks(int(k), np.flatnonzero(key == k), bodies, seg, shard, shards, again, lead, window)
+            K.trim()
 
     return run
 
@@ -278,6 +279,8 @@ def cut_bytes(window: int):
                     out["body"].append(raw[p["s0"] : p["s0"] + p["nw"] + window - 1].to_pybytes())
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
+            del parts, out
+            K.trim()
 
     return run
 
@@ -341,6 +344,8 @@ def _strip(batches):
             [batch.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string()), pa.array(kept_col, spans_type)],
             names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"],
         )
+        del cuts, kept_col
+        K.trim()
 
 
 def strip_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, unit: int = UNIT, hot: int = HOT_SEGMENTS) -> DataFrame:

@@ -31,7 +31,7 @@ from lectern.llm._stages import Stages, grouped_batches
 
 WINDOW = 20
 UNIT = 4
-HOT_SEGMENTS = 20_000
+HOT_SEGMENTS = 2_000
 
 _PART = "key long, shard int, shards int, seg long, nw int, no_id boolean, doc_id long, th long, s0 int, body string"
 _FOUND = "key long, seg long, runs array<struct<lo:int,hi:int>>, hi long, lo long, t int, no_id boolean, doc_id long, th long, s int"
@@ -65,6 +65,8 @@ def cut_words(window: int):
                         out["body"].append(" ".join(raw[x:y].decode() for x, y in zip(starts[w:e].tolist(), ends[w:e].tolist(), strict=True)))
             kinds = {"key": pa.int64(), "shard": pa.int32(), "shards": pa.int32(), "seg": pa.int64(), "nw": pa.int32(), "no_id": pa.bool_(), "doc_id": pa.int64(), "th": pa.int64(), "s0": pa.int32(), "body": pa.string()}
             yield pa.RecordBatch.from_arrays([pa.array(out[f], k) for f, k in kinds.items()], names=list(kinds))
+            del parts, out
+            K.trim()
 
     return run
 
@@ -93,7 +95,7 @@ def _paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def bucket_sorter(window: int):
     def run(batches):
-        for t in grouped_batches(batches, ["key", "shard"]):
+        for t in grouped_batches(batches, ["key", "shard"], rows=8_000, size=4 << 20):
             m = t.num_rows
             lists = pc.split_pattern(t["body"], " ").combine_chunks()
             if isinstance(lists, pa.ChunkedArray):
@@ -136,6 +138,7 @@ def bucket_sorter(window: int):
                     pa.array(step[pick].astype(np.int32)), *(t[f].take(pa.array(pr)).combine_chunks() for f in ("no_id", "doc_id", "th")), pa.array(start[pick].astype(np.int32)),
                 ]
                 yield pa.RecordBatch.from_arrays(cols, schema=_FOUND_ARROW)
+            K.trim()
 
     return run
 
@@ -213,6 +216,8 @@ def _strip(batches):
             [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string()), pa.array(gone_col, spans)],
             names=["doc_id", "n_words", "n_removed", "kept_sha256", "removed"],
         )
+        del cuts, gone_col
+        K.trim()
 
 
 def strip_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, unit: int = UNIT, hot: int = HOT_SEGMENTS) -> DataFrame:
