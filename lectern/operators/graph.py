@@ -10,7 +10,7 @@ MAX_ROUNDS = 60
 JUMPS = 24  # chains of 2 ** 24 parents
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame) -> DataFrame:
     """Cuts the lineage: a checkpoint in the folder that the cluster names, where it names one."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -27,13 +27,13 @@ def _cut(df: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(id, comp) for links (a, b): least reachable id, by least labels of neighbours and of labels."""
-    both = _cut(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
-    labels = _cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).withColumnRenamed("a", "id"))
+    both = cut_lineage(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
+    labels = cut_lineage(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).withColumnRenamed("a", "id"))
     for _ in range(MAX_ROUNDS):
         near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("comp").alias("near"))
         low = labels.join(near, labels.id == near.a).select("id", F.col("comp").alias("old"), F.least("comp", "near").alias("low"))
         root = labels.select(F.col("id").alias("low"), F.col("comp").alias("root"))
-        new = _cut(low.join(root, "low", "left").select("id", "old", F.least("low", F.coalesce("root", "low")).alias("comp")))
+        new = cut_lineage(low.join(root, "low", "left").select("id", "old", F.least("low", F.coalesce("root", "low")).alias("comp")))
         labels = new.select("id", "comp")
         if new.where("comp <> old").isEmpty():
             return labels
@@ -70,15 +70,15 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = ITERATIONS, d
     otherwise the plan would double with every round.
     """
     out = edges.groupBy("src").agg(F.count("*").alias("n_out"))
-    shares = _cut(edges.join(out, "src").groupBy("src", "dst").agg((F.count("*") / F.first("n_out")).alias("share")))
-    base = _cut(nodes.select("id").join(out.withColumnRenamed("src", "id"), "id", "left").select("id", F.col("n_out").isNull().alias("sink")))
+    shares = cut_lineage(edges.join(out, "src").groupBy("src", "dst").agg((F.count("*") / F.first("n_out")).alias("share")))
+    base = cut_lineage(nodes.select("id").join(out.withColumnRenamed("src", "id"), "id", "left").select("id", F.col("n_out").isNull().alias("sink")))
     n = base.count()
     rank = base.select("id", "sink", F.lit(1.0 / n).alias("rank"))
     for _ in range(iterations):
         given = shares.join(rank.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         lost = rank.agg(F.coalesce(F.sum(F.when(F.col("sink"), F.col("rank"))), F.lit(0.0)).alias("lost"))
         new = (1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)
-        rank = _cut(base.join(given, "id", "left").crossJoin(F.broadcast(lost)).select("id", "sink", new.alias("rank")))
+        rank = cut_lineage(base.join(given, "id", "left").crossJoin(F.broadcast(lost)).select("id", "sink", new.alias("rank")))
     return rank.select("id", F.round("rank", 6).alias("rank"))
 
 
@@ -88,7 +88,7 @@ def within_hops(edges: DataFrame, roots: DataFrame, hops: int) -> DataFrame:
     seen = roots.select("id", F.lit(0).alias("depth"))
     front = seen
     for k in range(1, hops + 1):
-        front = _cut(front.join(both, front.id == both.src).select(F.col("dst").alias("id"), F.lit(k).alias("depth")).distinct().join(seen.select("id"), "id", "left_anti"))
+        front = cut_lineage(front.join(both, front.id == both.src).select(F.col("dst").alias("id"), F.lit(k).alias("depth")).distinct().join(seen.select("id"), "id", "left_anti"))
         seen = seen.unionByName(front)
     return seen
 
@@ -96,10 +96,10 @@ def within_hops(edges: DataFrame, roots: DataFrame, hops: int) -> DataFrame:
 def roots(parents: DataFrame) -> DataFrame:
     """(id, root) for (id, parent): where a chain of parents ends; a cycle ends at its least id."""
     links = parents.where("parent is not null and parent <> id").select("id", "parent")
-    at = _cut(parents.select("id", F.coalesce("parent", "id").alias("to"), F.least("id", F.coalesce("parent", "id")).alias("low")))
+    at = cut_lineage(parents.select("id", F.coalesce("parent", "id").alias("to"), F.least("id", F.coalesce("parent", "id")).alias("low")))
     for _ in range(JUMPS):
         nxt = at.select(F.col("id").alias("to"), F.col("to").alias("far"), F.col("low").alias("far_low"))
-        new = _cut(at.join(nxt, "to", "left").select("id", "to", "low", F.coalesce("far", "to").alias("new_to"), F.least("low", F.coalesce("far_low", "low")).alias("new_low")))
+        new = cut_lineage(at.join(nxt, "to", "left").select("id", "to", "low", F.coalesce("far", "to").alias("new_to"), F.least("low", F.coalesce("far_low", "low")).alias("new_low")))
         done = new.where("to <> new_to or low <> new_low").isEmpty()
         at = new.select("id", F.col("new_to").alias("to"), F.col("new_low").alias("low"))
         if done:
