@@ -36,7 +36,7 @@ def _r(c, n=6):
 @query(f"WITH {SHINGLE_SQL} SELECT l, r, round(jaccard, 6) AS jaccard, round(containment, 6) AS containment, gap_min FROM m WHERE jaccard >= 0.55 OR containment >= 0.75")
 def j02_m01_m02_near_pairs(spark, d):
     p = I.fingerprints(view(spark, d, "articles"))
-    m = I.signals(I.measured_pairs(p, I.candidate_pairs(p)))
+    m = I.signals(I.near_pairs(p))
     return m.select("l", "r", _r(F.col("jaccard")).alias("jaccard"), _r(F.col("containment")).alias("containment"), "gap_min")
 
 
@@ -44,7 +44,7 @@ def j02_m01_m02_near_pairs(spark, d):
 FROM m WHERE jaccard >= 0.55 OR containment >= 0.75""")
 def m19_pair_signals(spark, d):
     p = I.fingerprints(view(spark, d, "articles"))
-    return I.signals(I.measured_pairs(p, I.candidate_pairs(p))).select("l", "r", F.array_join("signals", "|").alias("signals"))
+    return I.signals(I.near_pairs(p)).select("l", "r", F.array_join("signals", "|").alias("signals"))
 
 
 ORIGIN_SQL = f"""WITH RECURSIVE {SHINGLE_SQL},

@@ -1,5 +1,7 @@
 """Literal cases: documented behaviour of the core operators on hand-made rows."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +76,49 @@ def test_copies_far_apart_do_not_merge(spark):
     assert got == {1: 1, 2: 2, 4: 4}
 
 
+def test_more_copies_than_any_cap(spark):
+    base = [f"word{i}" for i in range(60)]
+    near = lambda i: " ".join([*base[:30], f"new{i}", *base[31:]])
+    times = lambda i: None if i == 7 else (i * 37) % 400
+    rows = [(i, f"p{i % 3}", " ".join(base) if i < 410 else near(i), times(i), None) for i in range(830)]
+    a = spark.createDataFrame(rows, "id long, publisher string, text string, published_min long, derived_from long")
+    assert {x.origin for x in independence.origin_groups(a).collect()} == {0}
+    few = a.where("id < 405 or id >= 822")
+    n = few.count()
+    p = independence.near_pairs(independence.fingerprints(few))
+    assert (p.count(), p.select("l", "r").distinct().count(), p.where("l >= r").count()) == (n * (n - 1) // 2, n * (n - 1) // 2, 0)
+
+
+def test_groups_by_every_pair(spark):
+    rng = random.Random(3)
+    texts = [[f"t{k}w{i}" for i in range(45)] for k in range(4)]
+    rows = []
+    for i in range(120):
+        words = list(rng.choice(texts))
+        for _ in range(rng.choice([0, 0, 1, 2, 3])):
+            words[rng.randrange(45)] = f"x{rng.randrange(5)}"
+        words += rng.choice([[], [], [f"own{i}_{j}" for j in range(60)]])
+        when = None if rng.random() < 0.02 else rng.randrange(4000)
+        rows.append((i, "p", " ".join(words), when, None))
+    sets = [{tuple(r[2].split()[k : k + 5]) for k in range(len(r[2].split()) - 4)} for r in rows]
+    want, root = set(), list(range(120))
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for i in range(120):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both / len(sets[i] | sets[j]) >= 0.55 or both / min(len(sets[i]), len(sets[j])) >= 0.75:
+                want.add((j, i))
+                if rows[i][3] is None or rows[j][3] is None or abs(rows[i][3] - rows[j][3]) <= 180:
+                    x, y = find(i), find(j)
+                    root[max(x, y)] = min(x, y)
+    a = spark.createDataFrame(rows, "id long, publisher string, text string, published_min long, derived_from long")
+    assert {(x.l, x.r) for x in independence.near_pairs(independence.fingerprints(a)).collect()} == want
+    assert {x.id: x.origin for x in independence.origin_groups(a).collect()} == {i: find(i) for i in range(120)}
+
+
 def test_roots_with_a_cycle(spark):
     p = spark.createDataFrame([(1, None), (2, 1), (3, 2), (7, 8), (8, 7)], "id long, parent long")
     assert {x.id: x.root for x in graph.roots(p).collect()} == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7}
