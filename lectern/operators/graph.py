@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DAMPING, ITERATIONS = 0.85, 60
-MAX_ROUNDS = 60
 JUMPS = 24  # chains of 2 ** 24 parents
 
 
@@ -26,18 +25,37 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, comp) for links (a, b): least reachable id, by least labels of neighbours and of labels."""
+    """(id, comp) for links (a, b): the least reachable id.
+
+    Each round hooks every vertex on its least neighbour, follows these hooks to
+    their ends and contracts the links to the ends. A vertex that hooks is gone,
+    and a local minimum on which none hooks has a smaller neighbour after the
+    round: two rounds at least halve what is unfinished, in any order of ids.
+    """
     both = cut_lineage(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
-    labels = cut_lineage(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).withColumnRenamed("a", "id"))
-    for _ in range(MAX_ROUNDS):
-        near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("comp").alias("near"))
-        low = labels.join(near, labels.id == near.a).select("id", F.col("comp").alias("old"), F.least("comp", "near").alias("low"))
-        root = labels.select(F.col("id").alias("low"), F.col("comp").alias("root"))
-        new = cut_lineage(low.join(root, "low", "left").select("id", "old", F.least("low", F.coalesce("root", "low")).alias("comp")))
-        labels = new.select("id", "comp")
-        if new.where("comp <> old").isEmpty():
-            return labels
-    raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
+    steps = []
+    while not steps or not both.isEmpty():
+        ends = _hook_ends(both)
+        steps.append(ends)
+        for side in ("a", "b"):
+            both = both.join(ends.withColumnRenamed("id", side), side).drop(side).withColumnRenamed("comp", side)
+        both = cut_lineage(both.where("a <> b").select("a", "b").distinct())
+    labels = steps.pop()
+    while steps:
+        far = labels.select(F.col("id").alias("comp"), F.col("comp").alias("far"))
+        labels = cut_lineage(steps.pop().join(far, "comp", "left").select("id", F.coalesce("far", "comp").alias("comp")))
+    return labels
+
+
+def _hook_ends(both: DataFrame) -> DataFrame:
+    """(id, comp): where the chain of least neighbours ends; half the way is left after each jump."""
+    at = cut_lineage(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).withColumnRenamed("a", "id"))
+    while True:
+        nxt = at.select(F.col("id").alias("comp"), F.col("comp").alias("far"))
+        new = cut_lineage(at.join(nxt, "comp").select("id", F.col("far").alias("comp"), (F.col("far") != F.col("comp")).alias("moved")))
+        at = new.select("id", "comp")
+        if new.where("moved").isEmpty():
+            return at
 
 
 def neighbours(edges: DataFrame, direction: str = "both", kinds: list[str] | None = None) -> DataFrame:

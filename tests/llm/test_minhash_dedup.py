@@ -79,5 +79,13 @@ def test_components_of_a_long_chain(spark):
     assert got == {**{i: 0 for i in range(201)}, 900: 900, 901: 900}
 
 
+def test_components_in_any_order(spark):
+    shuffled = random.Random(1).sample(range(300), 300)
+    for order in (list(range(200, 0, -1)), [*range(2, 130), 1], shuffled):
+        links = spark.createDataFrame([*zip(order, order[1:]), (900, 901)], "a long, b long")
+        got = {r.id: r.comp for r in components(links, Stages(spark, "test"), "t").collect()}
+        assert got == {**dict.fromkeys(order, min(order)), 900: 900, 901: 900}
+
+
 def test_empty_table(spark):
     assert M.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -119,6 +119,13 @@ def test_groups_by_every_pair(spark):
     assert {x.id: x.origin for x in independence.origin_groups(a).collect()} == {i: find(i) for i in range(120)}
 
 
+def test_components_in_any_order(spark):
+    shuffled = random.Random(1).sample(range(300), 300)
+    for order in (list(range(200, 0, -1)), [*range(2, 130), 1], shuffled):
+        links = spark.createDataFrame([*zip(order, order[1:]), (900, 901), (950, 950)], "a long, b long")
+        assert {x.id: x.comp for x in graph.components(links).collect()} == {**dict.fromkeys(order, min(order)), 900: 900, 901: 900, 950: 950}
+
+
 def test_roots_with_a_cycle(spark):
     p = spark.createDataFrame([(1, None), (2, 1), (3, 2), (7, 8), (8, 7)], "id long, parent long")
     assert {x.id: x.root for x in graph.roots(p).collect()} == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7}
