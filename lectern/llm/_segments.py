@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from lectern.llm import _kernels as K
 
-SEGMENT_SCHEMA = "doc_id long, th long, s0 int, nw int, a0 int, key long, seg long"
-_ARROW = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("s0", pa.int32()), ("nw", pa.int32()), ("a0", pa.int32()), ("key", pa.int64()), ("seg", pa.int64())])
+SEGMENT_SCHEMA = "doc_id long, th long, s0 int, nw int, a0 int, size int, key long, seg long"
+_ARROW = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("s0", pa.int32()), ("nw", pa.int32()), ("a0", pa.int32()), ("size", pa.int32()), ("key", pa.int64()), ("seg", pa.int64())])
 
 
 def runs_of_minimisers(order: np.ndarray, ends: np.ndarray, width: int, unit: int):
@@ -62,7 +62,13 @@ def byte_unit_order(data: np.ndarray, unit: int) -> np.ndarray:
     return order32(h)
 
 
-def byte_segments(window: int, unit: int):
+def byte_segments(window: int, unit: int, reach: int):
+    """Segments of windows of `window` bytes, with the bytes that windows of `reach` from the same starts cover.
+
+    The first `window` bytes of a longer string name it, so equal strings of
+    either length meet at one minimiser.
+    """
+
     def run(batches):
         for batch in batches:
             ids, hashes = batch.column("doc_id"), batch.column("th")
@@ -76,8 +82,9 @@ def byte_segments(window: int, unit: int):
                     continue
                 doc = np.searchsorted(off, s, side="right") - 1
                 key = K.span_hashes(data, p, np.full(len(p), unit))
-                seg = K.span_hashes(data, s, nw + (window - 1), seed=1)
-                yield _emit(ids, hashes, lo + doc, s - off[doc], nw, p - s, key, seg)
+                size = np.minimum(nw + (reach - 1), off[doc + 1] - s)
+                seg = K.span_hashes(data, s, size, seed=1)
+                yield _emit(ids, hashes, lo + doc, s - off[doc], nw, p - s, size, key, seg)
             K.trim()
 
     return run
@@ -100,16 +107,17 @@ def word_segments(window: int, unit: int):
                 doc = np.searchsorted(first, s, side="right") - 1
                 # the words of a segment as one span would also hold its white space; hash the word hashes
                 flat = wh.view(np.uint8)
-                seg = K.span_hashes(flat, s * 8, (nw + (window - 1)) * 8, seed=1)
-                yield _emit(ids, hashes, lo + doc, s - first[doc], nw, p - s, grams[p], seg)
+                size = nw + (window - 1)
+                seg = K.span_hashes(flat, s * 8, size * 8, seed=1)
+                yield _emit(ids, hashes, lo + doc, s - first[doc], nw, p - s, size, grams[p], seg)
             K.trim()
 
     return run
 
 
-def _emit(ids, hashes, row, s0, nw, a0, key, seg) -> pa.RecordBatch:
+def _emit(ids, hashes, row, s0, nw, a0, size, key, seg) -> pa.RecordBatch:
     at = pa.array(row)
-    cols = [ids.take(at), hashes.take(at), pa.array(s0.astype(np.int32)), pa.array(nw.astype(np.int32)), pa.array(a0.astype(np.int32)), pa.array(K.signed(key)), pa.array(K.signed(seg))]
+    cols = [ids.take(at), hashes.take(at), pa.array(s0.astype(np.int32)), pa.array(nw.astype(np.int32)), pa.array(a0.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(K.signed(key)), pa.array(K.signed(seg))]
     return pa.RecordBatch.from_arrays(cols, schema=_ARROW)
 
 
@@ -124,18 +132,16 @@ def repeated_segments(stages, keyed: DataFrame, find) -> DataFrame:
     found = stages.save(keyed.select("doc_id", "th", "text").mapInArrow(find, SEGMENT_SCHEMA), "segments")
     # as a table of its own, so that the join deals both sides and can split a hot key
     often = stages.save(found.groupBy("key").count().where("count > 1").select("key"), "often")
-    out = stages.save(found.join(often, "key").select("doc_id", "th", "s0", "nw", "a0", "key", "seg"), "repeated")
+    out = stages.save(found.join(often, "key").select("doc_id", "th", "s0", "nw", "a0", "size", "key", "seg"), "repeated")
     stages.drop("segments", "often")
     return out
 
 
-def distinct_segments(stages, repeated: DataFrame) -> DataFrame:
-    """One row per (key, seg): copies, and the earliest place (nulls last)."""
+def distinct_segments(stages, repeated: DataFrame, latest: bool = False) -> DataFrame:
+    """One row per (key, seg): copies, the earliest place (nulls last) and on demand the latest."""
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "s0")
-    return stages.save(
-        repeated.groupBy("key", "seg").agg(F.count("*").alias("copies"), F.min(place).alias("src"), F.first("nw").alias("nw"), F.first("a0").alias("a0")),
-        "distinct",
-    )
+    columns = [F.count("*").alias("copies"), F.min(place).alias("src"), *(F.first(c).alias(c) for c in ("nw", "a0", "size"))]
+    return stages.save(repeated.groupBy("key", "seg").agg(*columns, *([F.max(place).alias("last")] * latest)), "distinct")
 
 
 def with_text(parts: DataFrame, keyed: DataFrame, cut, schema: str) -> DataFrame:

@@ -1,18 +1,26 @@
 """Repeated byte strings by suffix arrays.
 
 Every byte covered by a string of `window` bytes that also starts elsewhere is
-removed. Candidate segments (see _segments) share a minimiser, the anchor, and
-travel to the shard of that anchor. A shard sorts what stands right of its
-anchors, and what stands left of them reversed, by Larsson-Sadakane refinement
-over eight-byte symbols aligned at the anchor; Kasai's method gives the common
-prefixes. A window that reaches `a` bytes left of its anchor equals another
-one if both agree on `a` bytes to the left and `window - a` to the right: its
-classes in the two arrays at these depths. Anchors with many different segments
-are dealt to several shards; these merge by binary search of their sorted
-window fingerprints.
+removed. Beside that, `n_late` counts the bytes covered by a string of `passage`
+bytes that also starts earlier (smaller id, or same document, earlier start):
+what has to go where the first copy of each passage stays.
+
+A string is named by the minimiser of its first `passage` bytes, the anchor.
+Segments (see _segments) that share an anchor travel to the shard of that
+anchor. A shard sorts what stands right of its anchors, and what stands left of
+them reversed, by Larsson-Sadakane refinement over eight-byte symbols aligned at
+the anchor; Kasai's method gives the common prefixes. A string that reaches `a`
+bytes left of its anchor equals another one if both agree on `a` bytes to the
+left and on the rest to the right: its classes in the two arrays at these
+depths, for both lengths. Of segments with equal content the earliest and the
+latest travel, and the arrays decide that they are equal. Anchors with many
+different segments are dealt to several shards; these merge by binary search of
+their sorted fingerprints of windows.
 
 Null or empty texts have nothing to remove. Rows are judged one by one; an id
-that occurs twice gives two rows. Texts shorter than the window stay whole.
+that occurs twice gives two rows, and a null id counts as later than all others.
+Texts shorter than `passage` stay whole and have nothing late; only those of
+`window` bytes or more can lose bytes.
 """
 
 from __future__ import annotations
@@ -29,14 +37,18 @@ from lectern.llm import _segments as S
 from lectern.llm._stages import Stages, grouped_batches
 
 WINDOW = 400
-UNIT = 128
-HOT_SEGMENTS = 2_000
+PASSAGE = 250  # fifty words of four letters, each with its blank
+UNIT = 64
+HOT_SEGMENTS = 500
 U64 = np.uint64
+REPEATED, LATE = 0, 1
 
-_PART = "key long, shard int, shards int, seg long, nw int, a0 int, copies long, body binary"
-_FOUND = "key long, seg long, runs array<struct<lo:int,hi:int>>, block int, blocks int, shard int, prints binary, refs binary"
+_PART = "key long, shard int, shards int, seg long, nw int, a0 int, s0 int, no_id boolean, first boolean, doc_id long, th long, body binary"
+_FOUND = "key long, seg long, kind int, runs array<struct<lo:int,hi:int>>, block int, prints binary, refs binary"
 _RUNS = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
-_FOUND_ARROW = pa.schema([("key", pa.int64()), ("seg", pa.int64()), ("runs", _RUNS), ("block", pa.int32()), ("blocks", pa.int32()), ("shard", pa.int32()), ("prints", pa.binary()), ("refs", pa.binary())])
+_FOUND_ARROW = pa.schema([("key", pa.int64()), ("seg", pa.int64()), ("kind", pa.int32()), ("runs", _RUNS), ("block", pa.int32()), ("prints", pa.binary()), ("refs", pa.binary())])
+_PRINT = np.dtype([("hi", "<u8"), ("lo", "<u8")])
+_REF = np.dtype([("seg", "<i8"), ("t", "<i4"), ("kind", "i1"), ("known", "i1"), ("no_id", "i1"), ("doc", "<i8"), ("th", "<i8"), ("s", "<i4")])
 
 
 # --- suffix arrays -----------------------------------------------------------
@@ -151,34 +163,42 @@ def anchor_order(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> t
     return order, common
 
 
-def repeated_windows(bodies: list[bytes], nw: np.ndarray, a0: np.ndarray, window: int, unit: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each segment and window: whether it occurs again here, and whether it is the first of its class."""
-    m, reach = len(bodies), window - unit + 1
+def repeated_windows(bodies: list[bytes], nw: np.ndarray, a0: np.ndarray, window: int, passage: int, unit: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For strings of `window` and of `passage` bytes: whether each one of a segment occurs again here, and whether it is the first of its class.
+
+    Segments come in the order of the places of their anchors.
+    """
+    m, reach = len(bodies), passage - unit + 1
     sizes = np.fromiter(map(len, bodies), np.int64, m)
     data = np.frombuffer(b"".join(bodies), np.uint8)
     begin = np.cumsum(sizes) - sizes
     back = data[::-1]
     right, r_common = anchor_order(data, begin + a0, sizes - a0)
     left, l_common = anchor_order(back, len(data) - begin - a0, a0)
-    again, lead = np.zeros((m, reach), bool), np.zeros((m, reach), bool)
-    r_class, l_class = np.empty(m, np.int64), np.empty(m, np.int64)
+    fits = sizes - (window - 1)  # starts whose longer string lies inside
+    out = [(np.zeros((m, reach), bool), np.zeros((m, reach), bool)) for _ in range(2)]
+    l_class, r_class = np.empty(m, np.int64), np.empty(m, np.int64)
     for a in range(reach):
-        idx = np.flatnonzero((a <= a0) & (a > a0 - nw))
-        if not len(idx):
+        here = np.flatnonzero((a <= a0) & (a > a0 - nw))
+        if not len(here):
             continue
         l_class[left] = np.cumsum(l_common < a)
-        r_class[right] = np.cumsum(r_common < window - a)
-        pair = l_class[idx] * (m + 1) + r_class[idx]
-        order = np.argsort(pair, kind="stable")
-        same = pair[order[1:]] == pair[order[:-1]]
-        flag, first = np.zeros(len(idx), bool), np.ones(len(idx), bool)
-        flag[1:] |= same
-        flag[:-1] |= same
-        first[1:] = ~same
-        at = idx[order]
-        again[at, a0[at] - a] = flag
-        lead[at, a0[at] - a] = first
-    return again, lead
+        for (again, lead), length in zip(out, (window, passage), strict=True):
+            idx = here if length == passage else here[a0[here] - a < fits[here]]
+            if not len(idx):
+                continue
+            r_class[right] = np.cumsum(r_common < length - a)
+            pair = l_class[idx] * (m + 1) + r_class[idx]
+            order = np.argsort(pair, kind="stable")
+            same = pair[order[1:]] == pair[order[:-1]]
+            flag, first = np.zeros(len(idx), bool), np.ones(len(idx), bool)
+            flag[1:] |= same
+            flag[:-1] |= same
+            first[1:] = ~same
+            at = idx[order]
+            again[at, a0[at] - a] = flag
+            lead[at, a0[at] - a] = first
+    return out
 
 
 # --- shards ------------------------------------------------------------------
@@ -199,90 +219,115 @@ def _run_lists(count: int, row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> p
     return pa.ListArray.from_arrays(pa.array(offsets), values)
 
 
-def shard_scanner(window: int, unit: int):
+def shard_scanner(window: int, passage: int, unit: int):
     def run(batches):
         for t in grouped_batches(batches, ["key", "shard"], rows=8_000, size=4 << 20):
-            bodies = t["body"].to_pylist()
+            places = [t["first"].to_numpy(zero_copy_only=False) ^ True, t["s0"].to_numpy().astype(np.int64) + t["a0"].to_numpy(), t["th"].to_numpy(), t["doc_id"].fill_null(0).to_numpy(), t["no_id"].to_numpy(zero_copy_only=False)]
+            order = np.lexsort(places)
+            # rows that repeat a document bring its parts again
+            fresh = np.ones(len(order), bool)
+            fresh[1:] = np.any([p[order[1:]] != p[order[:-1]] for p in (*places, t["seg"].to_numpy())], axis=0)
+            t = t.take(pa.array(order[fresh]))
+            bodies, own = t["body"].to_pylist(), t["first"].to_numpy(zero_copy_only=False)
             nw, a0 = (t[c].to_numpy().astype(np.int64) for c in ("nw", "a0"))
-            key, seg, copies = (t[c].to_numpy() for c in ("key", "seg", "copies"))
-            again, lead = repeated_windows(bodies, nw, a0, window, unit)
-            again |= (copies > 1)[:, None] & (np.arange(again.shape[1]) < nw[:, None])
-            row, lo, hi = _runs(again)
-            has = np.unique(row)
-            none = len(has)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key[has]), pa.array(seg[has]), _run_lists(none, np.searchsorted(has, row), lo, hi), *(pa.nulls(none, pa.int32()) for _ in range(3)), pa.nulls(none, pa.binary()), pa.nulls(none, pa.binary())],
-                schema=_FOUND_ARROW,
-            )
+            key, seg = (t[c].to_numpy() for c in ("key", "seg"))
+            (again, lead), (more, earliest) = repeated_windows(bodies, nw, a0, window, passage, unit)
+            for kind, flags in ((REPEATED, again), (LATE, more & ~earliest)):
+                row, lo, hi = _runs(flags & own[:, None])
+                has = np.unique(row)
+                none = len(has)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key[has]), pa.array(seg[has]), pa.array(np.full(none, kind, np.int32)), _run_lists(none, np.searchsorted(has, row), lo, hi), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary()), pa.nulls(none, pa.binary())],
+                    schema=_FOUND_ARROW,
+                )
             shards, shard = t["shards"].to_numpy(), t["shard"].to_numpy()
-            for k in np.unique(key[shards > 1]):
-                yield from _print_blocks(int(k), np.flatnonzero(key == k), bodies, seg, shard, shards, again, lead, window)
+            for k, s in sorted(set(zip(key[shards > 1].tolist(), shard[shards > 1].tolist(), strict=True))):
+                rows = np.flatnonzero((key == k) & (shard == s))
+                kinds = [(REPEATED, window, lead[rows], again[rows]), (LATE, passage, earliest[rows], more[rows])]
+                yield from _print_blocks(k, t.take(pa.array(rows)), [bodies[r] for r in rows], kinds)
             K.trim()
 
     return run
 
 
-def _print_blocks(key, rows, bodies, seg, shard, shards, again, lead, window):
-    """Sorted fingerprints of one shard's window classes, cut by their value into blocks."""
-    for s in np.unique(shard[rows]):
-        own = rows[shard[rows] == s]
-        i, t = np.nonzero(lead[own])
-        sizes = np.fromiter((len(bodies[r]) for r in own), np.int64, len(own))
-        data = np.frombuffer(b"".join(bodies[r] for r in own), np.uint8)
-        at = (np.cumsum(sizes) - sizes)[i] + t
-        full = np.full(len(at), window)
-        prints = np.empty(len(at), [("hi", "<u8"), ("lo", "<u8")])
-        prints["hi"], prints["lo"] = K.span_hashes(data, at, full, seed=7), K.span_hashes(data, at, full, seed=11)
-        refs = np.empty(len(at), [("seg", "<i8"), ("t", "<i4"), ("known", "<i4")])
-        refs["seg"], refs["t"], refs["known"] = seg[own][i], t, again[own][i, t]
-        order = np.lexsort((prints["lo"], prints["hi"]))
-        prints, refs = prints[order], refs[order]
-        blocks = 16 * int(shards[own[0]])
-        cuts = np.searchsorted(prints["hi"], np.arange(1, blocks, dtype=U64) * U64(2**64 // blocks)) if blocks > 1 else []
-        for b, (p, r) in enumerate(zip(np.split(prints, cuts), np.split(refs, cuts), strict=True)):
-            if len(p):
-                one = [[key], [None], [None], [b], [blocks], [int(s)], [p.tobytes()], [r.tobytes()]]
-                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(one, _FOUND_ARROW, strict=True)], schema=_FOUND_ARROW)
+def _print_blocks(key: int, t: pa.Table, bodies: list[bytes], kinds):
+    """Sorted fingerprints of one shard's classes of strings, cut by their value into blocks."""
+    sizes = np.fromiter(map(len, bodies), np.int64, len(bodies))
+    data = np.frombuffer(b"".join(bodies), np.uint8)
+    begin = np.cumsum(sizes) - sizes
+    prints, refs = [], []
+    for kind, length, lead, known in kinds:
+        i, at = np.nonzero(lead)
+        start, full = begin[i] + at, np.full(len(i), length)
+        p, r = np.empty(len(i), _PRINT), np.empty(len(i), _REF)
+        p["hi"], p["lo"] = K.span_hashes(data, start, full, seed=7), K.span_hashes(data, start, full, seed=11)
+        r["seg"], r["t"], r["kind"], r["known"], r["s"] = t["seg"].to_numpy()[i], at, kind, known[i, at], t["s0"].to_numpy()[i] + at
+        r["no_id"], r["doc"], r["th"] = t["no_id"].to_numpy(zero_copy_only=False)[i], t["doc_id"].fill_null(0).to_numpy()[i], t["th"].to_numpy()[i]
+        prints.append(p)
+        refs.append(r)
+    prints, refs = np.concatenate(prints), np.concatenate(refs)
+    order = np.argsort(prints["hi"], kind="stable")
+    prints, refs = prints[order], refs[order]
+    blocks = 16 * int(t["shards"][0].as_py())
+    cuts = np.searchsorted(prints["hi"], np.arange(1, blocks, dtype=U64) * U64(2**64 // blocks))
+    for b, (p, r) in enumerate(zip(np.split(prints, cuts), np.split(refs, cuts), strict=True)):
+        if len(p):
+            one = [[key], [None], [None], [None], [b], [p.tobytes()], [r.tobytes()]]
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(one, _FOUND_ARROW, strict=True)], schema=_FOUND_ARROW)
 
 
 def merge_blocks(batches):
-    """Windows that are single in their shard and stand in another: binary search block by block."""
+    """Strings that stand in several shards, by binary search block by block.
+
+    Those of `window` bytes that are single in their own shard are repeated,
+    those of `passage` bytes are late where another shard has an earlier one.
+    """
     for t in grouped_batches(batches, ["key", "block"], rows=256):
         key, block = t["key"].to_numpy(), t["block"].to_numpy()
         for k, b in sorted(set(zip(key.tolist(), block.tolist(), strict=True))):
             rows = np.flatnonzero((key == k) & (block == b))
-            prints = [np.frombuffer(t["prints"][int(r)].as_py(), [("hi", "<u8"), ("lo", "<u8")]) for r in rows]
-            refs = [np.frombuffer(t["refs"][int(r)].as_py(), [("seg", "<i8"), ("t", "<i4"), ("known", "<i4")]) for r in rows]
-            joint = np.sort(np.concatenate([p["hi"] ^ (p["lo"] * U64(0x9E3779B97F4A7C15)) for p in prints]))
-            hit: dict[int, list[int]] = {}
+            prints = [np.frombuffer(t["prints"][int(r)].as_py(), _PRINT) for r in rows]
+            refs = [np.frombuffer(t["refs"][int(r)].as_py(), _REF) for r in rows]
+            joint, places = np.concatenate(prints), np.concatenate(refs)
+            order = np.lexsort((places["s"], places["th"], places["doc"], places["no_id"], joint["lo"], joint["hi"]))
+            joint, places = joint[order], places[order]
+            code = joint["hi"] ^ (joint["lo"] * U64(0x9E3779B97F4A7C15))
+            order = np.argsort(code, kind="stable")
+            code, places = code[order], places[order]
+            hit: dict[tuple[int, int], list[int]] = {}
             for p, r in zip(prints, refs, strict=True):
                 own = p["hi"] ^ (p["lo"] * U64(0x9E3779B97F4A7C15))
-                shared = np.searchsorted(joint, own, "right") - np.searchsorted(joint, own, "left") > 1
-                for s, at in r[shared & (r["known"] == 0)][["seg", "t"]].tolist():
-                    hit.setdefault(s, []).append(at)
+                lo, hi = np.searchsorted(code, own, "left"), np.searchsorted(code, own, "right")
+                shared = hi - lo > 1
+                earliest = places[lo]
+                behind = (earliest["doc"] != r["doc"]) | (earliest["th"] != r["th"]) | (earliest["no_id"] != r["no_id"]) | (earliest["s"] != r["s"])
+                for s, at, kind in r[shared & np.where(r["kind"] == LATE, behind, r["known"] == 0)][["seg", "t", "kind"]].tolist():
+                    hit.setdefault((s, kind), []).append(at)
             if hit:
                 runs = [[{"lo": x, "hi": x + 1} for x in sorted(v)] for v in hit.values()]
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(hit), pa.int64()), pa.array(list(hit), pa.int64()), pa.array(runs, _RUNS)], names=["key", "seg", "runs"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k] * len(hit), pa.int64()), pa.array([s for s, _ in hit], pa.int64()), pa.array([c for _, c in hit], pa.int32()), pa.array(runs, _RUNS)], names=["key", "seg", "kind", "runs"]
+                )
 
 
-def cut_bytes(window: int):
-    def run(batches):
-        for batch in batches:
-            texts, parts = batch.column("text"), batch.column("parts").to_pylist()
-            out = {f: [] for f in ("key", "shard", "shards", "seg", "nw", "a0", "copies", "body")}
-            for i, own in enumerate(parts):
-                raw = texts[i].as_buffer()
-                for p in own:
-                    for f in out:
-                        if f != "body":
-                            out[f].append(p[f])
-                    out["body"].append(raw[p["s0"] : p["s0"] + p["nw"] + window - 1].to_pybytes())
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
-            del parts, out
-            K.trim()
-
-    return run
+def cut_bytes(batches):
+    """The bytes of each part of a document."""
+    fields = {"key": pa.int64(), "shard": pa.int32(), "shards": pa.int32(), "seg": pa.int64(), "nw": pa.int32(), "a0": pa.int32(), "s0": pa.int32(), "no_id": pa.bool_(), "first": pa.bool_()}
+    for batch in batches:
+        texts, parts, ids, hashes = batch.column("text"), batch.column("parts").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("th").to_pylist()
+        out = {f: [] for f in (*fields, "doc_id", "th", "body")}
+        for i, own in enumerate(parts):
+            raw = texts[i].as_buffer()
+            for p in own:
+                for f in fields:
+                    out[f].append(p[f])
+                out["doc_id"].append(ids[i])
+                out["th"].append(hashes[i])
+                out["body"].append(raw[p["s0"] : p["s0"] + p["size"]].to_pybytes())
+        kinds = [*fields.values(), pa.int64(), pa.int64(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
+        del parts, out
+        K.trim()
 
 
 def merged(spans) -> list[tuple[int, int]]:
@@ -298,62 +343,62 @@ def merged(spans) -> list[tuple[int, int]]:
 
 # --- operator ----------------------------------------------------------------
 
-def repeated_byte_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, unit: int = UNIT, hot: int = HOT_SEGMENTS) -> tuple[DataFrame, DataFrame]:
-    """(documents keyed by id and text hash, byte ranges to remove per key)."""
-    spark = docs.sparkSession
-    stages = Stages(spark, "suffix")
+def repeated_byte_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, passage: int = PASSAGE, unit: int = UNIT, hot: int = HOT_SEGMENTS) -> tuple[DataFrame, DataFrame]:
+    """(documents keyed by id and text hash, byte ranges per key: those to remove and those that are late)."""
+    stages = Stages(docs.sparkSession, "suffix")
     keyed = S.keyed_documents(docs, id_col, text_col)
-    repeated = S.repeated_segments(stages, keyed, S.byte_segments(window, unit))
-    distinct = S.distinct_segments(stages, repeated)
-    # a group whose segments all have copies is known; one without a second segment too
-    groups = distinct.groupBy("key").agg(F.count("*").alias("n"), F.sum((F.col("copies") == 1).cast("long")).alias("singles")).where("n > 1 and singles > 0")
-    groups = stages.save(groups.select("key", F.ceil(F.col("n") / F.lit(hot)).cast("int").alias("shards")), "groups")
-    parts = distinct.join(groups, "key").select(
-        "src.doc_id", "src.th", "src.s0", "key", F.pmod("seg", "shards").cast("int").alias("shard"), "shards", "seg", "nw", "a0", "copies"
-    )
-    bodies = S.with_text(parts, keyed, cut_bytes(window), _PART)
-    found = stages.save(bodies.repartition("key", "shard").sortWithinPartitions("key", "shard").mapInArrow(shard_scanner(window, unit), _FOUND), "found")
-    across = found.where("prints is not null").repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(merge_blocks, "key long, seg long, runs array<struct<lo:int,hi:int>>")
-    whole = distinct.where("copies > 1").select("key", "seg", F.array(F.struct(F.lit(0).alias("lo"), F.col("nw").alias("hi"))).alias("runs"))
-    flags = whole.unionByName(found.where("prints is null").select("key", "seg", "runs")).unionByName(across)
-    at = F.explode("runs").alias("r")
-    ranges = repeated.join(flags, ["key", "seg"]).select("doc_id", "th", "s0", at).select("doc_id", "th", (F.col("s0") + F.col("r.lo")).alias("lo"), (F.col("s0") + F.col("r.hi") + F.lit(window - 1)).alias("hi"))
-    return keyed, ranges.groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("cuts"))
+    repeated = S.repeated_segments(stages, keyed, S.byte_segments(passage, unit, window))
+    distinct = S.distinct_segments(stages, repeated, latest=True)
+    groups = stages.save(distinct.groupBy("key").agg(F.ceil(F.count("*") / F.lit(hot)).cast("int").alias("shards")), "groups")
+    # the latest of several copies comes along, so that the arrays see whether they are equal
+    ends = F.array(F.struct("src.*", F.lit(True).alias("first")), F.when(F.col("copies") > 1, F.struct("last.*", F.lit(False).alias("first"))))
+    parts = distinct.join(groups, "key").select("key", "seg", "shards", "nw", "a0", "size", F.explode(F.filter(ends, lambda x: x.isNotNull())).alias("at"))
+    parts = parts.select("at.no_id", "at.doc_id", "at.th", "at.s0", "at.first", "key", F.pmod("seg", "shards").cast("int").alias("shard"), "shards", "seg", "nw", "a0", "size")
+    bodies = S.with_text(parts, keyed, cut_bytes, _PART)
+    found = stages.save(bodies.repartition("key", "shard").sortWithinPartitions("key", "shard").mapInArrow(shard_scanner(window, passage, unit), _FOUND), "found")
+    across = found.where("prints is not null").select("key", "block", "prints", "refs").repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(merge_blocks, "key long, seg long, kind int, runs array<struct<lo:int,hi:int>>")
+    flags = found.where("prints is null").select("key", "seg", "kind", "runs").unionByName(across)
+    # what is repeated counts for all copies of a segment, what is late for the earliest; the other copies are late as a whole
+    first = distinct.select("key", "seg", "src", "nw", "copies")
+    late = flags.where(f"kind = {LATE}").join(first, ["key", "seg"]).select("src.doc_id", "src.th", "src.s0", "kind", F.explode("runs").alias("r"))
+    elsewhere = ~(F.col("doc_id").eqNullSafe(F.col("src.doc_id")) & (F.col("th") == F.col("src.th")) & (F.col("s0") == F.col("src.s0")))
+    copies = repeated.join(first.where("copies > 1").select("key", "seg", "src"), ["key", "seg"]).where(elsewhere)
+    copies = copies.select("doc_id", "th", "s0", F.lit(LATE).alias("kind"), F.struct(F.lit(0).alias("lo"), F.col("nw").alias("hi")).alias("r"))
+    gone = repeated.join(flags.where(f"kind = {REPEATED}"), ["key", "seg"]).select("doc_id", "th", "s0", "kind", F.explode("runs").alias("r"))
+    reach = F.when(F.col("kind") == REPEATED, F.lit(window)).otherwise(F.lit(passage))
+    ranges = gone.unionByName(late).unionByName(copies).select("doc_id", "th", "kind", (F.col("s0") + F.col("r.lo")).alias("lo"), (F.col("s0") + F.col("r.hi") + reach - 1).alias("hi"))
+    return keyed, ranges.groupBy("doc_id", "th").agg(F.collect_list(F.struct("kind", "lo", "hi")).alias("cuts"))
 
 
 def _strip(batches):
+    spans_type = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
     for batch in batches:
         texts, cuts = batch.column("text"), batch.column("cuts").to_pylist()
-        n_bytes, n_removed, n_spans, sha, kept_col = [], [], [], [], []
+        counts, sha, kept_col = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "n_late")}, [], []
         for i, own in enumerate(cuts):
             raw = texts[i].as_buffer().to_pybytes()
-            spans = merged((c["lo"], c["hi"]) for c in own or ())
+            spans, late = (merged((c["lo"], c["hi"]) for c in own or () if c["kind"] == kind) for kind in (REPEATED, LATE))
             kept, at = [], 0
             for lo, hi in spans:
                 kept.append(raw[at:lo])
                 at = hi
             kept.append(raw[at:])
-            n_bytes.append(len(raw))
-            n_removed.append(sum(hi - lo for lo, hi in spans))
-            n_spans.append(len(spans))
-            rest = b"".join(kept)
-            sha.append(hashlib.sha256(rest).hexdigest())
+            for k, n in zip(counts, (len(raw), sum(hi - lo for lo, hi in spans), len(spans), sum(hi - lo for lo, hi in late)), strict=True):
+                counts[k].append(n)
+            sha.append(hashlib.sha256(b"".join(kept)).hexdigest())
             kept_col.append([{"lo": lo, "hi": hi} for lo, hi in spans])
-        spans_type = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string()), pa.array(kept_col, spans_type)],
-            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"],
-        )
+        columns = [batch.column("doc_id"), *(pa.array(v, pa.int64()) for v in counts.values()), pa.array(sha, pa.string()), pa.array(kept_col, spans_type)]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *counts, "kept_sha256", "removed"])
         del cuts, kept_col
         K.trim()
 
 
-def strip_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, unit: int = UNIT, hot: int = HOT_SEGMENTS) -> DataFrame:
-    """Per row: sizes, the removed byte ranges and a digest of what is left."""
-    keyed, cuts = repeated_byte_ranges(docs, id_col, text_col, window, unit, hot)
+def strip_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, passage: int = PASSAGE, unit: int = UNIT, hot: int = HOT_SEGMENTS) -> DataFrame:
+    """Per row: sizes, the removed byte ranges, a digest of what is left, and the bytes of later copies of passages."""
+    keyed, cuts = repeated_byte_ranges(docs, id_col, text_col, window, passage, unit, hot)
     same = F.col("k.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("k.th") == F.col("c.th"))
     met = keyed.alias("k").join(cuts.alias("c"), same, "left").select("k.doc_id", "k.text", "c.cuts")
-    return met.mapInArrow(_strip, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<lo:long,hi:long>>")
+    return met.mapInArrow(_strip, "doc_id long, n_bytes long, n_removed long, n_spans long, n_late long, kept_sha256 string, removed array<struct<lo:long,hi:long>>")
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
