@@ -2,15 +2,22 @@
 
 Base kinds are leftmost non-overlapping matches of fixed patterns; matches that
 are too short are dropped. The method adds `random`: runs of at least MIN_LEN
-encoding characters. For each the encoding is inferred (hexadecimal, base32,
-base64), and three tests ask whether the string is a uniform draw from it: chi
-squared over the alphabet and over its character classes, runs about the median
-and serial correlation. Their p-values are combined by Fisher's rule. How often
-an ordinary identifier of that length passes as well is known from generated
-ones, so a short string must look far more random than a long one. These
+encoding characters. For each the encoding is inferred (the smallest of
+ALPHABETS that holds it), and three tests ask whether the string is a uniform
+draw from it: chi squared over the alphabet and over its character classes; runs
+about the median and runs of one class; and serial correlation, the mean weight
+of neighbouring pairs, where pairs that ordinary identifiers have weigh more.
+Letters are numbered by how usual they are in words, so that words fall into few
+bins. The p-values are combined by Fisher's rule. How rarely an ordinary identifier of that length scores as well
+is read from generated ones, beyond their range from a normal curve fitted to
+the tail of their scores, so that chances far below one in their number have a
+value and a short string must look far more random than a long one. These
 probabilities of a false discovery are counted over the whole corpus, by length
 and level, and Benjamini-Hochberg's rule sets one level for each length class.
 
+Texts are scanned once: spans and levels of candidates go into a table, from
+which the levels are counted and the spans are chosen.
+
 Offsets are code points, ends exclusive. Null texts are empty and have no
 spans; repeated rows are judged alike. Other columns are kept unless a result
 column has their name.
@@ -22,6 +29,7 @@ import hashlib
 import math
 import random
 import re
+import statistics
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +43,10 @@ BASE_KINDS = ("assign", "access", "hex")
 ORDER = {"assign": 0, "access": 1, "hex": 2, "random": 3}
 MIN_LEN = 20
 LENGTHS = (20, 24, 32, 40, 64, 128)  # lower ends of the length classes
-LEVELS = 48
+LEVELS = 400  # quarters of a binary order: chances down to 2 ** -100
 NULLS = 6000
+PAIR_TOKENS = 4000
+TAIL = 0.05  # share of the generated scores to which the tail is fitted
 FDR = 0.05
 SEED = 4
 
@@ -46,10 +56,17 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 HEX = re.compile(r"[0-9a-f]{24,}")
 LONG = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_LEN)
 
+USUAL = "etaoinshrdlucmwfgypbvkjxqz"  # letters by their frequency in English
+BOTH = "".join(c + c.upper() for c in USUAL)
+#: Letters by how usual they are, then digits, then signs; smaller alphabets first.
 ALPHABETS = {
     "hex": "0123456789abcdef",
-    "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
-    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+    "base32": USUAL.upper() + "234567",
+    "base32_lower": USUAL + "234567",
+    "base36": USUAL.upper() + "0123456789",
+    "base36_lower": USUAL + "0123456789",
+    "base62": BOTH + "0123456789",
+    "base64": BOTH + "0123456789+/",
 }
 
 
@@ -71,21 +88,22 @@ def _access(text: str):
 
 # --- the battery -------------------------------------------------------------
 
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """Value of each character in each alphabet, -1 outside; and its class: upper, lower, digit, other."""
-    value = np.full((3, 128), -1, np.int64)
-    for k, letters in enumerate(ALPHABETS.values()):
-        value[k, [ord(c) for c in letters]] = np.arange(len(letters))
-    value[0, [ord(c) for c in "ABCDEF"]] = np.arange(10, 16)
-    value[2, [ord("-"), ord("_")]] = 62, 63
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Value of each character in each alphabet, -1 outside; its class (upper, lower, digit, other); class shares and sizes of the alphabets."""
+    value = np.full((len(ALPHABETS), 128), -1, np.int64)
     kind = np.full(128, 3)
     kind[65:91], kind[97:123], kind[48:58] = 0, 1, 2
-    return value, kind
+    share = np.zeros((len(ALPHABETS), 4))
+    for k, letters in enumerate(ALPHABETS.values()):
+        codes = [ord(c) for c in letters]
+        value[k, codes] = np.arange(len(letters))
+        share[k] = np.bincount(kind[codes], minlength=4) / len(letters)
+    value[0, [ord(c) for c in "ABCDEF"]] = np.arange(10, 16)
+    value[-1, [ord("-"), ord("_")]] = 62, 63
+    return value, kind, share, np.array([len(x) for x in ALPHABETS.values()])
 
 
-VALUE, CLASS = _tables()
-SHARE = np.array([[0, 6 / 16, 10 / 16, 0], [26 / 32, 0, 6 / 32, 0], [26 / 64, 26 / 64, 10 / 64, 2 / 64]])
-SIZES = np.array([16, 32, 64])
+VALUE, CLASS, SHARE, SIZES = _tables()
 
 
 def _upper_normal(z: np.ndarray) -> np.ndarray:
@@ -113,12 +131,12 @@ def randomness(tokens: list[str]) -> np.ndarray:
     ends = np.cumsum(size)
     first = ends - size
     row = np.repeat(np.arange(m), size)
-    fits = np.stack([np.minimum.reduceat(VALUE[k][codes], first) >= 0 for k in range(3)])
+    fits = np.stack([np.minimum.reduceat(VALUE[k][codes], first) >= 0 for k in range(len(SIZES))])
     enc = np.argmax(fits, axis=0)  # the smallest alphabet that holds all characters
     kinds = np.stack([np.bincount(row, CLASS[codes] == k, m) for k in range(4)], axis=1)
     # one case only in hexadecimal; both cases are another encoding
     both = (enc == 0) & (np.bincount(row, (codes >= 65) & (codes <= 70), m) > 0) & (np.bincount(row, (codes >= 97) & (codes <= 102), m) > 0)
-    enc = np.where(both, 2, enc)
+    enc = np.where(both, len(SIZES) - 2, enc)
     v = VALUE[enc[row], codes]
     alphabet = SIZES[enc]
     n = size.astype(float)
@@ -129,7 +147,7 @@ def randomness(tokens: list[str]) -> np.ndarray:
     live = np.arange(8) < bins[:, None]
     chi = (np.where(live, (counts - expected[:, None]) ** 2, 0) / expected[:, None]).sum(axis=1)
     p_letters = _chi_tail(chi, bins - 1)
-    share = np.where(enc[:, None] == 0, np.where(np.arange(4) == 1, 6 / 16, np.where(np.arange(4) == 2, 10 / 16, 0)), SHARE[enc])
+    share = SHARE[enc]
     own = kinds.copy().astype(float)
     own[:, 1] = np.where(enc == 0, kinds[:, 0] + kinds[:, 1], own[:, 1])
     own[:, 0] = np.where(enc == 0, 0, own[:, 0])
@@ -138,27 +156,61 @@ def randomness(tokens: list[str]) -> np.ndarray:
     high = v * 2 >= alphabet[row]
     inner = np.ones(len(codes), bool)
     inner[first] = False
-    changes = np.bincount(row, inner & (high != np.r_[high[:1], high[:-1]]), m)
+    before = np.r_[0, np.arange(len(codes) - 1)]
+    changes = np.bincount(row, inner & (high != high[before]), m)
     z = (changes - (n - 1) / 2) / np.sqrt((n - 1) / 4)
     p_runs = 2 * _upper_normal(np.abs(z))
-    centred = v - (alphabet[row] - 1) / 2
-    product = np.bincount(row, np.where(inner, centred * np.r_[centred[:1], centred[:-1]], 0), m)
-    spread = (alphabet.astype(float) ** 2 - 1) / 12
-    p_serial = 2 * _upper_normal(np.abs(product / (spread * np.sqrt(n - 1))))
-    stat = -2 * sum(np.log(np.clip(p, 1e-300, 1)) for p in (p_letters, p_classes, p_runs, p_serial))
-    return _chi_tail(stat, np.full(m, 8))
+    # words and numbers keep to one class: fewer changes than by chance
+    turns = np.bincount(row, inner & (CLASS[codes] != CLASS[codes[before]]), m)
+    q, both_q = 1 - (share**2).sum(axis=1), (share * (1 - share) ** 2).sum(axis=1)
+    spread = (n - 1) * q * (1 - q) + 2 * (n - 2) * (both_q - q * q)
+    p_turns = _upper_normal(((n - 1) * q - turns - 0.5) / np.sqrt(np.maximum(spread, 1e-9)))
+    weight, mean, var, cov = pair_weights()
+    pairs = np.bincount(row, np.where(inner, weight[FOLD[codes[before]], FOLD[codes]], 0), m)
+    p_serial = _upper_normal((pairs - (n - 1) * mean[enc]) / np.sqrt((n - 1) * var[enc] + 2 * (n - 2) * cov[enc]))
+    stat = -2 * sum(np.log(np.clip(p, 1e-300, 1)) for p in (p_letters, p_classes, p_runs, p_turns, p_serial))
+    return _chi_tail(stat, np.full(m, 10))
+
+
+#: Letters without case, all digits as one, all signs as one.
+FOLD = np.full(128, 27)
+FOLD[65:91], FOLD[97:123], FOLD[48:58] = np.arange(26), np.arange(26), 26
+
+
+def pair_weights() -> tuple[np.ndarray, ...]:
+    """Weights of neighbouring characters from ordinary tokens; their mean, variance and lag covariance in each alphabet."""
+    cache = K.process_cache()
+    if "secret_pairs" not in cache:
+        rng = random.Random(SEED + 1)
+        seen = np.ones((28, 28))
+        for _ in range(PAIR_TOKENS):
+            codes = FOLD[np.frombuffer(ordinary_token(rng, 32).encode("ascii"), np.uint8)]
+            np.add.at(seen, (codes[:-1], codes[1:]), 1)
+        weight = np.log(seen / seen.sum())
+        moments = []
+        for letters in ALPHABETS.values():
+            p = np.bincount(FOLD[[ord(c) for c in letters]], minlength=28) / len(letters)
+            mean = p @ weight @ p
+            moments.append((mean, p @ weight**2 @ p - mean**2, ((p @ weight) * p) @ (weight @ p) - mean**2))
+        cache["secret_pairs"] = (weight, *np.array(moments).T)
+    return cache["secret_pairs"]
 
 
 def length_class(size: np.ndarray) -> np.ndarray:
     return np.searchsorted(LENGTHS, size, side="right") - 1
 
 
+WORDS = (
+    "the of and to in is that for it was with as his on be at by this had not are but from or have an they which one you were her all she there would their we him been has when who will more no if out so said what up its about into than them can only other new some could time these two may then do first any my now such like our over man me even most made after also did many before must through back years where much your way well down should because each just those people too little state good very make world still see own men work long get here between both life being under never day same another know while last might us great old year off come since against go came right used take three".split()
+    + "user name data file path index value config server request version default handler service account module public static string object update delete insert buffer thread message number total header content image button widget window project release branch commit build test debug error warning package library function return license copyright privacy strasse gesellschaft entwicklung verwaltung maison developpement gouvernement ciudad informacion desarrollo".split()
+)
+
+
 def ordinary_token(rng: random.Random, size: int) -> str:
     """An identifier, path, number series or word row such as texts and code hold."""
-    syllables = ("tion", "ing", "er", "ment", "al", "re", "con", "st", "li", "ver", "or", "an", "get", "set", "user", "name", "data", "ion", "ex", "pa")
-    style, out = rng.randrange(6), ""
+    style, out = rng.randrange(8), ""
     while len(out) < size:
-        word = "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
+        word = rng.choice(WORDS)
         if style == 0:
             out += word.capitalize()
         elif style == 1:
@@ -169,22 +221,55 @@ def ordinary_token(rng: random.Random, size: int) -> str:
             out += word.upper() + rng.choice(["_", "", "-"])
         elif style == 4:
             out += rng.choice(["2024-", "10/", "000", "2023_", "-12-", "1000"]) + str(rng.randrange(100))
-        else:
+        elif style == 5:
             out += word + rng.choice([str(rng.randrange(100)), "v2", "/", "_", ""])
+        elif style == 6:
+            out += word.capitalize() + rng.choice([str(rng.randrange(10000)), "", "V2", "Id"])
+        else:
+            out += rng.choice([word, word.upper()]) + str(rng.randrange(10 ** rng.randint(1, 6)))
     return out[:size]
 
 
-def null_scores() -> list[np.ndarray]:
-    """For each length class the sorted scores of ordinary tokens."""
+class Ordinary:
+    """How rarely ordinary tokens of one length class score as high.
+
+    The root of a score's negative logarithm is close to normal for ordinary
+    tokens. Up to the quantile TAIL the generated scores count themselves;
+    beyond it a normal curve through the quantiles TAIL and TAIL / 10 does.
+    """
+
+    def __init__(self, scores: np.ndarray):
+        self.roots = np.sort(self.root(scores))
+        self.knee, far = np.quantile(self.roots, [TAIL, TAIL / 10])
+        z = [_normal_quantile(TAIL), _normal_quantile(TAIL / 10)]
+        self.spread = max((self.knee - far) / (z[0] - z[1]), 1e-9)
+        self.centre = self.knee - z[0] * self.spread
+
+    @staticmethod
+    def root(scores: np.ndarray) -> np.ndarray:
+        return np.sqrt(-np.log(np.clip(scores, 1e-300, 1)))
+
+    def chance(self, scores: np.ndarray) -> np.ndarray:
+        roots = self.root(scores)
+        counted = (1 + np.searchsorted(self.roots, roots, side="right")) / (1 + len(self.roots))
+        return np.where(roots < self.knee, _upper_normal((self.centre - roots) / self.spread), counted)
+
+
+def _normal_quantile(p: float) -> float:
+    return statistics.NormalDist().inv_cdf(p)
+
+
+def ordinary_scores() -> list[Ordinary]:
+    """One for each length class."""
     rng = random.Random(SEED)
     out = []
     for k, lo in enumerate(LENGTHS):
         hi = LENGTHS[k + 1] if k + 1 < len(LENGTHS) else 2 * lo
-        out.append(np.sort(randomness([ordinary_token(rng, rng.randrange(lo, hi)) for _ in range(NULLS)])))
+        out.append(Ordinary(randomness([ordinary_token(rng, rng.randrange(lo, hi)) for _ in range(NULLS)])))
     return out
 
 
-def levels(tokens: list[str], nulls: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def levels(tokens: list[str], ordinary: list[Ordinary]) -> tuple[np.ndarray, np.ndarray]:
     """Length class, and level: a quarter of the binary logarithm's unit of the chance of a false discovery."""
     if not tokens:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -192,8 +277,7 @@ def levels(tokens: list[str], nulls: list[np.ndarray]) -> tuple[np.ndarray, np.n
     cls = length_class(np.fromiter(map(len, tokens), np.int64, len(tokens)))
     p = np.empty(len(tokens))
     for k in np.unique(cls):
-        own = cls == k
-        p[own] = (1 + len(nulls[k]) - np.searchsorted(nulls[k], score[own], side="left")) / (1 + len(nulls[k]))
+        p[cls == k] = ordinary[k].chance(score[cls == k])
     # a string that its own encoding rejects is no secret, however ordinary tokens score
     p[score < 0.001] = 1
     return cls, np.minimum(np.floor(-np.log2(p) * 4), LEVELS - 1).astype(np.int64)
