@@ -8,10 +8,10 @@ draw from it: chi squared over the alphabet and over its character classes; runs
 about the median and runs of one class; and serial correlation, the mean weight
 of neighbouring pairs, where pairs that ordinary identifiers have weigh more.
 Letters are numbered by how usual they are in words, so that words fall into few
-bins. The p-values are combined by Fisher's rule. How rarely an ordinary identifier of that length scores as well
-is read from generated ones, beyond their range from a normal curve fitted to
-the tail of their scores, so that chances far below one in their number have a
-value and a short string must look far more random than a long one. These
+bins. The p-values are combined by Fisher's rule. How rarely an ordinary identifier of that length
+scores as well is read from generated ones, beyond their range from a normal
+curve fitted to the tail of their scores, so that chances far below one in their
+number have a value and a short string must look far more random than a long one. These
 probabilities of a false discovery are counted over the whole corpus, by length
 and level, and Benjamini-Hochberg's rule sets one level for each length class.
 
@@ -316,70 +316,53 @@ def thresholds(counts: list[tuple[int, int, int]], fdr: float) -> list[int]:
     return out
 
 
-_RESULT = {
-    **{f"n_{k}": ("long", pa.int64()) for k in BASE_KINDS},
-    "base_sha256": ("string", pa.string()),
-    "spans": ("string", pa.string()),
-    "n_random": ("long", pa.int64()),
-}
-
-
-def _texts(batch) -> list[str]:
-    return ["" if t is None else t for t in batch.column("__text").to_pylist()]
-
-
-def _counter(nulls):
-    def run(batches):
-        for batch in batches:
-            tokens = []
-            for t in _texts(batch):
-                tokens += [t[lo:hi] for lo, hi in added_candidates(t, base_spans(t))]
-            cls, level = levels(tokens, nulls)
-            code, n = np.unique(cls * LEVELS + level, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(code // LEVELS), pa.array(code % LEVELS), pa.array(n)], names=["cls", "level", "n"])
-
-    return run
-
-
-def _joined(spans) -> str:
-    return ",".join(f"{k}:{lo}:{hi}" for k, lo, hi in spans)
+_COUNTS = [f"n_{k}" for k in BASE_KINDS]
+_RESULT = [*_COUNTS, "base_sha256", "spans", "n_random"]
+_SPAN = "struct<lo:long,rank:int,hi:long,kind:string>"
+_FOUND = {**dict.fromkeys(_COUNTS, "long"), "base_sha256": "string", "__base": f"array<{_SPAN}>", "__more": "array<struct<lo:long,hi:long,cls:int,level:int>>"}
+_SPAN_ARROW = pa.list_(pa.struct([("lo", pa.int64()), ("rank", pa.int32()), ("hi", pa.int64()), ("kind", pa.string())]))
+_MORE_ARROW = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64()), ("cls", pa.int32()), ("level", pa.int32())]))
 
 
-def _finder(nulls, limits: list[int], names: list[str]):
-    limit = np.array(limits)
+def _scanner(ordinary: list[Ordinary]):
+    """Base spans, and the candidates with their length classes and levels."""
 
     def run(batches):
         for batch in batches:
-            texts = _texts(batch)
+            texts = ["" if t is None else t for t in batch.column("__text").to_pylist()]
             base = [base_spans(t) for t in texts]
             more = [added_candidates(t, b) for t, b in zip(texts, base, strict=True)]
-            cls, level = levels([t[lo:hi] for t, m in zip(texts, more, strict=True) for lo, hi in m], nulls)
-            take = iter((level >= limit[cls]).tolist() if len(cls) else [])
-            cols: dict[str, list] = {n: [] for n in names}
-            for b, m in zip(base, more, strict=True):
-                own = [("random", lo, hi) for lo, hi in m if next(take)]
-                for k in BASE_KINDS:
-                    cols[f"n_{k}"].append(sum(s[0] == k for s in b))
-                cols["base_sha256"].append(hashlib.sha256(_joined(b).encode()).hexdigest())
-                cols["spans"].append(_joined(sorted(b + own, key=lambda s: (s[1], ORDER[s[0]]))))
-                cols["n_random"].append(len(own))
-            rest = [batch.column(n) for n in batch.schema.names if n != "__text"]
-            yield pa.RecordBatch.from_arrays([*rest, *(pa.array(cols[n], _RESULT[n][1]) for n in names)], names=[*(n for n in batch.schema.names if n != "__text"), *names])
+            cls, level = levels([t[lo:hi] for t, m in zip(texts, more, strict=True) for lo, hi in m], ordinary)
+            judged = iter(zip(cls.tolist(), level.tolist(), strict=True))
+            columns = [pa.array([sum(s[0] == k for s in b) for b in base], pa.int64()) for k in BASE_KINDS]
+            columns.append(pa.array([hashlib.sha256(",".join(f"{k}:{lo}:{hi}" for k, lo, hi in b).encode()).hexdigest() for b in base], pa.string()))
+            columns.append(pa.array([[{"lo": lo, "rank": ORDER[k], "hi": hi, "kind": k} for k, lo, hi in b] for b in base], _SPAN_ARROW))
+            columns.append(pa.array([[dict(zip(("lo", "hi", "cls", "level"), (lo, hi, *next(judged)), strict=True)) for lo, hi in m] for m in more], _MORE_ARROW))
+            rest = [n for n in batch.schema.names if n != "__text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), *columns], names=[*rest, *_FOUND])
 
     return run
 
 
 def find_secrets(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, fdr: float = FDR) -> DataFrame:
-    """Counts and spans beside the columns in `keep`; one pass counts levels over all texts, a second selects."""
+    """Counts and spans beside the columns in `keep`; texts are scanned once."""
     cache = K.process_cache()
-    if "secret_nulls" not in cache:
-        cache["secret_nulls"] = null_scores()
-    nulls = cache["secret_nulls"]
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in _RESULT and c != "__text"]
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).cast("string").alias("__text"))
-    levels_seen = source.select("__text").mapInArrow(_counter(nulls), "cls long, level long, n long").groupBy("cls", "level").agg(F.sum("n").alias("n"))
-    limits = thresholds([tuple(r) for r in levels_seen.collect()], fdr)  # at most len(LENGTHS) * LEVELS rows
-    return _stages.arrow_map(source, _finder(nulls, limits, list(_RESULT)), {n: t for n, (t, _) in _RESULT.items()}, ("__text",))
+    if "secret_ordinary" not in cache:
+        cache["secret_ordinary"] = ordinary_scores()
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in _RESULT and c not in ("__text", "__base", "__more")]
+    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").cast("string").alias("__text"))
+    stages = _stages.Stages(docs.sparkSession, "secrets")
+    plain = [f"__k{i}" for i in range(len(kept))]
+    scanned = _stages.arrow_map(source, _scanner(cache["secret_ordinary"]), _FOUND, ("__text",)).toDF(*plain, *_FOUND)
+    found = stages.save(scanned, "found")
+    seen = found.select(F.explode("__more").alias("m")).groupBy("m.cls", "m.level").agg(F.count("*").alias("n"))
+    limits = thresholds([tuple(r) for r in seen.collect()], fdr)  # at most len(LENGTHS) * LEVELS rows
+    bar = F.array(*[F.lit(x) for x in limits])
+    chosen = F.filter("__more", lambda c: c["level"] >= F.get(bar, c["cls"]))
+    added = F.transform(chosen, lambda c: F.struct(c["lo"].alias("lo"), F.lit(ORDER["random"]).alias("rank"), c["hi"].alias("hi"), F.lit("random").alias("kind")))
+    both = F.array_sort(F.concat("__base", added))
+    spans = F.array_join(F.transform(both, lambda s: F.concat_ws(":", s["kind"], s["lo"].cast("string"), s["hi"].cast("string"))), ",")
+    return found.select(*plain, *_COUNTS, "base_sha256", spans.alias("spans"), F.size(chosen).cast("long").alias("n_random")).toDF(*kept, *_RESULT)
 
 
 def op8_secrets(spark, sf_dir: str) -> DataFrame:

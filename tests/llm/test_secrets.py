@@ -64,5 +64,32 @@ def test_false_discoveries_stay_rare(spark):
     assert true >= 200 and found - true <= 0.1 * found
 
 
+UNIFORM = {
+    "base64": lambda rng: base64.b64encode(rng.randbytes(30)).decode(),
+    "base32": lambda rng: base64.b32encode(rng.randbytes(25)).decode(),
+    "base32_lower": lambda rng: base64.b32encode(rng.randbytes(25)).decode().lower(),
+    "base36": lambda rng: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(40)),
+    "base36_lower": lambda rng: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40)),
+    "base62": lambda rng: "".join(rng.choice(S.BOTH + "0123456789") for _ in range(40)),
+    "HEX": lambda rng: rng.randbytes(20).hex().upper(),
+}
+
+
+def test_rare_secrets_of_each_encoding(spark):
+    """300 uniform keys among 100,000 ordinary tokens."""
+    rng = random.Random(11)
+    rows, where = [], set()
+    for i in range(1000):
+        tokens = [S.ordinary_token(rng, rng.randrange(20, 60)) for _ in range(100)]
+        if i % 10 < 3:
+            tokens[50] = list(UNIFORM.values())[i % len(UNIFORM)](rng)
+            where.add((i, len(" ".join(tokens[:50])) + 1))
+        rows.append((i, " ".join(tokens)))
+    got = S.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {(r.doc_id, int(s.split(":")[1])) for r in got for s in r.spans.split(",") if s.startswith("random")}
+    assert len(where) == 300 and len(found & where) >= 270
+    assert len(found - where) <= 0.1 * len(found)
+
+
 def test_empty_table(spark):
     assert S.find_secrets(spark.createDataFrame([], "doc_id long, text string")).count() == 0
