@@ -1,10 +1,14 @@
 """Quality rules as a short-circuit cascade, with DataFrame functions only.
 
-Each rule is an expression that is true for a document to reject. A bounded
-sample (SAMPLE_ROWS, a parameter) gives the share that each rule rejects and
-the time it takes; rules then run by falling rejection per cost, and a document
-that one rule rejects meets no later one. The order changes the cost, never the
-verdict.
+Each rule is an expression that is true for a document to reject, and names the
+measures it reads. A bounded sample (SAMPLE_ROWS, a parameter; drawn from all
+partitions in one scan) gives the verdict of each rule; a measure costs its
+weight times the characters it touches. Rules then run greedily by rejection per
+cost: of the documents that are left in the sample, those the rule rejects, over
+the cost of the measures that no earlier rule has taken. A document that one
+rule rejects meets no later one: later measures read a text that is null by
+then. The order changes the cost, never the verdict, and doesn't depend on
+clocks.
 
 Words are runs without \\x20 and \\x09-\\x0D. Null texts count as empty: no
 words, so the base rule rejects them. Repeated rows are judged alike. Other
@@ -13,7 +17,7 @@ columns are kept unless a result column has their name.
 
 from __future__ import annotations
 
-import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -87,97 +91,139 @@ class Rule:
     needs: tuple[str, ...]
 
 
-def _count_words(df: DataFrame) -> DataFrame:
-    return df.withColumn("__words", words(F.col("__text"))).withColumn("n_words", F.size("__words").cast("long")).withColumn("word_chars", F.char_length(F.array_join("__words", "")).cast("long"))
+@dataclass(frozen=True)
+class Measure:
+    """`add` puts columns beside the text column it is given; `weight` is the CPU time a character, in translations of one."""
+
+    add: Callable[[DataFrame, str], DataFrame]
+    columns: tuple[str, ...]
+    weight: float
+    after: tuple[str, ...] = ()
+
+
+def _count_words(df: DataFrame, text: str) -> DataFrame:
+    return df.withColumn("__words", words(F.col(text))).withColumn("n_words", F.size("__words").cast("long")).withColumn("word_chars", F.char_length(F.array_join("__words", "")).cast("long"))
 
 
-def _count_repeats(df: DataFrame) -> DataFrame:
-    return repeat_words(with_windows(df, "__words", "__windows"), "__windows", "n_repeat_words").drop("__windows")
+def _count_repeats(df: DataFrame, text: str) -> DataFrame:
+    live = df.withColumn("__own_words", F.when(F.col(text).isNotNull(), F.col("__words")))
+    return repeat_words(with_windows(live, "__own_words", "__windows"), "__windows", "n_repeat_words").drop("__windows", "__own_words")
 
 
-#: What adds each measure to a frame with `__text`, and the measures that must be there before.
+#: Weights were fitted once on texts of 2 to 20,000 words.
 MEASURES = {
-    "words": ((), _count_words),
-    "symbols": ((), lambda df: df.withColumn("n_symbols", count_of(F.col("__text"), SYMBOLS))),
-    "bangs": ((), lambda df: df.withColumn("__bangs", count_of(F.col("__text"), "!"))),
-    "lines": ((), lambda df: df.withColumn("n_dup_lines", dup_lines(F.col("__text"))).withColumn("__lines", F.size(F.split("__text", "\n")).cast("long"))),
-    "repeats": (("words",), _count_repeats),
+    "words": Measure(_count_words, ("n_words", "word_chars", "__words"), 4.0),
+    "symbols": Measure(lambda df, t: df.withColumn("n_symbols", count_of(F.col(t), SYMBOLS)), ("n_symbols",), 1.0),
+    "bangs": Measure(lambda df, t: df.withColumn("__bangs", count_of(F.col(t), "!")), ("__bangs",), 1.0),
+    "dup_lines": Measure(lambda df, t: df.withColumn("n_dup_lines", dup_lines(F.col(t))), ("n_dup_lines",), 2.0),
+    "lines": Measure(lambda df, t: df.withColumn("__lines", F.size(F.split(t, "\n")).cast("long")), ("__lines",), 1.0),
+    "repeats": Measure(_count_repeats, ("n_repeat_words",), 20.0, ("words",)),
 }
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+BASE_MEASURES = ("words", "symbols", "dup_lines", "repeats")
+BASE_RULES = ("few_words", "repeats")
 
 
 def rules() -> list[Rule]:
     c = F.col
     return [
-        Rule("base", (c("n_words") < 20) | (100 * c("n_repeat_words") > 30 * c("n_words")), ("words", "repeats")),
+        Rule("few_words", c("n_words") < 20, ("words",)),
+        Rule("repeats", 100 * c("n_repeat_words") > 30 * c("n_words"), ("words", "repeats")),
         Rule("symbols", 100 * c("n_symbols") > 30 * c("n_words"), ("words", "symbols")),
         Rule("exclamations", 100 * c("__bangs") > 50 * c("n_words"), ("words", "bangs")),
         Rule("short_words", c("word_chars") < 2 * c("n_words"), ("words",)),
         Rule("long_words", c("word_chars") > 15 * c("n_words"), ("words",)),
-        Rule("dup_lines", 100 * c("n_dup_lines") > 40 * c("__lines"), ("lines",)),
+        Rule("dup_lines", 100 * c("n_dup_lines") > 40 * c("__lines"), ("dup_lines", "lines")),
     ]
 
 
-def with_measures(df: DataFrame, names, have: set[str] | None = None) -> DataFrame:
+def with_measures(df: DataFrame, names, have: set[str], text: str = "__text", measures: dict[str, Measure] | None = None) -> DataFrame:
     """Adds the measures that are not there yet; `have` is kept up to date."""
-    have = set() if have is None else have
+    measures = measures or MEASURES
     for name in names:
         if name not in have:
-            before, add = MEASURES[name]
-            df = add(with_measures(df, before, have))
+            df = with_measures(df, measures[name].after, have, text, measures)
+            df = measures[name].add(df, text)
             have.add(name)
     return df
 
 
-def estimate(sample: DataFrame, cascade: list[Rule]) -> dict[str, tuple[float, float]]:
-    """For each rule: seconds to measure and judge the sample alone, and the share rejected.
+def missing(names, have: set[str], measures: dict[str, Measure]) -> set[str]:
+    """The measures that `names` still ask for, those before them included."""
+    out: set[str] = set()
+    for name in set(names) - have:
+        out |= {name} | missing(measures[name].after, have, measures)
+    return out
 
-    The sample is cached, and a run that only counts it is taken off.
+
+def ordered(cascade: list[Rule], verdicts: list[tuple[int, dict[str, bool]]], have: set[str] | None = None, measures: dict[str, Measure] | None = None) -> list[Rule]:
+    """Greedy: most rejected of what is left over the cost of what has to be measured; ties by cost, then by name.
+
+    verdicts: for each text of the sample its characters and the rules that reject it.
     """
-    sample = sample.cache()
-    try:
-        total = sample.count()
-        began = time.perf_counter()
-        sample.agg(F.count("*")).collect()
-        idle = time.perf_counter() - began
-        out = {}
-        for rule in cascade:
-            began = time.perf_counter()
-            hit = with_measures(sample, rule.needs).agg(F.sum(rule.reject.cast("long"))).first()[0] or 0
-            out[rule.name] = max(time.perf_counter() - began - idle, 1e-4), hit / max(total, 1)
-        return out
-    finally:
-        sample.unpersist()
-
-
-def ordered(cascade: list[Rule], estimates: dict[str, tuple[float, float]]) -> list[Rule]:
-    """Most rejection per second first; ties by name."""
-    return sorted(cascade, key=lambda r: (-estimates[r.name][1] / estimates[r.name][0], r.name))
-
-
-def planned(docs: DataFrame, text_col: str, sample_rows: int) -> list[Rule]:
-    """The rules in the order that a sample of the documents suggests."""
-    total = docs.count()
-    share = min(1.0, 1.2 * sample_rows / max(total, 1))
-    sample = docs.select(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("__text")).sample(share, SEED).limit(sample_rows)
-    return ordered(rules(), estimate(sample, rules()))
-
-
-def judged(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """All base measures, base_failed, kept and the rejecting rule beside the columns in `keep`."""
-    results = (*BASE, "base_failed", "kept", "rule", "__text", "__words", "__bangs", "__lines")
-    cols = [F.col(f"`{c}`") for c in (docs.columns if keep is None else keep) if c not in results]
-    cascade = planned(docs, text_col, sample_rows)
-    df = docs.select(*cols, F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("__text"))
-    df = with_measures(df, MEASURES)
-    base = next(r for r in cascade if r.name == "base")
-    rule = F.lit(None).cast("string")
-    for r in reversed(cascade):
-        rule = F.when(r.reject, F.lit(r.name)).otherwise(rule)
-    return df.select(*cols, *BASE, base.reject.alias("base_failed"), rule.isNull().alias("kept"), rule.alias("rule"))
-
-
-def filtered(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    measures = measures or MEASURES
+    have, left, out, rest = set(have or ()), list(verdicts), [], sorted(cascade, key=lambda r: r.name)
+    while rest:
+        chars = sum(n for n, _ in left)
+
+        def worth(r: Rule) -> tuple[float, float, str]:
+            cost = (0.01 + sum(measures[m].weight for m in missing(r.needs, have, measures))) * (chars + 1)
+            return -sum(v[r.name] for _, v in left) / cost, cost, r.name
+
+        best = min(rest, key=worth)
+        rest.remove(best)
+        out.append(best)
+        have |= missing(best.needs, have, measures)
+        left = [x for x in left if not x[1][best.name]]
+    return out
+
+
+def planned(docs: DataFrame, text_col: str, sample_rows: int, have: set[str] | None = None, cascade: list[Rule] | None = None, measures: dict[str, Measure] | None = None) -> list[Rule]:
+    """The rules in the order that a sample of the documents suggests; at most `sample_rows` rows of verdicts reach the driver."""
+    cascade = rules() if cascade is None else cascade
+    sample = docs.select(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("__text")).orderBy(F.rand(SEED)).limit(sample_rows)
+    measured = with_measures(sample, [n for r in cascade for n in r.needs], set(), measures=measures)
+    rows = measured.select(F.char_length("__text").alias("chars"), *[F.coalesce(r.reject, F.lit(False)).alias(f"r{k}") for k, r in enumerate(cascade)]).collect()
+    return ordered(cascade, [(x["chars"], {r.name: x[f"r{k}"] for k, r in enumerate(cascade)}) for x in rows], have, measures)
+
+
+def judged(
+    docs: DataFrame,
+    text_col: str = "text",
+    keep: list[str] | None = None,
+    sample_rows: int = SAMPLE_ROWS,
+    always: tuple[str, ...] = BASE_MEASURES,
+    cascade: list[Rule] | None = None,
+    measures: dict[str, Measure] | None = None,
+) -> DataFrame:
+    """The measures in `always`, kept, and the first rule that rejects beside the columns in `keep`.
+
+    With the base measures, base_failed comes too. What is not in `always` is
+    measured only of texts that no earlier rule has rejected.
+    """
+    known = measures or MEASURES
+    results = [c for m in always for c in known[m].columns if not c.startswith("__")]
+    base = [F.coalesce(r.reject, F.lit(False)) for r in rules() if r.name in BASE_RULES] if {"words", "repeats"} <= set(always) else []
+    taken = {*results, "base_failed", "kept", "rule", "__text", "__live", *(c for m in known.values() for c in m.columns)}
+    names = [c for c in (docs.columns if keep is None else keep) if c not in taken]
+    plain = [f"__own{k}" for k in range(len(names))]
+    have: set[str] = set()
+    order = planned(docs, text_col, sample_rows, set(always), cascade, measures)
+    df = docs.select(*[F.col(f"`{c}`").alias(p) for c, p in zip(names, plain, strict=True)], F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("__text"))
+    df = with_measures(df, always, have, measures=measures)
+    if base:
+        df = df.withColumn("base_failed", base[0] | base[1])
+    df = df.withColumn("rule", F.lit(None).cast("string"))
+    for r in order:
+        if missing(r.needs, have, known):
+            df = df.withColumn("__live", F.when(F.col("rule").isNull(), F.col("__text")))
+            df = with_measures(df, r.needs, have, "__live", measures)
+        df = df.withColumn("rule", F.coalesce("rule", F.when(r.reject, F.lit(r.name))))
+    df = df.select(*plain, *results, *["base_failed"] * bool(base), F.col("rule").isNull().alias("kept"), "rule")
+    return df.toDF(*names, *df.columns[len(plain) :])
+
+
+def filtered(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS, cascade: list[Rule] | None = None, measures: dict[str, Measure] | None = None) -> DataFrame:
     """The documents that no rule rejects, with their own columns.
 
     One filter follows the other, and a measure is taken only of documents
@@ -186,8 +232,8 @@ def filtered(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_
     own = [f"__own{k}" for k in range(len(docs.columns))]
     df = docs.toDF(*own).withColumn("__text", F.coalesce(F.col(own[docs.columns.index(text_col)]).cast("string"), F.lit("")))
     have: set[str] = set()
-    for rule in planned(docs, text_col, sample_rows):
-        df = with_measures(df, rule.needs, have)
+    for rule in planned(docs, text_col, sample_rows, cascade=cascade, measures=measures):
+        df = with_measures(df, rule.needs, have, measures=measures)
         # The partition's number isn't deterministic, so the optimiser leaves the filter above the
         # measures; pushed below them, it would repeat their expressions inside one another.
         df = df.withColumn("__at", F.spark_partition_id()).where(~rule.reject & (F.col("__at") >= 0)).drop("__at")

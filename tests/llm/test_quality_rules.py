@@ -1,6 +1,7 @@
 import re
 
 from cases import corpus
+from pyspark.sql import functions as F
 
 from lectern.llm import quality_rules as Q
 
@@ -37,8 +38,32 @@ def test_same_as_brute_force(spark):
 
 
 def test_cascade_order_is_rejection_per_cost():
-    fake = [Q.Rule(n, None, ()) for n in "abc"]
-    assert [r.name for r in Q.ordered(fake, {"a": (2.0, 0.5), "b": (1.0, 0.5), "c": (1.0, 0.0)})] == ["b", "a", "c"]
+    measure = lambda w: Q.Measure(None, (), w)
+    known = {"x": measure(1.0), "y": measure(4.0), "z": Q.Measure(None, (), 1.0, ("y",))}
+    rules = [Q.Rule("a", None, ("y",)), Q.Rule("b", None, ("x",)), Q.Rule("c", None, ("z",)), Q.Rule("d", None, ("x",))]
+    # a and d reject the same text; b is the cheapest that rejects, and then d costs nothing more
+    says = lambda **k: (10, {"a": False, "b": False, "c": False, "d": False} | k)
+    verdicts = [says(a=True, d=True), says(b=True), says(), says(c=True)]
+    assert [r.name for r in Q.ordered(rules, verdicts, measures=known)] == ["b", "d", "c", "a"]
+    assert [r.name for r in Q.ordered(rules, verdicts, {"y"}, known)][0] == "a"
+
+
+def test_later_rules_are_not_evaluated(spark):
+    """A measure that fails on a rejected text is never taken of it, in the column form and in the filter."""
+    boom = Q.Measure(lambda df, t: df.withColumn("boom", F.when(F.contains(t, F.lit("no")), F.raise_error(F.lit("evaluated")).cast("long")).when(F.col(t).isNotNull(), 0)), ("boom",), 5.0)
+    size = Q.Measure(lambda df, t: df.withColumn("size", F.when(F.contains(t, F.lit("no")), 0).otherwise(1)), ("size",), 1.0)
+    rules = [Q.Rule("late", F.col("boom") > 0, ("boom",)), Q.Rule("early", F.col("size") == 0, ("size",))]
+    docs = spark.createDataFrame([(1, "no"), (2, "yes"), (3, "no no")], "doc_id long, text string")
+    args = {"cascade": rules, "measures": {"boom": boom, "size": size}, "sample_rows": 0}
+    assert {r.doc_id: r.rule for r in Q.judged(docs, keep=["doc_id"], always=(), **args).collect()} == {1: "early", 2: None, 3: "early"}
+    assert [r.doc_id for r in Q.filtered(docs, **args).collect()] == [2]
+    assert Q.judged(docs, always=("size",), **args).columns == ["doc_id", "text", "size", "kept", "rule"]
+
+
+def test_very_long_text(spark):
+    text = " ".join(str(i % 100_003) for i in range(300_000))
+    r = Q.judged(spark.createDataFrame([(1, text), (2, "w" * 2_000_000)], "doc_id long, text string"), keep=["doc_id"]).collect()
+    assert {x.doc_id: (x.n_words, x.n_repeat_words, x.kept) for x in r} == {1: (300_000, 300_000, False), 2: (1, 0, False)}
 
 
 def test_filter_agrees_with_verdict(spark):
