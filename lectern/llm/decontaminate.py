@@ -11,16 +11,23 @@ distance at the threshold, so a pair there is missed about once in a million
 windows. Candidates count only if the exact weighted similarity of the shingle
 multisets, sum of minima over sum of maxima, reaches the threshold.
 
-Items go to the executors in blocks of at most BLOCK_BYTES of text, one pass
-over the documents each. Items of fewer than five words are no evidence and are
-left out; a document shorter than the item is one window. Null or empty texts
+Items go to the executors in blocks of at most BLOCK_BYTES of text (a longer item
+is a block of its own), read one partition after the other and counted as they
+come. A benchmark of one block is matched in the pass that returns the
+documents. Further blocks take a pass each: what they find goes into a table by
+the text's digest, the broadcast is released, and the matches join at the end.
+A worker keeps the tables of one block at a time.
+
+Items of fewer than five words are no evidence and are left out; repeated items
+count once; a document shorter than the item is one window. Null or empty texts
 match nothing. Repeated rows are judged alike. Other columns are kept.
 """
 
 from __future__ import annotations
 
-import uuid
-from itertools import combinations
+import hashlib
+from collections.abc import Iterator
+from itertools import chain, combinations
 from math import comb
 
 import numpy as np
@@ -179,12 +186,12 @@ _MATCH = "array<struct<item_id:long,start:long,words:long,similarity:double>>"
 _MATCH_ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("words", pa.int64()), ("similarity", pa.float64())]))
 
 
-def _marker(shared, key: str, num: int, den: int):
+def _marker(shared, digest: str, num: int, den: int):
     def run(batches):
         cache = K.process_cache()
-        if key not in cache:
-            cache[key] = Items(*shared.value)
-        items = cache[key]
+        if cache.get("items_digest") != digest:
+            cache["items_digest"], cache["items"] = digest, Items(*shared.value)
+        items = cache["items"]
         for batch in batches:
             out: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             for lo, g, w, first in grams_of(batch.column("__text")):
@@ -203,23 +210,49 @@ def _marker(shared, key: str, num: int, den: int):
     return run
 
 
+def item_blocks(items: DataFrame, block_bytes: int) -> Iterator[tuple[list, list[str]]]:
+    """Ids and texts of the items, cut before a block would exceed `block_bytes`; one partition and one block are held."""
+    ids, texts, size = [], [], 0
+    for r in items.distinct().orderBy("id", "text").toLocalIterator():
+        own = len(r.text.encode())
+        if texts and size + own > block_bytes:
+            yield ids, texts
+            ids, texts, size = [], [], 0
+        ids.append(r.id)
+        texts.append(r.text)
+        size += own
+    if texts:
+        yield ids, texts
+
+
 def mark_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: tuple[int, int] = THRESHOLD, block_bytes: int = BLOCK_BYTES, out_col: str = "matches") -> DataFrame:
     """The documents with an array of the items each holds: item_id, start word, words, similarity."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text).cast("string").alias("text")).where("text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-2 * total // block_bytes)) if total > block_bytes else 1
+    items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("id"), F.col(f"`{item_text}`").cast("string").alias("text")).where("text is not null")
     cols = [c for c in docs.columns if c != out_col]
-    df = docs.select(*[F.col(f"`{c}`") for c in cols]).withColumn(out_col, F.array().cast(_MATCH))
-    for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).orderBy("id", "text").collect()  # about block_bytes / 2 of text
-        if not rows:
-            continue
-        shared = spark.sparkContext.broadcast(([r.id for r in rows], [r.text for r in rows]))
-        source = df.withColumn("__text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-        found = _stages.arrow_map(source, _marker(shared, f"items-{uuid.uuid4().hex}", *threshold), {"__found": _MATCH}, ("__text",))
-        df = found.withColumn(out_col, F.concat(out_col, "__found")).drop("__found")
-    return df
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    df = docs.select(*[F.col(f"`{c}`") for c in cols], text.alias("__text"))
+    blocks = item_blocks(items, block_bytes)
+    block, later = next(blocks, None), next(blocks, None)
+    if block is None:
+        return df.drop("__text").withColumn(out_col, F.array().cast(_MATCH))
+
+    def marker(shared, own):
+        return _marker(shared, hashlib.sha256(repr(own).encode()).hexdigest(), *threshold)
+
+    if later is None:
+        return _stages.arrow_map(df, marker(spark.sparkContext.broadcast(block), block), {"__found": _MATCH}, ("__text",)).withColumnRenamed("__found", out_col)
+    stages = _stages.Stages(spark, "benchmark")
+    texts, tables = stages.save(df.select("__text").where("__text <> ''").distinct().select(F.sha2("__text", 256).alias("h"), "__text"), "texts"), []
+    for k, own in enumerate(chain([block, later], blocks)):
+        shared = spark.sparkContext.broadcast(own)
+        found = _stages.arrow_map(texts, marker(shared, own), {"__found": _MATCH}, ("__text",)).where(F.size("__found") > 0)
+        tables.append(stages.save(found, f"found-{k}"))
+        shared.destroy()
+    met = spark.read.schema(tables[0].schema).parquet(*[f"{stages.root}/found-{k}" for k in range(len(tables))]).groupBy("h").agg(F.array_sort(F.flatten(F.collect_list("__found"))).alias(out_col))
+    plain = df.toDF(*[f"__own{k}" for k in range(len(cols))], "__text").withColumn("h", F.sha2("__text", 256))
+    out = plain.join(met, "h", "left").select(*[f"__own{k}" for k in range(len(cols))], F.coalesce(out_col, F.array().cast(_MATCH)).alias(out_col))
+    return out.toDF(*cols, out_col)
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:

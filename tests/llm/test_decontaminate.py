@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from cases import corpus
 
@@ -73,6 +74,33 @@ def test_index_finds_all_within_radius(count):
         assert index.search(q).tolist() == np.flatnonzero(np.bitwise_count(prints ^ q) <= 14).tolist()
 
 
+def test_many_blocks_hold_one_table_a_worker(spark):
+    """Fifty blocks find what one does; each worker's cache has the items of one block, and broadcasts are gone."""
+    rng = random.Random(5)
+    items = [(i, " ".join(f"w{rng.randint(0, 9999)}" for _ in range(30))) for i in range(50)]
+    docs = [(k, "start " + items[k % 50][1] + " end" if k % 3 else "nothing here at all to see") for k in range(200)]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items + items[:3], "item_id long, text string")
+    assert len(list(D.item_blocks(bench.selectExpr("item_id as id", "text"), 200))) == 50
+    found = lambda **k: sorted((r.doc_id, m.item_id, m.start, round(m.similarity, 6)) for r in D.mark_contaminated(frame, bench, **k).collect() for m in r.matches)
+    assert found(block_bytes=200) == found() and len(found()) == 133
+
+    def sizes(batches):
+        import sys
+
+        held = getattr(sys.modules.get("_lectern_cache"), "entries", {})
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(type(v).__name__ == "Items" for v in held.values())] * b.num_rows, pa.int64())], names=["n"])
+
+    assert max(r.n for r in frame.mapInArrow(sizes, "n long").collect()) <= 1
+
+
+def test_very_long_text(spark):
+    item = " ".join(f"q{k}" for k in range(40))
+    long = " ".join(str(k % 7919) for k in range(400_000)) + " " + item
+    r = D.mark_contaminated(spark.createDataFrame([(1, long)], "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")).first()
+    assert [(m.item_id, m.start) for m in r.matches] == [(7, 400_000)]
+
+
 def test_empty_tables(spark):
     docs, bench = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert D.mark_contaminated(docs, bench).count() == 0
