@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lectern.llm import bpe, decontaminate, minhash_dedup, pii, quality_rules
 from lectern.llm._stages import Stages
@@ -20,10 +21,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shingles of five words, similarity 0.8; the smallest id of a group stays, and documents without an id do."""
+    """Shingles of five words, similarity 0.8; the smallest id of a group stays.
+
+    Of rows that repeat an id and a text one stays. Documents without an id have
+    no place in that order, so they stay.
+    """
     kept = minhash_dedup.near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
     own = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("__id"), "left_semi")
-    return own.unionByName(docs.where("doc_id is null"))
+    copy = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text"), F.length("text")).orderBy(F.lit(0)))
+    return own.withColumn("__copy", copy).where("__copy = 1").drop("__copy").unionByName(docs.where("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
