@@ -1,8 +1,8 @@
 """Quality rules as a short-circuit cascade, with DataFrame functions only.
 
 Each rule is an expression that is true for a document to reject, and names the
-measures it reads. A bounded sample (SAMPLE_ROWS, a parameter; drawn from all
-partitions in one scan) gives the verdict of each rule; a measure costs its
+measures it reads. A sample of about SAMPLE_ROWS rows (a parameter; drawn alike from all
+partitions) gives the verdict of each rule; a measure costs its
 weight times the characters it touches. Rules then run greedily by rejection per
 cost: of the documents that are left in the sample, those the rule rejects, over
 the cost of the measures that no earlier rule has taken. A document that one
@@ -179,9 +179,13 @@ def ordered(cascade: list[Rule], verdicts: list[tuple[int, dict[str, bool]]], ha
 
 
 def planned(docs: DataFrame, text_col: str, sample_rows: int, have: set[str] | None = None, cascade: list[Rule] | None = None, measures: dict[str, Measure] | None = None) -> list[Rule]:
-    """The rules in the order that a sample of the documents suggests; at most `sample_rows` rows of verdicts reach the driver."""
+    """The rules in the order that a sample of the documents suggests; about `sample_rows` rows of verdicts reach the driver.
+
+    The share to draw comes from a count, for which Parquet reads its footers only.
+    """
     cascade = rules() if cascade is None else cascade
-    sample = docs.select(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("__text")).orderBy(F.rand(SEED)).limit(sample_rows)
+    share = min(1.0, sample_rows / max(docs.count(), 1))
+    sample = docs.select(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("__text")).sample(share, SEED)
     measured = with_measures(sample, [n for r in cascade for n in r.needs], set(), measures=measures)
     rows = measured.select(F.char_length("__text").alias("chars"), *[F.coalesce(r.reject, F.lit(False)).alias(f"r{k}") for k, r in enumerate(cascade)]).collect()
     return ordered(cascade, [(x["chars"], {r.name: x[f"r{k}"] for k, r in enumerate(cascade)}) for x in rows], have, measures)
