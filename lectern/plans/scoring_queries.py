@@ -93,75 +93,6 @@ def r17_term_weight(spark, d):
     return table(spark, d, "part").select("p_partkey", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), w)), 3).alias("weight"))
 
 
-@query("""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-záéíóúñü]+') AS w FROM documents), v AS (SELECT doc_id, len(list_filter(w, lambda x: list_contains(['the','of','and','to','in','is','that','for'], x))) AS en, len(list_filter(w, lambda x: list_contains(['el','la','de','que','los','en','las','por'], x))) AS es FROM w)
-SELECT doc_id, CASE WHEN en > es THEN 'en' WHEN es > en THEN 'es' ELSE 'xx' END AS lang FROM v""")
-def v03_detect_language(spark, d):
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-záéíóúñü]+"), F.lit(0))
-    v = table(spark, d, "documents").select("doc_id", words.alias("w"))
-    n = lambda ws: F.size(F.filter("w", lambda x: x.isin(*ws)))
-    v = v.select("doc_id", n(["the", "of", "and", "to", "in", "is", "that", "for"]).alias("en"), n(["el", "la", "de", "que", "los", "en", "las", "por"]).alias("es"))
-    return v.select("doc_id", F.when(F.col("en") > F.col("es"), "en").when(F.col("es") > F.col("en"), "es").otherwise("xx").alias("lang"))
-
-
-@query("""WITH c AS (SELECT conv_id, turn, lower(text) AS t FROM conversations), s AS (SELECT conv_id, turn, 0.5 AS fact, len(regexp_extract_all(t, '\\b(will|shall|by)\\b')) * 0.4 AS forecast, len(regexp_extract_all(t, '\\b(think|believe|bad)\\b')) * 0.45 AS opinion, len(regexp_extract_all(t, '\\b(should|must)\\b')) * 0.42 AS normative FROM c)
-SELECT conv_id, turn, CASE WHEN fact >= forecast AND fact >= opinion AND fact >= normative THEN 'fact' WHEN forecast >= opinion AND forecast >= normative THEN 'forecast' WHEN opinion >= normative THEN 'opinion' ELSE 'normative' END AS kind FROM s""".replace("\\\\", "\\"))
-def v04_v05_statement_type(spark, d):
-    low = F.lower("text")
-    n = lambda p: F.regexp_count(low, F.lit(rf"\b({p})\b"))
-    s = table(spark, d, "conversations").select("conv_id", "turn", (n("will|shall|by") * 0.4).alias("forecast"), (n("think|believe|bad") * 0.45).alias("opinion"), (n("should|must") * 0.42).alias("normative"))
-    kinds = [("fact", F.lit(0.5)), ("forecast", F.col("forecast")), ("opinion", F.col("opinion")), ("normative", F.col("normative"))]
-    best = F.array_max(F.array(*[F.struct(v.cast("double").alias("s"), F.lit(-k).alias("order"), F.lit(name).alias("kind")) for k, (name, v) in enumerate(kinds)]))
-    return s.select("conv_id", "turn", best.kind.alias("kind"))
-
-
-@query(f"""SELECT ev, round(CASE strength WHEN 'high' THEN 1.0 WHEN 'low' THEN 0.35 ELSE 0.65 END * (0.35 + 0.4 * (ev % 7 + 1) / 8.3 + 0.25 * (ev % 3 + 1) / 3.7) * CASE WHEN derived THEN 0.6 WHEN restating THEN 0.7 ELSE 1 END, 4) AS weight FROM {EVI}""")
-def v11_evidential_weight(spark, d):
-    ev = F.col("ev")
-    return view(spark, d, "evidence").select("ev", S.evidential_weight(F.col("strength"), (ev % 7 + 1) / 8.3, (ev % 3 + 1) / 3.7, F.col("derived"), F.col("restating")).alias("weight"))
-
-
-@query(f"""SELECT claim_id, count(*) AS n, count(*) FILTER (WHERE tier <= 2) AS documentary, count(DISTINCT source) FILTER (WHERE NOT derived) AS independent, max((ev % 10) / 10.0) AS coverage,
-CASE WHEN max((ev % 10) / 10.0) >= 0.45 THEN 'pass' ELSE 'fail' END AS textual, CASE WHEN max(CASE WHEN contradicts THEN ev % 10 END) > max(CASE WHEN NOT contradicts THEN ev % 10 END) THEN 'fail' ELSE 'pass' END AS contradiction,
-CASE WHEN max(age_days) - min(age_days) > 0.02 * greatest(max(age_days), 1) THEN 'fail' ELSE 'pass' END AS consistency FROM {EVI} GROUP BY claim_id""")
-def v12_v13_v14_v19_checks(spark, d):
-    e = view(spark, d, "evidence")
-    cov = (F.col("ev") % 10) / 10
-    against, with_ = F.max(F.when(F.col("contradicts"), F.col("ev") % 10)), F.max(F.when(~F.col("contradicts"), F.col("ev") % 10))
-    spread_ = F.max("age_days") - F.min("age_days")
-    return e.groupBy("claim_id").agg(
-        F.count("*").alias("n"), F.count_if(F.col("tier") <= 2).alias("documentary"), F.countDistinct(F.when(~F.col("derived"), F.col("source"))).alias("independent"), F.max(cov).alias("coverage"),
-        F.when(F.max(cov) >= 0.45, "pass").otherwise("fail").alias("textual"), F.when(F.coalesce(against > with_, F.lit(False)), "fail").otherwise("pass").alias("contradiction"),
-        F.when(spread_ > 0.02 * F.greatest(F.max("age_days"), F.lit(1)), "fail").otherwise("pass").alias("consistency"),
-    )
-
-
-def _outcome(k):
-    return F.when(F.pmod(F.floor(F.col("claim_id") / (k + 1)), F.lit(4)) == 0, "fail").when(F.pmod(F.floor(F.col("claim_id") / (k + 1)), F.lit(4)) == 1, "na").otherwise("pass")
-
-
-_O = {c: f"CASE WHEN (claim_id // {k + 1}) % 4 = 0 THEN 'fail' WHEN (claim_id // {k + 1}) % 4 = 1 THEN 'na' ELSE 'pass' END" for k, c in enumerate(S.CHECKS)}
-
-
-@query(f"""WITH c AS (SELECT claim_id, CASE claim_id % 9 WHEN 0 THEN 'opinion' WHEN 1 THEN 'forecast' ELSE 'fact' END AS kind, claim_id % 5 AS n, {', '.join(f'{v} AS {k}' for k, v in _O.items())} FROM {sql_view('claims')}),
-f AS (SELECT *, (direct_textual_evidence = 'fail')::INT + (quantity_recheck = 'fail')::INT + (data_consistency = 'fail')::INT + (logical_validity = 'fail')::INT AS core,
-'fail' IN (causal_support, context_completeness, temporal_correctness, independent_corroboration, uncertainty_handling) AS other FROM c)
-SELECT claim_id, CASE WHEN kind = 'opinion' THEN 'not_a_factual_claim' WHEN kind = 'forecast' THEN 'forecast_conditional' WHEN contradiction = 'fail' THEN 'contradicted'
-WHEN n = 0 OR ({' AND '.join(f"{c} = 'na'" for c in S.CHECKS)}) THEN 'unverifiable' WHEN direct_textual_evidence = 'fail' AND independent_corroboration <> 'pass' AND quantity_recheck <> 'fail' THEN 'unverifiable'
-WHEN quantity_recheck = 'fail' OR core >= 2 THEN 'unsupported' WHEN core = 1 OR other THEN 'partially_supported' ELSE 'supported' END AS verdict FROM f""")
-def v20_v21_verdicts(spark, d):
-    c = view(spark, d, "claims")
-    kind = F.when(F.col("claim_id") % 9 == 0, "opinion").when(F.col("claim_id") % 9 == 1, "forecast").otherwise("fact")
-    return c.select("claim_id", S.verdict(kind, {name: _outcome(k) for k, name in enumerate(S.CHECKS)}, F.col("claim_id") % 5).alias("verdict"))
-
-
-@query(f"""WITH c AS (SELECT claim_id, claim_id % 6 AS n, (claim_id % 7) * 0.1 - 0.2 AS a, (claim_id % 5) * 0.08 - 0.1 AS b FROM {sql_view('claims')})
-SELECT claim_id, round(least(0.97, greatest(0.02, least(0.35 + a + b, 0.35 + 0.15 * least(n, 4)))), 4) AS confidence, CASE WHEN round(a, 9) < round(b, 9) THEN 'agreement' WHEN round(b, 9) < round(a, 9) THEN 'coverage' ELSE 'agreement' END AS limiting FROM c""")
-def v22_claim_confidence(spark, d):
-    i = F.col("claim_id")
-    conf, limiting = S.claim_confidence([("agreement", F.round((i % 7) * 0.1 - 0.2, 9)), ("coverage", F.round((i % 5) * 0.08 - 0.1, 9))], i % 6)
-    return view(spark, d, "claims").select("claim_id", conf.alias("confidence"), limiting.alias("limiting"))
-
-
 @query("""SELECT l_orderkey, l_linenumber, round(s, 3) AS share FROM (SELECT l_orderkey, l_linenumber, CASE WHEN k = 1 THEN r + 10 - sum(r) OVER (PARTITION BY l_orderkey) ELSE r END AS s FROM (
 SELECT l_orderkey, l_linenumber, round(10 * l_quantity / sum(l_quantity) OVER (PARTITION BY l_orderkey), 3) AS r, row_number() OVER (PARTITION BY l_orderkey ORDER BY abs(l_quantity) DESC, l_linenumber) AS k FROM lineitem))""")
 def w06_w07_apportion(spark, d):
