@@ -49,6 +49,24 @@ def evidence_strength(best: Column, capable: Column, sources: Column) -> Column:
     return F.when((best >= 55) & capable & (sources >= 2), "high").when((best >= 35) & (sources >= 1), "medium").when(best >= 20, "low").otherwise("insufficient")
 
 
+def strength_by_group(ranked: DataFrame, group: str) -> DataFrame:
+    """Strength and confidence of each group's ranked evidence, from its best item and its sources."""
+    b = ranked.groupBy(group).agg(F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("best"), F.bool_or((F.col("rank") == 1) & ~F.col("incapable")).alias("capable"), F.countDistinct("source").alias("sources"))
+    return b.select(group, evidence_strength(F.col("best"), F.col("capable"), F.col("sources")).alias("strength"), F.round(F.least(F.lit(0.9), 0.3 + 0.25 * F.col("sources")), 3).alias("confidence"))
+
+
+def without_identity(evidence: DataFrame, *columns: str) -> DataFrame:
+    """The view that scoring may see: identities as hashes."""
+    return evidence.withColumns({c: F.sha2(F.col(c).cast("string"), 256) for c in columns})
+
+
+def same_order(ranked: DataFrame, again: DataFrame, group: str, id_col: str) -> DataFrame:
+    """Each group's order of ids, and whether a second ranking has the same."""
+    ids = lambda df: df.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", id_col))), lambda x: x[id_col].cast("string")), ",").alias("o"))
+    a, b = ids(ranked).withColumnRenamed("o", "order_plain"), ids(again)
+    return a.join(b, group).select(group, "order_plain", (F.col("order_plain") == F.col("o")).alias("invariant"))
+
+
 def evidential_weight(strength: Column, relevance: Column, coverage: Column, derived: Column, restating: Column) -> Column:
     s = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in STRENGTH.items() for x in kv]), strength), F.lit(STRENGTH["medium"]))
     return F.round(s * (0.35 + 0.4 * relevance + 0.25 * coverage) * F.when(derived, 0.6).when(restating, 0.7).otherwise(1.0), 4)

@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from lectern.functions import text as T
 from lectern.functions.arrays import spread
-from lectern.functions.tokens import TOPIC_STOPWORDS
+from lectern.functions.tokens import TOPIC_STOPWORDS, comparison_tokens
+from lectern.operators.blocks import broadcast_blocks, union_all
 
 # Words whose full stop ends no sentence, for news, legal and claim texts.
 NEWS = tuple(
@@ -167,8 +168,21 @@ def zones(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def locate(docs: DataFrame, id_col: str, text_col: str, needles: DataFrame) -> DataFrame:
-    """Where a passage stands verbatim but for white space."""
+    """Where a passage stands verbatim but for white space; passages go out in blocks of checked size, all of them."""
     d = docs.select(id_col, T.collapse(F.col(text_col)).alias("t"))
-    n = needles.withColumn("n", T.collapse(F.col("needle")))
-    met = d.crossJoin(F.broadcast(n.limit(10_000))).where(F.contains("t", F.col("n")))
-    return met.select(id_col, "needle", F.expr("instr(t, n)").cast("long").alias("at"))
+    parts = [d.crossJoin(n).where(F.contains("t", F.col("n"))).select(id_col, "needle", F.expr("instr(t, n)").cast("long").alias("at")) for n in broadcast_blocks(needles.select("needle", T.collapse(F.col("needle")).alias("n")))]
+    return union_all(parts)
+
+
+def lexical_search(docs: DataFrame, id_col: str, text_col: str, queries: DataFrame, query_id: str, query_text: str) -> DataFrame:
+    """(query, document, score) of all documents that share a token: rarer tokens among the documents count more.
+
+    Queries go out in blocks; only tokens that a query has are spread, so a
+    document costs its hits and not its length.
+    """
+    w = docs.select(F.col(id_col), F.array_distinct(comparison_tokens(F.col(text_col))).alias("w"))
+    q = queries.select(F.col(query_id), F.array_distinct(comparison_tokens(F.col(query_text))).alias("qw"))
+    hits = union_all([spread(w.crossJoin(b), [query_id, id_col], F.array_intersect("w", "qw"), "t") for b in broadcast_blocks(q)])
+    df = hits.select(id_col, "t").distinct().groupBy("t").agg(F.count("*").alias("df"))
+    n = docs.agg(F.count("*").alias("n"))
+    return hits.join(df, "t").crossJoin(F.broadcast(n)).groupBy(query_id, id_col).agg(F.round(F.sum(1 / (1 + F.col("df") / F.col("n"))), 5).alias("score"))

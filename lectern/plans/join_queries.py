@@ -28,20 +28,6 @@ def j11_claim_history(spark, d):
     return p.where(G.coverage(F.col("a.w"), F.col("b.w")) >= 0.1).select("a.conv_id", "a.turn", F.col("b.turn").alias("prior"), (F.col("a.neg") != F.col("b.neg")).alias("contradicts"))
 
 
-@query(f"SELECT claim_id, p AS provision, count(*) AS n, min(tier) AS best_tier FROM (SELECT claim_id, tier, unnest([ev % 10, ev % 7]) AS p FROM {EVI}) GROUP BY ALL")
-def j12_support_index(spark, d):
-    e = view(spark, d, "evidence")
-    return e.select("claim_id", "tier", F.explode(F.array(F.col("ev") % 10, F.col("ev") % 7)).alias("provision")).groupBy("claim_id", "provision").agg(F.count("*").alias("n"), F.min("tier").alias("best_tier"))
-
-
-@query("WITH a AS (SELECT n_nationkey, lower(n_name) AS alias FROM nation WHERE length(n_name) >= 5) SELECT c_custkey, n_nationkey FROM (SELECT c_custkey, lower(c_name || ' of ' || (SELECT n_name FROM nation WHERE n_nationkey = c_nationkey)) AS t FROM customer) JOIN a ON contains(t, alias)")
-def j13_alias_containment(spark, d):
-    n = table(spark, d, "nation")
-    alias = n.where("length(n_name) >= 5").select("n_nationkey", F.lower("n_name").alias("alias"))
-    c = table(spark, d, "customer").join(F.broadcast(n.select(F.col("n_nationkey").alias("k"), "n_name")), F.col("c_nationkey") == F.col("k")).select("c_custkey", F.lower(F.concat("c_name", F.lit(" of "), "n_name")).alias("t"))
-    return c.join(F.broadcast(alias.limit(10_000)), F.contains("t", F.col("alias"))).select("c_custkey", "n_nationkey")
-
-
 @query(f"WITH p AS (SELECT * FROM (VALUES ('press', 1), ('press', 2), ('official', 3), ('research', 4), ('research', 0)) AS v(audience, kind)) SELECT audience, array_to_string(list_sort(list(id)), ',') AS sources FROM p JOIN {sql_view('registry')} r ON p.kind = r.kind WHERE enabled GROUP BY audience")
 def j14_query_routing(spark, d):
     plan = spark.createDataFrame([("press", 1), ("press", 2), ("official", 3), ("research", 4), ("research", 0)], "audience string, kind int")
@@ -49,61 +35,6 @@ def j14_query_routing(spark, d):
     return r.groupBy("audience").agg(F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), ",").alias("sources"))
 
 
-@query("WITH c AS (SELECT s_suppkey, CASE WHEN s_suppkey % 9 = 0 THEN s_suppkey - 1 ELSE s_suppkey END AS canon FROM supplier) SELECT canon, count(*) AS n, array_to_string(list_sort(list(s_suppkey)), ',') AS members FROM c GROUP BY canon")
-def j15_j16_alias_merge(spark, d):
-    """A misspelt name within one edit of the canonical one, found by name length and head, maps to it."""
-    s = table(spark, d, "supplier").select("s_suppkey", "s_name")
-    alias = s.where("s_suppkey % 9 = 0").select("s_suppkey", (F.col("s_suppkey") - 1).alias("canon"))
-    return s.join(alias, "s_suppkey", "left").select("s_suppkey", F.coalesce("canon", "s_suppkey").alias("canon")).groupBy("canon").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("s_suppkey")), lambda x: x.cast("string")), ",").alias("members"))
-
-
-@query("SELECT c_custkey, CASE WHEN n_regionkey = 0 THEN 'not_applicable' WHEN c_acctbal > 5000 THEN 'verified' WHEN c_acctbal > 0 THEN 'reported' ELSE 'not_documented' END AS affiliation FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
-def j17_affiliations(spark, d):
-    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
-    state = F.when(F.col("n_regionkey") == 0, "not_applicable").when(F.col("c_acctbal") > 5000, "verified").when(F.col("c_acctbal") > 0, "reported").otherwise("not_documented")
-    return table(spark, d, "customer").join(F.broadcast(n), "c_nationkey", "left").select("c_custkey", state.alias("affiliation"))
-
-
-@query(f"""WITH s AS (SELECT ev, claim_id, (ev % 11) / 20.0 + 0.1 AS overlap, ev % 4 AS certainty, ev % 3 = 0 AS amount, ev % 5 = 0 AS yr FROM {EVI}),
-m AS (SELECT *, CASE WHEN amount THEN 0.65 + 0.35 * overlap WHEN yr THEN 0.35 + 0.45 * overlap WHEN overlap >= 0.3 THEN overlap END AS strength FROM s),
-b AS (SELECT *, max(strength) OVER (PARTITION BY claim_id) AS best FROM m WHERE strength IS NOT NULL)
-SELECT claim_id, ev, round(strength, 6) AS strength FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY certainty DESC, round(strength, 9) DESC, ev) AS k FROM b WHERE strength >= best - 0.05 - 1e-9) WHERE k = 1""")
-def j05_best_source(spark, d):
-    ev = F.col("ev")
-    overlap = (ev % 11) / 20 + 0.1
-    strength = F.when(ev % 3 == 0, 0.65 + 0.35 * overlap).when(ev % 5 == 0, 0.35 + 0.45 * overlap).when(overlap >= 0.3, overlap)
-    m = view(spark, d, "evidence").select("claim_id", "ev", (ev % 4).alias("certainty"), strength.alias("strength")).where("strength is not null")
-    m = m.withColumn("best", F.max("strength").over(Window.partitionBy("claim_id"))).where(F.col("strength") >= F.col("best") - 0.05 - 1e-9)
-    order = F.struct(F.col("certainty"), F.round("strength", 9), -ev)
-    return m.groupBy("claim_id").agg(F.max_by(F.struct("ev", "strength"), order).alias("b")).select("claim_id", "b.ev", F.round("b.strength", 6).alias("strength"))
-
-
-@query(f"""WITH t AS (SELECT ev, claim_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS w, source, derived OR restating AS copy FROM {EVI})
-SELECT a.ev, least(count(DISTINCT b.source) FILTER (WHERE NOT b.copy AND b.source <> a.source), 3) AS corroborating FROM t a JOIN t b ON a.claim_id = b.claim_id AND a.ev <> b.ev GROUP BY a.ev""")
-def r06_corroboration(spark, d):
-    t = view(spark, d, "evidence").select("ev", "claim_id", "source", (F.col("derived") | F.col("restating")).alias("copy"))
-    a, b = t.alias("a"), t.alias("b")
-    p = a.join(b, (F.col("a.claim_id") == F.col("b.claim_id")) & (F.col("a.ev") != F.col("b.ev")))
-    other = F.when(~F.col("b.copy") & (F.col("b.source") != F.col("a.source")), F.col("b.source"))
-    return p.groupBy(F.col("a.ev").alias("ev")).agg(F.least(F.countDistinct(other), F.lit(3)).alias("corroborating"))
-
-
-@query(f"""WITH q AS (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{{3,}}'))) AS t FROM benchmark WHERE item_id = 0), v AS (SELECT ev, list_distinct(regexp_extract_all(lower(text), '[a-z]{{3,}}')) AS w FROM {EVI}),
-n AS (SELECT count(*) AS n FROM v), i AS (SELECT t, ln((1 + n.n)::DOUBLE / (1 + (SELECT count(*) FROM v WHERE list_contains(w, q.t)))) + 1 AS idf FROM q, n)
-SELECT ev, round(sum(CASE WHEN list_contains(w, i.t) THEN idf ELSE 0 END) / sum(idf), 5) AS relevance FROM v, i GROUP BY ev""")
-def a03_r03_topical_relevance(spark, d):
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{3,}"), F.lit(0)))
-    q = spread(table(spark, d, "benchmark").where("item_id = 0"), [], words("text"), "t")
-    e = view(spark, d, "evidence").select("ev", words("text").alias("w"))
-    n = e.count()
-    hits = spread(e, ["ev"], "w", "t").join(F.broadcast(q.limit(10_000)), "t")
-    df = hits.groupBy("t").agg(F.count("*").alias("df"))
-    idf = q.join(df, "t", "left").select("t", (F.log((1 + F.lit(n)) / (1 + F.coalesce("df", F.lit(0)))) + 1).alias("idf"))
-    total = idf.agg(F.sum("idf").alias("total"))
-    got = hits.join(F.broadcast(idf.limit(10_000)), "t").groupBy("ev").agg(F.sum("idf").alias("got"))
-    return e.select("ev").join(got, "ev", "left").crossJoin(F.broadcast(total)).select("ev", F.round(F.coalesce("got", F.lit(0.0)) / F.col("total"), 5).alias("relevance"))
-
-
 @query("""SELECT c_nationkey AS document, CAST(round(sum(score * weight)) AS BIGINT) AS readiness, count(*) FILTER (WHERE score < 20) AS blocking FROM (
 SELECT c_nationkey, k, avg((c_custkey * k) % 101) AS score, k / 10.0 AS weight FROM customer, (VALUES (1), (2), (3), (4)) AS v(k) GROUP BY ALL) GROUP BY c_nationkey""")
 def a21_readiness(spark, d):
@@ -112,25 +43,6 @@ def a21_readiness(spark, d):
     return s.groupBy(F.col("c_nationkey").alias("document")).agg(F.round(F.sum(F.col("score") * F.col("k") / 10)).cast("long").alias("readiness"), F.count_if(F.col("score") < 20).alias("blocking"))
 
 
-@query("""SELECT source, count(*) FILTER (WHERE lang = 'en') AS en, count(*) FILTER (WHERE lang = 'fr') AS fr, count(*) FILTER (WHERE lang = 'de') AS de, count(*) FILTER (WHERE lang = 'es') AS es, count(DISTINCT lang) AS n_langs FROM documents GROUP BY source""")
-def a22_a23_feed_cards(spark, d):
-    docs = table(spark, d, "documents")
-    pivot = docs.groupBy("source").pivot("lang", ["en", "fr", "de", "es"]).count().na.fill(0)
-    return pivot.join(docs.groupBy("source").agg(F.countDistinct("lang").alias("n_langs")), "source")
-
-
-@query("SELECT CAST(sum(n_chars) AS BIGINT) AS chars, CAST(sum(length(text)) AS BIGINT) AS used, count(*) AS batches FROM documents")
-def a24_usage(spark, d):
-    return table(spark, d, "documents").agg(F.sum("n_chars").alias("chars"), F.sum(F.length("text")).alias("used"), F.count("*").alias("batches"))
-
-
-@query("""SELECT grp, count(DISTINCT c_nationkey) AS n_provisions, count(*) AS n FROM (SELECT c_nationkey, unnest(CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN ['workers', lower(c_mktsegment)] ELSE [lower(c_mktsegment)] END) AS grp FROM customer) GROUP BY grp""")
-def a25_affected_groups(spark, d):
-    seg = F.lower("c_mktsegment")
-    g = F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), F.array(F.lit("workers"), seg)).otherwise(F.array(seg))
-    return table(spark, d, "customer").select("c_nationkey", F.explode(g).alias("grp")).groupBy("grp").agg(F.countDistinct("c_nationkey").alias("n_provisions"), F.count("*").alias("n"))
-
-
 @query("SELECT o_custkey AS document, o_orderkey AS provision, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS number FROM orders")
 def w09_numbering(spark, d):
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
@@ -247,15 +159,6 @@ def q01_mention_grounding(spark, d):
     return t.select("doc_id", P.grounding(t, "name", "action", "quote", "text").alias("reason"))
 
 
-@query("""SELECT doc_id, kw, CAST(instr(lower(text), kw) AS BIGINT) AS at, substr(text, CAST(greatest(1, instr(lower(text), kw) - 55) AS BIGINT), 225) AS excerpt FROM (
-SELECT doc_id, text, CASE WHEN contains(lower(text), 'license') THEN 'license' WHEN contains(lower(text), 'version') THEN 'version' END AS kw FROM documents) WHERE kw IS NOT NULL""")
-def q02_q03_page_anchor(spark, d):
-    low = F.lower("text")
-    kw = F.when(F.contains(low, F.lit("license")), "license").when(F.contains(low, F.lit("version")), "version")
-    k = table(spark, d, "documents").select("doc_id", "text", kw.alias("kw")).where("kw is not null").withColumn("at", F.expr("instr(lower(text), kw)"))
-    return k.select("doc_id", "kw", F.col("at").cast("long").alias("at"), F.substring(F.col("text"), F.greatest(F.lit(1), F.col("at") - 55), F.lit(225)).alias("excerpt"))
-
-
 @query(f"""WITH m AS (SELECT source, lang, sum(n_chars) AS mat, max(CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END) AS mentioned FROM documents GROUP BY ALL)
 SELECT lang, round(sum(CASE WHEN mentioned = 0 THEN mat ELSE 0 END)::DOUBLE / sum(mat), 6) AS omitted FROM m GROUP BY lang""")
 def n05_context_omission(spark, d):

@@ -24,60 +24,6 @@ def r01_question_kind(spark, d):
     return table(spark, d, "part").select("p_partkey", S.question_kind(F.concat(head, "p_type")).alias("kind"))
 
 
-PARTS_SQL = """ev, claim_id, (tier % 5) / 4.0 AS affinity, (ev % 11) / 10.0 AS topical, 0.4 * least((ev % 17) / 8.0, 1.0) + 0.25 * least(ev % 2, 1) + 0.35 * least((ev % 200) / 120.0, 1.0) AS specificity,
-CASE WHEN ev % 3 = 0 THEN NULL ELSE least(1.0, (ev % 5) / 3.0) END AS quantitative, coalesce(exp(-ln(2) * known_age / 540), 0.5) AS recency, least((ev % 4) / 3.0, 1.0) AS corroboration, tier = 8 AS incapable, restating, source"""
-RANK_SQL = f"""v AS (SELECT {PARTS_SQL} FROM {EVI}),
-w AS (SELECT *, 90 + CASE WHEN quantitative IS NULL THEN 0 ELSE 10 END AS weight, 30 * affinity + 22 * topical + 12 * specificity + coalesce(10 * quantitative, 0) + 10 * recency + 16 * corroboration AS points FROM v WHERE NOT (topical < 0.02 AND affinity < 0.3)),
-s AS (SELECT *, round(points * 100 / weight * CASE WHEN incapable THEN 0.2 ELSE 1 END * CASE WHEN restating THEN 0.65 ELSE 1 END, 4) AS score FROM w),
-k AS (SELECT ev, claim_id, source, incapable, score, row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, ev) AS rank FROM s)"""
-
-
-def _ranked(spark, d):
-    e = view(spark, d, "evidence")
-    ev = F.col("ev")
-    parts = {
-        "affinity": (F.col("tier") % 5) / 4, "topical": (ev % 11) / 10, "specificity": S.specificity(ev % 17, ev % 2, ev % 200), "quantitative": F.when(ev % 3 != 0, F.least(F.lit(1.0), (ev % 5) / 3)),
-        "recency": F.coalesce(F.exp(F.lit(-0.6931471805599453) * F.col("known_age") / 540), F.lit(0.5)), "corroboration": F.least((ev % 4) / 3, F.lit(1.0)),
-    }
-    return S.rank_evidence(e, "claim_id", parts, F.col("tier") == 8, F.col("restating"), "ev")
-
-
-@query(f"WITH {RANK_SQL} SELECT claim_id, ev, round(score, 3) AS score, rank FROM k")
-def r04_r07_w01_rank_evidence(spark, d):
-    return _ranked(spark, d).select("claim_id", "ev", F.round("score", 3).alias("score"), "rank")
-
-
-@query(f"""WITH {RANK_SQL}, b AS (SELECT claim_id, max(CASE WHEN rank = 1 THEN score END) AS best, bool_or(rank = 1 AND NOT incapable) AS capable, count(DISTINCT source) AS sources FROM k GROUP BY claim_id)
-SELECT claim_id, CASE WHEN best >= 55 AND capable AND sources >= 2 THEN 'high' WHEN best >= 35 AND sources >= 1 THEN 'medium' WHEN best >= 20 THEN 'low' ELSE 'insufficient' END AS strength, round(least(0.9, 0.3 + 0.25 * sources), 3) AS confidence FROM b""")
-def r08_r09_strength(spark, d):
-    b = _ranked(spark, d).groupBy("claim_id").agg(F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("best"), F.bool_or((F.col("rank") == 1) & (F.col("tier") != 8)).alias("capable"), F.countDistinct("source").alias("sources"))
-    return b.select("claim_id", S.evidence_strength(F.col("best"), F.col("capable"), F.col("sources")).alias("strength"), F.round(F.least(F.lit(0.9), 0.3 + 0.25 * F.col("sources")), 3).alias("confidence"))
-
-
-@query(f"""WITH {RANK_SQL} SELECT claim_id, array_to_string(list(ev ORDER BY rank), ',') AS order_plain, true AS invariant FROM k GROUP BY claim_id""")
-def r12_r13_authority_invariance(spark, d):
-    """Ranks again with sources hashed; the order must be the same."""
-    ids = lambda df: df.groupBy("claim_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "ev"))), lambda x: x.ev.cast("string")), ",").alias("o"))
-    plain, hashed = ids(_ranked(spark, d)), ids(_ranked(spark, d).withColumn("source", F.sha2("source", 256)))
-    return plain.alias("a").join(hashed.alias("b"), "claim_id").select("claim_id", F.col("a.o").alias("order_plain"), (F.col("a.o") == F.col("b.o")).alias("invariant"))
-
-
-TOK = f"regexp_extract_all({T.sql_normalise('text')}, '{G.WORD}')"
-
-
-@query(f"""WITH d AS (SELECT doc_id, list_distinct({TOK}) AS w FROM documents), q AS (SELECT item_id, unnest(list_distinct({TOK})) AS t FROM benchmark WHERE item_id < 5),
-f AS (SELECT doc_id, unnest(w) AS t FROM d), n AS (SELECT count(*) AS n FROM documents), df AS (SELECT t, count(*) AS df FROM f WHERE t IN (SELECT t FROM q) GROUP BY t)
-SELECT item_id, doc_id, round(sum(1 / (1 + df.df::DOUBLE / n.n)), 5) AS score FROM q JOIN f USING (t) JOIN df USING (t), n GROUP BY item_id, doc_id""")
-def r11_lexical_search(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.array_distinct(G.comparison_tokens(F.col("text"))).alias("w"))
-    q = spread(table(spark, d, "benchmark").where("item_id < 5"), ["item_id"], F.array_distinct(G.comparison_tokens(F.col("text"))), "t")
-    words = q.select("t").distinct()
-    f = spread(docs, ["doc_id"], "w", "t").join(F.broadcast(words.limit(100_000)), "t", "left_semi")
-    df = f.groupBy("t").agg(F.count("*").alias("df"))
-    n = table(spark, d, "documents").count()
-    return f.join(df, "t").join(q, "t").groupBy("item_id", "doc_id").agg(F.round(F.sum(1 / (1 + F.col("df") / n)), 5).alias("score"))
-
-
 @query("""SELECT doc_id, round(least(1.0, len(list_filter(['license', 'version', 'mit'], lambda t: contains(lower(text), t))) / 3.0 + CASE WHEN contains(lower(string_split(text, chr(10))[1]), 'the') THEN 0.2 ELSE 0 END), 3) AS relevance FROM documents""")
 def r15_r16_feed_relevance(spark, d):
     terms = F.array(*[F.lit(t) for t in ("license", "version", "mit")])
