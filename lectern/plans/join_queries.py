@@ -35,14 +35,6 @@ def j14_query_routing(spark, d):
     return r.groupBy("audience").agg(F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), ",").alias("sources"))
 
 
-@query("""SELECT c_nationkey AS document, CAST(round(sum(score * weight)) AS BIGINT) AS readiness, count(*) FILTER (WHERE score < 20) AS blocking FROM (
-SELECT c_nationkey, k, avg((c_custkey * k) % 101) AS score, k / 10.0 AS weight FROM customer, (VALUES (1), (2), (3), (4)) AS v(k) GROUP BY ALL) GROUP BY c_nationkey""")
-def a21_readiness(spark, d):
-    k = table(spark, d, "customer").select("c_nationkey", "c_custkey", F.explode(F.array(*[F.lit(x) for x in (1, 2, 3, 4)])).alias("k"))
-    s = k.groupBy("c_nationkey", "k").agg(F.avg((F.col("c_custkey") * F.col("k")) % 101).alias("score"))
-    return s.groupBy(F.col("c_nationkey").alias("document")).agg(F.round(F.sum(F.col("score") * F.col("k") / 10)).cast("long").alias("readiness"), F.count_if(F.col("score") < 20).alias("blocking"))
-
-
 @query("SELECT o_custkey AS document, o_orderkey AS provision, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS number FROM orders")
 def w09_numbering(spark, d):
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
@@ -136,21 +128,6 @@ def u05_evidence_order(spark, d):
     return g.select("claim_id", F.array_join(F.transform(P.shuffled(F.col("a"), F.col("claim_id").cast("string")), lambda x: x.cast("string")), ",").alias("evidence_order"))
 
 
-@query(f"""SELECT claim_id, family, count(*) AS n, count(*) FILTER (WHERE flipped) AS changed FROM (SELECT p.claim_id, p.family, p.flipped <> b.flipped AS flipped FROM {sql_view('runs')} p JOIN (SELECT claim_id, bool_and(flipped) AS flipped FROM {sql_view('runs')} WHERE family = 1 GROUP BY claim_id) b ON p.claim_id = b.claim_id WHERE p.family <> 1 AND p.applied) GROUP BY ALL""")
-def u06_run_suite(spark, d):
-    r = view(spark, d, "runs")
-    base = r.where("family = 1").groupBy("claim_id").agg(F.bool_and("flipped").alias("base"))
-    return r.where("family <> 1 and applied").join(base, "claim_id").groupBy("claim_id", "family").agg(F.count("*").alias("n"), F.count_if(F.col("flipped") != F.col("base")).alias("changed"))
-
-
-@query(f"""SELECT claim_id, round(least(1, greatest(0, 0.65 * least(1, n / 120.0) + 0.35 * least(1, f / 6.0) - 0.12 * (6 - least(f, 6)))), 6) AS confidence FROM (SELECT claim_id, count(*) AS n, count(DISTINCT family) AS f FROM {sql_view('runs')} WHERE applied GROUP BY claim_id)""")
-def u08_neutrality_confidence(spark, d):
-    g = view(spark, d, "runs").where("applied").groupBy("claim_id").agg(F.count("*").alias("n"), F.countDistinct("family").alias("f"))
-    one = lambda c: F.least(F.lit(1.0), c)
-    raw = 0.65 * one(F.col("n") / 120) + 0.35 * one(F.col("f") / 6) - 0.12 * (6 - F.least(F.col("f"), F.lit(6)))
-    return g.select("claim_id", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw)), 6).alias("confidence"))
-
-
 @query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'quote_too_short' WHEN 1 THEN 'quote_not_found' WHEN 2 THEN 'name_not_in_quote' END AS reason FROM documents WHERE n_chars > 0""")
 def q01_mention_grounding(spark, d):
     n = F.col("doc_id") % 4
@@ -159,20 +136,6 @@ def q01_mention_grounding(spark, d):
     return t.select("doc_id", P.grounding(t, "name", "action", "quote", "text").alias("reason"))
 
 
-@query(f"""WITH m AS (SELECT source, lang, sum(n_chars) AS mat, max(CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END) AS mentioned FROM documents GROUP BY ALL)
-SELECT lang, round(sum(CASE WHEN mentioned = 0 THEN mat ELSE 0 END)::DOUBLE / sum(mat), 6) AS omitted FROM m GROUP BY lang""")
-def n05_context_omission(spark, d):
-    m = table(spark, d, "documents").groupBy("source", "lang").agg(F.sum("n_chars").alias("mat"), F.max((F.col("doc_id") % 2 == 0).cast("int")).alias("mentioned"))
-    return m.groupBy("lang").agg(F.round(F.sum(F.when(F.col("mentioned") == 0, F.col("mat")).otherwise(0)) / F.sum("mat"), 6).alias("omitted"))
-
-
-@query(f"""SELECT lang, count(DISTINCT origin) AS origins, round(least(1 - power(2, -count(DISTINCT origin) / 2.5), CASE WHEN count(*) < 3 THEN 0.4 ELSE 1 END), 6) AS diversity FROM (SELECT lang, coalesce(derived_from, id) AS origin FROM {sql_view('articles')} WHERE id % 25 = 0) GROUP BY lang""")
-def n07_source_diversity(spark, d):
-    a = view(spark, d, "articles").where("id % 25 = 0").select("lang", F.coalesce("derived_from", "id").alias("origin"))
-    n = F.countDistinct("origin")
-    return a.groupBy("lang").agg(n.alias("origins"), F.round(F.least(1 - F.pow(F.lit(2.0), -n / 2.5), F.when(F.count("*") < 3, 0.4).otherwise(1.0)), 6).alias("diversity"))
-
-
 @query(f"""SELECT unnest({list(S.AXES)}) AS axis, 7::BIGINT AS n_axes""")
 def i05_axis_definitions(spark, d):
     return spark.createDataFrame([(a, len(S.AXES)) for a in S.AXES], "axis string, n_axes long")

@@ -46,23 +46,6 @@ def w06_w07_apportion(spark, d):
     return S.apportion(li, ["l_orderkey"], "q", F.lit(10.0), "l_linenumber", "share").select("l_orderkey", "l_linenumber", "share")
 
 
-_RULES = ", ".join(f"('{a}', '{n}', {s}, {b}, '{m}')" for a, n, s, b, m in S.AXIS_RULES)
-
-
-@query(f"""WITH r(axis, rule, sign, base, mechanism) AS (VALUES {_RULES}), p AS (SELECT *, amount / (SELECT max(o_totalprice) FROM orders) AS scale FROM {sql_view('provisions')}),
-x AS (SELECT document, axis, sign * base * (1 + 0.4 * scale) * CASE WHEN provision % 3 = 0 THEN 1.2 ELSE 1 END AS points FROM p JOIN r ON p.mechanism = r.mechanism WHERE provision % 50 = 0),
-t AS (SELECT document, axis, sum(points) AS raw, count(*) AS n FROM x GROUP BY ALL), g AS (SELECT * FROM (SELECT DISTINCT document FROM p), (SELECT unnest({list(S.AXES)}) AS axis))
-SELECT g.document, g.axis, CAST(greatest(-100, least(100, round(coalesce(raw, 0) / 10))) AS INT) AS score, coalesce(n, 0) AS n_parts, raw IS NULL AS unengaged FROM g LEFT JOIN t ON g.document = t.document AND g.axis = t.axis""")
-def i01_i02_i03_j07_impact_axes(spark, d):
-    p = view(spark, d, "provisions")
-    rules = spark.createDataFrame(S.AXIS_RULES, "axis string, rule string, sign int, base double, mechanism string")
-    most = p.agg(F.max("amount").alias("most"))
-    scaled = p.where("provision % 50 = 0").crossJoin(F.broadcast(most))
-    points = S.impact_points(scaled, rules, F.col("amount") / F.col("most"), F.col("provision") % 3 == 0)
-    axes = spark.createDataFrame([(a,) for a in S.AXES], "axis string")
-    return S.axis_scores(points, p.select("document").distinct(), axes)
-
-
 @query(f"""WITH f AS (SELECT unnest(range(7))::INT AS family), k AS (SELECT family, run, row_number() OVER (PARTITION BY family ORDER BY flipped DESC, run) AS k FROM {RUNS} WHERE applied)
 SELECT f.family, coalesce(runs, 0) AS runs, coalesce(flips, 0) AS flips, CASE WHEN runs > 0 THEN round(flips::DOUBLE / runs, 6) END AS flip_rate, coalesce(examples, '') AS examples FROM f
 LEFT JOIN (SELECT family, count(*) FILTER (WHERE applied) AS runs, count(*) FILTER (WHERE applied AND flipped) AS flips FROM {RUNS} GROUP BY family) n ON f.family = n.family
@@ -87,14 +70,6 @@ def u07_u09_health_gate(spark, d):
     return a.select("claim_id", S.health(f, c, F.col("fr"), F.col("e")).alias("health"), F.array_join(S.publish_reasons(f, c, F.col("n"), F.col("claim_id") % 5, F.lit(0)), "|").alias("reasons"))
 
 
-@query("""SELECT claim_id, family, variant, (claim_id * 31 + family * 7 + variant) % 5 AS pick FROM (SELECT DISTINCT conv_id AS claim_id FROM conversations), (SELECT unnest(range(6)) AS family), (SELECT unnest(range(2)) AS variant)""")
-def u01_perturbation_plan(spark, d):
-    c = table(spark, d, "conversations").select(F.col("conv_id").alias("claim_id")).distinct()
-    grid = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda k: F.struct((k / 2).cast("int").cast("long").alias("family"), (k % 2).cast("long").alias("variant")))
-    g = c.select("claim_id", F.explode(grid).alias("g")).select("claim_id", "g.family", "g.variant")
-    return g.withColumn("pick", (F.col("claim_id") * 31 + F.col("family") * 7 + F.col("variant")) % 5)
-
-
 _L = "[" + ", ".join(f"{{'t': '{t}', 'w': {w}::DOUBLE}}" for t, w in S.LOADED.items()) + "]"
 
 
@@ -111,13 +86,6 @@ def n02_certainty_inflation(spark, d):
     return S.certainty_inflation(li, "l_orderkey")
 
 
-@query(f"""SELECT lang, round(avg(CASE WHEN derived THEN 1.0 WHEN restating THEN 0.35 WHEN tier > 5 THEN 0.25 ELSE 0 END), 6) AS unsupported, round(avg(CASE WHEN contradicts THEN 1.0 ELSE 0 END), 6) AS opinion FROM {EVI} GROUP BY lang""")
-def n03_n04_shares(spark, d):
-    e = view(spark, d, "evidence")
-    w = F.when(F.col("derived"), 1.0).when(F.col("restating"), 0.35).when(F.col("tier") > 5, 0.25).otherwise(0.0)
-    return e.groupBy("lang").agg(F.round(F.avg(w), 6).alias("unsupported"), F.round(F.avg(F.col("contradicts").cast("double")), 6).alias("opinion"))
-
-
 @query(f"""WITH m AS (SELECT source, avg(CASE WHEN tier < 3 THEN 1.0 ELSE 0 END) AS a, CASE WHEN count(*) % 2 = 0 THEN avg(CASE WHEN derived THEN 1.0 ELSE 0 END) END AS b, avg(known_age) / 2000 AS c FROM {EVI} GROUP BY source)
 SELECT source, round((0.3 * a + coalesce(0.45 * b, 0) + coalesce(0.25 * c, 0)) / (0.3 + CASE WHEN b IS NULL THEN 0 ELSE 0.45 END + CASE WHEN c IS NULL THEN 0 ELSE 0.25 END), 6) AS score FROM m""")
 def n06_n08_known_parts(spark, d):
