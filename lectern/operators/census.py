@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from lectern.functions import text as T
 from lectern.operators.blocks import broadcast_blocks, union_all
@@ -23,7 +24,7 @@ def person_key(name: Column) -> Column:
     return F.array_join(words, " ")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def spelling_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Twice the matching characters over all characters."""
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])

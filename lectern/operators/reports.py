@@ -76,4 +76,4 @@ def axis_confidence(points: DataFrame, grid: DataFrame) -> DataFrame:
     mixed = (neg > 0) & (neg < n)
     value = 0.25 + F.least(F.lit(0.2), 0.05 * n) + F.least(F.lit(0.2), 0.07 * c) + F.when(lex == n, -0.15).when(lex == 0, 0.1).otherwise(0.0) - F.when(mixed, 0.1).otherwise(0.0)
     limiting = F.when(n.isNull(), "not_engaged").when(lex == n, "wording_alone").when(c == 0, "not_corroborated").when(mixed, "signs_disagree")
-    return grid.join(h, ["document", "axis"], "left").select("document", "axis", F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(0.85), F.round(value, 3))), F.lit(0.0)).alias("confidence"), limiting.alias("limiting"))
+    return grid.join(h, ["document", "axis"], "left").select("document", "axis", F.when(n.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(0.85), F.round(value, 3)))).alias("confidence"), limiting.alias("limiting"))

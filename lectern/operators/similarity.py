@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType
 from pyspark.sql.window import Window
 
+from lectern.functions.arrays import spread
+from lectern.operators.graph import cut_lineage
+
 LN2 = 0.6931471805599453
 # Days after which evidence for each kind of question counts half.
 HALF_LIFE = {"causal": 1460, "impact": 730, "fiscal": 365, "legal": 1825, "other": 540}
@@ -26,20 +32,57 @@ def tfidf(features: DataFrame, id_col: str, term_col: str, total: int, highest_s
     return weighted.withColumn("w", F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(own))).select(id_col, term_col, "w")
 
 
-def sparse_cosine(vectors: DataFrame, id_col: str, term_col: str, most_common: int = 400) -> DataFrame:
-    """(l, r, cosine) of all pairs that share a term of at most `most_common` documents; other terms count once a pair is there.
+def vector_classes(vectors: DataFrame, id_col: str, term_col: str) -> DataFrame:
+    """(id, rep): ids with equal vectors form a class, named by its least id; a vector is known by two sums of term hashes and weights."""
+    h = lambda seed: F.sum(F.xxhash64(F.lit(seed), F.col(term_col), F.round("w", 9)).cast("decimal(38,0)"))
+    keyed = cut_lineage(vectors.groupBy(id_col).agg(h(1).alias("h1"), h(2).alias("h2")))
+    reps = cut_lineage(keyed.groupBy("h1", "h2").agg(F.min(id_col).alias("rep")))
+    return cut_lineage(keyed.join(reps, ["h1", "h2"]).select(F.col(id_col).alias("id"), "rep"))
+
 
-    Rare terms propose pairs, and the shared part of the whole vectors decides,
-    so a term that a third of all documents has proposes none.
+def sparse_cosine(vectors: DataFrame, id_col: str, term_col: str, least: float) -> DataFrame:
+    """(l, r, cosine) of all pairs that reach `least`; vectors must have length one. No term is too common.
+
+    All terms are in one order, rarest first. A vector's prefix ends where the
+    length of what is left falls under `least`: a pair that shares nothing of a
+    prefix has a smaller cosine, so two vectors that reach it share a term that
+    is in the prefixes of both. Common terms stand late and rarely propose pairs.
     """
-    n = vectors.groupBy(term_col).agg(F.count("*").alias("n")).where(F.col("n").between(2, most_common)).select(term_col)
-    rare = vectors.join(n, term_col).select(term_col, id_col)
-    a, b = rare.select(term_col, F.col(id_col).alias("l")), rare.select(term_col, F.col(id_col).alias("r"))
+    df = vectors.groupBy(term_col).agg(F.count("*").alias("df"))
+    own = Window.partitionBy(id_col).orderBy("df", term_col)
+    ranked = vectors.join(df, term_col).withColumn("before", F.coalesce(F.sum(F.col("w") * F.col("w")).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    prefix = ranked.where((F.col("df") > 1) & (1 - F.col("before") >= least * least - 1e-9)).select(term_col, id_col)
+    a, b = prefix.select(term_col, F.col(id_col).alias("l")), prefix.select(term_col, F.col(id_col).alias("r"))
     pairs = a.join(b, term_col).where("l < r").select("l", "r").distinct()
     bags = vectors.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct(term_col, "w"))).alias("bag"))
     met = pairs.join(bags.select(F.col(id_col).alias("l"), F.col("bag").alias("x")), "l").join(bags.select(F.col(id_col).alias("r"), F.col("bag").alias("y")), "r")
-    dot = F.aggregate(F.map_entries("x"), F.lit(0.0), lambda acc, e: acc + e["value"] * F.coalesce(F.try_element_at(F.col("y"), e["key"]), F.lit(0.0)))
-    return met.select("l", "r", dot.alias("cosine"))
+    return met.select("l", "r", sparse_dot(F.col("x"), F.col("y")).alias("cosine")).where(F.col("cosine") >= least)
+
+
+@F.pandas_udf(DoubleType())
+def sparse_dot(x: pd.Series, y: pd.Series) -> pd.Series:
+    """Sum of the products of the weights that two maps share."""
+    out = []
+    for a, b in zip(x, y, strict=True):
+        a, b = dict(a), dict(b)
+        if len(b) < len(a):
+            a, b = b, a
+        out.append(float(sum(w * b[t] for t, w in a.items() if t in b)))
+    return pd.Series(out, dtype="float64")
+
+
+def top_terms(vectors: DataFrame, cluster: str, term_col: str, top: int = 4) -> DataFrame:
+    """The terms with most weight in each cluster; ranked after a sum that combines early."""
+    g = vectors.groupBy(cluster, term_col).agg(F.round(F.sum("w"), 4).alias("weight"))
+    return g.withColumn("rank", F.row_number().over(Window.partitionBy(cluster).orderBy(F.desc("weight"), term_col)).cast("long")).where(F.col("rank") <= top)
+
+
+def overlaps(sets: DataFrame, id_col: str, set_col: str) -> DataFrame:
+    """(l, r, overlap, coverage) of all pairs that share an element: part of the smaller set, and of the left one."""
+    flat = spread(sets.withColumn("n", F.size(set_col)), [id_col, "n"], set_col, "t")
+    a, b = flat.select("t", F.col(id_col).alias("l"), F.col("n").alias("nl")), flat.select("t", F.col(id_col).alias("r"), F.col("n").alias("nr"))
+    m = a.join(b, "t").where("l < r").groupBy("l", "r").agg(F.count("*").alias("both"), F.first("nl").alias("nl"), F.first("nr").alias("nr"))
+    return m.select("l", "r", (F.col("both") / F.least("nl", "nr")).alias("overlap"), (F.col("both") / F.col("nl")).alias("coverage"))
 
 
 def bag_cosine(a: Column, b: Column) -> Column:
@@ -89,8 +132,24 @@ def total_variation(mixes: DataFrame, group: list[str], key: str, p: str, q: str
 
 
 def minhash(hashes: Column, width: int = 128) -> Column:
-    """Least rehash of the set for each of `width` seeds; nulls for an empty set."""
-    return F.transform(F.sequence(F.lit(1), F.lit(width)), lambda k: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, k))))
+    """Least rehash of the set (array of longs) for each of `width` seeds; null for an empty set."""
+
+    @F.pandas_udf("array<long>")
+    def sign(sets: pd.Series) -> pd.Series:
+        seeds = np.random.default_rng(7).integers(1, 2**63, (2, width), dtype=np.int64).view(np.uint64)
+
+        def one(s):
+            if s is None or not len(s):
+                return None
+            out = np.full(width, np.iinfo(np.uint64).max, np.uint64)
+            for lo in range(0, len(s), 4096):  # long sets in pieces, so that memory stays small
+                h = np.asarray(s[lo : lo + 4096], np.int64).view(np.uint64)[:, None] * (seeds[0] | np.uint64(1)) + seeds[1]
+                out = np.minimum(out, (h ^ (h >> np.uint64(29))).min(axis=0))
+            return out.view(np.int64).tolist()
+
+        return sets.map(one)
+
+    return sign(hashes)
 
 
 def minhash_estimate(a: Column, b: Column) -> Column:
@@ -102,15 +161,55 @@ def lsh_bands(signature: Column, rows: int = 4) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), lambda b: F.xxhash64(b, F.slice(signature, b * rows + 1, F.lit(rows))))
 
 
+def lsh_pairs(signatures: DataFrame, rows: int = 4, most: int = 400) -> tuple[DataFrame, DataFrame]:
+    """(l, r) that share a band of their signatures (id, sig), and the ids of the buckets too large for pairs.
+
+    Equal signatures stand for one item (see vector_classes for the others). The
+    members of buckets of more than `most` are returned for an exact way.
+    """
+    b = spread(signatures, ["id"], lsh_bands(F.col("sig"), rows), "band")
+    sizes = b.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    b = b.join(sizes, "band")
+    small = b.where(F.col("n") <= most)
+    pairs = small.select("band", F.col("id").alias("l")).join(small.select("band", F.col("id").alias("r")), "band").where("l < r").select("l", "r").distinct()
+    return pairs, b.where(F.col("n") > most).select("id").distinct()
+
+
+def _bits(values: np.ndarray) -> np.ndarray:
+    return (values.view(np.uint64)[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
+
+
+@F.pandas_udf(LongType())
+def _simhash(runs: pd.Series) -> pd.Series:
+    def one(hashes):
+        if hashes is None or not len(hashes):
+            return 0
+        total = np.zeros(64, np.int64)
+        for lo in range(0, len(hashes), 8192):
+            bits = _bits(np.asarray(hashes[lo : lo + 8192], np.int64))
+            total += 2 * bits.sum(axis=0).astype(np.int64) - len(bits)
+        return int(np.packbits(total > 0, bitorder="little").view("<i8")[0])
+
+    return runs.map(one).astype("int64")
+
+
+def token_runs(tokens: Column, gram: int = 3) -> Column:
+    """Hashes of runs of `gram` tokens, each as often as it occurs; fewer tokens are one run.
+
+    Neighbours are paired by shifted copies: a computed array inside a lambda
+    would be computed again for every element.
+    """
+    words = F.transform(tokens, lambda w: F.xxhash64(w))
+    runs = words
+    for k in range(1, gram):
+        runs = F.zip_with(runs, F.slice(words, F.lit(1 + k), F.greatest(F.size(words) - k, F.lit(0))), lambda a, b: F.xxhash64(a, b))
+    whole = F.array(F.aggregate(words, F.lit(0).cast("long"), lambda acc, x: F.xxhash64(acc, x)))
+    return F.when(F.size(tokens) >= gram, F.slice(runs, F.lit(1), F.size(words) - (gram - 1))).when(F.size(tokens) > 0, whole).otherwise(F.array().cast("array<long>"))
+
+
 def simhash(tokens: Column, gram: int = 3) -> Column:
-    """Sixty-four signs of summed hash bits over token runs, each as often as it occurs."""
-    size = F.least(F.lit(gram), F.greatest(F.size(tokens), F.lit(1)))
-    runs = F.transform(F.sequence(F.lit(1), F.size(tokens) - size + 1), lambda i: F.xxhash64(F.array_join(F.slice(tokens, i, size), " ")))
-    bit = lambda b: F.aggregate(runs, F.lit(0), lambda acc, h: acc + F.when(F.getbit(h, b) == 1, 1).otherwise(-1))
-    value = F.lit(0).cast("long")
-    for b in range(64):
-        value = value.bitwiseOR(F.when(bit(F.lit(b)) > 0, F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
-    return F.when(F.size(tokens) > 0, value).otherwise(F.lit(0).cast("long"))
+    """Sixty-four signs of summed hash bits over token runs; 0 without tokens."""
+    return _simhash(token_runs(tokens, gram))
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -125,8 +224,16 @@ def dense_cosine(a: Column, b: Column) -> Column:
 
 def hashed_embedding(tokens: Column, size: int = 64) -> Column:
     """Signed counts in hashed cells, of length one; zeros without tokens."""
-    at = lambda t: F.pmod(F.xxhash64(t), F.lit(size))
-    sign = lambda t: F.when(F.pmod(F.xxhash64(t, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    raw = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda c: F.aggregate(tokens, F.lit(0.0), lambda acc, t: acc + F.when(at(t) == c, sign(t)).otherwise(0.0)))
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.transform(raw, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+
+    @F.pandas_udf("array<double>")
+    def embed(cells: pd.Series, signs: pd.Series) -> pd.Series:
+        def one(c, s):
+            raw = np.bincount(np.asarray(c, np.int64), np.asarray(s, float), size) if len(c) else np.zeros(size)
+            norm = np.sqrt((raw**2).sum())
+            return (raw / norm if norm else raw).tolist()
+
+        return pd.Series([one(c, s) for c, s in zip(cells, signs, strict=True)])
+
+    cells = F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(size)))
+    signs = F.transform(tokens, lambda t: F.when(F.pmod(F.xxhash64(t, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0))
+    return embed(F.coalesce(cells, F.array().cast("array<long>")), F.coalesce(signs, F.array().cast("array<double>")))

@@ -78,10 +78,11 @@ def x05_percents(spark, d):
     return t.select("doc_id", F.explode(X.percents(F.col("text"))).alias("p")).select("doc_id", "p.kind", F.round("p.value", 9).alias("value"))
 
 
-@query("SELECT doc_id, CAST(1800 + doc_id % 400 AS VARCHAR) || CASE WHEN 1800 + doc_id % 400 <> 2024 THEN CASE WHEN 1800 + doc_id % 400 < 2024 THEN '|2024' ELSE '' END ELSE '' END AS years FROM documents WHERE 1800 + doc_id % 400 <= 2024")
+@query("""WITH y AS (SELECT doc_id, 1800 + n_chars % 400 AS y, regexp_extract_all(regexp_replace(text, '([^0-9]+)', ' ', 'g'), '[0-9]+') AS t FROM documents)
+SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat([2024, y], list_transform(list_filter(t, lambda x: length(x) = 4 AND x BETWEEN '1800' AND '2199'), lambda x: x::INT)))), '|') AS years FROM y""")
 def x07_years(spark, d):
-    phrase = F.concat(F.lit("in 2024, not 12024 or 20245, since "), (F.lit(1800) + F.col("doc_id") % 400).cast("string"), F.lit("."))
-    t = table(spark, d, "documents").where("1800 + doc_id % 400 <= 2024").select("doc_id", phrase.alias("text"))
+    phrase = F.concat(F.lit("in 2024, not 12024 or 20245, since "), (F.lit(1800) + F.col("n_chars") % 400).cast("string"), F.lit(". "), "text")
+    t = table(spark, d, "documents").select("doc_id", phrase.alias("text"))
     return t.select("doc_id", F.array_join(F.transform(X.years(F.col("text")), lambda y: y.cast("string")), "|").alias("years"))
 
 

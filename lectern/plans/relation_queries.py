@@ -12,6 +12,7 @@ from lectern.operators import cluster as C
 from lectern.operators import graph as R
 from lectern.operators import independence as I
 from lectern.operators import similarity as S
+from lectern.operators.graph import cut_lineage
 from lectern.plans._query import query, table
 from lectern.plans.views import sql_view, view
 
@@ -90,35 +91,39 @@ def c06_c07_chains(spark, d):
     return g.select("source", "lang", I.chain_kind(n, n % 2 == 0, n % 5 == 0, n % 3 == 0).alias("kind"), I.chain_confidence(n % 2 == 0, n % 3 == 0, n % 5 == 0, n % 7 == 0).alias("confidence"))
 
 
-def _terms(spark, d, group="text"):
-    t = table(spark, d, "benchmark").select("item_id", G.features(G.comparison_tokens(F.col(group))).alias("f"))
-    return spread(t, ["item_id"], "f", "term")
+def _terms(spark, d):
+    t = table(spark, d, "documents").select("doc_id", G.features(G.comparison_tokens(F.col("text"))).alias("f"))
+    return spread(t, ["doc_id"], "f", "term")
+
+
+def _vectors(spark, d):
+    return S.tfidf(_terms(spark, d), "doc_id", "term", table(spark, d, "documents").count())
 
 
 TFIDF_SQL = f"""
-w AS (SELECT item_id, list_filter({TOKENS}, lambda w: length(w) >= 3 AND NOT regexp_matches(w, '^[0-9]{{1,2}}$')) AS w FROM benchmark),
-o AS (SELECT item_id, unnest(list_concat(w, [w[i] || '_' || w[i + 1] for i in range(1, len(w))])) AS term FROM w),
-n AS (SELECT count(*) AS n FROM benchmark),
-c AS (SELECT item_id, term, count(*) AS c FROM o GROUP BY ALL),
+w AS (SELECT doc_id, list_filter({TOKENS}, lambda w: length(w) >= 3 AND NOT regexp_matches(w, '^[0-9]{{1,2}}$')) AS w FROM documents),
+o AS (SELECT doc_id, unnest(list_concat(w, [w[i] || '_' || w[i + 1] for i in range(1, len(w))])) AS term FROM w),
+n AS (SELECT count(*) AS n FROM documents),
+c AS (SELECT doc_id, term, count(*) AS c FROM o GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM c GROUP BY term),
 k AS (SELECT c.*, df.df FROM c JOIN df USING (term), n WHERE df.df::DOUBLE / n.n <= 0.85),
-x AS (SELECT item_id, term, (0.5 + 0.5 * c / max(c) OVER (PARTITION BY item_id)) * (ln((1 + n.n)::DOUBLE / (1 + df)) + 1) AS raw FROM k, n),
-v AS (SELECT item_id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY item_id)) AS w FROM x)
+x AS (SELECT doc_id, term, (0.5 + 0.5 * c / max(c) OVER (PARTITION BY doc_id)) * (ln((1 + n.n)::DOUBLE / (1 + df)) + 1) AS raw FROM k, n),
+v AS (SELECT doc_id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)) AS w FROM x)
 """
 
 
-@query(f"WITH {TFIDF_SQL} SELECT item_id, term, round(w, 6) AS w FROM v")
+@query(f"WITH {TFIDF_SQL} SELECT doc_id, term, round(w, 6) AS w FROM v")
 def a01_a02_tfidf(spark, d):
-    t = _terms(spark, d)
-    return S.tfidf(t, "item_id", "term", table(spark, d, "benchmark").count()).select("item_id", "term", _r(F.col("w")).alias("w"))
+    return _vectors(spark, d).select("doc_id", "term", _r(F.col("w")).alias("w"))
 
 
-@query(f"""WITH {TFIDF_SQL}, rare AS (SELECT term FROM v GROUP BY term HAVING count(*) BETWEEN 2 AND 400),
-p AS (SELECT DISTINCT a.item_id AS l, b.item_id AS r FROM v a JOIN rare USING (term) JOIN v b ON a.term = b.term AND a.item_id < b.item_id)
-SELECT p.l, p.r, round(sum(a.w * b.w), 5) AS cosine FROM p JOIN v a ON a.item_id = p.l JOIN v b ON b.item_id = p.r AND a.term = b.term GROUP BY p.l, p.r""")
+@query(f"""WITH {TFIDF_SQL}, key AS (SELECT doc_id, md5(string_agg(term || ':' || round(w, 9), ' ' ORDER BY term)) AS k FROM v GROUP BY doc_id), rep AS (SELECT min(doc_id) AS doc_id FROM key GROUP BY k), m AS MATERIALIZED (SELECT v.* FROM v JOIN rep USING (doc_id))
+SELECT l, r, round(cosine, 5) AS cosine FROM (SELECT a.doc_id AS l, b.doc_id AS r, sum(a.w * b.w) AS cosine FROM m a JOIN m b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY ALL) WHERE cosine >= 0.5""")
 def m09_j03_cosine_pairs(spark, d):
-    v = S.tfidf(_terms(spark, d), "item_id", "term", table(spark, d, "benchmark").count())
-    return S.sparse_cosine(v, "item_id", "term").select("l", "r", _r(F.col("cosine"), 5).alias("cosine"))
+    """All pairs of different vectors from 0.5 on; equal vectors are one, named by the least id."""
+    v = cut_lineage(_vectors(spark, d))
+    reps = S.vector_classes(v, "doc_id", "term").select(F.col("rep").alias("doc_id")).distinct()
+    return S.sparse_cosine(v.join(reps, "doc_id", "left_semi"), "doc_id", "term", 0.5).select("l", "r", _r(F.col("cosine"), 5).alias("cosine"))
 
 
 @query(f"""WITH c AS (SELECT conv_id, turn, text, list_filter(list_transform(regexp_extract_all(text, '\\p{{L}}+|[0-9]+(?:[.,][0-9]+)?'), lambda w: lower(w)), lambda w: NOT list_contains({G.sql_list(G.EXPLANATION_STOPWORDS)}, w)) AS t FROM conversations),
@@ -159,29 +164,27 @@ def m14_total_variation(spark, d):
 
 @query(f"""WITH t AS (SELECT item_id, {G.sql_list([])}::VARCHAR[] AS none, list_distinct(regexp_extract_all({T.sql_fold('text')}, '[a-z0-9]+')) AS w FROM benchmark)
 SELECT a.item_id AS l, b.item_id AS r, round(len(list_intersect(a.w, b.w))::DOUBLE / least(len(a.w), len(b.w)), 6) AS overlap, round(len(list_intersect(a.w, b.w))::DOUBLE / len(a.w), 6) AS coverage
-FROM t a JOIN t b ON a.item_id % 7 = b.item_id % 7 AND a.item_id < b.item_id""")
+FROM t a JOIN t b ON a.item_id < b.item_id WHERE len(list_intersect(a.w, b.w)) > 0""")
 def m03_m04_overlaps(spark, d):
     t = table(spark, d, "benchmark").select("item_id", F.array_distinct(F.regexp_extract_all(T.fold(F.col("text")), F.lit("[a-z0-9]+"), F.lit(0))).alias("w"))
-    a, b = t.alias("a"), t.alias("b")
-    p = a.join(b, (F.col("a.item_id") % 7 == F.col("b.item_id") % 7) & (F.col("a.item_id") < F.col("b.item_id")))
-    x, y = F.col("a.w"), F.col("b.w")
-    return p.select(F.col("a.item_id").alias("l"), F.col("b.item_id").alias("r"), _r(G.containment(x, y)).alias("overlap"), _r(G.coverage(x, y)).alias("coverage"))
+    return S.overlaps(t, "item_id", "w").select("l", "r", _r(F.col("overlap")).alias("overlap"), _r(F.col("coverage")).alias("coverage"))
 
 
 @query()
 def m05_m06_minhash(spark, d):
-    t = table(spark, d, "benchmark").select("item_id", G.shingle_hashes(G.comparison_tokens(F.col("text")), 5).alias("s"))
-    s = t.select("item_id", S.minhash(F.col("s")).alias("sig"))
-    b = spread(s, ["item_id", "sig"], S.lsh_bands(F.col("sig")), "band")
-    n = b.groupBy("band").agg(F.count("*").alias("n")).where("n between 2 and 400").select("band")
-    b = b.join(n, "band")
-    p = b.select("band", F.col("item_id").alias("l"), F.col("sig").alias("x")).join(b.select("band", F.col("item_id").alias("r"), F.col("sig").alias("y")), "band").where("l < r")
-    return p.select("l", "r", S.minhash_estimate(F.col("x"), F.col("y")).alias("estimate")).distinct()
+    """Pairs of articles that share a band, with the estimate; articles with equal shingles are one, and crowded bands are met exactly."""
+    prints = I.fingerprints(view(spark, d, "articles"))
+    prints = cut_lineage(prints.join(I.shingle_classes(prints).where("id = rep").select("id"), "id", "left_semi"))
+    sig = cut_lineage(prints.select("id", S.minhash(F.col("s")).alias("sig")))
+    pairs, crowded = S.lsh_pairs(sig)
+    pairs = pairs.union(I.candidate_pairs(prints.select("id", "s").join(crowded, "id", "left_semi"))).distinct()
+    met = pairs.join(sig.toDF("l", "x"), "l").join(sig.toDF("r", "y"), "r")
+    return met.select("l", "r", S.minhash_estimate(F.col("x"), F.col("y")).alias("estimate"))
 
 
 @query()
 def m07_simhash(spark, d):
-    t = table(spark, d, "benchmark").select("item_id", S.simhash(G.comparison_tokens(F.col("text"))).alias("simhash"))
+    t = table(spark, d, "documents").select("doc_id", S.simhash(G.comparison_tokens(F.col("text"))).alias("simhash"))
     return t.withColumn("bits", F.bit_count("simhash"))
 
 
@@ -192,9 +195,8 @@ def m08_hamming(spark, d):
 
 @query()
 def m17_hashed_embedding(spark, d):
-    t = table(spark, d, "benchmark").select("item_id", S.hashed_embedding(G.comparison_tokens(F.col("text"))).alias("v"))
-    cells = F.transform("v", lambda x, i: F.struct(i.alias("cell"), F.round(x, 6).alias("value")))
-    return spread(t, ["item_id"], cells, "x").select("item_id", "x.cell", "x.value")
+    t = table(spark, d, "documents").select("doc_id", S.hashed_embedding(G.comparison_tokens(F.col("text"))).alias("v"))
+    return t.select("doc_id", F.transform("v", lambda x: F.round(x, 6)).alias("embedding"))
 
 
 @query("""WITH q AS (SELECT * FROM embeddings WHERE vec_id % 50 = 0), s AS (
@@ -207,9 +209,15 @@ def q09_cosine_search(spark, d):
 
 @query()
 def c01_c02_average_linkage(spark, d):
-    v = S.tfidf(_terms(spark, d), "item_id", "term", table(spark, d, "benchmark").count())
-    sims = S.sparse_cosine(v, "item_id", "term")
-    return C.average_linkage(table(spark, d, "benchmark").select(F.col("item_id").alias("id")), sims, threshold=0.12)
+    return C.cluster_vectors(cut_lineage(_vectors(spark, d)), "doc_id", "term", 0.34)
+
+
+@query()
+def c03_cluster_claims(spark, d):
+    """What is said in conversations, by words alone."""
+    c = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("claim_id"), G.features(G.comparison_tokens(F.col("text"))).alias("f"))
+    v = S.tfidf(spread(c, ["claim_id"], "f", "term"), "claim_id", "term", c.count())
+    return C.cluster_vectors(cut_lineage(v), "claim_id", "term", 0.2).withColumnRenamed("id", "claim_id")
 
 
 @query("""WITH t AS (SELECT label, unnest([1, 2, 3]) AS k, vec_id FROM embeddings), m AS (SELECT label, min(vec_id) AS first, count(*) AS n FROM embeddings GROUP BY label)
@@ -220,29 +228,27 @@ def c04_k04_cluster_ids(spark, d):
     return m.select("label", T.make_id("cluster", F.col("first").cast("string")).alias("cluster"), "n", rank.cast("long").alias("rank"))
 
 
-@query(f"""WITH {TFIDF_SQL}, g AS (SELECT item_id % 5 AS cluster, term, sum(w) AS s FROM v GROUP BY ALL)
-SELECT cluster, term, round(s, 5) AS weight, rank FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(s, 5) DESC, term) AS rank FROM g) WHERE rank <= 4""")
+@query(f"""WITH {TFIDF_SQL}, g AS (SELECT lang AS cluster, term, sum(w) AS s FROM v JOIN documents USING (doc_id) GROUP BY ALL)
+SELECT cluster, term, round(s, 4) AS weight, rank FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(s, 4) DESC, term) AS rank FROM g) WHERE rank <= 4""")
 def k05_top_terms(spark, d):
-    v = S.tfidf(_terms(spark, d), "item_id", "term", table(spark, d, "benchmark").count())
-    g = v.groupBy((F.col("item_id") % 5).alias("cluster"), "term").agg(_r(F.sum("w"), 5).alias("weight"))
-    return g.withColumn("rank", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("weight"), "term")).cast("long")).where("rank <= 4")
+    v = _vectors(spark, d).join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    return S.top_terms(v, "lang", "term", 4).withColumnRenamed("lang", "cluster")
 
 
-@query("""WITH s AS (SELECT a.vec_id AS l, b.vec_id AS r, a.label AS la, b.label AS lb, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c
-  FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.vec_id % 25 = b.vec_id % 25)
-SELECT label, round(avg(CASE WHEN la = lb THEN c END), 5) AS cohesion, round(max(CASE WHEN la <> lb THEN c END), 5) AS separation FROM
-(SELECT la AS label, la, lb, c FROM s UNION ALL SELECT lb, la, lb, c FROM s WHERE la <> lb) GROUP BY label""")
+@query("""WITH u AS (SELECT label, vec_id, unnest(range(len(embedding))) AS i, unnest(list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y))))) AS x FROM embeddings),
+g AS (SELECT label, i, sum(x) AS s, sum(x * x) AS q, count(*) AS n FROM u GROUP BY ALL), c AS (SELECT label, max(n) AS n, round(CASE WHEN max(n) > 1 THEN (sum(s * s) - sum(q)) / (max(n) * (max(n) - 1)) ELSE 1 END, 5) AS cohesion FROM g GROUP BY label),
+p AS (SELECT a.label, max(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS s FROM embeddings a JOIN embeddings b ON a.label <> b.label GROUP BY a.label)
+SELECT c.label, n, cohesion, round(coalesce(s, 0), 5) AS separation FROM c LEFT JOIN p ON c.label = p.label""")
 def w08_cohesion(spark, d):
     e = table(spark, d, "embeddings")
-    a, b = e.alias("a"), e.alias("b")
-    s = a.join(b, (F.col("a.vec_id") < F.col("b.vec_id")) & (F.col("a.vec_id") % 25 == F.col("b.vec_id") % 25))
-    return C.cohesion(s.select(F.col("a.label").alias("la"), F.col("b.label").alias("lb"), S.dense_cosine(F.col("a.embedding"), F.col("b.embedding")).alias("c")))
+    return C.cohesion(e, "label", "embedding").join(C.separation(e, "label", "embedding"), "label")
 
 
-@query("""WITH o AS (SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n FROM events WHERE event_id % 40 = 0 GROUP BY user_id)
-SELECT user_id, n, CAST((epoch(last) - epoch(first)) / 60 AS BIGINT) AS span_min FROM o WHERE n >= 2 AND epoch(last) - epoch(first) <= 36 * 3600 * 10""")
+@query("""WITH o AS (SELECT user_id, props, min(ts) AS first, max(ts) AS last, count(*) AS n FROM events GROUP BY ALL)
+SELECT user_id || ' ' || props AS grp, n, CAST((epoch(last) - epoch(first)) / 60 AS BIGINT) AS span_min FROM o WHERE n >= 2 AND epoch(last) - epoch(first) <= 36 * 3600""")
 def w05_detect_events(spark, d):
-    return C.detect_events(table(spark, d, "events").where("event_id % 40 = 0"), "user_id", "ts", hours=360)
+    e = table(spark, d, "events").withColumn("grp", F.concat_ws(" ", F.col("user_id").cast("string"), "props"))
+    return C.detect_events(e, "grp", "ts", hours=36)
 
 
 @query(f"""WITH a AS (SELECT item_id, list_distinct(regexp_extract_all({T.sql_fold('text')}, '[a-z0-9]+')) AS w FROM benchmark WHERE item_id >= 10),
