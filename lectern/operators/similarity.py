@@ -111,8 +111,10 @@ def temporal(hours: Column) -> Column:
 
 
 def recency(days: Column, kind: Column) -> Column:
+    """Half for every half-life of the kind; an unknown age is a half."""
     life = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in HALF_LIFE.items() for x in kv]), kind), F.lit(HALF_LIFE["other"]))
-    return F.coalesce(F.exp(F.lit(-LN2) * F.greatest(days, F.lit(0)) / life), F.lit(0.5))
+    # greatest() skips nulls, so an unknown age is decided first
+    return F.when(days.isNull(), 0.5).otherwise(F.exp(F.lit(-LN2) * F.greatest(days, F.lit(0)) / life))
 
 
 def saturation(rate: Column, half: float) -> Column:

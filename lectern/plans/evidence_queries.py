@@ -46,7 +46,7 @@ CORROBORATION = """ca AS (SELECT claim_id, count(DISTINCT source) FILTER (WHERE
 cor AS (SELECT ev, alls - counted AS sources FROM es JOIN ca ON es.claim_id = ca.claim_id JOIN co ON es.claim_id = co.claim_id AND es.source = co.source)"""
 RANKED = f"""{TOPICAL}, {FEATURES}, {CORROBORATION},
 pa AS (SELECT es.ev, es.claim_id, es.source, tier, kind, restating, topical, specificity, n_figures, age_days, sources, {_aff} AS affinity, {_inc} AS incapable FROM es JOIN qs ON es.claim_id = qs.claim_id JOIN top ON es.ev = top.ev JOIN ft ON es.ev = ft.ev JOIN cor ON es.ev = cor.ev),
-pb AS (SELECT *, CASE WHEN {_factor} > 0 THEN round(least(1, n_figures / 3.0) * {_factor}, 6) END AS quantitative, round(coalesce(exp(-0.6931471805599453 * greatest(age_days, 0) / {_life}), 0.5), 6) AS recency, round(least(1, sources / 3.0), 6) AS corroboration FROM pa),
+pb AS (SELECT *, CASE WHEN {_factor} > 0 THEN round(least(1, n_figures / 3.0) * {_factor}, 6) END AS quantitative, round(CASE WHEN age_days IS NULL THEN 0.5 ELSE exp(-0.6931471805599453 * greatest(age_days, 0) / {_life}) END, 6) AS recency, round(least(1, sources / 3.0), 6) AS corroboration FROM pa),
 pc AS (SELECT *, 90 + CASE WHEN quantitative IS NULL THEN 0 ELSE 10 END AS weight, 30 * affinity + 22 * topical + 12 * specificity + coalesce(10 * quantitative, 0) + 10 * recency + 16 * corroboration AS points FROM pb WHERE NOT (topical < 0.02 AND affinity < 0.3)),
 pd AS (SELECT *, round(points * 100 / weight * CASE WHEN incapable THEN 0.2 ELSE 1 END * CASE WHEN restating THEN 0.65 ELSE 1 END, 4) AS score FROM pc),
 k AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, ev) AS rank FROM pd)"""

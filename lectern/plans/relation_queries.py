@@ -143,7 +143,7 @@ def m10_m11_explanation_delta(spark, d):
 
 
 @query(f"""SELECT id, round(coalesce(exp(-ln(2) * abs(published_min / 60.0) / 72), 0.5), 6) AS temporal,
-round(coalesce(exp(-ln(2) * greatest(published_min / 1440.0, 0) / CASE kind WHEN 0 THEN 1460 WHEN 1 THEN 730 WHEN 2 THEN 365 WHEN 3 THEN 1825 ELSE 540 END), 0.5), 6) AS recency,
+round(CASE WHEN published_min IS NULL THEN 0.5 ELSE exp(-ln(2) * greatest(published_min / 1440.0, 0) / CASE kind WHEN 0 THEN 1460 WHEN 1 THEN 730 WHEN 2 THEN 365 WHEN 3 THEN 1825 ELSE 540 END) END, 6) AS recency,
 round(1 - power(2, -(n_chars / 1000.0) / 3.0), 6) AS saturated, round(0.6 * (id % 10) / 10.0 + 0.25 * (id % 4) / 4.0 + 0.15 * coalesce(exp(-ln(2) * abs(published_min / 60.0) / 72), 0.5), 6) AS combined FROM {sql_view('articles')}""")
 def m12_m13_m15_m16_decays(spark, d):
     a = view(spark, d, "articles")

@@ -139,3 +139,9 @@ def test_matrix_and_axis_confidence(spark):
     grid = spark.createDataFrame([(1, x) for x in "abc"], "document long, axis string")
     got = {r.axis: (r.confidence, r.limiting) for r in reports.axis_confidence(points, grid).collect()}
     assert got == {"a": (0.42, "signs_disagree"), "b": (0.15, "wording_alone"), "c": (0.0, "not_engaged")}
+
+
+def test_unknown_ages_and_gaps_are_a_half(spark):
+    none = F.lit(None).cast("double")
+    r = spark.range(1).select(similarity.recency(none, F.lit("legal")).alias("r"), similarity.recency(F.lit(-3.0), F.lit("legal")).alias("young"), similarity.recency(F.lit(1825.0), F.lit("legal")).alias("half"), similarity.temporal(none).alias("t")).first()
+    assert (r.r, r.young, round(r.half, 9), r.t) == (0.5, 1.0, 0.5, 0.5)
