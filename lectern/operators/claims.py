@@ -192,7 +192,7 @@ def recheck_quantities(claims: DataFrame, view: DataFrame) -> DataFrame:
     near = F.exists(kin, lambda n: ~n.ambiguous & (F.abs(n.value - F.col("x.value")) / F.greatest(F.abs("x.value"), F.abs(n.value), F.lit(1e-9)) <= TOLERANCE))
     met = x.groupBy("claim_id", "x.i").agg(F.bool_or(F.size(kin) > 0).alias("comparable"), F.bool_or(near).alias("hit"), F.bool_or("x.ambiguous").alias("doubtful"))
     outside = met.groupBy("claim_id").agg(F.count_if(F.col("comparable") & ~F.col("doubtful") & F.col("hit")).alias("agree"), F.count_if(F.col("comparable") & ~F.col("doubtful") & ~F.col("hit")).alias("differ"))
-    percent = F.element_at(F.transform(F.filter("cn", lambda n: n.kind == "percentage"), lambda n: n.value), 1)
+    percent = F.get(F.transform(F.filter("cn", lambda n: n.kind == "percentage"), lambda n: n.value), F.lit(0))
     has = F.exists("cn", lambda n: n.kind == "percentage")
     first = lambda t: F.get(claim_numbers(t), F.lit(0))
     part = lambda p, k: first(F.regexp_extract("folded", p, k))

@@ -2,25 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DAMPING, ITERATIONS = 0.85, 60
 JUMPS = 24  # chains of 2 ** 24 parents
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only for a local master without the setting."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if "" not in _own:
+        _own[""] = tempfile.mkdtemp(prefix="lectern-checkpoint-")
+    return _own[""]
+
+
+_own: dict[str, str] = {}
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Cuts the lineage: a checkpoint in the folder that the cluster names, where it names one."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        if folder is None:
-            import tempfile
-
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="lectern-checkpoint-")
-        spark.sparkContext.setCheckpointDir(folder)
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 

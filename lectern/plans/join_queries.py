@@ -8,8 +8,10 @@ from pyspark.sql.window import Window
 from lectern.functions import text as T
 from lectern.functions import tokens as G
 from lectern.functions.arrays import spread
+from lectern.operators import cluster as C
 from lectern.operators import propositions as P
 from lectern.operators import scoring as S
+from lectern.operators import store as O
 from lectern.plans._query import query, table
 from lectern.plans.views import sql_view, view
 
@@ -22,43 +24,20 @@ SELECT a.conv_id, a.turn, b.turn AS prior, a.neg <> b.neg AS contradicts FROM c
 WHERE len(a.w) > 0 AND len(list_intersect(a.w, b.w))::DOUBLE / len(a.w) >= 0.1""".replace("\\\\", "\\"))
 def j11_claim_history(spark, d):
     w = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0)))
-    c = table(spark, d, "conversations").select("conv_id", "turn", w.alias("w"), F.lower("text").rlike(r"\b(not|no|never)\b").alias("neg"))
-    a, b = c.alias("a"), c.alias("b")
-    p = a.join(b, (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("b.turn") < F.col("a.turn")))
-    return p.where(G.coverage(F.col("a.w"), F.col("b.w")) >= 0.1).select("a.conv_id", "a.turn", F.col("b.turn").alias("prior"), (F.col("a.neg") != F.col("b.neg")).alias("contradicts"))
-
-
-@query(f"WITH p AS (SELECT * FROM (VALUES ('press', 1), ('press', 2), ('official', 3), ('research', 4), ('research', 0)) AS v(audience, kind)) SELECT audience, array_to_string(list_sort(list(id)), ',') AS sources FROM p JOIN {sql_view('registry')} r ON p.kind = r.kind WHERE enabled GROUP BY audience")
-def j14_query_routing(spark, d):
-    plan = spark.createDataFrame([("press", 1), ("press", 2), ("official", 3), ("research", 4), ("research", 0)], "audience string, kind int")
-    r = view(spark, d, "registry").where("enabled").join(F.broadcast(plan), "kind")
-    return r.groupBy("audience").agg(F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), ",").alias("sources"))
-
-
-@query("SELECT o_custkey AS document, o_orderkey AS provision, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS number FROM orders")
-def w09_numbering(spark, d):
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return table(spark, d, "orders").select(F.col("o_custkey").alias("document"), F.col("o_orderkey").alias("provision"), F.row_number().over(w).cast("long").alias("number"))
+    return O.claim_history(table(spark, d, "conversations"), "conv_id", "turn", w, F.lower("text").rlike(r"\b(not|no|never)\b"), 0.1)
 
 
 @query(f"""SELECT lang, string_agg(source, ', ' ORDER BY source) AS label, min(first) AS first, CAST(sum(n) AS BIGINT) AS n, round(least(0.4 + 0.6 * (max(n) - min(n))::DOUBLE / max(n), CASE WHEN count(*) = 1 THEN 0.6 ELSE 0.35 + 0.2 * count(*) END), 6) AS confidence
 FROM (SELECT lang, source, min(published_min) AS first, count(*) AS n FROM (SELECT lang, publisher AS source, published_min FROM {sql_view('articles')}) GROUP BY lang, source) GROUP BY lang""")
 def c08_c09_cluster_summary(spark, d):
-    s = view(spark, d, "articles").groupBy("lang", "publisher").agg(F.min("published_min").alias("first"), F.count("*").alias("n"))
-    margin = (F.max("n") - F.min("n")) / F.max("n")
-    conf = F.least(0.4 + 0.6 * margin, F.when(F.count("*") == 1, 0.6).otherwise(0.35 + 0.2 * F.count("*")))
-    return s.groupBy("lang").agg(F.array_join(F.array_sort(F.collect_list("publisher")), ", ").alias("label"), F.min("first").alias("first"), F.sum("n").alias("n"), F.round(conf, 6).alias("confidence"))
+    return C.cluster_summary(view(spark, d, "articles"), "lang", "publisher", "published_min").withColumnRenamed("cluster", "lang")
 
 
 @query("""SELECT 'o:' || o_orderkey AS id, 'provision' AS kind, round(0.5 + least(0.08, 0.02 * (count(l_linenumber) - 1)), 6) AS confidence FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey
 UNION ALL SELECT 'c:' || o_custkey, 'party', round(0.5 + least(0.08, 0.02 * (count(*) - 1)), 6) FROM orders GROUP BY o_custkey""")
 def c13_c14_c15_topic_graph(spark, d):
-    o = table(spark, d, "orders")
-    conf = lambda n: F.round(0.5 + F.least(F.lit(0.08), 0.02 * (n - 1)), 6)
-    li = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
-    p = o.join(li, "o_orderkey", "left").select(F.concat(F.lit("o:"), F.col("o_orderkey").cast("string")).alias("id"), F.lit("provision").alias("kind"), conf(F.coalesce("n", F.lit(0))).alias("confidence"))
-    c = o.groupBy("o_custkey").agg(F.count("*").alias("n")).select(F.concat(F.lit("c:"), F.col("o_custkey").cast("string")).alias("id"), F.lit("party").alias("kind"), conf(F.col("n")).alias("confidence"))
-    return p.unionByName(c)
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    return O.topic_graph(table(spark, d, "orders"), "o_custkey", "o_orderkey", li)
 
 
 @query()
@@ -102,8 +81,8 @@ def p05_extraction_confidence(spark, d):
 @query("SELECT o_custkey AS document, count(*) AS provisions, count(*) FILTER (WHERE n > 0) AS covered, round(count(*) FILTER (WHERE n > 0)::DOUBLE / count(*), 6) AS coverage FROM (SELECT o_custkey, o_orderkey, count(l_orderkey) FILTER (WHERE l_discount > 0.05) AS n FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL) GROUP BY o_custkey")
 def p06_coverage(spark, d):
     li = table(spark, d, "lineitem").where("l_discount > 0.05").select(F.col("l_orderkey").alias("o_orderkey")).distinct().withColumn("hit", F.lit(1))
-    o = table(spark, d, "orders").select("o_custkey", "o_orderkey").join(li, "o_orderkey", "left")
-    return o.groupBy(F.col("o_custkey").alias("document")).agg(F.count("*").alias("provisions"), F.count("hit").alias("covered"), F.round(F.count("hit") / F.count("*"), 6).alias("coverage"))
+    o = table(spark, d, "orders").join(li, "o_orderkey", "left").withColumnRenamed("o_custkey", "document")
+    return O.coverage_by(o, "document", F.col("hit").isNotNull())
 
 
 @query("""WITH k AS (SELECT DISTINCT conv_id FROM conversations), h AS (SELECT conv_id, list_filter(['a', 'b', 'c', 'd'], lambda p: p <> ['a', 'b', 'c', 'd'][conv_id % 4 + 1]) AS pool, ('0x' || substr(sha256(CAST(conv_id AS VARCHAR)), 1, 8))::BIGINT AS h FROM k)
@@ -141,7 +120,3 @@ def i05_axis_definitions(spark, d):
     return spark.createDataFrame([(a, len(S.AXES)) for a in S.AXES], "axis string, n_axes long")
 
 
-@query("SELECT o_orderstatus AS state, count(*) AS n, CAST(min(o_orderkey) AS BIGINT) AS next_run FROM orders WHERE o_orderstatus <> 'F' GROUP BY o_orderstatus")
-def o01_claim_queued(spark, d):
-    """The run that a single writer would take next from each state."""
-    return table(spark, d, "orders").where("o_orderstatus <> 'F'").groupBy(F.col("o_orderstatus").alias("state")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("next_run"))

@@ -24,21 +24,6 @@ def r01_question_kind(spark, d):
     return table(spark, d, "part").select("p_partkey", S.question_kind(F.concat(head, "p_type")).alias("kind"))
 
 
-@query("""SELECT doc_id, round(least(1.0, len(list_filter(['license', 'version', 'mit'], lambda t: contains(lower(text), t))) / 3.0 + CASE WHEN contains(lower(string_split(text, chr(10))[1]), 'the') THEN 0.2 ELSE 0 END), 3) AS relevance FROM documents""")
-def r15_r16_feed_relevance(spark, d):
-    terms = F.array(*[F.lit(t) for t in ("license", "version", "mit")])
-    hits = F.size(F.filter(terms, lambda t: F.contains(F.lower("text"), t)))
-    title = F.contains(F.lower(F.split_part("text", F.lit("\n"), F.lit(1))), F.lit("the"))
-    return table(spark, d, "documents").select("doc_id", F.round(F.least(F.lit(1.0), hits / 3 + F.when(title, 0.2).otherwise(0.0)), 3).alias("relevance"))
-
-
-@query("""SELECT p_partkey, round(least(1.0, greatest(0.0, CASE p_partkey % 3 WHEN 0 THEN 0.8 WHEN 1 THEN 0.6 ELSE 0.4 END + 0.05 * len(string_split(p_name, ' ')) + least(0.08, 0.02 * (p_size - 1)) - CASE WHEN length(p_name) < 6 THEN 0.15 ELSE 0 END)), 3) AS weight FROM part""")
-def r17_term_weight(spark, d):
-    base = F.when(F.col("p_partkey") % 3 == 0, 0.8).when(F.col("p_partkey") % 3 == 1, 0.6).otherwise(0.4)
-    w = base + 0.05 * F.size(F.split("p_name", " ")) + F.least(F.lit(0.08), 0.02 * (F.col("p_size") - 1)) - F.when(F.length("p_name") < 6, 0.15).otherwise(0.0)
-    return table(spark, d, "part").select("p_partkey", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), w)), 3).alias("weight"))
-
-
 @query("""SELECT l_orderkey, l_linenumber, round(s, 3) AS share FROM (SELECT l_orderkey, l_linenumber, CASE WHEN k = 1 THEN r + 10 - sum(r) OVER (PARTITION BY l_orderkey) ELSE r END AS s FROM (
 SELECT l_orderkey, l_linenumber, round(10 * l_quantity / sum(l_quantity) OVER (PARTITION BY l_orderkey), 3) AS r, row_number() OVER (PARTITION BY l_orderkey ORDER BY abs(l_quantity) DESC, l_linenumber) AS k FROM lineitem))""")
 def w06_w07_apportion(spark, d):

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.operators.graph import shared_folder
+from lectern.operators.store import hashed_bytes
 from lectern.plans._query import query, table
 from lectern.sources import readers as R
 from lectern.streaming import observations as O
@@ -21,7 +23,7 @@ def s01_source_kind(spark, d):
 
 @query("SELECT page_id, sha256(html) AS sha256, CAST(strlen(html) AS BIGINT) AS size FROM pages")
 def s02_hashed_bytes(spark, d):
-    return table(spark, d, "pages").select("page_id", F.sha2("html", 256).alias("sha256"), F.octet_length("html").cast("long").alias("size"))
+    return hashed_bytes(table(spark, d, "pages"), "page_id", "html")
 
 
 @query("SELECT page_id, url, 'About ' || page_id AS title, 'S' AS summary, make_timestamp(2024, 3, page_id % 28 + 1, 10, 0, 0) AS published_at FROM pages")
@@ -47,23 +49,48 @@ def s11_record_validation(spark, d):
     return R.valid_records(c, "j", "a bigint, b string", ["a", "b"]).select("conv_id", "turn", "fault")
 
 
-@query("SELECT page_id, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host, page_id % 2 = 0 AS cached FROM pages")
+@query("""WITH c AS (SELECT url, md5(html) AS sha FROM pages WHERE length(html) > 2000), k AS (SELECT url, min(sha) AS sha FROM c GROUP BY url)
+SELECT page_id, lower(regexp_extract(p.url, '://([^/?#]*)', 1)) AS host, k.sha AS response, k.url IS NOT NULL AS cached FROM pages p LEFT JOIN k ON p.url = k.url""")
 def s12_http_cache(spark, d):
+    """Long pages have been fetched before: their urls answer from the cache, the least response of several."""
     p = table(spark, d, "pages")
-    cache = p.where("page_id % 2 = 0").select(F.sha2("url", 256).alias("key")).distinct().withColumn("hit", F.lit(True))
-    odd = p.where("page_id % 2 = 1").select(F.sha2("url", 256).alias("key")).distinct()
-    own = cache.join(odd, "key", "left_anti")
-    r = R.cached_response(p.select("page_id", "url"), own.withColumn("response", F.lit(1)))
-    both = p.select(F.sha2("url", 256).alias("key"), (F.col("page_id") % 2).alias("m")).groupBy("key").agg(F.countDistinct("m").alias("k"))
-    return r.join(both, "key").select("page_id", T.host(F.col("url")).alias("host"), F.when(F.col("k") == 1, F.col("hit").isNotNull()).otherwise(F.col("page_id") % 2 == 0).alias("cached"))
+    cache = p.where(F.length("html") > 2000).groupBy(F.sha2("url", 256).alias("key")).agg(F.min(F.md5("html")).alias("response"))
+    r = R.cached_response(p.select("page_id", "url"), cache)
+    return r.select("page_id", T.host(F.col("url")).alias("host"), "response", F.col("response").isNotNull().alias("cached"))
 
 
-@query("SELECT s_suppkey, round(len(list_filter(['supplier', 'x', string_split(lower(s_name), '#')[1]], lambda t: contains(lower(s_name), t))) / 3.0, 4) AS score FROM supplier WHERE len(list_filter(['supplier', 'x', string_split(lower(s_name), '#')[1]], lambda t: contains(lower(s_name), t))) / 3.0 >= 0.5")
+_TERMS = ["the", "license", "und"]
+
+
+@query("""WITH f AS (SELECT source AS feed, doc_id AS item, split_part(text, chr(10), 1) AS title, text FROM documents),
+s AS (SELECT feed, item, round(least(1, len(list_filter(['the', 'license', 'und'], lambda t: contains(lower(text), t))) / 3.0 + CASE WHEN len(list_filter(['the', 'license', 'und'], lambda t: contains(lower(title), t))) > 0 THEN 0.2 ELSE 0 END), 4) AS score FROM f WHERE length(text) > 0)
+SELECT r.name AS feed, item, score, CASE WHEN item IS NULL THEN 'no_items' WHEN score < 0.5 THEN 'off_topic' END AS gap FROM (SELECT DISTINCT source AS name FROM documents UNION ALL SELECT 'dead') r LEFT JOIN s ON r.name = s.feed WHERE score >= 0.5 OR item IS NULL""")
 def s13_feed_provider(spark, d):
-    low = F.lower("s_name")
-    terms = F.array(F.lit("supplier"), F.lit("x"), F.split_part(low, F.lit("#"), F.lit(1)))
-    score = F.size(F.filter(terms, lambda t: F.contains(low, t))) / 3
-    return table(spark, d, "supplier").select("s_suppkey", F.round(score, 4).alias("score")).where(score >= 0.5)
+    """Sources are feeds, and one feed has no items: items are scored against the query's terms, empty feeds are gaps."""
+    items = table(spark, d, "documents").where("length(text) > 0").select(F.col("source").alias("feed"), F.col("doc_id").alias("item"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), "text")
+    feeds = items.select("feed").union(table(spark, d, "documents").select("source")).distinct().union(spark.createDataFrame([("dead",)], "feed string"))
+    return R.search_feeds(feeds, items, _TERMS, 0.5)
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_name LIKE '%1' THEN 'no id' WHEN row_number() OVER (PARTITION BY CASE WHEN s_name LIKE '%1' THEN NULL WHEN s_name LIKE '%7' THEN left(s_name, 17) ELSE s_name END ORDER BY s_suppkey) > 1 THEN 'repeated id'
+WHEN s_acctbal < 0 THEN 'reputation field' END AS reason FROM supplier""")
+def s08_registry(spark, d):
+    """Suppliers as registry entries: some without an id, some that share one, and debtors with a trust field."""
+    name = F.col("s_name")
+    entry = F.when(~F.endswith(name, F.lit("1")), F.when(F.endswith(name, F.lit("7")), F.left(name, F.lit(17))).otherwise(name))
+    e = table(spark, d, "supplier").select("s_suppkey", entry.alias("id"), F.when(F.col("s_acctbal") < 0, F.col("s_acctbal")).alias("trust"))
+    return R.check_registry(e, "s_suppkey").select("s_suppkey", "reason")
+
+
+@query("SELECT doc_id, sha256(text) AS sha, true AS same FROM documents")
+def s09_evidence_file(spark, d):
+    """Evidence saved as JSON and read back."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    path = f"{shared_folder(spark)}/evidence-{uuid.uuid4().hex}"
+    R.write_evidence(docs, path)
+    rows, bad = R.read_evidence(spark, path, "doc_id long, text string")
+    back = rows.select("doc_id", F.sha2("text", 256).alias("sha"))
+    return back.join(docs.select("doc_id", F.sha2("text", 256).alias("was")), "doc_id").select("doc_id", "sha", (F.col("sha") == F.col("was")).alias("same"))
 
 
 @query()
@@ -107,11 +134,8 @@ def y03_streamed_sessions(spark, d):
     return out.groupBy("user_id").agg(F.count("*").alias("n_sessions"), F.sum("n").alias("n"))
 
 
-@query("""SELECT event_id, host FROM (SELECT event_id, user_id % 3 AS host, epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id % 3 ORDER BY ts, event_id)) AS gap FROM events) WHERE gap < 60""")
+@query("""SELECT event_id, user_id AS host FROM (SELECT event_id, user_id, epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap FROM events) WHERE gap < 600""")
 def y05_rate_limit(spark, d):
-    e = table(spark, d, "events").select("event_id", (F.col("user_id") % 3).alias("host"), F.struct(F.col("ts"), F.col("event_id")).alias("o"), F.col("ts"))
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("host").orderBy("ts", "event_id")
-    gap = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - F.unix_micros(F.lag(F.col("ts").cast("timestamp")).over(w)) / 1e6
-    return e.withColumn("gap", gap).where("gap < 60").select("event_id", "host")
+    """Every user is a host, with ten minutes between requests."""
+    e = table(spark, d, "events").select("event_id", F.col("user_id").alias("host"), "ts")
+    return O.rate_violations(e, "host", "ts", 600, "event_id").select("event_id", "host")

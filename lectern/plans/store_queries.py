@@ -27,8 +27,7 @@ def f03_retrievable(spark, d):
 
 @query(f"SELECT ev, claim_id, CASE WHEN contradicts THEN 'contradicts' ELSE 'supports' END AS relation FROM {EVI} WHERE claim_id = 7 AND tier IN (1, 2, 3, 4)")
 def f04_f05_evidence_lookup(spark, d):
-    e = view(spark, d, "evidence").where((F.col("claim_id") == 7) & F.col("tier").isin(1, 2, 3, 4))
-    return e.select("ev", "claim_id", F.when(F.col("contradicts"), "contradicts").otherwise("supports").alias("relation"))
+    return O.evidence_for(view(spark, d, "evidence"), claim=7, tiers=[1, 2, 3, 4]).select("ev", "claim_id", "relation")
 
 
 @query(f"SELECT id, published_min FROM {sql_view('articles')} WHERE (published_min IS NULL OR published_min BETWEEN 10000 AND 20000) AND lang IN ('en', 'fr')")
@@ -40,14 +39,13 @@ def f06_null_tolerant_bounds(spark, d):
 @query("""SELECT t.topic, count(DISTINCT d.source) AS n_sources, count(*) AS n_docs FROM documents d JOIN (VALUES ('licence', 'license'), ('licence', 'licensed'), ('insult', 'stupid'), ('insult', 'trash')) AS t(topic, kw)
 ON contains(lower(d.text), t.kw) GROUP BY t.topic""")
 def f08_topic_coverage(spark, d):
-    topics = spark.createDataFrame([("licence", "license"), ("licence", "licensed"), ("insult", "stupid"), ("insult", "trash")], "topic string, kw string")
-    docs = table(spark, d, "documents").select("source", F.lower("text").alias("t"))
-    return docs.crossJoin(F.broadcast(topics)).where(F.contains("t", F.col("kw"))).groupBy("topic").agg(F.countDistinct("source").alias("n_sources"), F.count("*").alias("n_docs"))
+    topics = spark.createDataFrame([("licence", "license"), ("licence", "licensed"), ("insult", "stupid"), ("insult", "trash")], "topic string, keyword string")
+    return O.topic_coverage(table(spark, d, "documents"), "source", "text", topics)
 
 
 @query("SELECT item_id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), ' ') AS terms FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]{3,}') AS w FROM benchmark)")
 def f09_query_terms(spark, d):
-    return table(spark, d, "benchmark").select("item_id", F.array_join(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]{3,}"), F.lit(0))), " ").alias("terms"))
+    return table(spark, d, "benchmark").select("item_id", F.array_join(O.query_terms(F.col("text")), " ").alias("terms"))
 
 
 @query("""SELECT event_type, props_len, n, total FROM (SELECT event_type, length(props) AS props_len, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL HAVING count(*) >= 5) ORDER BY n DESC, event_type, props_len LIMIT 6""")
@@ -58,7 +56,8 @@ def s15_f11_site_analytics(spark, d):
 
 @query("SELECT o_orderkey AS run, c_custkey AS document, c_name, o_orderdate AS created FROM orders JOIN customer ON o_custkey = c_custkey")
 def j01_runs_with_documents(spark, d):
-    return table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("run"), F.col("c_custkey").alias("document"), "c_name", F.col("o_orderdate").alias("created"))
+    runs = table(spark, d, "orders").select(F.col("o_orderkey").alias("run"), F.col("o_custkey").alias("document"), F.col("o_orderdate").alias("created"))
+    return O.runs_with_documents(runs, table(spark, d, "customer").select(F.col("c_custkey").alias("document"), "c_name"), "document")
 
 
 @query(f"SELECT run, document, created FROM {sql_view('snapshots')} ORDER BY created DESC, run LIMIT 500")
@@ -108,30 +107,20 @@ def d03_d08_merge(spark, d):
 
 @query("SELECT DISTINCT doc_id % 100 AS page, n_chars % 50 AS at, lang FROM documents")
 def d05_span_dedup(spark, d):
-    return table(spark, d, "documents").select((F.col("doc_id") % 100).alias("page"), (F.col("n_chars") % 50).alias("at"), "lang").dropDuplicates()
-
-
-@query("""WITH t AS (SELECT p_type AS term, 0 AS prec FROM part UNION ALL SELECT p_brand, 1 FROM part UNION ALL SELECT p_type, 2 FROM part)
-SELECT lower(term) AS key, min(prec) AS prec, count(*) AS n FROM t WHERE length(term) BETWEEN 2 AND 120 GROUP BY lower(term)""")
-def d09_d10_vocabulary(spark, d):
-    p = table(spark, d, "part")
-    t = p.select(F.col("p_type").alias("term"), F.lit(0).alias("prec")).unionByName(p.select(F.col("p_brand").alias("term"), F.lit(1).alias("prec"))).unionByName(p.select(F.col("p_type").alias("term"), F.lit(2).alias("prec")))
-    return t.where(F.length("term").between(2, 120)).groupBy(F.lower("term").alias("key")).agg(F.min("prec").alias("prec"), F.count("*").alias("n"))
+    s = table(spark, d, "documents").select((F.col("doc_id") % 100).alias("page"), (F.col("n_chars") % 50).alias("at"), "lang")
+    return O.distinct_spans(s, "page", "at", "lang")
 
 
 @query("""SELECT 'union' AS op, count(*) AS n FROM (SELECT doc_id FROM documents WHERE lang = 'en' UNION SELECT doc_id FROM labels)
 UNION ALL SELECT 'intersect', count(*) FROM (SELECT doc_id FROM documents WHERE lang = 'en' INTERSECT SELECT doc_id FROM labels)
 UNION ALL SELECT 'except', count(*) FROM (SELECT doc_id FROM documents WHERE lang = 'en' EXCEPT SELECT doc_id FROM labels)""")
 def d11_set_operations(spark, d):
-    a, b = table(spark, d, "documents").where("lang = 'en'").select("doc_id"), table(spark, d, "labels").select("doc_id")
-    parts = {"union": a.union(b).distinct(), "intersect": a.intersect(b), "except": a.exceptAll(b).distinct()}
-    out = [x.groupBy().agg(F.count("*").alias("n")).select(F.lit(k).alias("op"), "n") for k, x in parts.items()]
-    return out[0].union(out[1]).union(out[2])
+    return O.set_operations(table(spark, d, "documents").where("lang = 'en'").select("doc_id"), table(spark, d, "labels").select("doc_id"))
 
 
 @query("SELECT md5(text) AS fingerprint, min(doc_id) AS document, count(*) AS n FROM documents GROUP BY md5(text)")
 def d12_create_or_get(spark, d):
-    return table(spark, d, "documents").groupBy(F.md5("text").alias("fingerprint")).agg(F.min("doc_id").alias("document"), F.count("*").alias("n"))
+    return O.create_or_get(table(spark, d, "documents"), "doc_id", "text")
 
 
 @query(f"""SELECT CASE WHEN gid = 1 THEN 'tier' WHEN gid = 2 THEN 'kind' ELSE 'all' END AS dimension, coalesce(tier, kind) AS value, n, n_enabled, n_verified, n_retrievable FROM (
@@ -143,75 +132,60 @@ def a04_a05_coverage_summary(spark, d):
 
 @query(f"SELECT DISTINCT 'jurisdiction' AS dimension, jurisdiction AS value FROM {REG} UNION ALL SELECT DISTINCT 'language', language FROM {REG}")
 def a06_distinct_values(spark, d):
-    r = view(spark, d, "registry")
-    parts = F.array(F.struct(F.lit("jurisdiction").alias("dimension"), F.col("jurisdiction").alias("value")), F.struct(F.lit("language").alias("dimension"), F.col("language").alias("value")))
-    return r.select(F.explode(parts).alias("p")).select("p.dimension", "p.value").distinct()
+    return O.distinct_values(view(spark, d, "registry"), ["jurisdiction", "language"])
 
 
-@query(f"SELECT speaker, count(*) FILTER (WHERE turn = 0) AS opening, count(*) FILTER (WHERE turn > 0) AS later, count(*) AS n, min(claim_id) AS first, max(claim_id) AS last FROM {sql_view('claims')} GROUP BY speaker")
+@query("""WITH c AS (SELECT role, turn, CASE WHEN length(text) > 300 THEN 'long' ELSE 'short' END AS verdict FROM conversations WHERE turn <= 2 OR length(text) > 100), k AS (SELECT role, verdict, count(*) AS k, min(turn) AS first, max(turn) AS last FROM c GROUP BY ALL)
+SELECT role, CAST(sum(k) AS BIGINT) AS n, string_agg(verdict || ':' || k, '|' ORDER BY verdict, k) AS verdicts, min(first) AS first, max(last) AS last FROM k GROUP BY role""")
 def a07_a08_track_record(spark, d):
-    return view(spark, d, "claims").groupBy("speaker").agg(F.count_if(F.col("turn") == 0).alias("opening"), F.count_if(F.col("turn") > 0).alias("later"), F.count("*").alias("n"), F.min("claim_id").alias("first"), F.max("claim_id").alias("last"))
+    """The verdict is the turn's length; short turns are judged at turn 2, so later ones were attributed too late."""
+    c = table(spark, d, "conversations").select("role", "turn", F.when(F.length("text") > 300, "long").otherwise("short").alias("verdict"), F.when(F.length("text") > 100, F.lit(1 << 30)).otherwise(F.lit(2)).alias("judged"))
+    return O.track_record(c, "role", "verdict", "turn", "judged")
 
 
 @query(f"SELECT claim_id, count(DISTINCT source) FILTER (WHERE NOT restating AND NOT derived) AS n_independent, count(*) AS n FROM {EVI} GROUP BY claim_id")
 def a10_v18_independent_sources(spark, d):
-    free = F.when(~F.col("restating") & ~F.col("derived"), F.col("source"))
-    return view(spark, d, "evidence").groupBy("claim_id").agg(F.countDistinct(free).alias("n_independent"), F.count("*").alias("n"))
+    return O.independent_sources(view(spark, d, "evidence"), "claim_id")
 
 
 @query("""WITH p AS (SELECT o_custkey, o_orderpriority AS kind, o_orderkey, o_totalprice FROM orders)
 SELECT kind, count(*) AS n, arg_max(o_orderkey, (o_totalprice, -o_orderkey)) AS exemplar, round(avg(o_totalprice), 3) AS similarity FROM p GROUP BY kind""")
 def a11_signal_groups(spark, d):
-    o = table(spark, d, "orders")
-    return o.groupBy(F.col("o_orderpriority").alias("kind")).agg(F.count("*").alias("n"), F.max_by("o_orderkey", F.struct("o_totalprice", -F.col("o_orderkey"))).alias("exemplar"), F.round(F.avg("o_totalprice"), 3).alias("similarity"))
+    return O.signal_groups(table(spark, d, "orders").withColumnRenamed("o_orderpriority", "kind"), "kind", "o_orderkey", "o_totalprice")
 
 
 @query("""SELECT l_suppkey, CASE WHEN count(DISTINCT l_returnflag) = 1 THEN min(l_returnflag) ELSE 'mixed' END AS direction, CASE WHEN count(*) = 1 THEN 'small' WHEN count(*) <= 3 THEN 'medium' ELSE 'large' END AS magnitude
 FROM lineitem GROUP BY l_suppkey""")
 def a15_policy_edges(spark, d):
-    li = table(spark, d, "lineitem")
-    n = F.count("*")
-    return li.groupBy("l_suppkey").agg(F.when(F.countDistinct("l_returnflag") == 1, F.min("l_returnflag")).otherwise("mixed").alias("direction"), F.when(n == 1, "small").when(n <= 3, "medium").otherwise("large").alias("magnitude"))
+    return O.policy_edges(table(spark, d, "lineitem"), "l_suppkey", "l_returnflag")
 
 
-@query("""SELECT l_suppkey AS src, l_returnflag AS kind, l_partkey % 20 AS dst, count(*) AS n, array_to_string(list_sort(list_distinct(list(l_orderkey % 9))), ',') AS refs, arg_min(l_shipdate, (l_orderkey, l_linenumber)) AS first FROM lineitem GROUP BY ALL""")
+@query("""SELECT l_suppkey AS src, l_returnflag AS kind, l_partkey % 20 AS dst, count(*) AS n, array_to_string(list_sort(list_distinct(list(l_orderkey % 9))), ',') AS refs, arg_min(l_shipdate, (l_orderkey, l_linenumber, l_shipdate)) AS first FROM lineitem GROUP BY ALL""")
 def a16_edge_merge(spark, d):
     li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_returnflag").alias("kind"), (F.col("l_partkey") % 20).alias("dst"), (F.col("l_orderkey") % 9).alias("ref"), "l_shipdate", "l_orderkey", "l_linenumber")
-    g = li.groupBy("src", "kind", "dst").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("ref")).alias("refs"), F.min_by("l_shipdate", F.struct("l_orderkey", "l_linenumber")).alias("first"))
-    return g.withColumn("refs", F.array_join(F.transform("refs", lambda x: x.cast("string")), ","))
+    return O.merge_edges(li, ["src", "kind", "dst"], "ref", "l_shipdate", ["l_orderkey", "l_linenumber", "l_shipdate"])
 
 
 @query("WITH w AS (SELECT l_partkey, count(*) AS weight FROM lineitem GROUP BY l_partkey) SELECT l_partkey, weight, round(weight::DOUBLE / max(weight) OVER (), 6) AS salience FROM w")
 def a17_salience(spark, d):
-    w = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("weight"))
-    most = w.agg(F.max("weight").alias("most"))
-    return w.crossJoin(F.broadcast(most)).select("l_partkey", "weight", F.round(F.col("weight") / F.col("most"), 6).alias("salience"))
+    return O.salience(table(spark, d, "lineitem"), "l_partkey")
 
 
 @query(f"SELECT role, count(*) AS n, count(DISTINCT provision) AS n_provisions, round(sum(amount), 2) AS total FROM {sql_view('money')} GROUP BY role")
 def a18_fiscal_effects(spark, d):
-    return view(spark, d, "money").groupBy("role").agg(F.count("*").alias("n"), F.countDistinct("provision").alias("n_provisions"), F.round(F.sum("amount"), 2).alias("total"))
-
-
-@query("""SELECT source, lang, n FROM (SELECT source, lang, count(*) AS n, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, lang) AS k FROM documents GROUP BY source, lang) WHERE k <= 2""")
-def k07_top_per_group(spark, d):
-    g = table(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
-    return g.withColumn("k", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), "lang"))).where("k <= 2").drop("k")
+    return O.fiscal_effects(view(spark, d, "money"))
 
 
 @query("""WITH m AS (SELECT source, lang, sum(n_chars) AS mat FROM documents GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY mat DESC, source) AS k FROM m)
 SELECT lang, CASE WHEN k <= 8 THEN source ELSE 'rest' END AS component, CAST(sum(mat) AS BIGINT) AS materiality, count(*) AS n FROM r GROUP BY lang, CASE WHEN k <= 8 THEN source ELSE 'rest' END""")
 def k09_fold_rest(spark, d):
     m = table(spark, d, "documents").groupBy("source", "lang").agg(F.sum("n_chars").alias("mat"))
-    k = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("mat"), "source"))
-    return m.withColumn("component", F.when(k <= 8, F.col("source")).otherwise("rest")).groupBy("lang", "component").agg(F.sum("mat").alias("materiality"), F.count("*").alias("n"))
+    return O.fold_rest(m, "lang", "source", "mat")
 
 
 @query("SELECT c_custkey, c_name, n FROM (SELECT c_custkey, c_name, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY ALL) ORDER BY n DESC, c_name LIMIT 25")
 def k01_k08_top(spark, d):
-    n = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
-    c = table(spark, d, "customer").select("c_custkey", "c_name").join(n, "c_custkey", "left")
-    return c.select("c_custkey", "c_name", F.coalesce("n", F.lit(0)).alias("n")).orderBy(F.desc("n"), "c_name").limit(25)
+    return O.top_actors(table(spark, d, "customer"), table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "c_name", 25)
 
 
 @query("""SELECT 'order_customer' AS rule, count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)
@@ -229,7 +203,7 @@ def o05_o06_j10_integrity(spark, d):
 
 @query("SELECT user_id, count(*) AS seen, count(*) FILTER (WHERE event_type = 'purchase') AS relevant, count(*) FILTER (WHERE value IS NULL) AS failed FROM events GROUP BY user_id")
 def o07_scrape_counters(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("seen"), F.count_if(F.col("event_type") == "purchase").alias("relevant"), F.count_if(F.col("value").isNull()).alias("failed"))
+    return O.scrape_counters(table(spark, d, "events"), "user_id", F.col("event_type") == "purchase", F.col("value").isNull())
 
 
 @query("SELECT conv_id, turn, CAST(conv_id AS BIGINT) AS a, 'x' AS b FROM conversations")
@@ -242,14 +216,68 @@ def q06_json_recovery(spark, d):
 
 @query("SELECT o_orderkey, sha256('{\"o_custkey\":' || o_custkey || ',\"o_orderkey\":' || o_orderkey || ',\"o_orderstatus\":\"' || o_orderstatus || '\"}') AS digest FROM orders")
 def s10_o02_canonical_json(spark, d):
-    cols = sorted(["o_orderkey", "o_custkey", "o_orderstatus"])
-    return table(spark, d, "orders").select("o_orderkey", F.sha2(F.to_json(F.struct(*cols)), 256).alias("digest"))
+    return table(spark, d, "orders").select("o_orderkey", O.canonical_digest(["o_orderkey", "o_custkey", "o_orderstatus"]).alias("digest"))
 
 
 @query("""SELECT a.event_id, b.event_id AS prev, CAST((epoch(a.ts) - epoch(b.ts)) AS BIGINT) AS gap_s FROM (SELECT *, lag(event_id) OVER w AS p FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) a
 JOIN events b ON a.p = b.event_id WHERE epoch(a.ts) - epoch(b.ts) <= 10800""")
 def y03_cascade_predecessor(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("prev", F.lag("event_id").over(w)).withColumn("pts", F.lag("ts").over(w))
-    gap = F.unix_micros("ts") / 1e6 - F.unix_micros("pts") / 1e6
-    return e.where(F.col("prev").isNotNull() & (gap <= 10800)).select("event_id", "prev", F.round(gap).cast("long").alias("gap_s"))
+    return O.cascade_predecessors(table(spark, d, "events"), "user_id", "ts", "event_id")
+
+
+@query("SELECT id, name, 1::BIGINT AS n FROM " + REG + " WHERE id IN (3, 5) UNION ALL SELECT 999999, NULL, 0")
+def f07_require(spark, d):
+    found, missing = O.require(view(spark, d, "registry"), "id", [3, 5, 999_999])
+    return found.select("id", "name", F.lit(1).cast("long").alias("n")).unionByName(missing.select("id", F.lit(None).cast("string").alias("name"), "n"))
+
+
+@query(f"SELECT id, kind FROM {REG} WHERE kind IN (1, 2) AND id NOT IN (SELECT ps FROM (SELECT l_suppkey AS ps FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 48))")
+def f10_left_over(spark, d):
+    """Registered sources of two kinds that no large return has covered."""
+    done = table(spark, d, "lineitem").where("l_returnflag = 'R' and l_quantity > 48").select(F.col("l_suppkey").alias("id"))
+    return O.left_over(view(spark, d, "registry"), "id", done, kind=[1, 2]).select("id", "kind")
+
+
+@query(f"SELECT id, kind, length(label) AS score FROM {sql_view('nodes')} WHERE kind IN ('nation', 'region') ORDER BY score DESC, id LIMIT 12")
+def k06_rank_nodes(spark, d):
+    n = view(spark, d, "nodes").withColumn("score", F.length("label").cast("long"))
+    return O.rank_nodes(n, "score", "id", ["nation", "region"], 12).select("id", "kind", "score")
+
+
+@query(f"SELECT id, published_min FROM {sql_view('articles')} ORDER BY published_min DESC NULLS LAST, id LIMIT 100")
+def k10_feed(spark, d):
+    return O.feed(view(spark, d, "articles").select("id", "published_min"), "published_min", "id", 100)
+
+
+@query("""SELECT l_orderkey AS run, arg_min(l_suppkey, (l_shipdate, l_linenumber, l_suppkey)) AS worker FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O') GROUP BY l_orderkey""")
+def o01_claim_queued(spark, d):
+    """Open orders are queued runs, and each line asks for its order: the earliest shipped gets it."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("run"), F.lit(1).alias("seq"), F.when(F.col("o_orderstatus") == "O", "queued").otherwise("done").alias("state"))
+    asked = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("run"), F.col("l_suppkey").alias("worker"), "l_shipdate", "l_linenumber", "l_suppkey")
+    return O.claim_queued(o, asked, ["l_shipdate", "l_linenumber", "l_suppkey"])
+
+
+@query("""WITH r AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) AS ref FROM documents) SELECT doc_id, ref, count(*) AS n, coalesce(ref IN (SELECT doc_id::VARCHAR FROM documents), false) AS known FROM r GROUP BY ALL""")
+def q04_checked_references(spark, d):
+    """The numbers in a text as references to documents: those that exist and those made up."""
+    docs = table(spark, d, "documents")
+    refs = docs.select("doc_id", F.explode_outer(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))).alias("ref")).where("ref is not null")
+    return O.checked_references(refs, docs.select(F.col("doc_id").cast("string").alias("ref")), "ref").groupBy("doc_id", "ref", "known").agg(F.count("*").alias("n"))
+
+
+@query("SELECT conv_id, turn, true AS same, true AS in_range FROM conversations")
+def q05_synthesised_values(spark, d):
+    """Values made for a schema are the same when made again, and of their types."""
+    c, schema = table(spark, d, "conversations"), {"name": "string", "size": "long", "share": "double", "open": "boolean"}
+    key = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    made = lambda n: F.struct(*O.synthesised(schema, key)).alias(n)
+    m = c.select("conv_id", "turn", made("a")).join(c.select("conv_id", "turn", made("b")), ["conv_id", "turn"])
+    return m.select("conv_id", "turn", (F.col("a") == F.col("b")).alias("same"), (F.col("a.share").between(0, 1) & F.startswith("a.name", F.lit("name-"))).alias("in_range"))
+
+
+@query("""WITH p AS (SELECT doc_id, field, text FROM (SELECT doc_id, unnest(['lang', 'text']) AS field, unnest([lang, text]) AS text FROM documents) WHERE length(text) > 0)
+SELECT CAST(floor(coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY field ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 2) AS BIGINT) AS batch, doc_id, field, length(text) AS size FROM p""")
+def q08_translation_batches(spark, d):
+    """The source is protected, language and text are to translate."""
+    t = O.translation_batches(table(spark, d, "documents"), "doc_id", ["lang", "source", "text"], ["source"], 2)
+    return t.select("batch", "doc_id", "field", F.length("text").cast("long").alias("size"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import html
+from functools import reduce
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
+from pyspark.sql.window import Window
 
 # Elements whose text isn't shown, and those that hold an article's text.
 HIDDEN = frozenset({"script", "style", "noscript", "svg", "template", "nav", "footer", "header", "form", "aside"})
@@ -53,12 +54,13 @@ class _Visible(HTMLParser):
                 self.inner.append(data)
 
 
-def visible_text(markup: str | None, max_chars: int = 200_000) -> str:
+def visible_text(markup: str | None) -> str:
+    """All shown text, or an article's where that is long enough; the parser has resolved references."""
     parser = _Visible()
     parser.feed(markup or "")
     parser.close()
-    inner, shown = (" ".join(html.unescape(" ".join(x)).split()) for x in (parser.inner, parser.shown))
-    return (inner if len(inner) >= FOCUS_LEAST else shown)[:max_chars]
+    inner, shown = (" ".join(" ".join(x).split()) for x in (parser.inner, parser.shown))
+    return inner if len(inner) >= FOCUS_LEAST else shown
 
 
 @F.pandas_udf(StringType())
@@ -89,6 +91,20 @@ def read_evidence(spark: SparkSession, path: str, schema: str) -> tuple[DataFram
     return rows.where("r._bad is null").select("r.*").drop("_bad"), rows.where("r._bad is not null").select(F.col("value").alias("line"))
 
 
+def write_evidence(rows: DataFrame, path: str) -> None:
+    """One JSON object a line; the table is replaced when all of it is written."""
+    rows.write.mode("overwrite").json(path)
+
+
+def search_feeds(feeds: DataFrame, items: DataFrame, terms: list[str], least: float, bonus: float = 0.2) -> DataFrame:
+    """(feed, item, score, gap): the items (feed, item, title, text) that hold enough of the terms, a hit in the title counting extra; feeds without items are recorded as gaps."""
+    listed = F.array(*[F.lit(t) for t in terms])
+    hits = lambda c: F.size(F.filter(listed, lambda t: F.contains(F.lower(c), t)))
+    score = F.round(F.least(F.lit(1.0), hits("text") / len(terms) + F.when(hits("title") > 0, bonus).otherwise(0.0)), 4)
+    scored = feeds.join(items.withColumn("score", score), "feed", "left")
+    return scored.where((F.col("score") >= least) | F.col("item").isNull()).select("feed", "item", "score", F.when(F.col("item").isNull(), "no_items").alias("gap"))
+
+
 def write_changed(rows: DataFrame, path: str, id_col: str) -> int:
     """Appends rows whose canonical JSON isn't stored yet; returns how many."""
     spark = rows.sparkSession
@@ -127,6 +143,17 @@ def load_registry(spark: SparkSession, entries: list[dict]) -> tuple[DataFrame,
     )
 
 
+REPUTATION = ("reputation", "trust", "bias")
+
+
+def check_registry(entries: DataFrame, order: str) -> DataFrame:
+    """Adds the reason against each entry, null for a good one: no id, a repeated id (all but the first by `order`), or a reputation field."""
+    k = F.row_number().over(Window.partitionBy("id").orderBy(order))
+    held = [F.col(c).isNotNull() for c in REPUTATION if c in entries.columns]
+    reputation = reduce(lambda a, b: a | b, held, F.lit(False))
+    return entries.withColumn("reason", F.when(F.col("id").isNull() | (F.col("id") == ""), "no id").when(k > 1, "repeated id").when(reputation, "reputation field"))
+
+
 def cached_response(requests: DataFrame, cache: DataFrame) -> DataFrame:
     """Stored responses by the hash of their url; misses stay with nulls."""
     return requests.withColumn("key", F.sha2("url", 256)).join(cache, "key", "left")

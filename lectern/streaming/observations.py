@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from lectern.operators.graph import shared_folder
 
 LATE = "1 day"
 
@@ -48,18 +52,37 @@ def append_new(batch: DataFrame, path: str, keys: list[str]) -> None:
     new.write.mode("append").parquet(path)
 
 
-def rate_violations(requests: DataFrame, host: str, ts: str, seconds: float = 1.0) -> DataFrame:
+def rate_violations(requests: DataFrame, host: str, ts: str, seconds: float = 1.0, tie: str | None = None) -> DataFrame:
     """Requests to a host sooner than allowed after the one before."""
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy(host).orderBy(ts)
+    w = Window.partitionBy(host).orderBy(ts, *[tie] * bool(tie))
     gap = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6 - F.unix_micros(F.lag(F.col(ts).cast("timestamp")).over(w)) / 1e6
     return requests.withColumn("gap_s", gap).where(F.col("gap_s") < seconds)
 
 
-def drained(frame: DataFrame, name: str, mode: str, checkpoint: str | None = None) -> DataFrame:
-    """Runs a stream over what is there now and returns its result as a table (for tests and batch twins)."""
-    writer = frame.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    q = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+def drained(frame: DataFrame, name: str, mode: str, folder: str | None = None) -> DataFrame:
+    """Runs a stream over what is there now and returns its result as a table (for tests and batch twins).
+
+    Batches go to files of the shared folder, next to the stream's checkpoint:
+    nothing passes through the driver. In append mode each batch has its part
+    under its own number, so a replayed batch replaces itself; in complete mode
+    the last batch is the result.
+    """
+    spark = frame.sparkSession
+    root = f"{folder or shared_folder(spark)}/{name}"
+    schema = frame.schema
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
+
+    q = frame.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return frame.sparkSession.table(name)
+    try:
+        parts = spark.read.schema(schema.add("batch", "long")).parquet(f"{root}/out")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
+    if mode == "complete":
+        last = parts.agg(F.max("batch")).first()[0]
+        parts = parts.where(F.col("batch") == (-1 if last is None else last))
+    return parts.drop("batch")
