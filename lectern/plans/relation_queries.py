@@ -22,7 +22,7 @@ SHINGLE_SQL = f"""
 t AS (SELECT id, publisher, published_min, {TOKENS} AS t FROM {sql_view('articles')}),
 s AS (SELECT id, publisher, published_min, list_distinct([array_to_string(t[i:i+4], ' ') for i in range(1, len(t) - 3)]) AS s FROM t WHERE len(t) >= 40),
 f AS (SELECT id, unnest(s) AS h FROM s),
-k AS (SELECT h FROM f GROUP BY h HAVING count(*) BETWEEN 2 AND 400),
+k AS (SELECT h FROM f GROUP BY h HAVING count(*) >= 2),
 c AS (SELECT DISTINCT a.id AS l, b.id AS r FROM f a JOIN k USING (h) JOIN f b ON a.h = b.h AND a.id < b.id),
 o AS (SELECT a.id AS l, b.id AS r, count(*) AS n_both FROM f a JOIN f b ON a.h = b.h AND a.id < b.id GROUP BY ALL),
 m AS (SELECT c.l, c.r, x.publisher AS lp, y.publisher AS rp, n_both::DOUBLE / (len(x.s) + len(y.s) - n_both) AS jaccard, n_both::DOUBLE / least(len(x.s), len(y.s)) AS containment,
@@ -118,12 +118,12 @@ def a01_a02_tfidf(spark, d):
 
 
 @query(f"""WITH {TFIDF_SQL}, key AS (SELECT doc_id, md5(string_agg(term || ':' || round(w, 9), ' ' ORDER BY term)) AS k FROM v GROUP BY doc_id), rep AS (SELECT min(doc_id) AS doc_id FROM key GROUP BY k), m AS MATERIALIZED (SELECT v.* FROM v JOIN rep USING (doc_id))
-SELECT l, r, round(cosine, 5) AS cosine FROM (SELECT a.doc_id AS l, b.doc_id AS r, sum(a.w * b.w) AS cosine FROM m a JOIN m b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY ALL) WHERE cosine >= 0.5""")
+SELECT l, r, round(cosine, 5) AS cosine FROM (SELECT a.doc_id AS l, b.doc_id AS r, sum(a.w * b.w) AS cosine FROM m a JOIN m b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY ALL) WHERE cosine >= 0.8""")
 def m09_j03_cosine_pairs(spark, d):
-    """All pairs of different vectors from 0.5 on; equal vectors are one, named by the least id."""
+    """All pairs of different vectors from 0.8 on; equal vectors are one, named by the least id."""
     v = cut_lineage(_vectors(spark, d))
     reps = S.vector_classes(v, "doc_id", "term").select(F.col("rep").alias("doc_id")).distinct()
-    return S.sparse_cosine(v.join(reps, "doc_id", "left_semi"), "doc_id", "term", 0.5).select("l", "r", _r(F.col("cosine"), 5).alias("cosine"))
+    return S.sparse_cosine(v.join(reps, "doc_id", "left_semi"), "doc_id", "term", 0.8).select("l", "r", _r(F.col("cosine"), 5).alias("cosine"))
 
 
 @query(f"""WITH c AS (SELECT conv_id, turn, text, list_filter(list_transform(regexp_extract_all(text, '\\p{{L}}+|[0-9]+(?:[.,][0-9]+)?'), lambda w: lower(w)), lambda w: NOT list_contains({G.sql_list(G.EXPLANATION_STOPWORDS)}, w)) AS t FROM conversations),
