@@ -194,7 +194,8 @@ def lexical_search(docs: DataFrame, id_col: str, text_col: str, queries: DataFra
     """
     w = docs.select(F.col(id_col), F.array_distinct(comparison_tokens(F.col(text_col))).alias("w"))
     q = queries.select(F.col(query_id), F.array_distinct(comparison_tokens(F.col(query_text))).alias("qw"))
-    hits = union_all([spread(w.crossJoin(b), [query_id, id_col], F.array_intersect("w", "qw"), "t") for b in broadcast_blocks(q)])
+    # written once: both the counts and the scores read the hits, and would tokenise all documents again
+    hits = cut_lineage(union_all([spread(w.crossJoin(b), [query_id, id_col], F.array_intersect("w", "qw"), "t") for b in broadcast_blocks(q)]))
     df = hits.select(id_col, "t").distinct().groupBy("t").agg(F.count("*").alias("df"))
     n = docs.agg(F.count("*").alias("n"))
     return hits.join(df, "t").crossJoin(F.broadcast(n)).groupBy(query_id, id_col).agg(F.round(F.sum(1 / (1 + F.col("df") / F.col("n"))), 5).alias("score"))
