@@ -1,6 +1,6 @@
 """The queries of this subpackage, by name."""
 
-from lectern.llm import bpe, chat_format, decontaminate, minhash_dedup, pii, quality_rules, secrets, suffix_dedup, superkmer_dedup, url_filter
+from lectern.llm import bpe, chat_format, decontaminate, minhash_dedup, pii, quality_rules, secrets, simhash_dedup, suffix_dedup, superkmer_dedup, url_filter
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_secrets": secrets.op8_secrets,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_bpe": bpe.op10_bpe,
+    "op11_simhash_dedup": simhash_dedup.op11_simhash_dedup,
 }
 
 ORACLE = {
