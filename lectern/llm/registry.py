@@ -1,6 +1,6 @@
 """The queries of this subpackage, by name."""
 
-from lectern.llm import bpe, chat_format, decontaminate, minhash_dedup, pii, quality_rules, secrets, simhash_dedup, suffix_dedup, superkmer_dedup, url_filter
+from lectern.llm import bpe, chat_format, decontaminate, filter_audit, hard_negatives, minhash_dedup, pii, quality_rules, secrets, simhash_dedup, suffix_dedup, superkmer_dedup, url_filter
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -14,10 +14,14 @@ QUERIES = {
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_bpe": bpe.op10_bpe,
     "op11_simhash_dedup": simhash_dedup.op11_simhash_dedup,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 
 ORACLE = {
     "op3_url_filter": url_filter.OP3_SQL,
     "op6_chat_format": chat_format.OP6_SQL,
     "op9_quality_rules": quality_rules.OP9_SQL,
+    "op12_hard_negatives": hard_negatives.OP12_SQL,
+    "op13_filter_audit": filter_audit.OP13_SQL,
 }
