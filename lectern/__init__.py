@@ -1 +1,8 @@
-"""Document, evidence and coverage analytics as Spark plans."""
+"""Document, evidence and coverage analytics on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to Python workers carry their code, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -33,6 +33,25 @@ LEGAL_FORMS = ("inc", "ltd", "ltda", "llc", "sa", "corp", "co", "plc", "gmbh")
 LIGATURES = {"ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "­": "", " ": " ", "‐": "-", "‑": "-", "‒": "-"}
 
 
+WORD_CHARACTER = r"[\p{L}\p{N}_]"
+
+
+def edges(pattern: str) -> str:
+    """The pattern with each \\b spelled out for letters of all scripts; what \\b itself means differs between Java versions."""
+    w = WORD_CHARACTER
+    return pattern.replace(r"\b", f"(?:(?<!{w})(?={w})|(?<={w})(?!{w}))")
+
+
+def sql_words(x: str) -> str:
+    """For DuckDB: every other character doubled, so that `sql_word` finds neighbouring words."""
+    return f"regexp_replace({x}, '([^\\p{{L}}\\p{{N}}_])', '\\1\\1', 'g')"
+
+
+def sql_word(pattern: str) -> str:
+    """The pattern between characters of no word; DuckDB's \\b knows ASCII letters only."""
+    return f"(?:^|[^\\p{{L}}\\p{{N}}_])(?:{pattern})(?:$|[^\\p{{L}}\\p{{N}}_])"
+
+
 def fold(text: Column) -> Column:
     """Lower case without accents; other scripts stay."""
     return F.translate(F.lower(text), ACCENTED, PLAIN)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DAMPING, ITERATIONS = 0.85, 60
-JUMPS = 24  # chains of 2 ** 24 parents
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -19,19 +21,34 @@ def shared_folder(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if "" not in _own:
-        _own[""] = tempfile.mkdtemp(prefix="lectern-checkpoint-")
+        _own[""] = "file://" + tempfile.mkdtemp(prefix="lectern-checkpoint-")
     return _own[""]
 
 
 _own: dict[str, str] = {}
+_used: dict[str, tuple[SparkSession, str]] = {}
+
+
+def _remove_tables(app: str) -> None:
+    spark, path = _used.pop(app)
+    with contextlib.suppress(Exception):  # the session may be gone at exit
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: a checkpoint in the folder that the cluster names, where it names one."""
+    """Cuts the lineage: the rows are written once, as a table in the folder that the cluster names, and read from there.
+
+    Unlike a checkpoint this computes them once, and later joins know their size.
+    """
     spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
+    app = spark.sparkContext.applicationId
+    if app not in _used:
+        _used[app] = (spark, f"{shared_folder(spark).rstrip('/')}/lectern-tables-{app}")
+        atexit.register(_remove_tables, app)
+    path = f"{_used[app][1]}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -122,10 +139,15 @@ def within_hops(edges: DataFrame, roots: DataFrame, hops: int) -> DataFrame:
 
 
 def roots(parents: DataFrame) -> DataFrame:
-    """(id, root) for (id, parent): where a chain of parents ends; a cycle ends at its least id."""
+    """(id, root) for (id, parent): where a chain of parents ends; a cycle ends at its least id.
+
+    Each round doubles the way. After as many rounds as the number of rows has
+    binary digits every chain has come to its end, and who is still on the way
+    goes round in a cycle, all of which it has seen.
+    """
     links = parents.where("parent is not null and parent <> id").select("id", "parent")
     at = cut_lineage(parents.select("id", F.coalesce("parent", "id").alias("to"), F.least("id", F.coalesce("parent", "id")).alias("low")))
-    for _ in range(JUMPS):
+    for _ in range(at.count().bit_length() + 1):
         nxt = at.select(F.col("id").alias("to"), F.col("to").alias("far"), F.col("low").alias("far_low"))
         new = cut_lineage(at.join(nxt, "to", "left").select("id", "to", "low", F.coalesce("far", "to").alias("new_to"), F.least("low", F.coalesce("far_low", "low")).alias("new_low")))
         done = new.where("to <> new_to or low <> new_low").isEmpty()

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType
+from pyspark.sql.types import LongType
 from pyspark.sql.window import Window
 
 from lectern.functions.arrays import spread
@@ -18,7 +18,7 @@ HALF_LIFE = {"causal": 1460, "impact": 730, "fiscal": 365, "legal": 1825, "other
 
 
 def tfidf(features: DataFrame, id_col: str, term_col: str, total: int, highest_share: float = 0.85) -> DataFrame:
-    """(id, term, w): augmented term frequency times smoothed inverse document frequency, of length one per document.
+    """(id, term, w, c): augmented term frequency times smoothed inverse document frequency, of length one per document, and the count.
 
     features has a row per occurrence. Counts combine before they are dealt by
     (id, term); document frequencies join back on the term.
@@ -29,46 +29,112 @@ def tfidf(features: DataFrame, id_col: str, term_col: str, total: int, highest_s
         df = df.where(F.col("df") / F.lit(total) <= highest_share)
     own = Window.partitionBy(id_col)
     weighted = counts.join(df, term_col).withColumn("tf", 0.5 + 0.5 * F.col("c") / F.max("c").over(own)).withColumn("raw", F.col("tf") * (F.log((1 + F.lit(total)) / (1 + F.col("df"))) + 1))
-    return weighted.withColumn("w", F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(own))).select(id_col, term_col, "w")
+    return weighted.withColumn("w", F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(own))).select(id_col, term_col, "w", "c")
 
 
 def vector_classes(vectors: DataFrame, id_col: str, term_col: str) -> DataFrame:
-    """(id, rep): ids with equal vectors form a class, named by its least id; a vector is known by two sums of term hashes and weights."""
-    h = lambda seed: F.sum(F.xxhash64(F.lit(seed), F.col(term_col), F.round("w", 9)).cast("decimal(38,0)"))
+    """(id, rep): ids with equal vectors form a class, named by its least id.
+
+    A vector is known by two sums of hashes of its terms and counts (column c),
+    or of its rounded weights where it has no counts.
+    """
+    value = F.col("c") if "c" in vectors.columns else F.round("w", 9)
+    h = lambda seed: F.sum(F.xxhash64(F.lit(seed), F.col(term_col), value).cast("decimal(38,0)"))
     keyed = cut_lineage(vectors.groupBy(id_col).agg(h(1).alias("h1"), h(2).alias("h2")))
     reps = cut_lineage(keyed.groupBy("h1", "h2").agg(F.min(id_col).alias("rep")))
     return cut_lineage(keyed.join(reps, ["h1", "h2"]).select(F.col(id_col).alias("id"), "rep"))
 
 
-def sparse_cosine(vectors: DataFrame, id_col: str, term_col: str, least: float) -> DataFrame:
-    """(l, r, cosine) of all pairs that reach `least`; vectors must have length one. No term is too common.
+def ranked_terms(vectors: DataFrame, id_col: str, term_col: str) -> DataFrame:
+    """(id, term, w, rest) of the terms that several vectors hold.
 
-    All terms are in one order, rarest first. A vector's prefix ends where the
-    length of what is left falls under `least`: a pair that shares nothing of a
-    prefix has a smaller cosine, so two vectors that reach it share a term that
-    is in the prefixes of both. Common terms stand late and rarely propose pairs.
+    All terms are in one order, rarest first; rest is the length of a vector from
+    this term on, with the terms that it holds alone counted out before.
     """
     df = vectors.groupBy(term_col).agg(F.count("*").alias("df"))
-    own = Window.partitionBy(id_col).orderBy("df", term_col)
-    ranked = vectors.join(df, term_col).withColumn("before", F.coalesce(F.sum(F.col("w") * F.col("w")).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    prefix = ranked.where((F.col("df") > 1) & (1 - F.col("before") >= least * least - 1e-9)).select(term_col, id_col)
-    a, b = prefix.select(term_col, F.col(id_col).alias("l")), prefix.select(term_col, F.col(id_col).alias("r"))
-    pairs = a.join(b, term_col).where("l < r").select("l", "r").distinct()
-    bags = vectors.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct(term_col, "w"))).alias("bag"))
-    met = pairs.join(bags.select(F.col(id_col).alias("l"), F.col("bag").alias("x")), "l").join(bags.select(F.col(id_col).alias("r"), F.col("bag").alias("y")), "r")
-    return met.select("l", "r", sparse_dot(F.col("x"), F.col("y")).alias("cosine")).where(F.col("cosine") >= least)
-
-
-@F.pandas_udf(DoubleType())
-def sparse_dot(x: pd.Series, y: pd.Series) -> pd.Series:
-    """Sum of the products of the weights that two maps share."""
-    out = []
-    for a, b in zip(x, y, strict=True):
-        a, b = dict(a), dict(b)
-        if len(b) < len(a):
-            a, b = b, a
-        out.append(float(sum(w * b[t] for t, w in a.items() if t in b)))
-    return pd.Series(out, dtype="float64")
+    own = Window.partitionBy(id_col).orderBy("df", term_col).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.col("w") * F.col("w")).over(own), F.lit(0.0))
+    ranked = vectors.join(df, term_col).withColumn("rest", F.sqrt(F.greatest(1 - before, F.lit(0.0)))).where("df > 1")
+    return cut_lineage(ranked.select(F.col(id_col).alias("id"), F.xxhash64(term_col).alias("term"), "w", "rest"))
+
+
+def cosine_candidates(ranked: DataFrame, least: float) -> DataFrame:
+    """(l, r) that may reach `least`; no term is too common.
+
+    Where two vectors meet at their first shared term, their cosine is at most
+    the product of what is left of them there. Common terms stand late, where
+    little is left, and rarely propose pairs.
+    """
+    prefix = ranked.where(F.col("rest") >= least - 1e-9)
+    a = prefix.select("term", F.col("id").alias("l"), F.col("rest").alias("x"))
+    b = prefix.select("term", F.col("id").alias("r"), F.col("rest").alias("y"))
+    return a.join(b, "term").where((F.col("l") < F.col("r")) & (F.col("x") * F.col("y") >= least - 1e-9)).select("l", "r").distinct()
+
+
+def bags(ranked: DataFrame) -> DataFrame:
+    """(id, terms, ws): a vector in a row."""
+    held = ranked.groupBy("id").agg(F.collect_list(F.struct("term", "w")).alias("b"))
+    return held.select("id", F.col("b.term").alias("terms"), F.col("b.w").alias("ws"))
+
+
+CELL_VECTORS, CELL_TERMS = 1024, 1 << 19
+
+
+def pair_dots(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(l, r, dot) of given pairs of vectors (id, terms, ws).
+
+    Pairs are dealt into cells by the hashes of both ids. A vector goes once to
+    each cell that has a pair of it, not once with every pair; a cell holds
+    about CELL_VECTORS vectors of either side, and fewer where they are long.
+    """
+    n, total = vectors.agg(F.count("*"), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
+    sides = max(1, -(-n // CELL_VECTORS), -(-total // CELL_TERMS))
+    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(sides)).cast("int")
+    placed = pairs.select("l", "r", cell("l").alias("i"), cell("r").alias("j"))
+    needed = placed.select(F.explode(F.array("l", "r")).alias("id"), F.col("i").alias("vi"), F.col("j").alias("vj")).distinct().join(vectors, "id")
+    kind = placed.schema["l"].dataType.simpleString()
+
+    def dots(p: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        rows = sparse_rows(v["terms"], v["ws"])
+        at = pd.Series(np.arange(len(v)), index=v["id"])
+        p = p.sort_values("l")
+        return pd.DataFrame({"l": p["l"], "r": p["r"], "dot": row_dots(rows, at.loc[p["l"]].to_numpy(), at.loc[p["r"]].to_numpy())})
+
+    return placed.groupBy("i", "j").cogroup(needed.groupBy("vi", "vj")).applyInPandas(dots, f"l {kind}, r {kind}, dot double")
+
+
+def sparse_rows(terms, weights) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets, columns and weights of vectors as rows of a sparse matrix."""
+    sizes = np.array([len(t) for t in terms], np.int64)
+    flat = np.concatenate([np.asarray(t, np.int64) for t in terms] or [np.zeros(0, np.int64)])
+    columns = np.unique(flat, return_inverse=True)[1]
+    return np.concatenate([[0], np.cumsum(sizes)]), columns, np.concatenate([np.asarray(w, float) for w in weights] or [np.zeros(0)])
+
+
+def row_dots(rows: tuple[np.ndarray, np.ndarray, np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Products of rows left[k] and right[k]; equal entries of `left` stand together, so each is spread out once."""
+    offsets, columns, weights = rows
+    out = np.zeros(len(left))
+    dense = np.zeros(int(columns.max(initial=-1)) + 1)
+    border = np.flatnonzero(np.r_[True, left[1:] != left[:-1], True]) if len(left) else [0]
+    for lo, hi in zip(border[:-1], border[1:], strict=True):
+        own = slice(offsets[left[lo]], offsets[left[lo] + 1])
+        dense[columns[own]] = weights[own]
+        for part in range(lo, hi, 4096):
+            r = right[part : min(hi, part + 4096)]
+            size = offsets[r + 1] - offsets[r]
+            first = np.cumsum(size) - size
+            at = np.repeat(offsets[r] - first, size) + np.arange(int(size.sum()))
+            out[part : part + len(r)] = np.bincount(np.repeat(np.arange(len(r)), size), dense[columns[at]] * weights[at], len(r))
+        dense[columns[own]] = 0.0
+    return out
+
+
+def sparse_cosine(vectors: DataFrame, id_col: str, term_col: str, least: float) -> DataFrame:
+    """(l, r, cosine) of all pairs that reach `least`; vectors must have length one."""
+    ranked = ranked_terms(vectors, id_col, term_col)
+    met = pair_dots(cosine_candidates(ranked, least), bags(ranked))
+    return met.withColumnRenamed("dot", "cosine").where(F.col("cosine") >= least)
 
 
 def top_terms(vectors: DataFrame, cluster: str, term_col: str, top: int = 4) -> DataFrame:

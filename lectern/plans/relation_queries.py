@@ -12,62 +12,95 @@ from lectern.operators import cluster as C
 from lectern.operators import graph as R
 from lectern.operators import independence as I
 from lectern.operators import similarity as S
+from lectern.operators.extract import sql_wire_agency
 from lectern.operators.graph import cut_lineage
+from lectern.operators.segment import QUOTES
+from lectern.operators.setlinks import set_classes
 from lectern.plans._query import query, table
 from lectern.plans.views import sql_view, view
 
 NORM = T.sql_normalise("text")
 TOKENS = f"regexp_extract_all({NORM}, '{G.WORD}')"
-SHINGLE_SQL = f"""
-t AS (SELECT id, publisher, published_min, {TOKENS} AS t FROM {sql_view('articles')}),
-s AS (SELECT id, publisher, published_min, list_distinct([array_to_string(t[i:i+4], ' ') for i in range(1, len(t) - 3)]) AS s FROM t WHERE len(t) >= 40),
-f AS (SELECT id, unnest(s) AS h FROM s),
-k AS (SELECT h FROM f GROUP BY h HAVING count(*) >= 2),
-c AS (SELECT DISTINCT a.id AS l, b.id AS r FROM f a JOIN k USING (h) JOIN f b ON a.h = b.h AND a.id < b.id),
-o AS (SELECT a.id AS l, b.id AS r, count(*) AS n_both FROM f a JOIN f b ON a.h = b.h AND a.id < b.id GROUP BY ALL),
-m AS (SELECT c.l, c.r, x.publisher AS lp, y.publisher AS rp, n_both::DOUBLE / (len(x.s) + len(y.s) - n_both) AS jaccard, n_both::DOUBLE / least(len(x.s), len(y.s)) AS containment,
-  abs(x.published_min - y.published_min) AS gap_min FROM c JOIN o USING (l, r) JOIN s x ON x.id = c.l JOIN s y ON y.id = c.r)
+NORM_Q = T.sql_normalise("q")
+ERRORS = ("4512 per mille",)
+_Q = " || ".join(f"regexp_extract_all(text, '{q}', 1)" for q in QUOTES)
+# features, and similarities of all pairs that share a shingle
+FEATURE_SQL = f"""
+t AS (SELECT *, {TOKENS} AS t FROM {sql_view('dispatches')}),
+q AS (SELECT *, {_Q} AS q FROM t),
+f AS MATERIALIZED (SELECT id, publisher, lang, published_min, kind, derived_from,
+  CASE WHEN len(t) >= 40 THEN list_distinct([array_to_string(t[i:i+4], ' ') for i in range(1, len(t) - 3)]) ELSE []::VARCHAR[] END AS s,
+  list_distinct(list_filter(list_transform(list_filter(q, lambda q: len(list_filter(string_split_regex(trim(q), '\\s+'), lambda w: w <> '')) >= 6),
+    lambda q: trim(regexp_replace(regexp_replace(regexp_replace({NORM_Q}, '^[ .,;:''"-]+|[ .,;:''"-]+$', '', 'g'), '\\.{{3,}}', ' ', 'g'), '\\s+', ' ', 'g'))), lambda q: q <> '')) AS quotes,
+  list_distinct(list_filter(list_transform(regexp_extract_all(text, '{I.URL.replace("'", "''")}'),
+    lambda u: lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(u, '[.,;:)’"'']+$', ''), '^(?i)https?://', ''), '^(?i)www\\.', ''), '#.*$', ''), '[?&](utm_[^=]+|fbclid|gclid|mc_cid|mc_eid)=[^&]*', '', 'g'), '[?&/]+$', ''))), lambda u: u <> '')) AS urls,
+  {T.sql_normalise(sql_wire_agency('text'))} AS w, list_filter({list(ERRORS)}, lambda e: contains({NORM}, e)) AS errors FROM q),
+h AS (SELECT id, unnest(s) AS h FROM f),
+o AS (SELECT a.id AS l, b.id AS r, count(*) AS n_both FROM h a JOIN h b ON a.h = b.h AND a.id < b.id GROUP BY ALL),
+rep AS (SELECT min(id) AS rep, count(*) AS n, list(id) AS ids FROM f WHERE len(s) > 0 GROUP BY list_sort(s)),
+k AS (SELECT id, published_min, 'w' AS kind, w AS key FROM f WHERE w IS NOT NULL UNION ALL SELECT id, published_min, 'q', unnest(quotes) FROM f
+  UNION ALL SELECT id, published_min, 'u', unnest(urls) FROM f UNION ALL SELECT id, published_min, 'e', unnest(errors) FROM f
+  UNION ALL SELECT f.id, f.published_min, 'c', CAST(rep AS VARCHAR) FROM rep, unnest(ids) AS u(i) JOIN f ON f.id = u.i)
 """
+NEAR_SQL = """n AS (SELECT o.l, o.r, x.n AS n_l, y.n AS n_r, n_both::DOUBLE / (len(a.s) + len(b.s) - n_both) AS jaccard, n_both::DOUBLE / least(len(a.s), len(b.s)) AS containment
+  FROM o JOIN rep x ON x.rep = o.l JOIN rep y ON y.rep = o.r JOIN f a ON a.id = o.l JOIN f b ON b.id = o.r)"""
+# what two articles l < r of a table `p` share, and their signals
+EXPLAIN_SQL = """e AS (SELECT p.l, p.r, a.publisher <> b.publisher AS other, coalesce(a.kind = 0 OR b.kind = 0, false) AS press, abs(a.published_min - b.published_min) AS gap_min,
+    coalesce(n_both, 0)::DOUBLE / greatest(1, len(a.s) + len(b.s) - coalesce(n_both, 0)) AS jaccard, coalesce(n_both, 0)::DOUBLE / greatest(1, least(len(a.s), len(b.s))) AS containment,
+    len(list_intersect(a.quotes, b.quotes)) AS nq, len(a.quotes) + len(b.quotes) - len(list_intersect(a.quotes, b.quotes)) AS uq, len(list_intersect(a.urls, b.urls)) AS nu,
+    coalesce(a.w = b.w, false) AS wire, len(list_intersect(a.errors, b.errors)) AS ne FROM p JOIN f a ON a.id = p.l JOIN f b ON b.id = p.r LEFT JOIN o ON o.l = p.l AND o.r = p.r),
+  g AS (SELECT *, jaccard >= 0.55 OR containment >= 0.75 AS phrasing, nq >= 2 AND nq::DOUBLE / uq >= 0.6 AS quoted, press AND nq > 0 AND other AS released FROM e),
+  x AS (SELECT *, list_filter([CASE WHEN phrasing THEN 'identical_phrasing' END, CASE WHEN quoted THEN 'identical_quotes' END, CASE WHEN wire THEN 'same_wire' END, CASE WHEN released THEN 'same_press_release' END,
+    CASE WHEN ne > 0 THEN 'shared_error' END, CASE WHEN nu > 0 AND gap_min <= 2880 AND NOT phrasing THEN 'same_release' END], lambda z: z IS NOT NULL) AS fired FROM g)"""
 
 
 def _r(c, n=6):
     return F.round(c, n)
 
 
-@query(f"WITH {SHINGLE_SQL} SELECT l, r, round(jaccard, 6) AS jaccard, round(containment, 6) AS containment, gap_min FROM m WHERE jaccard >= 0.55 OR containment >= 0.75")
+@query(f"WITH {FEATURE_SQL}, {NEAR_SQL} SELECT l, r, n_l, n_r, round(jaccard, 6) AS jaccard, round(containment, 6) AS containment FROM n WHERE jaccard >= 0.55 OR containment >= 0.75")
 def j02_m01_m02_near_pairs(spark, d):
-    p = I.fingerprints(view(spark, d, "articles"))
-    m = I.signals(I.near_pairs(p))
-    return m.select("l", "r", _r(F.col("jaccard")).alias("jaccard"), _r(F.col("containment")).alias("containment"), "gap_min")
-
-
-@query(f"""WITH {SHINGLE_SQL} SELECT l, r, 'identical_phrasing' || CASE WHEN lp <> rp AND coalesce(gap_min <= 1.5, false) THEN '|same_moment' ELSE '' END AS signals
-FROM m WHERE jaccard >= 0.55 OR containment >= 0.75""")
+    """Pairs of different similar texts, each text with the number of its copies."""
+    m = I.near_pairs(I.fingerprints(view(spark, d, "dispatches")))
+    return m.select("l", "r", "n_l", "n_r", _r(F.col("jaccard")).alias("jaccard"), _r(F.col("containment")).alias("containment"))
+
+
+@query(f"""WITH {FEATURE_SQL}, {NEAR_SQL},
+y AS (SELECT id, kind, published_min AS t, lag(id) OVER w AS before, lag(published_min) OVER w AS earlier, first_value(id) OVER w AS head, first_value(published_min) OVER w AS head_t FROM k WINDOW w AS (PARTITION BY kind, key ORDER BY published_min NULLS FIRST, id)),
+z AS (SELECT before AS l, id AS r FROM y WHERE before IS NOT NULL AND (kind IN ('e', 'c') OR coalesce(t - earlier <= CASE kind WHEN 'u' THEN 2880 ELSE 180 END, false))
+  UNION SELECT head, id FROM y WHERE head_t IS NULL AND head <> id UNION SELECT l, r FROM n WHERE jaccard >= 0.55 OR containment >= 0.75),
+p AS (SELECT DISTINCT least(l, r) AS l, greatest(l, r) AS r FROM z), {EXPLAIN_SQL},
+v AS (SELECT *, list_concat(fired, CASE WHEN other AND gap_min <= 1.5 AND (len(fired) > 0 OR nq > 0) THEN ['same_moment'] ELSE [] END) AS signals FROM x)
+SELECT l, r, array_to_string(signals, '|') AS signals, round(jaccard, 6) AS jaccard, nq AS n_quotes, nu AS n_urls, ne AS n_errors, gap_min FROM v WHERE len(signals) > 0""")
 def m19_pair_signals(spark, d):
-    p = I.fingerprints(view(spark, d, "articles"))
-    return I.signals(I.near_pairs(p)).select("l", "r", F.array_join("signals", "|").alias("signals"))
-
-
-ORIGIN_SQL = f"""WITH RECURSIVE {SHINGLE_SQL},
-e AS (SELECT l, r FROM m WHERE (jaccard >= 0.55 OR containment >= 0.75) AND (gap_min IS NULL OR gap_min <= 180)
-  UNION SELECT least(a.id, a.derived_from), greatest(a.id, a.derived_from) FROM {sql_view('articles')} a JOIN {sql_view('articles')} b ON a.derived_from = b.id),
-b AS (SELECT l AS x, r AS y FROM e UNION SELECT r, l FROM e),
-w AS (SELECT x AS id, x AS reach FROM b UNION SELECT w.id, b.y FROM w JOIN b ON w.reach = b.x),
-g AS (SELECT id, min(reach) AS origin FROM w GROUP BY id)
+    """Seven signals of the pairs that the index of typed keys and the similarity of texts propose."""
+    m = I.pair_signals(view(spark, d, "dispatches"), ERRORS)
+    n = lambda c: F.col(c).cast("long").alias(c)
+    return m.select("l", "r", F.array_join("signals", "|").alias("signals"), _r(F.col("jaccard")).alias("jaccard"), n("n_quotes"), n("n_urls"), n("n_errors"), "gap_min")
+
+
+# every pair that shares anything, and the closure of those that merge
+ORIGIN_SQL = f"""WITH RECURSIVE {FEATURE_SQL},
+p AS (SELECT l, r FROM o UNION SELECT a.id, b.id FROM k a JOIN k b ON a.kind = b.kind AND a.key = b.key AND a.id < b.id), {EXPLAIN_SQL},
+ed AS (SELECT l, r FROM x WHERE (phrasing OR quoted OR wire OR released OR ne > 0) AND (gap_min IS NULL OR gap_min <= 180 OR ne > 0)
+  UNION SELECT least(a.id, a.derived_from), greatest(a.id, a.derived_from) FROM f a JOIN f b ON a.derived_from = b.id),
+bo AS MATERIALIZED (SELECT l AS x, r AS y FROM ed UNION SELECT r, l FROM ed),
+wa AS (SELECT x AS id, x AS reach FROM bo UNION SELECT wa.id, bo.y FROM wa JOIN bo ON wa.reach = bo.x),
+gr AS (SELECT id, min(reach) AS origin FROM wa GROUP BY id)
 """
 
 
-@query(ORIGIN_SQL + f"SELECT a.id, coalesce(origin, a.id) AS origin FROM {sql_view('articles')} a LEFT JOIN g ON a.id = g.id")
+@query(ORIGIN_SQL + "SELECT f.id, coalesce(origin, f.id) AS origin FROM f LEFT JOIN gr ON f.id = gr.id")
 def c05_origin_groups(spark, d):
-    return I.origin_groups(view(spark, d, "articles"))
+    return I.origin_groups(view(spark, d, "dispatches"), ERRORS)
 
 
-@query(ORIGIN_SQL + f"""SELECT a.lang, count(*) AS n_articles, count(DISTINCT coalesce(origin, a.id)) AS n_origins, count(DISTINCT publisher) AS n_publishers
-FROM {sql_view('articles')} a LEFT JOIN g ON a.id = g.id GROUP BY a.lang""")
+@query(ORIGIN_SQL + """SELECT f.lang, count(*) AS n_articles, count(DISTINCT coalesce(origin, f.id)) AS n_origins, count(DISTINCT publisher) AS n_publishers FROM f LEFT JOIN gr ON f.id = gr.id GROUP BY f.lang""")
 def a09_distinct_origins(spark, d):
     """The flagship: how many original sources stand behind the articles of each language."""
-    a = view(spark, d, "articles")
-    return a.join(I.origin_groups(a), "id").groupBy("lang").agg(F.count("*").alias("n_articles"), F.countDistinct("origin").alias("n_origins"), F.countDistinct("publisher").alias("n_publishers"))
+    a = view(spark, d, "dispatches")
+    origins = I.origin_groups(a, ERRORS)
+    return a.select("id", "lang", "publisher").join(origins, "id").groupBy("lang").agg(F.count("*").alias("n_articles"), F.countDistinct("origin").alias("n_origins"), F.countDistinct("publisher").alias("n_publishers"))
 
 
 @query(f"""WITH a AS {sql_view('articles')}, r AS (SELECT *, row_number() OVER (PARTITION BY publisher ORDER BY published_min IS NULL, published_min, kind, independence, id) AS k, count(*) OVER (PARTITION BY publisher) AS n FROM a)
@@ -174,7 +207,7 @@ def m03_m04_overlaps(spark, d):
 def m05_m06_minhash(spark, d):
     """Pairs of articles that share a band, with the estimate; articles with equal shingles are one, and crowded bands are met exactly."""
     prints = I.fingerprints(view(spark, d, "articles"))
-    prints = cut_lineage(prints.join(I.shingle_classes(prints).where("id = rep").select("id"), "id", "left_semi"))
+    prints = cut_lineage(prints.join(set_classes(prints.select("id", "s")).where("id = rep").select("id"), "id", "left_semi"))
     sig = cut_lineage(prints.select("id", S.minhash(F.col("s")).alias("sig")))
     pairs, crowded = S.lsh_pairs(sig)
     pairs = pairs.union(I.candidate_pairs(prints.select("id", "s").join(crowded, "id", "left_semi"))).distinct()

@@ -14,6 +14,16 @@ VIEWS = {
         CASE WHEN doc_id % 11 = 0 THEN NULL ELSE (doc_id * 7919) % 43200 END AS published_min,
         CAST(doc_id % 6 AS INT) AS kind, CAST(doc_id % 5 AS INT) AS independence,
         CASE WHEN doc_id % 13 = 5 THEN doc_id - 5 END AS derived_from FROM {documents}""",
+    # texts with a lead that credits, quotes, cites or errs where the key says so; two days of news
+    "dispatches": """SELECT doc_id AS id, source AS publisher, lang, n_chars, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE (doc_id * 7919) % 2880 END AS published_min,
+        CAST(doc_id % 6 AS INT) AS kind, CASE WHEN doc_id % 13 = 5 THEN doc_id - 5 END AS derived_from, concat(CASE doc_id % 16
+        WHEN 1 THEN concat('(Harbour Wire ', doc_id % 3, ') - ')
+        WHEN 2 THEN concat('With reporting by Coastal Desk ', doc_id % 3, '. \n')
+        WHEN 3 THEN concat('They said "the council of district ', doc_id % 5, ' will publish every figure next spring" and "nobody in district ', doc_id % 5, ' expected the second reading so early". ')
+        WHEN 4 THEN concat('He repeats «the council of district ', doc_id % 5, ' will publish every figure next spring», as before. ')
+        WHEN 5 THEN concat('Figures at https://www.example.org/data/', doc_id % 4, '?utm_source=feed (table). ')
+        WHEN 6 THEN 'The levy raised 4512 per mille of the budget. '
+        ELSE '' END, text) AS text FROM {documents}""",
     "claims": """SELECT conv_id * 100 + turn AS claim_id, conv_id, turn, role AS speaker, text FROM {conversations}""",
     "evidence": """SELECT d.doc_id AS ev, d.doc_id % 40 AS claim_id, CAST(d.doc_id % 9 AS INT) AS tier, d.source, d.lang,
         CASE WHEN l.quality = 1 THEN 'high' WHEN l.quality = 0 THEN 'low' END AS strength,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.functions import tokens as G
-from lectern.operators import cluster, extract, graph, independence, propositions, scoring, segment, similarity, store
+from lectern.operators import cluster, extract, graph, independence, propositions, scoring, segment, setlinks, similarity, store
 from lectern.sources import readers
 from lectern.streaming import observations
 
@@ -60,9 +60,10 @@ def test_rank_sums_to_one_and_prefers_the_cited(spark):
 
 
 def test_average_linkage_is_not_components(spark):
-    items = spark.createDataFrame([(1,), (2,), (3,)], "id long")
-    sims = spark.createDataFrame([(1, 2, 0.5), (2, 3, 0.5), (1, 3, 0.0)], "l long, r long, cosine double")
-    assert {x.id: x.cluster for x in cluster.average_linkage(items, sims, 0.34).collect()} == {1: 1, 2: 1, 3: 3}
+    items = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "id long, weight long")
+    sims = spark.createDataFrame([(1, 2, 0.5), (2, 3, 0.5)], "l long, r long, cosine double")
+    vectors = spark.createDataFrame([(1, "a", 1.0), (2, "a", 0.5), (2, "b", 0.5), (3, "b", 1.0)], "id long, term string, w double")
+    assert {x.id: x.cluster for x in cluster.average_linkage(items, sims, vectors, 0.34).collect()} == {1: 1, 2: 1, 3: 3}
     assert {x.id: x.comp for x in graph.components(sims.where("cosine > 0").select(F.col("l").alias("a"), F.col("r").alias("b"))).collect()} == {1: 1, 2: 1, 3: 1}
 
 
@@ -83,10 +84,25 @@ def test_more_copies_than_any_cap(spark):
     rows = [(i, f"p{i % 3}", " ".join(base) if i < 410 else near(i), times(i), None) for i in range(830)]
     a = spark.createDataFrame(rows, "id long, publisher string, text string, published_min long, derived_from long")
     assert {x.origin for x in independence.origin_groups(a).collect()} == {0}
-    few = a.where("id < 405 or id >= 822")
-    n = few.count()
-    p = independence.near_pairs(independence.fingerprints(few))
-    assert (p.count(), p.select("l", "r").distinct().count(), p.where("l >= r").count()) == (n * (n - 1) // 2, n * (n - 1) // 2, 0)
+    p = independence.near_pairs(independence.fingerprints(a.where("id < 405 or id >= 822"))).collect()
+    assert {(x.l, x.r): (x.n_l, x.n_r) for x in p} == {(i, j): (405 if i == 0 else 1, 1) for j in range(822, 830) for i in [0, *range(822, j)]}
+
+
+@pytest.mark.parametrize("n", [500, 2000])
+def test_near_copies_cost_in_proportion(spark, monkeypatch, n):
+    base = [f"word{i}" for i in range(80)]
+    rows = [(i, f"p{i % 3}", " ".join([*base[: i % 70], f"new{i}", *base[i % 70 + 1 :]]), (i * 37) % 900, None) for i in range(n)]
+    a = spark.createDataFrame(rows, "id long, publisher string, text string, published_min long, derived_from long")
+    pairs, checkpoint = [], setlinks.cut_lineage
+
+    def counted(df):
+        out = checkpoint(df)
+        pairs.extend([out.count()] if out.columns == ["a", "b", "linked"] else [])
+        return out
+
+    monkeypatch.setattr(setlinks, "cut_lineage", counted)
+    assert {x.origin for x in independence.origin_groups(a).collect()} == {0}
+    assert 0 < sum(pairs) < 40 * n
 
 
 def test_groups_by_every_pair(spark):
@@ -110,7 +126,8 @@ def test_groups_by_every_pair(spark):
         for j in range(i):
             both = len(sets[i] & sets[j])
             if both / len(sets[i] | sets[j]) >= 0.55 or both / min(len(sets[i]), len(sets[j])) >= 0.75:
-                want.add((j, i))
+                if sets[i] != sets[j] and sets[i] not in sets[:i] and sets[j] not in sets[:j]:
+                    want.add((j, i))
                 if rows[i][3] is None or rows[j][3] is None or abs(rows[i][3] - rows[j][3]) <= 180:
                     x, y = find(i), find(j)
                     root[max(x, y)] = min(x, y)

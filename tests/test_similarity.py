@@ -48,12 +48,26 @@ def _greedy(vs, threshold):
         groups.sort(key=min)
 
 
-def test_clusters_are_those_of_the_greedy_order(spark):
+@pytest.mark.parametrize("local", [cluster.LOCAL, 3])
+@pytest.mark.parametrize("threshold", [0.3, 0.45])
+def test_clusters_are_those_of_the_greedy_order(spark, local, threshold):
     vs = _vectors(40, 3)
     got: dict = {}
-    for r in cluster.cluster_vectors(_frame(spark, vs), "id", "term", 0.45).collect():
+    for r in cluster.cluster_vectors(_frame(spark, vs), "id", "term", threshold, local).collect():
         got.setdefault(r.cluster, []).append(r.id)
-    assert sorted(sorted(g) for g in got.values()) == _greedy(vs, 0.45)
+    assert sorted(sorted(g) for g in got.values()) == _greedy(vs, threshold)
+
+
+def test_dots_of_pairs_in_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "CELL_VECTORS", 5)
+    rng = random.Random(8)
+    vs = [{t: rng.random() for t in rng.sample(range(40), rng.randint(0, 12))} for _ in range(30)]
+    rows = spark.createDataFrame([(i, list(v), list(v.values())) for i, v in enumerate(vs)], "id long, terms array<long>, ws array<double>")
+    asked = [(i, j) for i in range(30) for j in range(30) if i < j and (i + j) % 3]
+    got = {(r.l, r.r): r.dot for r in similarity.pair_dots(spark.createDataFrame(asked, "l long, r long"), rows).collect()}
+    assert got.keys() == set(asked)
+    for (i, j), dot in got.items():
+        assert dot == pytest.approx(sum(w * vs[j].get(t, 0) for t, w in vs[i].items()))
 
 
 def test_overlaps_and_terms(spark):
