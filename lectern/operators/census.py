@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from lectern.functions import text as T
-from lectern.operators.blocks import broadcast_blocks, union_all
+from lectern.operators.matcher import matches
 
 # Titles before a name, and how alike two spellings must be.
 TITLES = ("mr", "mrs", "ms", "dr", "sr", "sra", "don", "senator", "minister")
@@ -71,10 +71,10 @@ def affiliations(actors: DataFrame, key: str, verified: DataFrame, reported: Dat
 
 
 def alias_containment(texts: DataFrame, id_col: str, text_col: str, aliases: DataFrame, alias_id: str, alias: str, least: int = LEAST_ALIAS) -> DataFrame:
-    """(id, alias id) where a text contains an alias of at least `least` letters, without regard to case and accents; all aliases, in blocks."""
-    t = texts.select(id_col, T.fold(F.col(text_col)).alias("t"))
-    a = aliases.where(F.length(alias) >= least).select(alias_id, T.fold(F.col(alias)).alias("a"))
-    return union_all([t.crossJoin(b).where(F.contains("t", F.col("a"))).select(id_col, alias_id) for b in broadcast_blocks(a)])
+    """(id, alias id) where a text contains an alias of at least `least` letters, without regard to case and accents; all aliases."""
+    a = aliases.where(F.length(alias) >= least).select(alias_id, T.fold(F.col(alias)).alias("pattern"))
+    found = matches(texts.select(id_col, T.fold(F.col(text_col)).alias("t")), "t", a, keep="first")
+    return found.join(a, "pattern").select(id_col, alias_id)
 
 
 def page_anchors(pages: DataFrame, id_col: str, text_col: str, keywords: list[str], before: int = 55, length: int = 225) -> DataFrame:

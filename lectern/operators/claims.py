@@ -55,17 +55,35 @@ START = {"fact": 1.0}
 TIE_ORDER = ("normative", "opinion", "forecast", "interpretation", "fact")
 FOREIGN = 0.6
 COMPOUND = r"(?:; |\band also\b|\bas well as\b|\by ademas\b)"
-CONCLUSION = r"\b(?:therefore|thus|hence|consequently|por lo tanto|por tanto)\b"
-MECHANISM = r"\b(?:mechanism|because|through|via|channel|control group|porque|mediante|mecanismo)\b"
-PERIOD = r"\b(?:(?:19|20|21)[0-9]{2}|since|between|compared (?:with|to)|year on year|desde|entre|interanual)\b"
-BASELINE = r"\b(?:baseline|per capita|out of|of the total|share of|relative to|del total)\b"
-FUTURE = r"\b(?:will|shall|by (?:19|20|21)[0-9]{2}|next year|in the coming|se espera|se proyecta)\b"
+
+
+def cue(phrases: str) -> str:
+    """A pattern of any of the phrases (folded, separated by commas), as whole words."""
+    return r"\b(?:" + "|".join(p.strip() for p in phrases.split(",")) + r")\b"
+
+
+# Words of a conclusion, of how something works, of a period, of a baseline and of the future, in English and Spanish.
+CONCLUSION = cue("therefore, thus, hence, so that, it follows, consequently, por lo tanto, por tanto, asi que, en consecuencia, de modo que")
+MECHANISM = cue(
+    "mechanism, mecanismo, because, porque, via, through, mediante, a traves de, channel, canal, pathway, identification strategy,"
+    "counterfactual, contrafactual, control group, grupo de control"
+)
+YEAR = "(?:19|20|21)[0-9]{2}"
+PERIOD = cue(
+    f"{YEAR}, since, from, between, over the, compared with, compared to, year on year, year-on-year, desde, entre, respecto de, respecto a,"
+    "comparado con, en relacion a, en relacion con, interanual"
+)
+BASELINE = cue("baseline, per capita, out of, of the total, share of, relative to, linea base, del total, respecto del total, sobre un total")
+FUTURE = cue(f"will, shall, by {YEAR}, next year, in the coming, se espera, se proyecta, hacia {YEAR}, en los proximos")
 NEGATION = r"\b(?:not|no|never|without|nor|ni|nunca|sin|nicht|kein|ne)\b"
 # Signals of what a projection takes for granted, and time frames, the first that fits.
 SIGNALS = {
-    "macroeconomic": r"\b(?:gdp|growth|inflation|revenue|deficit|interest rate|crecimiento|inflacion)\b", "take_up": r"\b(?:beneficiar\w*|households|families|applicants|coverage|hogares|familias)\b",
-    "behavioural": r"\b(?:demand|behaviou?r|response|incentive|compliance|evasion|demanda|respuesta)\b",
-}
+    "macroeconomic": cue("gdp, pib, growth, crecimiento, inflation, inflacion, revenue, recaudacion, deficit, interest rate, tasa de interes, exchange rate, tipo de cambio"),
+    "take_up": cue("beneficiar[a-z]*, recipients, households, hogares, families, familias, applicants, solicitantes, cobertura, coverage, take.?up"),
+    "behavioural": cue(
+        "demand, demanda, behaviour, behavior, comportamiento, response, respuesta, incentive, incentivo, compliance, cumplimiento, evasion, hiring, contratacion"
+    ),
+}
 IMPLIED = ("implementation", "external_condition")
 HORIZONS = [
     ("immediate", r"\b(?:immediately|at once|right away|de inmediato)\b"), ("short_term", r"\b(?:this year|next year|within (?:the )?(?:next )?12 months|corto plazo)\b"),
@@ -78,8 +96,10 @@ COVERING, CONFLICT_COVERING = 0.45, 0.35
 DOCUMENTARY, ANALYTICAL = 2, (3, 4, 5)
 FROM_TO = r"\bfrom ([0-9][^,;]{0,44}?) to ([0-9][0-9.,]*)"
 SHARE = r"([0-9][0-9.,]*) (?:out )?of ([0-9][0-9.,]*)"
-CHANGE = r"\b(increase|rise|rose|grew|growth|drop|fall|fell|decrease|decline|reduction|cut)\b"
-DOWN = ("drop", "fall", "fell", "decrease", "decline", "reduction", "cut")
+# Words of change, and those of them that go down.
+UP = "increase rise rose grew growth up aumento alza incremento subida crecimiento".split()
+DOWN = "drop fall fell decrease decline reduction cut caida baja reduccion descenso disminucion".split()
+CHANGE = r"\b(" + "|".join(UP + DOWN) + r")\b"
 # Named patterns of how a claim is put.
 RHETORIC = {
     "appeal_to_authority": r"\b(?:experts agree|any expert|los expertos coinciden)\b", "false_dilemma": r"\bthe only (?:option|alternative|way)\b", "anecdote": r"\bi (?:know|met) (?:someone|a [a-z]+)\b",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as T
 from lectern.functions import tokens as G
 from lectern.functions.arrays import spread
+from lectern.operators.matcher import matches
 from lectern.operators.segment import CLAIM, LEGAL, sentence_array
 
 # Ordered cues of modality, and hedges.
@@ -56,18 +58,19 @@ def candidate_claims(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def redact(text: Column, names: list[str], placeholder: str = PLACEHOLDER) -> Column:
-    """Names, the longest first, with honorific and possessive, become a placeholder."""
-    pattern = "|".join(sorted((n.replace(".", r"\.") for n in names), key=lambda n: (-len(n), n)))
-    return F.regexp_replace(text, rf"(?i)(?:\b(?:mr|mrs|ms|dr|sr|sra)\.? )?\b(?:{pattern})\b(?:['’]s)?", placeholder)
+    """Names, the longest first, with honorific and possessive, become a placeholder. For many names or protected wordings see matcher.redacted."""
+    w = T.WORD_CHARACTER
+    escaped = [re.sub(r"([^\w\s])", r"\\\1", n) for n in names]
+    pattern = "|".join(sorted(escaped, key=lambda n: (-len(n), n)))
+    return F.regexp_replace(text, rf"(?i)(?:(?<!{w})(?:mr|mrs|ms|dr|sr|sra)\.? )?(?<!{w})(?:{pattern})(?!{w})(?:['’]s)?", placeholder)
 
 
 def leaks(frame: DataFrame, id_col: str, fields: list[str], names: list[str]) -> DataFrame:
     """Names of three letters or more that a field still holds, word-bounded and without regard to accents."""
-    kept = [n for n in names if len(n) >= 3]
+    kept = frame.sparkSession.createDataFrame([(n,) for n in names if len(n) >= 3], "name string").select("name", T.fold(F.col("name")).alias("pattern"))
     rows = F.array(*[F.struct(F.lit(f).alias("field"), T.fold(F.col(f)).alias("value")) for f in fields])
     r = frame.select(id_col, F.explode(rows).alias("r")).select(id_col, "r.field", "r.value")
-    hits = F.filter(F.array(*[F.lit(n) for n in kept]), lambda n: F.regexp_like("value", F.concat(F.lit(r"\b"), T.fold(n), F.lit(r"\b"))))
-    return spread(r, [id_col, "field"], hits, "name")
+    return matches(r, "value", kept, bounded=True, keep="first").join(kept, "pattern").select(id_col, "field", "name")
 
 
 def interpretable(redacted: Column, original: Column) -> Column:

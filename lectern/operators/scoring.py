@@ -11,11 +11,6 @@ from pyspark.sql.window import Window
 # Weights of the six ranking components, and what incapable and restating evidence keeps.
 RANK_WEIGHTS = {"affinity": 30.0, "topical": 22.0, "specificity": 12.0, "quantitative": 10.0, "recency": 10.0, "corroboration": 16.0}
 INCAPABLE, RESTATING = 0.2, 0.65
-# Families of questions, the first that fits.
-QUESTIONS = [
-    ("legal_text", r"\b(law|article|statute|provision|legal)\b"), ("fiscal", r"\b(cost|budget|revenue|tax|spend)"), ("causal", r"\b(cause|effect|because|lead to)"),
-    ("forecast", r"\b(will|forecast|projected|by 20[0-9]{2})\b"), ("quantity", r"\b(how (many|much)|number of|percent)"), ("position", r"\b(support|oppose|vote|said)"),
-]
 STRENGTH = {"high": 1.0, "medium": 0.65, "low": 0.35, "insufficient": 0.1}
 # The ten checks of a claim, in order.
 CHECKS = (
@@ -24,14 +19,6 @@ CHECKS = (
 )
 
 
-def question_kind(text: Column) -> Column:
-    low = F.lower(text)
-    out = F.lit("unknown")
-    for name, pattern in reversed(QUESTIONS):
-        out = F.when(low.rlike(pattern), name).otherwise(out)
-    return out
-
-
 def specificity(n_figures: Column, n_scope: Column, n_words: Column) -> Column:
     return 0.4 * F.least(n_figures / 8, F.lit(1.0)) + 0.25 * F.least(n_scope, F.lit(1)) + 0.35 * F.least(n_words / 120, F.lit(1.0))
 
@@ -162,19 +149,6 @@ def publish_reasons(f: Column, c: Column, runs: Column, claims: Column, untested
     return F.array_compact(F.array(*[F.when(bad, name) for bad, name in rules]))
 
 
-# Loaded words and their weights.
-LOADED = {"stupid": 1.0, "disgusting": 1.0, "trash": 0.8, "scum": 1.0, "idiot": 0.9, "worthless": 0.7, "moron": 0.9}
-
-
-def loaded_hits(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Weighted hits per hundred words: a word's fourth and later occurrences weigh 0.4."""
-    low = F.lower(F.col(text_col))
-    hits = [F.struct(F.lit(t).alias("term"), F.lit(w).alias("weight"), F.regexp_count(low, F.lit(rf"\b{t}\b")).alias("n")) for t, w in LOADED.items()]
-    value = F.aggregate(F.array(*hits), F.lit(0.0), lambda acc, h: acc + h.weight * (F.least(h.n, F.lit(3)) + 0.4 * F.greatest(h.n - 3, F.lit(0))))
-    words = F.size(F.filter(F.split(F.col(text_col), r"\s+"), lambda w: w != ""))
-    return docs.select(id_col, value.alias("loaded"), (value * 100 / F.greatest(words, F.lit(1))).alias("rate"))
-
-
 def mean_of_known(parts: list[tuple[Column, float]]) -> Column:
     """Weighted mean over the parts that are there; null without any."""
     weight = reduce(lambda a, b: a + b, [F.when(p.isNotNull(), F.lit(w)).otherwise(0.0) for p, w in parts])

@@ -9,8 +9,8 @@ from pyspark.sql.window import Window
 from lectern.functions import text as T
 from lectern.functions.arrays import spread
 from lectern.functions.tokens import TOPIC_STOPWORDS, comparison_tokens
-from lectern.operators.blocks import broadcast_blocks, union_all
 from lectern.operators.graph import cut_lineage
+from lectern.operators.matcher import matches
 
 # Words whose full stop ends no sentence, for news, legal and claim texts.
 NEWS = tuple(
@@ -59,13 +59,25 @@ def extraction_quality(docs: DataFrame, group: str, chars: str) -> DataFrame:
 def sentence_array(text: Column, abbreviations: tuple[str, ...]) -> Column:
     """Sentences: a stop, closing quotes and white space before what can open one; abbreviations and initials don't end any."""
     words = "|".join(sorted(abbreviations, key=len, reverse=True))
-    held = F.regexp_replace(text, rf"(?i)\b({words})\.", f"$1{STOP}")
-    held = F.regexp_replace(held, r"\b(\p{Lu})\.(?=\s\p{Lu})", f"$1{STOP}")
+    held = F.regexp_replace(text, rf"(?i)(?<!{T.WORD_CHARACTER})({words})\.", f"$1{STOP}")
+    held = F.regexp_replace(held, rf"(?<!{T.WORD_CHARACTER})(\p{{Lu}})\.(?=\s\p{{Lu}})", f"$1{STOP}")
     cut = F.regexp_replace(held, r"([.!?…]+[\"'»”’)]*)\s+(?=[\"'«“¿¡(\[]*[\p{Lu}0-9])", f"$1{BREAK}")
     parts = F.transform(F.split(cut, BREAK), lambda s: F.trim(F.replace(s, F.lit(STOP), F.lit("."))))
     return F.filter(parts, lambda s: F.length(s) > 0)
 
 
+def sql_sentences(x: str, abbreviations: tuple[str, ...]) -> str:
+    """The same in DuckDB, which can't look around: what a match takes beside its own text is found in a second pass."""
+    words = "|".join(sorted(abbreviations, key=len, reverse=True))
+    before = r"(^|[^\p{L}\p{N}_])"
+    for _ in range(2):
+        x = rf"regexp_replace({x}, '(?i){before}({words})\.', '\1\2' || chr(2), 'g')"
+    for _ in range(2):
+        x = rf"regexp_replace({x}, '{before}(\p{{Lu}})\.(\s\p{{Lu}})', '\1\2' || chr(2) || '\3', 'g')"
+    x = rf"""regexp_replace({x}, '([.!?…]+["'')»”’]*)\s+(["''«“¿¡(\[]*[\p{{Lu}}0-9])', '\1' || chr(1) || '\2', 'g')"""
+    return f"list_filter(list_transform(string_split({x}, chr(1)), lambda s: trim(replace(s, chr(2), '.'))), lambda s: length(s) > 0)"
+
+
 def sentences(docs: DataFrame, id_col: str, text_col: str, abbreviations: tuple[str, ...]) -> DataFrame:
     s = docs.select(id_col, F.posexplode(sentence_array(F.coalesce(F.col(text_col), F.lit("")), abbreviations)).alias("no", "sentence"))
     return s.select(id_col, F.col("no").cast("long").alias("sentence_no"), "sentence")
@@ -180,22 +192,24 @@ def zones(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def locate(docs: DataFrame, id_col: str, text_col: str, needles: DataFrame) -> DataFrame:
-    """Where a passage stands verbatim but for white space; passages go out in blocks of checked size, all of them."""
-    d = docs.select(id_col, T.collapse(F.col(text_col)).alias("t"))
-    parts = [d.crossJoin(n).where(F.contains("t", F.col("n"))).select(id_col, "needle", F.expr("instr(t, n)").cast("long").alias("at")) for n in broadcast_blocks(needles.select("needle", T.collapse(F.col("needle")).alias("n")))]
-    return union_all(parts)
+    """(id, needle, at): where a passage first stands verbatim but for white space, from 1; all passages."""
+    n = needles.select("needle", T.collapse(F.col("needle")).alias("pattern")).distinct()
+    found = matches(docs.select(id_col, T.collapse(F.col(text_col)).alias("t")), "t", n, keep="first")
+    return found.join(n, "pattern").select(id_col, "needle", (F.col("start") + 1).alias("at"))
 
 
 def lexical_search(docs: DataFrame, id_col: str, text_col: str, queries: DataFrame, query_id: str, query_text: str) -> DataFrame:
-    """(query, document, score) of all documents that share a token: rarer tokens among the documents count more.
+    """(query, document, score) of all documents that share a token, over the number of the query's tokens: rarer tokens among the documents count more.
 
-    Queries go out in blocks; only tokens that a query has are spread, so a
-    document costs its hits and not its length.
+    Documents and queries meet on the token; only tokens that a query has are
+    kept, and what a document holds of them is written once.
     """
-    w = docs.select(F.col(id_col), F.array_distinct(comparison_tokens(F.col(text_col))).alias("w"))
-    q = queries.select(F.col(query_id), F.array_distinct(comparison_tokens(F.col(query_text))).alias("qw"))
-    # written once: both the counts and the scores read the hits, and would tokenise all documents again
-    hits = cut_lineage(union_all([spread(w.crossJoin(b), [query_id, id_col], F.array_intersect("w", "qw"), "t") for b in broadcast_blocks(q)]))
-    df = hits.select(id_col, "t").distinct().groupBy("t").agg(F.count("*").alias("df"))
-    n = docs.agg(F.count("*").alias("n"))
-    return hits.join(df, "t").crossJoin(F.broadcast(n)).groupBy(query_id, id_col).agg(F.round(F.sum(1 / (1 + F.col("df") / F.col("n"))), 5).alias("score"))
+    q = spread(queries, [query_id], F.array_distinct(comparison_tokens(F.col(query_text))), "t")
+    size = q.groupBy(query_id).agg(F.count("*").alias("size"))
+    w = spread(docs, [id_col], F.array_distinct(comparison_tokens(F.col(text_col))), "t")
+    hits = cut_lineage(w.join(q.select("t").distinct(), "t", "left_semi"))
+    n = docs.count()
+    df = hits.groupBy("t").agg(F.count("*").alias("df"))
+    weight = 1 / (1 + F.col("df") / F.lit(n))
+    found = hits.join(df, "t").join(q, "t").groupBy(query_id, id_col).agg(F.sum(weight).alias("sum"))
+    return found.join(size, query_id).select(query_id, id_col, F.round(F.col("sum") / F.col("size"), 4).alias("score"))

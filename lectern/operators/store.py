@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.operators.blocks import broadcast_blocks, union_all
+from lectern.operators.matcher import matches
 
 
 def language_matches(tag: Column, wanted: str) -> Column:
@@ -132,9 +132,9 @@ def rank_nodes(nodes: DataFrame, score: str, id_col: str, kinds: list[str] | Non
 
 
 def topic_coverage(docs: DataFrame, source: str, text_col: str, topics: DataFrame) -> DataFrame:
-    """(topic, n_sources, n_docs): sources and texts that hold a keyword of a topic (topic, keyword); topics in blocks of checked size."""
-    t = docs.select(source, F.lower(text_col).alias("t"))
-    hits = union_all([t.crossJoin(b).where(F.contains("t", F.col("keyword"))).select("topic", source) for b in broadcast_blocks(topics)])
+    """(topic, n_sources, n_docs): sources and keywords met in their texts, by topic (topic, keyword); all topics."""
+    found = matches(docs.select(source, F.lower(text_col).alias("t")), "t", topics.select(F.col("keyword").alias("pattern")), keep="first")
+    hits = found.join(topics.withColumnRenamed("keyword", "pattern"), "pattern")
     return hits.groupBy("topic").agg(F.countDistinct(source).alias("n_sources"), F.count("*").alias("n_docs"))
 
 

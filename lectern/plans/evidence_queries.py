@@ -143,12 +143,12 @@ def j05_best_source(spark, d):
     return E.best_source(said, sources).withColumnRenamed("group", "conv_id")
 
 
-@query(f"""WITH e AS (SELECT ev, tier, list_distinct(regexp_extract_all(lower(statement), '\\b(license|version|public|apache|mit|gnu)\\b', 1)) AS supports FROM {EVI}), s AS (SELECT ev, tier, unnest(supports) AS provision FROM e)
+@query(f"""WITH e AS (SELECT ev, tier, list_distinct(regexp_extract_all({T.sql_words('lower(statement)')}, '(?:^|[^\\p{{L}}\\p{{N}}_])(license|version|public|apache|mit|gnu)(?:$|[^\\p{{L}}\\p{{N}}_])', 1)) AS supports FROM {EVI}), s AS (SELECT ev, tier, unnest(supports) AS provision FROM e)
 SELECT p.provision, count(s.ev) AS n, min(tier) AS best_tier, min(ev) AS first FROM (VALUES ('license'), ('version'), ('public'), ('apache'), ('mit'), ('gnu'), ('none')) AS p(provision) LEFT JOIN s ON p.provision = s.provision GROUP BY p.provision""".replace("\\\\", "\\"))
 def j12_support_index(spark, d):
     """Provisions are terms, and a text supports those that it names."""
     named = ["license", "version", "public", "apache", "mit", "gnu"]
-    e = _evidence(spark, d).withColumn("supports", F.array_distinct(F.regexp_extract_all(F.lower("statement"), F.lit(rf"\b({'|'.join(named)})\b"), F.lit(1))))
+    e = _evidence(spark, d).withColumn("supports", F.array_distinct(F.regexp_extract_all(F.lower("statement"), F.lit(T.edges(rf"\b({'|'.join(named)})\b")), F.lit(1))))
     return E.support_index(e, "supports", spark.createDataFrame([(p,) for p in [*named, "none"]], "provision string"))
 
 
@@ -156,8 +156,8 @@ _TOK = f"regexp_extract_all({T.sql_normalise('text')}, '[0-9a-z]+(?:[.,][0-9]+)*
 
 
 @query(f"""WITH d AS (SELECT doc_id, list_distinct({_TOK}) AS w FROM documents), q AS (SELECT item_id, unnest(list_distinct({_TOK})) AS t FROM benchmark WHERE item_id % 50 = 0),
-f AS (SELECT doc_id, unnest(w) AS t FROM d), n AS (SELECT count(*) AS n FROM documents), df AS (SELECT t, count(*) AS df FROM f WHERE t IN (SELECT t FROM q) GROUP BY t)
-SELECT item_id, doc_id, round(sum(1 / (1 + df.df::DOUBLE / n.n)), 5) AS score FROM q JOIN f USING (t) JOIN df USING (t), n GROUP BY item_id, doc_id""")
+f AS (SELECT doc_id, unnest(w) AS t FROM d), n AS (SELECT count(*) AS n FROM documents), df AS (SELECT t, count(*) AS df FROM f WHERE t IN (SELECT t FROM q) GROUP BY t), z AS (SELECT item_id, count(*) AS size FROM q GROUP BY item_id)
+SELECT item_id, doc_id, round(sum(1 / (1 + df.df::DOUBLE / n.n)) / any_value(size), 4) AS score FROM q JOIN f USING (t) JOIN df USING (t) JOIN z USING (item_id), n GROUP BY item_id, doc_id""")
 def r11_lexical_search(spark, d):
     """The queries are the items whose id is divisible by 50, against all documents."""
     return G.lexical_search(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark").where("item_id % 50 = 0"), "item_id", "text")

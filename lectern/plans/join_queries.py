@@ -9,6 +9,7 @@ from lectern.functions import text as T
 from lectern.functions import tokens as G
 from lectern.functions.arrays import spread
 from lectern.operators import cluster as C
+from lectern.operators import matcher as M
 from lectern.operators import propositions as P
 from lectern.operators import scoring as S
 from lectern.operators import store as O
@@ -45,13 +46,15 @@ def v01_v02_candidate_claims(spark, d):
     return P.candidate_claims(table(spark, d, "documents"), "doc_id", "text")
 
 
-@query("""SELECT doc_id, regexp_replace('Dr. ' || source || '''s view of ' || source || ' and ' || lang, '(?i)(?:\\b(?:mr|mrs|ms|dr|sr|sra)\\.? )?\\b(?:src10|src11|src12|src1|src2)\\b(?:[''’]s)?', '[ACTOR]', 'g') AS redacted,
-source IN ('src10', 'src11', 'src12', 'src1', 'src2') AS hit FROM documents""".replace("\\\\", "\\"))
+@query("""SELECT doc_id, CASE WHEN source NOT IN ('src10', 'src11', 'src12', 'src1', 'src2') THEN 'Dr. ' || source || '''s view of ' || source || ' (North)'
+WHEN source = 'src2' THEN '[ACTOR]''s view of src2 (North)' WHEN source = 'src1' THEN '[ACTOR]''s view of [ACTOR])' ELSE '[ACTOR]''s view of [ACTOR] (North)' END || ' and ' || lang AS redacted,
+CAST(CASE WHEN source NOT IN ('src10', 'src11', 'src12', 'src1', 'src2') THEN 0 WHEN source = 'src2' THEN 1 ELSE 2 END AS INT) AS hits FROM documents""")
 def v07_v08_redaction(spark, d):
-    names = ["src1", "src10", "src11", "src12", "src2"]
-    t = F.concat(F.lit("Dr. "), "source", F.lit("'s view of "), "source", F.lit(" and "), "lang")
-    r = P.redact(t, names)
-    return table(spark, d, "documents").select("doc_id", r.alias("redacted"), F.col("source").isin(*names).alias("hit"))
+    """One name has a bracket in it, one phrase is protected."""
+    names = spark.createDataFrame([(n,) for n in ("src1", "src10", "src11", "src12", "src2", "src1 (north")], "pattern string")
+    t = F.concat(F.lit("Dr. "), "source", F.lit("'s view of "), "source", F.lit(" (North) and "), "lang")
+    r = M.redacted(table(spark, d, "documents").select("doc_id", t.alias("t")), "t", names, "redacted", protected=["view of src2"], honorifics=["Mr", "Dr"])
+    return r.select("doc_id", "redacted", "hits")
 
 
 @query("""SELECT conv_id, turn, field, name FROM (SELECT conv_id, turn, unnest(['text', 'role']) AS field, unnest([lower(text), lower(role)]) AS v FROM conversations), (VALUES ('the'), ('user'), ('assistant')) AS n(name) WHERE regexp_matches(v, '\\b' || name || '\\b')""".replace("\\\\", "\\"))

@@ -7,21 +7,20 @@ from pyspark.sql import functions as F
 from lectern.functions import text as T
 from lectern.functions import tokens as G
 from lectern.functions.arrays import spread
+from lectern.operators import evidence as E
+from lectern.operators import framing as N
 from lectern.operators import scoring as S
 from lectern.plans._query import query, table
+from lectern.plans.evidence_queries import QUESTIONS, _kind, _questions
 from lectern.plans.views import sql_view, view
 
 EVI = sql_view("evidence")
 RUNS = sql_view("runs")
-QUESTION_SQL = "CASE " + " ".join(f"WHEN regexp_matches(lower(q), '{p}') THEN '{n}'" for n, p in S.QUESTIONS) + " ELSE 'unknown' END"
 
 
-@query(f"""WITH q AS (SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'Which article of the law on ' WHEN 1 THEN 'What is the cost of ' WHEN 2 THEN 'Does it cause ' WHEN 3 THEN 'By 2030, ' WHEN 4 THEN 'How many ' WHEN 5 THEN 'Who did oppose ' ELSE 'Tell ' END || p_type AS q FROM part)
-SELECT p_partkey, {QUESTION_SQL} AS kind FROM q""")
+@query(f"SELECT claim_id, {_kind} AS kind FROM {QUESTIONS}")
 def r01_question_kind(spark, d):
-    heads = ["Which article of the law on ", "What is the cost of ", "Does it cause ", "By 2030, ", "How many ", "Who did oppose ", "Tell "]
-    head = F.element_at(F.array(*[F.lit(h) for h in heads]), (F.col("p_partkey") % 7 + 1).cast("int"))
-    return table(spark, d, "part").select("p_partkey", S.question_kind(F.concat(head, "p_type")).alias("kind"))
+    return _questions(spark, d).select("claim_id", E.question_kind(F.col("question")).alias("kind"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, round(s, 3) AS share FROM (SELECT l_orderkey, l_linenumber, CASE WHEN k = 1 THEN r + 10 - sum(r) OVER (PARTITION BY l_orderkey) ELSE r END AS s FROM (
@@ -55,14 +54,13 @@ def u07_u09_health_gate(spark, d):
     return a.select("claim_id", S.health(f, c, F.col("fr"), F.col("e")).alias("health"), F.array_join(S.publish_reasons(f, c, F.col("n"), F.col("claim_id") % 5, F.lit(0)), "|").alias("reasons"))
 
 
-_L = "[" + ", ".join(f"{{'t': '{t}', 'w': {w}::DOUBLE}}" for t, w in S.LOADED.items()) + "]"
+CHARGED = f"(SELECT id, replace(text, '|', chr(10)) AS text FROM {sql_view('charged')})"
 
 
-@query(f"""WITH h AS (SELECT doc_id, list_transform({_L}, lambda x: {{'w': x.w, 'n': len(regexp_extract_all(lower(text), '\\b' || x.t || '\\b'))}}) AS h, len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS n FROM documents),
-v AS (SELECT doc_id, n, list_sum(list_transform(h, lambda x: x.w * (least(x.n, 3) + 0.4 * greatest(x.n - 3, 0)))) AS v FROM h)
-SELECT doc_id, round(v, 4) AS loaded, round(v * 100 / greatest(n, 1), 4) AS rate FROM v""")
+@query(f"WITH {N.sql_loaded_language(CHARGED)} SELECT id, words, n_terms, n_quoted, round(loaded, 8) AS loaded, round(rate, 8) AS rate, CAST(round(100 * (1 - power(2, -rate / 3.0))) AS BIGINT) AS score FROM loaded")
 def n01_w04_loaded_language(spark, d):
-    return S.loaded_hits(table(spark, d, "documents"), "doc_id", "text").select("doc_id", F.round("loaded", 4).alias("loaded"), F.round("rate", 4).alias("rate"))
+    charged = view(spark, d, "charged").withColumn("text", F.replace("text", F.lit("|"), F.lit("\n")))
+    return N.loaded_language(charged, "id", "text").withColumns({c: F.round(c, 8) for c in ("loaded", "rate")})
 
 
 @query("""SELECT l_orderkey, coalesce(round(sum(CASE WHEN x > 0 THEN x * l_quantity END) / sum(CASE WHEN x > 0 THEN l_quantity END), 6), 0) AS inflation FROM (SELECT *, greatest(l_tax - l_discount, 0) AS x FROM lineitem) GROUP BY l_orderkey""")

@@ -207,17 +207,17 @@ def g06_features(spark, d):
     return f.select("doc_id", F.size("f").cast("long").alias("n_features"), F.md5(F.array_join("f", " ")).alias("digest"))
 
 
-@query()
+@query(f"SELECT doc_id, i - 1 AS sentence_no, s[i] AS sentence FROM (SELECT doc_id, {segment.sql_sentences('text', segment.NEWS)} AS s FROM documents), unnest(range(1, len(s) + 1)) AS u(i)")
 def g07_sentences(spark, d):
     return segment.sentences(table(spark, d, "documents"), "doc_id", "text", segment.NEWS)
 
 
-@query()
+@query(f"SELECT doc_id, i - 1 AS sentence_no, s[i] AS sentence FROM (SELECT doc_id, {segment.sql_sentences('text', segment.LEGAL)} AS s FROM documents), unnest(range(1, len(s) + 1)) AS u(i)")
 def g08_legal_sentences(spark, d):
     return segment.sentences(table(spark, d, "documents"), "doc_id", "text", segment.LEGAL)
 
 
-@query()
+@query(f"SELECT claim_id, i - 1 AS sentence_no, s[i] AS sentence FROM (SELECT conv_id * 1000 + turn AS claim_id, {segment.sql_sentences('text', segment.CLAIM)} AS s FROM conversations), unnest(range(1, len(s) + 1)) AS u(i)")
 def g09_claim_sentences(spark, d):
     return segment.sentences(table(spark, d, "conversations").selectExpr("conv_id * 1000 + turn AS claim_id", "text"), "claim_id", "text", segment.CLAIM)
 

@@ -24,6 +24,12 @@ VIEWS = {
         WHEN 5 THEN concat('Figures at https://www.example.org/data/', doc_id % 4, '?utm_source=feed (table). ')
         WHEN 6 THEN 'The levy raised 4512 per mille of the budget. '
         ELSE '' END, text) AS text FROM {documents}""",
+    # texts with a charged headline, dek, quotation or sentence where the key says so
+    "charged": """SELECT doc_id AS id, source, concat(CASE doc_id % 7
+        WHEN 0 THEN 'A historic cash grab, a grab without shame|Critics fear a spiral. They call it brutal.|'
+        WHEN 1 THEN 'Budget day|The house votes.|"This is a scandalous raid on every household." So said one. The raid, the raid, the raid and the raid went on. '
+        WHEN 2 THEN 'Una amenaza con fecha|La amenaza crece.|«Es un desastre. Un saqueo sin precedentes para todos.» Nada mas. '
+        ELSE '' END, text) AS text FROM {documents}""",
     "claims": """SELECT conv_id * 100 + turn AS claim_id, conv_id, turn, role AS speaker, text FROM {conversations}""",
     "evidence": """SELECT d.doc_id AS ev, d.doc_id % 40 AS claim_id, CAST(d.doc_id % 9 AS INT) AS tier, d.source, d.lang,
         CASE WHEN l.quality = 1 THEN 'high' WHEN l.quality = 0 THEN 'low' END AS strength,
