@@ -11,14 +11,44 @@ from pyspark.sql import functions as F
 from lectern.functions import text as T
 from lectern.functions import tokens as G
 from lectern.functions.arrays import spread
+from lectern.operators.extract import FIGURE, short_label
 from lectern.operators.matcher import matches
 from lectern.operators.segment import CLAIM, LEGAL, sentence_array
 
-# Ordered cues of modality, and hedges.
-MODALITY = [("prohibition", r"\b(shall not|must not|may not|prohibited)\b"), ("obligation", r"\b(shall|must|is required to)\b"), ("permission", r"\b(may|is allowed to)\b"), ("proposal", r"\b(proposes?|should)\b")]
+# Cues by language of conditions, exceptions, periods, units of time, negation, modality (strongest first) and hedges.
+CUES = {
+    "en": {
+        "condition": "if, unless, provided that, in the event that, where, when, subject to, conditional on, once",
+        "exception": "except, excluding, other than, save for, with the exception of, does not apply to, shall not apply to",
+        "period": "from, until, before, after, during, within, as of, with effect from, no later than",
+        "unit": "day, days, week, weeks, month, months, year, years",
+        "negation": "not, no, never, neither, nor, without, cannot, may not",
+        "prohibition": "shall not, must not, may not, is prohibited, are prohibited",
+        "obligation": "shall, must, is required to, are required to, is obliged to",
+        "permission": "may, is entitled to, are entitled to, is permitted to, can",
+        "proposal": "proposes, is proposed, would, seeks to, intends to",
+        "hedge": "approximately, about, around, estimated, is expected to, are expected to, may, could, likely, up to, at least, roughly, in principle",
+    },
+    "es": {
+        "condition": "si, salvo que, siempre que, en caso de, cuando, en el evento de, sujeto a, una vez que, a condición de",
+        "exception": "salvo, excepto, con excepción de, sin perjuicio de, no se aplica a, no será aplicable a, quedan excluidos, quedan exceptuados",
+        "period": "desde, hasta, antes de, después de, durante, dentro de, a partir de, a contar de, a más tardar",
+        "unit": "día, días, semana, semanas, mes, meses, año, años",
+        "negation": "no, ni, nunca, sin, tampoco, ninguno, ninguna",
+        "prohibition": "no podrá, no podrán, queda prohibido, quedan prohibidas, se prohíbe",
+        "obligation": "deberá, deberán, debe, deben, estará obligado, estarán obligados, corresponderá",
+        "permission": "podrá, podrán, puede, pueden, tendrá derecho, tendrán derecho",
+        "proposal": "se propone, propone, el proyecto, se plantea, busca",
+        "hedge": "aproximadamente, cerca de, alrededor de, se estima, estimado, se espera, podría, eventualmente, hasta, al menos, en principio",
+    },
+}
+MODALITIES = ("prohibition", "obligation", "permission", "proposal")
 NEGATION = r"\b(not|no|never|neither|nor|without)\b"
-HEDGES = r"\b(perhaps|possibly|likely|appears?|seems?|might|could)\b"
-CONDITION = r"\b(?:if|unless|provided that|subject to|except)\b[^.;]*"
+#: How a document defines a word of its own, takes something for granted, and sets a term.
+DEFINITION = r"""["“«'‘]([^"“”«»'‘’]{2,60})["”»'’]\s+(?:means|shall mean|is defined as|significa|se define como)\s+([^;.]{3,400})"""
+ASSUMED = "assuming, on the assumption that, it is assumed that, suponiendo, bajo el supuesto de, se supone que"
+DUE = r"\d{4}-\d{2}-\d{2}|(?:\d{1,4}|one|two|three|four|five|six|seven|eight|nine|ten|twelve)\s+(?:(?:working|business)\s+)?(?:days?|weeks?|months?|years?|días?|semanas?|meses|mes|años?)"
+TERM_CUES = "within, no later than, not later than, before, by, until, dentro de, a más tardar, antes de, hasta"
 QUALITY_CAP = {"good": 1.0, "degraded": 0.75, "poor": 0.5}
 PLACEHOLDER = "[ACTOR]"
 # Rewrites that keep a sentence's meaning.
@@ -26,20 +56,88 @@ PARAPHRASES = [(r"\bof the\b", "of that"), (r"\bin the\b", "inside the"), (r"\bi
 ATTRIBUTION = r"(?i)(?:according to|secondo|según|selon|laut)\s+([\p{L}][\p{L} ]{1,40}?)(?=,)"
 
 
-def modality(sentence: Column) -> Column:
-    low = F.lower(sentence)
-    out = F.lit("asserted")
-    for name, cue in reversed(MODALITY):
-        out = F.when(low.rlike(cue), name).otherwise(out)
+def _any(phrases: str) -> str:
+    """The phrases as whole words, the longest first."""
+    words = sorted((w.strip() for w in phrases.split(",")), key=lambda w: (-len(w), w))
+    w = T.WORD_CHARACTER
+    return rf"(?<!{w})(?:{'|'.join(words)})(?!{w})".replace(" ", r"\s+")
+
+
+def _by_language(lang: Column, build) -> Column:
+    """build(cues) of the language that `lang` names; null for languages without cues."""
+    code = F.lower(F.substring(lang, 1, 2))
+    out = F.lit(None)
+    for name, cues in CUES.items():
+        out = F.when(code == name, build(cues)).otherwise(out)
     return out
 
 
-def propositions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row per sentence with negation, modality, conditions and hedges."""
-    parts = F.transform(sentence_array(F.coalesce(F.col(text_col), F.lit("")), LEGAL), lambda s, i: F.struct(i.alias("no"), s.alias("sentence")))
-    s = spread(docs, [id_col], parts, "p").select(id_col, F.col("p.no").cast("long").alias("no"), F.col("p.sentence").alias("sentence"))
-    low = F.lower("sentence")
-    return s.select(id_col, "no", "sentence", low.rlike(NEGATION).alias("negated"), modality(F.col("sentence")).alias("modality"), F.array_join(F.regexp_extract_all(low, F.lit(CONDITION), F.lit(0)), "|").alias("conditions"), F.regexp_count(low, F.lit(HEDGES)).cast("long").alias("hedges"))
+def _clauses(text: Column, cues: str, ends: str) -> Column:
+    """From every cue to the end of its clause, also where one begins inside another; each once, over three characters."""
+    # what a look-ahead takes stays there for the next match
+    found = F.transform(F.regexp_extract_all(text, F.lit(rf"(?i)(?=({_any(cues)}[^{ends}]*))"), F.lit(1)), T.collapse)
+    return F.array_distinct(F.filter(found, lambda c: F.length(c) > 3))
+
+
+def modality(sentence: Column, lang: Column) -> Column:
+    """The strongest that is cued, else asserted."""
+    return F.coalesce(*[_by_language(lang, lambda cues, m=m: F.when(sentence.rlike("(?i)" + _any(cues[m])), F.lit(m))) for m in MODALITIES], F.lit("asserted"))
+
+
+def scope(sentence: Column, lang: Column) -> dict[str, Column]:
+    """Conditions, exceptions, period, hedges and negation of a unit, none of which reaches over its clause.
+
+    A period is a date, or a cued clause that holds a year or a unit of time:
+    "up to 300 units" sets none.
+    """
+    none = F.array().cast("array<string>")
+    listed = lambda c: F.coalesce(c, none)
+    timed = lambda cues: F.filter(_clauses(sentence, cues["period"], ",;."), lambda c: c.rlike(rf"(?i)(?<!\d)(?:1[89]\d\d|2[01]\d\d)(?!\d)|{_any(cues['unit'])}"))
+    hedges = lambda cues: F.array_distinct(F.transform(F.regexp_extract_all(sentence, F.lit("(?i)" + _any(cues["hedge"])), F.lit(0)), lambda h: F.lower(T.collapse(h))))
+    return {
+        "negated": F.coalesce(_by_language(lang, lambda cues: sentence.rlike("(?i)" + _any(cues["negation"]))), F.lit(False)),
+        "modality": modality(sentence, lang),
+        "conditions": listed(_by_language(lang, lambda cues: _clauses(sentence, cues["condition"], ",;."))),
+        "exceptions": listed(_by_language(lang, lambda cues: _clauses(sentence, cues["exception"], ";."))),
+        "period": F.coalesce(F.nullif(F.regexp_extract(sentence, r"(?<!\d)(\d{4}-\d{2}-\d{2})(?!\d)", 1), F.lit("")), F.get(_by_language(lang, timed), F.lit(0))),
+        "hedges": listed(_by_language(lang, hedges)),
+    }
+
+
+BRANCHES = ("clause", "value", "definition", "assumption", "deadline")
+
+
+def propositions(docs: DataFrame, id_col: str, text_col: str, lang_col: str | None = None) -> DataFrame:
+    """(id, no, branch, at, text, negated, modality, conditions, exceptions, period, hedges).
+
+    Units are sentences, cut at semicolons, of three words or more. Beside the
+    unit itself its figures (with the words before them), definitions,
+    assumptions and terms are propositions of their own; they have the scope of
+    their unit, but a definition is stipulated and neither negated nor modal.
+    """
+    lang = F.col(lang_col) if lang_col else F.lit("en")
+    cut = F.flatten(F.transform(sentence_array(F.coalesce(F.col(text_col), F.lit("")), LEGAL), lambda s: F.filter(F.transform(F.split(s, r";\s*"), T.collapse), lambda p: F.size(F.split(p, " ")) >= 3)))
+    units = spread(docs.withColumn("__lang", lang), [id_col, "__lang"], F.transform(cut, lambda s, i: F.struct(i.alias("no"), s.alias("unit"))), "u")
+    units = units.select(id_col, "__lang", F.col("u.no").cast("long").alias("no"), F.col("u.unit").alias("unit"))
+    u = F.col("unit")
+    units = units.select("*", *[c.alias(n) for n, c in scope(u, F.col("__lang")).items()])
+
+    def rows(branch: str, found: Column, value) -> Column:
+        return F.transform(found, lambda x, i: F.struct(F.lit(branch).alias("branch"), i.cast("long").alias("at"), value(x).alias("text")))
+
+    figures = F.regexp_extract_all(u, F.lit(FIGURE), F.lit(0))
+    definitions = F.regexp_extract_all(u, F.lit(f"(?i){DEFINITION}"), F.lit(0))
+    named = lambda d: F.concat(F.lit("'"), F.regexp_extract(d, f"(?i){DEFINITION}", 1), F.lit("' means "), T.collapse(F.regexp_extract(d, f"(?i){DEFINITION}", 2)))
+    terms = F.regexp_extract_all(u, F.lit(rf"(?i)({_any(TERM_CUES)}[^,;.]{{0,40}}?(?<!{T.WORD_CHARACTER})(?:{DUE})(?!{T.WORD_CHARACTER}))"), F.lit(1))
+    before = lambda f: F.trim(F.concat_ws(": ", F.nullif(short_label(u, f), F.lit("")), f))
+    all_rows = F.concat(
+        F.array(F.struct(F.lit("clause").alias("branch"), F.lit(0).cast("long").alias("at"), u.alias("text"))),
+        rows("value", figures, before), rows("definition", definitions, named), rows("assumption", _clauses(u, ASSUMED, ",;."), lambda x: x), rows("deadline", terms, T.collapse),
+    )
+    carried = ["negated", "modality", "conditions", "exceptions", "period", "hedges"]
+    out = spread(units, [id_col, "no", *carried], all_rows, "r").select(id_col, "no", "r.branch", "r.at", "r.text", *carried)
+    defined = F.col("branch") == "definition"
+    return out.withColumn("negated", F.col("negated") & ~defined).withColumn("modality", F.when(defined, "asserted").otherwise(F.col("modality")))
 
 
 def extraction_confidence(conditional: Column, inferred: Column, hedged: Column, quantified: Column, quality: Column) -> Column:

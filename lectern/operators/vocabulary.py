@@ -10,15 +10,16 @@ from lectern.functions import text as T
 from lectern.functions.arrays import spread
 from lectern.functions.tokens import TOPIC_STOPWORDS
 from lectern.operators.blocks import union_all
-from lectern.operators.claims import MARKERS, language_votes
+from lectern.operators.claims import MARKERS, cue, language_votes
 from lectern.operators.numbers import quantities
-from lectern.operators.propositions import CONDITION, modality
+from lectern.operators.propositions import CUES, modality
 
 # The ten sets of terms, the earlier one keeps a term that several have; base weights by set.
 SETS = ("official_names", "common_names", "identifiers", "abbreviations", "political_terminology", "technical_terminology", "sector_terminology", "synonyms", "provision_names", "actor_terms")
 WEIGHTS = {"official_names": 0.8, "common_names": 0.75, "identifiers": 0.8, "abbreviations": 0.6, "technical_terminology": 0.5, "synonyms": 0.4}
 BASE_WEIGHT = 0.5
-PROFILE_TOKENS, PROFILE_LEAST, PROFILE_SHARE = 4000, 20, 0.12
+PROFILE_LEAST, PROFILE_SHARE = 20, 0.12
+CONDITION = cue(CUES["en"]["condition"])
 DEFINITION, TEMPORAL, PROCEDURAL = r"\b(?:means|refers to|is defined as|se entiende por)\b", r"\b(?:until|before|after|during|as of|hasta|desde)\b", r"\b(?:procedure|shall submit|report to|delegates?|transitional)\b"
 IDENTIFIER = r"\b[A-Z]{2,6}[-/ ]?[0-9]{1,6}(?:[-/][0-9]{1,6})?\b"
 ABBREVIATION = r"\b[A-Z]{2,6}\b"
@@ -38,14 +39,14 @@ def statement_type(kind: Column, mode: Column) -> Column:
 
 def typed(sentences: DataFrame, text_col: str) -> DataFrame:
     """Adds type, modality and statement type."""
-    df = sentences.withColumn("type", proposition_type(F.col(text_col))).withColumn("modality", modality(F.col(text_col)))
+    df = sentences.withColumn("type", proposition_type(F.col(text_col))).withColumn("modality", modality(T.fold(F.col(text_col)), F.lit("en")))
     return df.withColumn("statement_type", statement_type(F.col("type"), F.col("modality")))
 
 
 def profile(text: Column, declared: Column) -> Column:
     """The declared language where it has a profile; else the one whose function words make up most of the text, generic below a share."""
     tag = F.lower(F.split_part(F.regexp_replace(F.coalesce(declared, F.lit("")), "_", "-"), F.lit("-"), F.lit(1)))
-    words = F.slice(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0)), 1, PROFILE_TOKENS)
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
     votes = language_votes(F.array_join(words, " "))
     best = F.greatest(*[votes[k] for k in MARKERS])
     voted = F.coalesce(*[F.when(votes[k] == best, k) for k in sorted(MARKERS)])

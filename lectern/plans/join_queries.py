@@ -70,7 +70,10 @@ def v09_interpretable(spark, d):
 
 @query()
 def p01_p02_p03_propositions(spark, d):
-    return P.propositions(table(spark, d, "documents"), "doc_id", "text")
+    lead = "If the levy of 1,200 is due, the agency shall publish it within 30 days, except for small firms; \"small firm\" means a firm with up to 9 staff. "
+    docs = table(spark, d, "documents").withColumn("text", F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit(lead), "text")).otherwise(F.col("text")))
+    p = P.propositions(docs, "doc_id", "text", "lang")
+    return p.withColumns({c: F.array_join(c, "|") for c in ("conditions", "exceptions", "hedges")})
 
 
 @query("""SELECT doc_id, round(least(0.9 - CASE WHEN doc_id % 2 = 0 THEN 0.05 ELSE 0 END - CASE WHEN doc_id % 3 = 0 THEN 0.2 ELSE 0 END - CASE WHEN doc_id % 5 = 0 THEN 0.15 ELSE 0 END + CASE WHEN doc_id % 7 = 0 THEN 0.03 ELSE 0 END,

@@ -9,7 +9,7 @@ from lectern.functions import tokens as G
 from lectern.operators import normalise as M
 from lectern.operators import propositions as P
 from lectern.operators import vocabulary as V
-from lectern.operators.claims import MARKERS
+from lectern.operators.claims import MARKERS, cue
 from lectern.operators.numbers import NUM, QUANTITY
 from lectern.plans._query import query, table
 from lectern.plans.claim_queries import q
@@ -57,8 +57,8 @@ def a12_running_line_counts(spark, d):
 
 
 _t = "f"
-_type = f"CASE WHEN regexp_matches(f, {q(V.DEFINITION)}) THEN 'definitional' WHEN regexp_matches(f, {q(P.CONDITION)}) THEN 'conditional' WHEN len(list_filter(regexp_extract_all(f, {q(QUANTITY)}), lambda m: NOT regexp_matches(m, '(?i)^[a-z]') AND NOT regexp_matches(m, '[0-9][-/][0-9]'))) > 0 THEN 'quantitative' WHEN regexp_matches(f, {q(V.TEMPORAL)}) THEN 'temporal' WHEN regexp_matches(f, {q(V.PROCEDURAL)}) THEN 'procedural' ELSE 'assertion_of_content' END"
-_mode = "CASE " + " ".join(f"WHEN regexp_matches(lower(s), {q(p)}) THEN '{n}'" for n, p in P.MODALITY) + " ELSE 'asserted' END"
+_type = f"CASE WHEN regexp_matches(f, {q(V.DEFINITION)}) THEN 'definitional' WHEN regexp_matches(f, {q(V.CONDITION)}) THEN 'conditional' WHEN len(list_filter(regexp_extract_all(f, {q(QUANTITY)}), lambda m: NOT regexp_matches(m, '(?i)^[a-z]') AND NOT regexp_matches(m, '[0-9][-/][0-9]'))) > 0 THEN 'quantitative' WHEN regexp_matches(f, {q(V.TEMPORAL)}) THEN 'temporal' WHEN regexp_matches(f, {q(V.PROCEDURAL)}) THEN 'procedural' ELSE 'assertion_of_content' END"
+_mode = "CASE " + " ".join(f"WHEN regexp_matches(f, {q(cue(P.CUES['en'][n]))}) THEN '{n}'" for n in P.MODALITIES) + " ELSE 'asserted' END"
 _LEADS = ["It means ", "If it rains, ", "Some 12 of ", "After that, ", "The procedure says ", "Members must ", "It should ", ""]
 
 
@@ -70,7 +70,7 @@ def p04_proposition_types(spark, d):
     return V.typed(c, "s").select("conv_id", "turn", "type", "modality", "statement_type")
 
 
-_wl = f"(regexp_extract_all(lower(text), '\\p{{L}}+'))[1:{V.PROFILE_TOKENS}]"
+_wl = "regexp_extract_all(lower(text), '\\p{L}+')"
 _vote = {k: f"len(list_filter({_wl}, lambda w: list_contains({G.sql_list(m)}, w)))" for k, m in sorted(MARKERS.items())}
 _best = "greatest(" + ", ".join(_vote.values()) + ")"
 
