@@ -1,4 +1,4 @@
-"""Claims and propositions in texts: candidates, modality, redaction, leaks, perturbations, grounding."""
+"""Propositions in texts: scope, modality, redaction, leaks, perturbations, grounding."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from lectern.functions import tokens as G
 from lectern.functions.arrays import spread
 from lectern.operators.extract import FIGURE, short_label
 from lectern.operators.matcher import matches
-from lectern.operators.segment import CLAIM, LEGAL, sentence_array
+from lectern.operators.segment import LEGAL, sentence_array
 
 # Cues by language of conditions, exceptions, periods, units of time, negation, modality (strongest first) and hedges.
 CUES = {
@@ -53,7 +53,6 @@ QUALITY_CAP = {"good": 1.0, "degraded": 0.75, "poor": 0.5}
 PLACEHOLDER = "[ACTOR]"
 # Rewrites that keep a sentence's meaning.
 PARAPHRASES = [(r"\bof the\b", "of that"), (r"\bin the\b", "inside the"), (r"\bis\b", "remains"), (r"\band\b", "as well as")]
-ATTRIBUTION = r"(?i)(?:according to|secondo|según|selon|laut)\s+([\p{L}][\p{L} ]{1,40}?)(?=,)"
 
 
 def _any(phrases: str) -> str:
@@ -146,15 +145,6 @@ def extraction_confidence(conditional: Column, inferred: Column, hedged: Column,
     return F.round(F.least(raw, cap), 4)
 
 
-def candidate_claims(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Sentences as direct quote, according-to, indirect or own voice (five words or more); the first form that fits."""
-    parts = F.transform(sentence_array(F.coalesce(F.col(text_col), F.lit("")), CLAIM), lambda s, i: F.struct(i.alias("no"), s.alias("sentence")))
-    s = spread(docs, [id_col], parts, "p").select(id_col, F.col("p.no").cast("long").alias("no"), F.col("p.sentence").alias("sentence"))
-    words = F.size(F.filter(F.split("sentence", r"\s+"), lambda w: w != ""))
-    form = F.when(F.col("sentence").rlike('"[^"]{8,}"|“[^”]{8,}”'), "direct_quote").when(F.col("sentence").rlike(ATTRIBUTION), "according_to").when(F.col("sentence").rlike(r"(?i)\b(said|says|stated|claimed) that\b"), "indirect").when(words >= 5, "own_voice")
-    return s.withColumn("form", form).withColumn("speaker", F.nullif(F.trim(F.regexp_extract("sentence", ATTRIBUTION, 1)), F.lit(""))).where("form is not null")
-
-
 def redact(text: Column, names: list[str], placeholder: str = PLACEHOLDER) -> Column:
     """Names, the longest first, with honorific and possessive, become a placeholder. For many names or protected wordings see matcher.redacted."""
     w = T.WORD_CHARACTER

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from lectern.functions import text as T
 from lectern.functions import tokens as G
 from lectern.functions.arrays import spread
+from lectern.operators import attribution as A
 from lectern.operators import cluster as C
 from lectern.operators import matcher as M
 from lectern.operators import propositions as P
@@ -43,7 +44,11 @@ def c13_c14_c15_topic_graph(spark, d):
 
 @query()
 def v01_v02_candidate_claims(spark, d):
-    return P.candidate_claims(table(spark, d, "documents"), "doc_id", "text")
+    """Every seventh text begins with reported speech."""
+    leads = ['"We will cut the levy next year," said Ana Ruiz, minister of finance. ', "El ministro Luis Soto dijo que la deuda baja cada mes. ", "Selon Paul Durand, la dette baisse encore. "]
+    lead = F.element_at(F.array(*[F.lit(x) for x in leads]), (F.col("doc_id") % 3 + 1).cast("int"))
+    docs = table(spark, d, "documents").withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat(lead, "text")).otherwise(F.col("text")))
+    return A.candidate_claims(docs, "doc_id", "text")
 
 
 @query("""SELECT doc_id, CASE WHEN source NOT IN ('src10', 'src11', 'src12', 'src1', 'src2') THEN 'Dr. ' || source || '''s view of ' || source || ' (North)'
