@@ -191,6 +191,11 @@ def zones(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return z.select(id_col, "zone", weight.alias("weight"), F.length("part").cast("long").alias("chars"))
 
 
+def has_body(text: Column) -> Column:
+    """Whether anything stands behind the headline and the line under it."""
+    return F.trim(F.array_join(F.slice(F.split(F.coalesce(text, F.lit("")), r"\s*\n"), F.lit(3), F.lit(1 << 30)), " ")) != ""
+
+
 def locate(docs: DataFrame, id_col: str, text_col: str, needles: DataFrame) -> DataFrame:
     """(id, needle, at): where a passage first stands verbatim but for white space, from 1; all passages."""
     n = needles.select("needle", T.collapse(F.col("needle")).alias("pattern")).distinct()

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lectern.functions import text as T
 from lectern.functions import tokens as G
@@ -257,8 +256,8 @@ def c03_cluster_claims(spark, d):
 SELECT label, 'cluster:' || substr(sha256(CAST(first AS VARCHAR)), 1, 16) AS cluster, n, row_number() OVER (ORDER BY n DESC, first) AS rank FROM m""")
 def c04_k04_cluster_ids(spark, d):
     m = table(spark, d, "embeddings").groupBy("label").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"))
-    rank = F.row_number().over(Window.orderBy(F.desc("n"), "first"))
-    return m.select("label", T.make_id("cluster", F.col("first").cast("string")).alias("cluster"), "n", rank.cast("long").alias("rank"))
+    ranked = C.global_rank(m, F.desc("n"), F.asc("first"))
+    return ranked.select("label", T.make_id("cluster", F.col("first").cast("string")).alias("cluster"), "n", "rank")
 
 
 @query(f"""WITH {TFIDF_SQL}, g AS (SELECT lang AS cluster, term, sum(w) AS s FROM v JOIN documents USING (doc_id) GROUP BY ALL)

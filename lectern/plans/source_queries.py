@@ -109,7 +109,8 @@ def _name():
 
 @query("SELECT user_id, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS n FROM events GROUP BY user_id")
 def y02_streamed_first_last_seen(spark, d):
-    return O.drained(O.seen(_stream(spark, d), "user_id", "ts"), _name(), "complete")
+    with O.state_store(spark):
+        return O.drained(O.seen(_stream(spark, d), "user_id", "ts", "event_id"), _name(), "update", key="user_id")
 
 
 @query("SELECT event_type, count(DISTINCT user_id) AS n_users FROM events GROUP BY event_type")
@@ -134,6 +135,14 @@ def y03_streamed_sessions(spark, d):
     return out.groupBy("user_id").agg(F.count("*").alias("n_sessions"), F.sum("n").alias("n"))
 
 
+@query("""SELECT a.event_id AS copy, b.event_id AS origin, CAST(floor(epoch(a.ts)) - floor(epoch(b.ts)) AS BIGINT) AS gap_s FROM (SELECT *, lag(event_id) OVER w AS p FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) a
+JOIN events b ON a.p = b.event_id WHERE epoch(a.ts) - epoch(b.ts) <= 10800""")
+def y03_streamed_cascades(spark, d):
+    """Both sides are the same events: every one may be a copy, and the origin of later ones."""
+    pairs = O.cascade_pairs(_stream(spark, d), _stream(spark, d), "user_id", "ts", "event_id")
+    return O.predecessors(O.drained(pairs, _name(), "append"))
+
+
 @query("""SELECT event_id, user_id AS host FROM (SELECT event_id, user_id, epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap FROM events) WHERE gap < 600""")
 def y05_rate_limit(spark, d):
     """Every user is a host, with ten minutes between requests."""

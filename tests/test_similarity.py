@@ -113,6 +113,13 @@ def test_cohesion_and_separation_are_those_of_the_pairs(spark):
         assert outside[k] == pytest.approx(max(cos(a, b) for a in own for b in rest), abs=2e-5)
 
 
+def test_ranks_over_all_rows(spark):
+    rows = spark.createDataFrame([(i, (i * 7) % 13) for i in range(300)], "id long, n long").repartition(5)
+    got = {r.id: r["rank"] for r in cluster.global_rank(rows, F.desc("n"), F.asc("id")).collect()}
+    want = sorted(range(300), key=lambda i: (-((i * 7) % 13), i))
+    assert got == {i: k for k, i in enumerate(want, 1)} and cluster.global_rank(rows.limit(0), F.desc("n"), F.asc("id")).count() == 0
+
+
 def test_all_needles_are_located(spark):
     needles = spark.range(10_050).select(F.concat(F.lit("n"), F.col("id").cast("string"), F.lit("x")).alias("needle"))
     docs = needles.groupBy().agg(F.array_join(F.collect_list("needle"), "  ").alias("t")).withColumn("id", F.lit(1))
