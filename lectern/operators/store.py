@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lectern.operators.graph import cut_lineage
 from lectern.operators.matcher import matches
 
 
@@ -300,3 +301,33 @@ def translation_batches(rows: DataFrame, id_col: str, fields: list[str], protect
     t = rows.select(id_col, F.explode(parts).alias("p")).select(id_col, "p.field", "p.text").where(F.length("text") > 0)
     run = F.sum(F.length("text")).over(Window.partitionBy(id_col).orderBy("field").rowsBetween(Window.unboundedPreceding, -1))
     return t.select(F.floor(F.coalesce(run, F.lit(0)) / size).cast("long").alias("batch"), id_col, "field", "text")
+
+
+def insert(stored: DataFrame, incoming: DataFrame, id_col: str, key: str, policy: str = "skip") -> tuple[DataFrame, DataFrame]:
+    """New rows to store, and what was refused (id, key, reason), for rows with an id and a fingerprint.
+
+    Of incoming rows with one fingerprint the least id counts. An id that is
+    stored under another fingerprint, or comes with several, is a collision and
+    always refused. A fingerprint that is stored already is left out in silence
+    (skip), refused as a duplicate (reject), or comes back under the stored id to
+    be merged with it (merge).
+    """
+    if policy not in ("merge", "skip", "reject"):
+        raise ValueError("policy is one of merge, skip, reject")
+    own, i, k = incoming.columns, F.col(id_col), F.col(key)
+    held = stored.groupBy(F.col(key)).agg(F.min(id_col).alias("__held"))
+    taken = stored.groupBy(F.col(id_col)).agg(F.min(key).alias("__as"), F.max(key).alias("__as_too"))
+    several = incoming.groupBy(id_col).agg(F.min(key).alias("__lo"), F.max(key).alias("__hi"))
+    rows = incoming.join(held, key, "left").join(taken, id_col, "left").join(several, id_col)
+    collides = F.coalesce((F.col("__as") != k) | (F.col("__as_too") != k), F.lit(False)) | (F.col("__lo") != F.col("__hi"))
+    rows = cut_lineage(rows.withColumn("__collides", collides))
+    good = rows.where("not __collides")
+    first = F.row_number().over(Window.partitionBy(key).orderBy(id_col)) == 1
+    new = good.where("__held is null").withColumn("__first", first).where("__first").select(*own)
+    refused = rows.where("__collides").select(i, k, F.lit("collision").alias("reason"))
+    known = good.where("__held is not null")
+    if policy == "merge":
+        new = new.unionByName(known.withColumn(id_col, F.col("__held")).select(*own))
+    if policy == "reject":
+        refused = refused.unionByName(known.select(i, k, F.lit("duplicate").alias("reason")))
+    return new, refused

@@ -99,6 +99,17 @@ def d02_d04_keep_best(spark, d):
     return O.keep_first(e.select("ev", "sha", "o"), ["sha"], ["o", "ev"]).select("ev", "sha")
 
 
+@query(f"""WITH e AS (SELECT CASE WHEN ev % 50 = 7 THEN ev - 7 ELSE ev END AS ev, md5(text) AS sha, ev % 3 = 0 AS old FROM {EVI}), s AS (SELECT * FROM e WHERE old), i AS (SELECT * FROM e WHERE NOT old),
+c AS (SELECT ev, sha, EXISTS (SELECT 1 FROM s WHERE s.ev = i.ev AND s.sha <> i.sha) OR EXISTS (SELECT 1 FROM i j WHERE j.ev = i.ev AND j.sha <> i.sha) AS collides, EXISTS (SELECT 1 FROM s WHERE s.sha = i.sha) AS held FROM i)
+SELECT min(ev) AS ev, sha, 'stored' AS outcome FROM c WHERE NOT collides AND NOT held GROUP BY sha UNION ALL SELECT ev, sha, CASE WHEN collides THEN 'collision' ELSE 'duplicate' END FROM c WHERE collides OR held""")
+def d02_insert_policies(spark, d):
+    """A third of the evidence is stored, the rest comes in; some of it with the id of another item."""
+    n = F.col("ev")
+    e = view(spark, d, "evidence").select(F.when(n % 50 == 7, n - 7).otherwise(n).alias("ev"), F.md5("text").alias("sha"), (n % 3 == 0).alias("old"))
+    new, refused = O.insert(e.where("old").drop("old"), e.where("not old").drop("old"), "ev", "sha", "reject")
+    return new.withColumn("outcome", F.lit("stored")).unionByName(refused.withColumnRenamed("reason", "outcome"))
+
+
 @query(f"SELECT source, tier, min(ev) AS ev, array_to_string(list_sort(list_distinct(list(claim_id))), ',') AS claims, count(*) AS n FROM {EVI} GROUP BY source, tier")
 def d03_d08_merge(spark, d):
     e = view(spark, d, "evidence").select("source", "tier", "ev", F.array("claim_id").alias("claims"))

@@ -233,3 +233,22 @@ def test_repartitioning_changes_nothing(spark):
         b = sorted(map(str, registry.QUERIES[name](spark, d).collect()))
         spark.conf.set("spark.sql.shuffle.partitions", "4")
         assert a == b
+
+
+def test_insert_policies(spark):
+    stored = spark.createDataFrame([(1, "a"), (2, "b")], "id long, sha string")
+    incoming = spark.createDataFrame([(3, "a"), (4, "c"), (5, "c"), (2, "d"), (1, "a"), (6, "e"), (6, "f")], "id long, sha string")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    clashes = [(2, "d", "collision"), (6, "e", "collision"), (6, "f", "collision")]
+    for policy, new, refused in (("skip", [(4, "c")], clashes), ("reject", [(4, "c")], sorted([*clashes, (1, "a", "duplicate"), (3, "a", "duplicate")])), ("merge", [(1, "a"), (1, "a"), (4, "c")], clashes)):
+        got, no = store.insert(stored, incoming, "id", "sha", policy)
+        assert (rows(got), rows(no)) == (new, refused)
+    with pytest.raises(ValueError):
+        store.insert(stored, incoming, "id", "sha", "drop")
+
+
+def test_kinds_of_chains(spark):
+    yes, no = F.lit(True), F.lit(False)
+    kind = independence.chain_kind
+    r = one(spark, w=kind(F.lit(1), yes, yes, yes), v=kind(F.lit(1), no, no, no, yes), a=kind(F.lit(0), no, no, no, yes), u=kind(F.lit(0), no, no, no))
+    assert (r.w, r.v, r.a, r.u) == ("wire", "verbatim", "aggregation", "unknown")
