@@ -145,9 +145,8 @@ def extraction_confidence(conditional: Column, inferred: Column, hedged: Column,
     return F.round(F.least(raw, cap), 4)
 
 
-def redact(text: Column, names: list[str], placeholder: str = PLACEHOLDER) -> Column:
-    """Names, the longest first, with honorific and possessive, become a placeholder. For many names or protected wordings see matcher.redacted."""
-    w = T.WORD_CHARACTER
+def redact(text: Column, names: list[str], placeholder: str = PLACEHOLDER, w: str = T.WORD_CHARACTER) -> Column:
+    """Names, the longest first, with honorific and possessive, become a placeholder; `w` is what words are made of. For many names or protected wordings see matcher.redacted."""
     escaped = [re.sub(r"([^\w\s])", r"\\\1", n) for n in names]
     pattern = "|".join(sorted(escaped, key=lambda n: (-len(n), n)))
     return F.regexp_replace(text, rf"(?i)(?:(?<!{w})(?:mr|mrs|ms|dr|sr|sra)\.? )?(?<!{w})(?:{pattern})(?!{w})(?:['’]s)?", placeholder)

@@ -18,3 +18,8 @@ def conversations(spark, folder, rows):
 def test_claim_history_at_accented_letters(spark, tmp_path):
     conversations(spark, tmp_path, [(1, 0, "user", "levy cut éno levy"), (1, 1, "assistant", "levy cut stays"), (1, 2, "user", "levy cut, not now")])
     assert same_as_sql(spark, "j11_claim_history", tmp_path) == ""
+
+
+def test_blind_claims_at_accented_letters(spark, tmp_path):
+    conversations(spark, tmp_path, [(1, 0, "user", "They say éund and Mr. Und's"), (1, 1, "assistant", "une éthe"), (1, 2, "assistant", "nichté")])
+    assert same_as_sql(spark, "v26_blind_claims", tmp_path) == ""
