@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.functions import tokens as G
-from lectern.functions.arrays import spread
+from lectern.functions.arrays import rounded, spread
 from lectern.operators import scoring as S
+from lectern.operators.graph import cut_lineage
 from lectern.operators.numbers import claim_numbers
 from lectern.operators.similarity import recency
 
@@ -96,13 +97,18 @@ def topical_relevance(questions: DataFrame, evidence: DataFrame) -> DataFrame:
     """
     q = questions.select("claim_id", words(F.col("question")).alias("qw"))
     e = evidence.select("ev", "claim_id", words(F.col("statement")).alias("w")).join(q, "claim_id")
+    return _topical(q, e.select("ev", "claim_id", F.array_intersect("w", "qw").alias("shared")))
+
+
+def _topical(q: DataFrame, evidence: DataFrame) -> DataFrame:
+    """From questions (claim_id, qw) and evidence on them (ev, claim_id, shared), all distinct words."""
     n = evidence.groupBy("claim_id").agg(F.count("*").alias("n"))
-    hits = spread(e, ["ev", "claim_id"], F.array_intersect("w", "qw"), "t")
+    hits = spread(evidence, ["ev", "claim_id"], "shared", "t")
     df = hits.groupBy("claim_id", "t").agg(F.count("*").alias("df"))
     rare = spread(q, ["claim_id"], "qw", "t").join(df, ["claim_id", "t"], "left").join(n, "claim_id").withColumn("idf", F.log((1 + F.col("n")) / (1 + F.coalesce("df", F.lit(0)))) + 1)
     total = rare.groupBy("claim_id").agg(F.sum("idf").alias("total"))
     got = hits.join(rare.select("claim_id", "t", "idf"), ["claim_id", "t"]).groupBy("ev", "claim_id").agg(F.sum("idf").alias("got"))
-    return evidence.select("ev", "claim_id").join(got, ["ev", "claim_id"], "left").join(total, "claim_id").select("ev", "claim_id", F.round(F.coalesce("got", F.lit(0.0)) / F.col("total"), 6).alias("topical"))
+    return evidence.select("ev", "claim_id").join(got, ["ev", "claim_id"], "left").join(total, "claim_id").select("ev", "claim_id", rounded(F.coalesce("got", F.lit(0.0)) / F.col("total"), 6).alias("topical"))
 
 
 def text_features(evidence: DataFrame) -> DataFrame:
@@ -110,13 +116,13 @@ def text_features(evidence: DataFrame) -> DataFrame:
     t = T.fold(F.coalesce(F.col("statement"), F.lit("")))
     n = F.size(F.filter(F.split(t, r"\s+"), lambda w: w != ""))
     f = evidence.withColumns({"n_figures": F.size(claim_numbers(t)), "n_scope": F.regexp_count(t, F.lit(SCOPE)), "n_words": n})
-    return f.withColumn("specificity", F.round(S.specificity(F.col("n_figures"), F.col("n_scope"), F.col("n_words")), 6))
+    return f.withColumn("specificity", rounded(S.specificity(F.col("n_figures"), F.col("n_scope"), F.col("n_words")), 6))
 
 
 def quantitative_content(n_figures: Column, kind: Column) -> Column:
     """Three figures are enough; null where figures don't answer the question."""
     factor = F.coalesce(F.create_map(*[F.lit(x) for kv in QUANTITATIVENESS.items() for x in kv])[kind], F.lit(0.0))
-    return F.when(factor > 0, F.round(F.least(F.lit(1.0), n_figures / 3) * factor, 6))
+    return F.when(factor > 0, rounded(F.least(F.lit(1.0), n_figures / 3) * factor, 6))
 
 
 def corroboration(evidence: DataFrame) -> DataFrame:
@@ -131,15 +137,27 @@ def corroboration(evidence: DataFrame) -> DataFrame:
     return evidence.select("ev", "claim_id", "source").join(count, "claim_id").join(own, ["claim_id", "source"]).select("ev", (F.col("all") - F.col("counted").cast("int")).alias("sources"))
 
 
+def read(questions: DataFrame, evidence: DataFrame) -> DataFrame:
+    """What ranking takes from the texts, in one pass over them: evidence on the questions with its figures, specificity, shared words and kind of question, without the statement."""
+    q = questions.select("claim_id", question_kind(F.col("question")).alias("kind"), words(F.col("question")).alias("qw"))
+    e = text_features(evidence).withColumn("w", words(F.col("statement"))).join(q, "claim_id")
+    return cut_lineage(e.select("ev", "claim_id", "source", "tier", "derived", "restating", "age_days", "n_figures", "specificity", "kind", F.array_intersect("w", "qw").alias("shared")))
+
+
 def rank(questions: DataFrame, evidence: DataFrame) -> DataFrame:
     """Evidence that bears on its question, with its score out of 100 and rank: ev, claim_id, source, tier, kind, incapable, score, rank."""
-    kinds = questions.select("claim_id", question_kind(F.col("question")).alias("kind"))
-    e = text_features(evidence).join(kinds, "claim_id").join(topical_relevance(questions, evidence), ["ev", "claim_id"]).join(corroboration(evidence), "ev")
+    return rank_read(questions, read(questions, evidence))
+
+
+def rank_read(questions: DataFrame, evidence: DataFrame) -> DataFrame:
+    """The same from evidence that is read already."""
+    q = questions.select("claim_id", words(F.col("question")).alias("qw"))
+    e = evidence.join(_topical(q, evidence.select("ev", "claim_id", "shared")), ["ev", "claim_id"]).join(corroboration(evidence), "ev")
     life = F.coalesce(F.create_map(*[F.lit(x) for kv in HALF_LIFE_KIND.items() for x in kv])[F.col("kind")], F.lit("other"))
     e = e.withColumn("affinity", affinity(F.col("tier"), F.col("kind"))).withColumn("incapable", incapable(F.col("tier"), F.col("kind")))
     parts = {
         "affinity": F.col("affinity"), "topical": F.col("topical"), "specificity": F.col("specificity"), "quantitative": quantitative_content(F.col("n_figures"), F.col("kind")),
-        "recency": F.round(recency(F.col("age_days"), life), 6), "corroboration": F.round(F.least(F.lit(1.0), F.col("sources") / SATURATION), 6),
+        "recency": rounded(recency(F.col("age_days"), life), 6), "corroboration": rounded(F.least(F.lit(1.0), F.col("sources") / SATURATION), 6),
     }
     # a name apart from the row's own, so that the components stay what they are when the score is taken
     e = e.select("ev", "claim_id", "source", "tier", "kind", "incapable", "restating", *[c.alias(f"p_{k}") for k, c in parts.items()])

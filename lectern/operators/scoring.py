@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lectern.functions.arrays import rounded
+
 # Weights of the six ranking components, and what incapable and restating evidence keeps.
 RANK_WEIGHTS = {"affinity": 30.0, "topical": 22.0, "specificity": 12.0, "quantitative": 10.0, "recency": 10.0, "corroboration": 16.0}
 INCAPABLE, RESTATING = 0.2, 0.65
@@ -26,9 +28,11 @@ def specificity(n_figures: Column, n_scope: Column, n_words: Column) -> Column:
 def rank_evidence(views: DataFrame, group: str, parts: dict[str, Column], incapable: Column, restating: Column, tie: str) -> DataFrame:
     """Weighted score out of 100; a component that is null doesn't apply, and its weight goes to the others."""
     weight = reduce(lambda a, b: a + b, [F.when(parts[k].isNotNull(), F.lit(w)).otherwise(0.0) for k, w in RANK_WEIGHTS.items()])
-    points = reduce(lambda a, b: a + b, [F.coalesce(parts[k] * F.lit(w), F.lit(0.0)) for k, w in RANK_WEIGHTS.items()])
+    # affinities are decimals: 30 * 0.03 is 0.9
+    weighted = {k: F.round(parts[k] * w, 9) if k == "affinity" else parts[k] * w for k, w in RANK_WEIGHTS.items()}
+    points = reduce(lambda a, b: a + b, [F.coalesce(c, F.lit(0.0)) for c in weighted.values()])
     score = points * 100 / F.when(weight > 0, weight).otherwise(1.0) * F.when(incapable, INCAPABLE).otherwise(1.0) * F.when(restating, RESTATING).otherwise(1.0)
-    out = views.withColumn("score", F.round(score, 4)).where(~((parts["topical"] < 0.02) & (parts["affinity"] < 0.3)))
+    out = views.withColumn("score", rounded(score, 4)).where(~((parts["topical"] < 0.02) & (parts["affinity"] < 0.3)))
     return out.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("score"), tie)).cast("long"))
 
 

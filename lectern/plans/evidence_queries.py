@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.functions.arrays import rounded
 from lectern.operators import evidence as E
 from lectern.operators import scoring as S
 from lectern.operators import segment as G
@@ -92,7 +93,7 @@ def r06_corroboration(spark, d):
 
 @query(f"WITH {RANKED} SELECT claim_id, ev, round(score, 3) AS score, rank FROM k")
 def r04_r07_w01_rank_evidence(spark, d):
-    return E.rank(_questions(spark, d), _evidence(spark, d)).select("claim_id", "ev", F.round("score", 3).alias("score"), "rank")
+    return E.rank(_questions(spark, d), _evidence(spark, d)).select("claim_id", "ev", rounded(F.col("score"), 3).alias("score"), "rank")
 
 
 @query(f"""WITH {RANKED}, b AS (SELECT claim_id, max(CASE WHEN rank = 1 THEN score END) AS best, bool_or(rank = 1 AND NOT incapable) AS capable, count(DISTINCT source) AS sources FROM k GROUP BY claim_id)
@@ -113,8 +114,9 @@ def r10_named_gaps(spark, d):
 @query(f"WITH {RANKED} SELECT claim_id, array_to_string(list(ev ORDER BY rank), ',') AS order_plain, true AS invariant FROM k GROUP BY claim_id")
 def r12_r13_authority_invariance(spark, d):
     """Ranks again with the publishers hashed; the order must be the same."""
-    qs, ev = _questions(spark, d), _evidence(spark, d)
-    return S.same_order(E.rank(qs, ev), E.rank(qs, S.without_identity(ev, "source")), "claim_id", "ev")
+    qs = _questions(spark, d)
+    ev = E.read(qs, _evidence(spark, d))
+    return S.same_order(E.rank_read(qs, ev), E.rank_read(qs, S.without_identity(ev, "source")), "claim_id", "ev")
 
 
 @query(f"""WITH e AS (SELECT ev, tier, statement, {_w('statement')} AS w, sha256(statement) AS sha FROM {EVI} WHERE tier IN ('journalism', 'peer_reviewed')), s AS (SELECT *, round(len(list_intersect(w, ['license', 'version', 'the', 'public'])) / 4.0, 6) AS score FROM e)
