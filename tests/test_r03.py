@@ -63,3 +63,14 @@ def test_cosine_search_in_cells(spark, monkeypatch):
     c = np.round(v @ v.T / np.outer(np.linalg.norm(v, axis=1), np.linalg.norm(v, axis=1)), 5)
     want = {(q, r + 1, i) for q in range(0, 300, 25) for r, i in enumerate(sorted((i for i in range(300) if i != q), key=lambda i: (-c[q, i], i))[:4])}
     assert {(r.query_id, r["rank"], r.vec_id) for r in found.collect()} == want
+
+
+def test_near_pairs_name_every_copy(spark, tmp_path):
+    text = " ".join(f"word{k}" for k in range(60))
+    rows = [(7, text), (23, text), (39, text), (55, text + " more"), (71, "short"), (87, "short")]
+    docs = spark.createDataFrame([(i, "s", "en", len(t), t) for i, t in rows], "doc_id long, source string, lang string, n_chars long, text string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/d")
+    next((tmp_path / "d").glob("*.parquet")).rename(tmp_path / "documents.parquet")
+    assert same_as_sql(spark, "j02_m01_m02_near_pairs", tmp_path) == ""
+    found = registry.QUERIES["j02_m01_m02_near_pairs"](spark, str(tmp_path)).collect()
+    assert {(r.l, r.r, r.n_l, r.n_r) for r in found} == {(7, 23, 3, 3), (7, 39, 3, 3), (7, 55, 3, 1)}
