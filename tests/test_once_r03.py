@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lectern.operators import claims
+from lectern.operators import claims, similarity
 
 
 def _times(spark, value, name):
@@ -15,3 +15,7 @@ def test_words_of_a_language_are_cut_once(spark):
     assert _times(spark, claims.detect_language, "regexp_extract_all(") == 1
     rows = spark.createDataFrame([("the cat and the dog",), ("",), ("la casa de los perros",)], "t string")
     assert [r.x for r in rows.select(claims.detect_language(F.col("t")).alias("x")).collect()] == ["en", "xx", "es"]
+
+
+def test_tokens_of_a_simhash_are_cut_once(spark):
+    assert _times(spark, lambda t: similarity.token_runs(F.split(t, " ")), "split(") == 1
