@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from lectern.functions import text as T
+from lectern.functions.arrays import bound
 from lectern.operators.matcher import matches
 
 # Titles before a name, and how alike two spellings must be.
@@ -88,10 +89,17 @@ def page_anchors(pages: DataFrame, id_col: str, text_col: str, keywords: list[st
 def quote_window(text: Column, wanted: Column, size: int = 12) -> Column:
     """The run of `size` words that shares most words with `wanted`, the first of equals; start (from 1), hits and text."""
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    hit = F.transform(words, lambda w: F.array_contains(wanted, F.regexp_replace(T.fold(w), "[^a-z0-9]", "")).cast("int"))
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - size + 1)), lambda i: F.struct(F.aggregate(F.slice(hit, i, F.lit(size)), F.lit(0), lambda a, x: a + x).alias("hits"), (-i).alias("order")))
-    best = F.array_max(runs)
-    return F.struct((-best["order"]).alias("start"), best["hits"].alias("hits"), F.array_join(F.slice(words, -best["order"], F.lit(size)), " ").alias("quote"))
+
+    def best(hit: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(hit) - size + 1))
+        return F.array_max(F.transform(starts, lambda i: F.struct(F.aggregate(F.slice(hit, i, F.lit(size)), F.lit(0), lambda a, x: a + x).alias("hits"), (-i).alias("order"))))
+
+    def window(ws: Column) -> Column:
+        hit = F.transform(ws, lambda w: F.array_contains(wanted, F.regexp_replace(T.fold(w), "[^a-z0-9]", "")).cast("int"))
+        quote = lambda b: F.struct((-b["order"]).alias("start"), b["hits"].alias("hits"), F.array_join(F.slice(ws, -b["order"], F.lit(size)), " ").alias("quote"))
+        return bound(bound(hit, best), quote)
+
+    return bound(words, window)
 
 
 def feed_cards(rows: DataFrame, group: str, kind: str, kinds: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lectern.operators import claims, similarity
+from lectern.operators import census, claims, similarity
 
 
 def _times(spark, value, name):
@@ -19,3 +19,11 @@ def test_words_of_a_language_are_cut_once(spark):
 
 def test_tokens_of_a_simhash_are_cut_once(spark):
     assert _times(spark, lambda t: similarity.token_runs(F.split(t, " ")), "split(") == 1
+
+
+def test_words_of_a_quote_window_are_matched_once(spark):
+    wanted = F.array(F.lit("the"))
+    assert _times(spark, lambda t: census.quote_window(t, wanted), "split(") == 1
+    text = "a " * 30 + "the The, the " + "b " * 30
+    r = spark.createDataFrame([(text,), ("",), ("the end",)], "t string").select(census.quote_window(F.col("t"), wanted).alias("x")).collect()
+    assert [(x.x.start, x.x.hits) for x in r] == [(22, 3), (1, 0), (1, 1)] and r[2].x.quote == "the end"
