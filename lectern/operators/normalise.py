@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,19 +33,22 @@ def rewrite(text: str, marks: frozenset[tuple[str, str]] = RUNNING, separator: s
     chars, places = list(text), list(range(len(text)))
     if marks:
         chars, places = _without_lines(text, marks, separator, depth)
-    out, at = [], []
-    for c, p in zip(chars, places, strict=True):
-        for x in T.LIGATURES.get(c, c):
-            out.append(x)
-            at.append(p)
+    out, at = chars, places
+    if not T.LIGATURES.keys().isdisjoint(chars):
+        out, at = [], []
+        for c, p in zip(chars, places, strict=True):
+            for x in T.LIGATURES.get(c, c):
+                out.append(x)
+                at.append(p)
     whole = "".join(out)
     keep = [True] * len(out)
     for m in HYPHEN.finditer(whole):
         if whole[m.end()].islower():
             keep[m.start() + 1 : m.end()] = [False] * (m.end() - m.start() - 1)
-    out, at = [c for c, k in zip(out, keep, strict=True) if k], [p for p, k in zip(at, keep, strict=True) if k]
+    if not all(keep):
+        out, at = [c for c, k in zip(out, keep, strict=True) if k], [p for p, k in zip(at, keep, strict=True) if k]
     text, kept, where, pos = "".join(out), [], [], 0
-    for m in re.finditer(r"[ \t\n]+", text):
+    for m in re.finditer(r"[ \t\n]{2,}|[\t\n]", text):  # a single space stays as it is
         lo, hi = m.span()
         kept.append(text[pos:lo])
         where += at[pos:lo]
@@ -80,13 +84,10 @@ def _without_lines(text: str, marks, separator: str, depth: int) -> tuple[list[s
 
 def segments(places: list[int]) -> list[dict]:
     """Runs of neighbouring characters: start in the result, length, start in the source."""
-    out: list[dict] = []
-    for i, p in enumerate(places):
-        if out and p == out[-1]["source"] + out[-1]["length"]:
-            out[-1]["length"] += 1
-        else:
-            out.append({"start": i, "length": 1, "source": p})
-    return out
+    at = np.asarray(places, np.int64)
+    first = np.flatnonzero(np.r_[True, np.diff(at) != 1]) if len(at) else np.zeros(0, np.int64)
+    sizes = np.diff(np.r_[first, len(at)])
+    return [{"start": i, "length": n, "source": p} for i, n, p in zip(first.tolist(), sizes.tolist(), at[first].tolist(), strict=True)]
 
 
 def normalise_documents(docs: DataFrame, id_col: str, text_col: str, separator: str = PAGE_BREAK) -> DataFrame:

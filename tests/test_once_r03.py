@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lectern.operators import census, claims, similarity
+from lectern.operators import census, claims, normalise, segment, similarity
 
 
 def _times(spark, value, name):
@@ -27,3 +27,15 @@ def test_words_of_a_quote_window_are_matched_once(spark):
     text = "a " * 30 + "the The, the " + "b " * 30
     r = spark.createDataFrame([(text,), ("",), ("the end",)], "t string").select(census.quote_window(F.col("t"), wanted).alias("x")).collect()
     assert [(x.x.start, x.x.hits) for x in r] == [(22, 3), (1, 0), (1, 1)] and r[2].x.quote == "the end"
+
+
+def test_lines_at_the_edges_of_a_page_are_cut_once(spark):
+    pages = spark.createDataFrame([(1, k, f"Head\n{'body\n' * 9}same\npage {k}") for k in range(4)], "id long, page_no long, text string")
+    lines = segment.running_lines(pages, "id", "page_no")
+    assert {(r.place, r.sig) for r in lines.collect()} >= {("top1", "head"), ("end0", "page #"), ("end1", "same")}
+    assert lines._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_segments_are_runs_of_neighbours():
+    assert normalise.segments([]) == []
+    assert normalise.segments([3, 4, 5, 9, 9, 10]) == [{"start": 0, "length": 3, "source": 3}, {"start": 3, "length": 1, "source": 9}, {"start": 4, "length": 2, "source": 9}]
