@@ -6,6 +6,7 @@ from lectern.functions import text as T
 from lectern.functions import tokens as G
 from lectern.operators import independence as I
 from lectern.operators.extract import CREDITS, wire_agency
+from lectern.operators.graph import cut_lineage
 from lectern.operators.setlinks import set_classes, shared_elements
 
 
@@ -44,3 +45,22 @@ def test_white_space_and_shingles_as_before(spark):
     words = spark.createDataFrame([(["a", "b", "a", "b", "a", "b", "a"],), (["a", "b"],), ([],)], "w array<string>")
     for r in words.select(G.shingle_hashes(F.col("w"), 5).alias("a"), F.transform(G.shingles(F.col("w"), 5), lambda s: F.xxhash64(s)).alias("b")).collect():
         assert r.a == r.b
+
+
+def test_elements_of_one_set_are_dealt_once_and_then_left(spark):
+    """One exchange of the elements serves their counts and the rows; only shared ones reach the sets' places."""
+    sets = spark.createDataFrame([(k, [k * 100 + i for i in range(50)] + [7]) for k in range(1, 41)], "id long, s array<long>")
+    found = shared_elements(cut_lineage(sets), "id")
+    assert found.count() == 40
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan, plan
+
+
+def test_signals_of_copies_and_of_slim_sets(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = [*words[:55], "x1", "x2", "x3", "x4", "x5"]
+    rows = [(1, "p", 0, " ".join(words)), (2, "q", 1, " ".join(words)), (3, "r", 2, " ".join(near)), (4, "s", 3, " ".join(reversed(words)))]
+    got = {(r.l, r.r): round(r.jaccard, 6) for r in I.pair_signals(spark.createDataFrame(rows, "id long, publisher string, published_min int, text string")).collect()}
+    # 56 shingles each, 51 of them shared
+    assert got == {(1, 2): 1.0, (1, 3): round(51 / 61, 6)}
