@@ -263,8 +263,7 @@ c AS (SELECT lang, phrase, count(*) AS n FROM g WHERE NOT list_contains({G.sql_l
 SELECT lang, phrase, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, phrase) AS rank FROM c) WHERE rank <= 30
 """)
 def g14_phrases(spark, d):
-    words = F.filter(F.split(F.trim(F.regexp_replace(T.normalise(F.col("text")), "[^a-z]+", " ")), " "), lambda x: F.length(x) >= 3)
-    return segment.phrases(table(spark, d, "documents").select("lang", words.alias("w")), "lang", "w", top=30)
+    return segment.phrases(table(spark, d, "documents").select("lang", F.lower("text").alias("w")), "lang", "w", top=30)
 
 
 @query("""
