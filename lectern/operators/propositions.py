@@ -56,10 +56,10 @@ PARAPHRASES = [(r"\bof the\b", "of that"), (r"\bin the\b", "inside the"), (r"\bi
 
 
 def _any(phrases: str) -> str:
-    """The phrases as whole words, the longest first."""
+    """The phrases as whole words, the longest first; only at their first letters what stands before is looked at."""
     words = sorted((w.strip() for w in phrases.split(",")), key=lambda w: (-len(w), w))
     w = T.WORD_CHARACTER
-    return rf"(?<!{w})(?:{'|'.join(words)})(?!{w})".replace(" ", r"\s+")
+    return rf"(?=[{''.join(sorted({x[0] for x in words}))}])(?<!{w})(?:{'|'.join(words)})(?!{w})".replace(" ", r"\s+")
 
 
 def _by_language(lang: Column, build) -> Column:
@@ -75,12 +75,17 @@ def _clauses(text: Column, cues: str, ends: str) -> Column:
     """From every cue to the end of its clause, also where one begins inside another; each once, over three characters."""
     # what a look-ahead takes stays there for the next match
     found = F.transform(F.regexp_extract_all(text, F.lit(rf"(?i)(?=({_any(cues)}[^{ends}]*))"), F.lit(1)), T.collapse)
-    return F.array_distinct(F.filter(found, lambda c: F.length(c) > 3))
+    return F.when(text.rlike("(?i)" + _any(cues)), F.array_distinct(F.filter(found, lambda c: F.length(c) > 3))).otherwise(F.array().cast("array<string>"))
 
 
 def modality(sentence: Column, lang: Column) -> Column:
-    """The strongest that is cued, else asserted."""
-    return F.coalesce(*[_by_language(lang, lambda cues, m=m: F.when(sentence.rlike("(?i)" + _any(cues[m])), F.lit(m))) for m in MODALITIES], F.lit("asserted"))
+    """The strongest that is cued, else asserted; a sentence without any cue is searched once."""
+
+    def strongest(cues: dict[str, str]) -> Column:
+        found = F.coalesce(*[F.when(sentence.rlike("(?i)" + _any(cues[m])), F.lit(m)) for m in MODALITIES])
+        return F.when(sentence.rlike("(?i)" + _any(", ".join(cues[m] for m in MODALITIES))), found)
+
+    return F.coalesce(_by_language(lang, strongest), F.lit("asserted"))
 
 
 def scope(sentence: Column, lang: Column) -> dict[str, Column]:
@@ -90,6 +95,7 @@ def scope(sentence: Column, lang: Column) -> dict[str, Column]:
     "up to 300 units" sets none.
     """
     none = F.array().cast("array<string>")
+    figured = sentence.rlike("[0-9]")
     listed = lambda c: F.coalesce(c, none)
     timed = lambda cues: F.filter(_clauses(sentence, cues["period"], ",;."), lambda c: c.rlike(rf"(?i)(?<!\d)(?:1[89]\d\d|2[01]\d\d)(?!\d)|{_any(cues['unit'])}"))
     hedges = lambda cues: F.array_distinct(F.transform(F.regexp_extract_all(sentence, F.lit("(?i)" + _any(cues["hedge"])), F.lit(0)), lambda h: F.lower(T.collapse(h))))
@@ -98,7 +104,7 @@ def scope(sentence: Column, lang: Column) -> dict[str, Column]:
         "modality": modality(sentence, lang),
         "conditions": listed(_by_language(lang, lambda cues: _clauses(sentence, cues["condition"], ",;."))),
         "exceptions": listed(_by_language(lang, lambda cues: _clauses(sentence, cues["exception"], ";."))),
-        "period": F.coalesce(F.nullif(F.regexp_extract(sentence, r"(?<!\d)(\d{4}-\d{2}-\d{2})(?!\d)", 1), F.lit("")), F.get(_by_language(lang, timed), F.lit(0))),
+        "period": F.coalesce(F.when(figured, F.nullif(F.regexp_extract(sentence, r"(?<!\d)(\d{4}-\d{2}-\d{2})(?!\d)", 1), F.lit(""))), F.get(_by_language(lang, timed), F.lit(0))),
         "hedges": listed(_by_language(lang, hedges)),
     }
 
@@ -124,7 +130,8 @@ def propositions(docs: DataFrame, id_col: str, text_col: str, lang_col: str | No
     def rows(branch: str, found: Column, value) -> Column:
         return F.transform(found, lambda x, i: F.struct(F.lit(branch).alias("branch"), i.cast("long").alias("at"), value(x).alias("text")))
 
-    figures = F.regexp_extract_all(u, F.lit(FIGURE), F.lit(0))
+    none = F.array().cast("array<string>")
+    figures = F.when(u.rlike("[0-9]"), F.regexp_extract_all(u, F.lit(FIGURE), F.lit(0))).otherwise(none)
     definitions = F.regexp_extract_all(u, F.lit(f"(?i){DEFINITION}"), F.lit(0))
     named = lambda d: F.concat(F.lit("'"), F.regexp_extract(d, f"(?i){DEFINITION}", 1), F.lit("' means "), T.collapse(F.regexp_extract(d, f"(?i){DEFINITION}", 2)))
     terms = F.regexp_extract_all(u, F.lit(rf"(?i)({_any(TERM_CUES)}[^,;.]{{0,40}}?(?<!{T.WORD_CHARACTER})(?:{DUE})(?!{T.WORD_CHARACTER}))"), F.lit(1))
