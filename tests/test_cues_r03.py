@@ -56,3 +56,23 @@ def test_cues_are_found_as_before(spark, monkeypatch):
     for (t, lang), got in strongest.items():
         low = lambda m: re.search(rf"(?<!\w)(?:{'|'.join(sorted((w.strip() for w in P.CUES[lang][m].split(',')), key=lambda w: -len(w)))})(?!\w)".replace(" ", r"\s+"), t, re.I) if lang in P.CUES else None
         assert got == next((m for m in P.MODALITIES if low(m)), "asserted") or not t.isascii(), t
+
+
+def test_charged_sentences_are_written_once_and_folded(spark, monkeypatch):
+    from lectern.operators import framing as N
+
+    written = []
+    monkeypatch.setattr(N, "cut_lineage", lambda df: written.append(df.columns) or df)
+    df = spark.createDataFrame([(1, "A brutal raid\nNo more.\nShe said “a brutal raid” and left.")], "id long, text string")
+    r = N.loaded_language(df, "id", "text").first()
+    assert (r.id, r.words, r.n_terms) == (1, 12, 2)
+    assert written == [["id", "no", "weight", "quoted", "folded"]]
+
+
+def test_every_evaluative_word_counts(spark):
+    from lectern.operators import framing as N
+
+    words = N.EVALUATIVE.split("(?:")[1].split(")")[0].split("|")
+    rows = [(w, f"It is {w.upper()}, they think") for w in words] + [("none", "un-terribly dull")]
+    got = {r.group: r.evaluative for r in N.opinion_as_fact(spark.createDataFrame(rows, "group string, sentence string"), F.lit("news")).collect()}
+    assert got == {w: 1 for w in words} | {"none": 0}
